@@ -20,7 +20,7 @@ _HASHER = ByteHasher(10)
 
 BITS = 20
 #: Labelled documents to learn from at most, and bytes of a text that teach at most.
-TRAIN_DOCS = 6000
+TRAIN_DOCS = 12000
 TRAIN_BYTES = 1 << 14
 
 
@@ -38,7 +38,7 @@ def features(blob: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[n
     return (np.concatenate(values) >> np.uint64(64 - bits)).astype(np.int64), np.concatenate(rows)
 
 
-def ftrl(examples: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.0, l2: float = 0.5, epochs: int = 4) -> tuple[np.ndarray, float]:
+def ftrl(examples: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.1, epochs: int = 4) -> tuple[np.ndarray, float]:
     """(weights, intercept): per-coordinate FTRL-proximal over sets of hashed features.
 
     A feature present counts 1.  The intercept is a coordinate without L1.
@@ -83,7 +83,7 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, train_docs: int = TR
     examples = []
     for r in sample:
         text = np.frombuffer(r.t.encode(), np.uint8)
-        examples.append(np.unique(features(text, np.array([0, len(text)]))[0]))
+        examples.append(np.unique(features(text, np.array([0, len(text)]))[0]).astype(np.int32))
     w, intercept = ftrl(examples, np.array([r.y for r in sample], float))
     some = np.flatnonzero(w)
     return some, w[some].astype(np.float32), float(intercept)
