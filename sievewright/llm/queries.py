@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import bpe, decontam, langid, simhash, suffix_dedup, toxicity
+from sievewright.llm import bpe, decontam, langid, media, simhash, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_and_describe(_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -39,6 +43,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archive_and_read(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontam.contaminated_words(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return hits.select(
@@ -60,5 +69,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repeats, op4_simhash, op5_bpe, op6_language, op8_decontaminate, op10_toxicity)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_repeats, op3_media, op4_simhash, op5_bpe, op6_language, op7_warc, op8_decontaminate, op10_toxicity)}
+SQL: dict[str, str] = {
+    "op7_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages
+        ), m AS (SELECT html, max(page_id) AS latest FROM p WHERE n >= 1000 GROUP BY html)
+        SELECT page_id, n AS payload_bytes, sha1(p.html) AS payload_digest,
+               CASE WHEN page_id < latest THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id < latest THEN latest END AS refers_to
+        FROM p LEFT JOIN m ON p.html = m.html
+    """,
+}
