@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import bpe, decontam, langid, media, simhash, suffix_dedup, toxicity, warc
+from sievewright.llm import bpe, decontam, langid, media, simhash, suffix_dedup, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,20 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document after three edits: a cut at a third, its first words put in at two thirds, its source at the end."""
+    n = F.coalesce(F.length("text"), F.lit(0))
+    third = F.floor(n / 3).cast("int")
+    change = lambda start, end, text: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), text.alias("text"))
+    edits = F.array(
+        change(third, third + 12, F.lit("")),
+        change(2 * third, 2 * third, F.concat(F.lit(" "), F.coalesce(F.left("text", F.lit(30)), F.lit("")))),
+        change(n + 40, n + 40, F.concat(F.lit("\n"), F.coalesce("source", F.lit("")))),
+    )
+    docs = _table(spark, sf_dir, "documents").withColumn("edits", edits)
+    return token_counts.counts_after_edits(docs, _vocabulary("byte_bpe_50k.json"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
@@ -69,7 +83,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repeats, op3_media, op4_simhash, op5_bpe, op6_language, op7_warc, op8_decontaminate, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_repeats, op3_media, op4_simhash, op5_bpe, op6_language, op7_warc, op8_decontaminate, op9_token_counts, op10_toxicity)}
 SQL: dict[str, str] = {
     "op7_warc": """
         WITH p AS (
