@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievewright.llm.common import ByteHasher, chunks, scratch_uri, sliding, text_buffers
+from sievewright.llm.common import ByteHasher, chunks, sliding, text_buffers
 
 _HASHER = ByteHasher(1)
 
@@ -43,7 +43,7 @@ def regions(blob: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     Windows are starts p with p + length inside their text; starts are counted
     from the text's beginning.
     """
-    gram = length // 2
+    gram = 3 * length // 8
     per = length - gram + 1
     prefix = _HASHER.prefix(blob)
     hashes = _HASHER.rolling(prefix, gram)
@@ -138,11 +138,10 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def repeated_spans(docs: DataFrame, id_col: str, text_col: str, min_bytes: int, keep: str, group_limit: int) -> DataFrame:
     """Rows (id, th, at array<struct<a,b>>): byte ranges to remove of documents that have any; th is the text's hash."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text")).where(F.octet_length("text") >= min_bytes)
+    texts = _hashed(docs, id_col, text_col).where(F.octet_length("text") >= min_bytes)
     id_field = T.StructField("id", docs.schema[id_col].dataType)
     long, integer, binary = T.LongType(), T.IntegerType(), T.BinaryType()
-    key = [id_field, T.StructField("th", long)]
+    key = [id_field, T.StructField("th", integer)]
 
     def schema(**columns) -> T.StructType:
         return T.StructType([*key, *[T.StructField(n, t) for n, t in columns.items()]])
@@ -163,16 +162,16 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, min_bytes: int,
                 row, s, t, g, e = regions(blob[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], min_bytes)
                 yield emit(region_schema, batch, row + i, pa.array(s.astype(np.int32)), pa.array(t.astype(np.int32)), pa.array(g), pa.array(e))
 
-    # Used several times: written once, with light columns only.
-    where = scratch_uri(spark, "regions")
-    texts.mapInArrow(find, region_schema).write.parquet(where)
-    found = spark.read.parquet(where)
+    found = texts.mapInArrow(find, region_schema)
     twice = found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
     found = found.join(twice, "g", "left_semi")
-    contents = found.groupBy("g", "e").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "s")).alias("rep"), F.first(F.col("t") - F.col("s")).alias("w"))
+    # Grouped by another form of g, so that rows are counted before they are dealt
+    # anew: the join's dealing by g would bring a common anchor's rows to one task.
+    flipped = F.col("g").bitwiseXOR(F.lit(1).cast("long")).alias("f")
+    contents = found.groupBy("e", flipped).agg(F.first("g").alias("g"), F.count("*").alias("n"), F.min(F.struct("id", "th", "s")).alias("rep"), F.first(F.col("t") - F.col("s")).alias("w"))
     mixed = contents.groupBy("g").agg(F.count("*").alias("m")).where("m > 1")
     # Regions of a content that occurs more than once: settled.
-    equal = found.join(contents.where("n > 1").select("g", "e", "rep"), ["g", "e"])
+    equal = found.withColumn("f", flipped).join(contents.where("n > 1").select("f", "e", "rep"), ["f", "e"])
     if keep == "first":
         equal = equal.where(F.struct("id", "th", "s") > F.col("rep"))
     settled = equal.select("id", "th", F.col("s").alias("a"), (F.col("t") + min_bytes).alias("b"))
@@ -265,6 +264,11 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, min_bytes: int,
     return settled.unionByName(near).unionByName(hot).groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("at"))
 
 
+def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text, and 32 bits of the text's hash, to tell apart rows of one id."""
+    return docs.select(F.col(id_col).alias("id"), F.shiftright(F.xxhash64(F.col(text_col)), 32).cast("int").alias("th"), F.col(text_col).alias("text"))
+
+
 def text_buffers_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     column = column.cast(pa.large_binary())
     _, offsets, data = column.buffers()
@@ -301,7 +305,7 @@ def remove_repeats(
     if keep not in ("first", "none") or min_bytes < 16:
         raise ValueError("keep is first or none, min_bytes 16 at least")
     spans = repeated_spans(docs, id_col, text_col, min_bytes, keep, group_limit)
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    texts = _hashed(docs, id_col, text_col)
     long_ = _join(texts.where(F.octet_length("text") >= min_bytes), spans, "left")
     schema = T.StructType(
         [
