@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import bpe, decontam, langid, media, simhash, suffix_dedup, token_counts, toxicity, warc
+from sievewright.llm import bpe, decontam, langid, licenses, media, simhash, suffix_dedup, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,13 @@ def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    names = F.array_join(F.array_sort(F.array_distinct(F.col("notices.license"))), ",")
+    coverage = F.round(F.coalesce(F.array_max("notices.coverage"), F.lit(0.0)), 6)
+    return found.select("doc_id", "n_words", F.size("notices").cast("long").alias("n_notices"), names.alias("licenses"), coverage.alias("coverage"))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_and_describe(_table(spark, sf_dir, "documents"))
 
@@ -83,7 +90,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repeats, op3_media, op4_simhash, op5_bpe, op6_language, op7_warc, op8_decontaminate, op9_token_counts, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_licenses, op3_media, op4_simhash, op5_bpe, op6_language, op7_warc, op8_decontaminate, op9_token_counts, op10_toxicity)}
 SQL: dict[str, str] = {
     "op7_warc": """
         WITH p AS (
