@@ -264,9 +264,10 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, min_bytes: int,
     return settled.unionByName(near).unionByName(hot).groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("at"))
 
 
-def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text, and 32 bits of the text's hash, to tell apart rows of one id."""
-    return docs.select(F.col(id_col).alias("id"), F.shiftright(F.xxhash64(F.col(text_col)), 32).cast("int").alias("th"), F.col(text_col).alias("text"))
+def _hashed(docs: DataFrame, id_col: str, text_col: str, columns: tuple[str, ...] = ()) -> DataFrame:
+    """id, 32 bits of the text's hash (to tell apart rows of one id), text, and columns as _0, _1, ..."""
+    extra = [F.col(c).alias(f"_{i}") for i, c in enumerate(columns)]
+    return docs.select(F.col(id_col).alias("id"), F.shiftright(F.xxhash64(F.col(text_col)), 32).cast("int").alias("th"), F.col(text_col).alias("text"), *extra)
 
 
 def text_buffers_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -290,8 +291,9 @@ def remove_repeats(
     keep: str = "first",
     whole_letters: bool = False,
     group_limit: int = 1000,
+    columns: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Rows (<id>, n_bytes, n_removed, spans, kept): each text without its long repeats.
+    """Rows (<id>, n_bytes, n_removed, spans, kept, <columns>): each text without its long repeats.
 
     Texts are UTF-8 bytes, a null text is empty, and matches stay within texts.
     With keep "none" every byte covered by a string of ``min_bytes`` bytes that
@@ -300,13 +302,20 @@ def remove_repeats(
     the input.  spans are the maximal removed runs as (start, length), kept the
     remaining bytes; with ``whole_letters`` a letter cut in part stays whole.
     Repeated rows (equal id and text) count twice with "none" and as one
-    document with "first".  Nulls in the id sort first and are kept.
+    document with "first".  Nulls in the id sort first and are kept.  Other
+    ``columns`` of the input are carried along; rows of equal id and text carry
+    those of one of them.
     """
     if keep not in ("first", "none") or min_bytes < 16:
         raise ValueError("keep is first or none, min_bytes 16 at least")
     spans = repeated_spans(docs, id_col, text_col, min_bytes, keep, group_limit)
     texts = _hashed(docs, id_col, text_col)
     long_ = _join(texts.where(F.octet_length("text") >= min_bytes), spans, "left")
+    extra = [f"_{i}" for i in range(len(columns))]
+    if columns:
+        # Joined by the keys that the texts are dealt by already: only light rows move.
+        others = _hashed(docs, id_col, text_col, columns).where(F.octet_length("text") >= min_bytes).groupBy("id", "th").agg(F.struct(*[F.first(c).alias(c) for c in extra]).alias("at"))
+        long_ = _join(long_.withColumnRenamed("at", "spans"), others, "left").withColumnsRenamed({"at": "others", "spans": "at"}).select("id", "text", "at", *[F.col(f"others.{c}").alias(c) for c in extra])
     schema = T.StructType(
         [
             T.StructField(id_col, docs.schema[id_col].dataType),
@@ -316,6 +325,8 @@ def remove_repeats(
             T.StructField("kept", T.BinaryType()),
         ]
     )
+    for name, c in zip(extra, columns, strict=True):
+        schema = schema.add(name, docs.schema[c].dataType)
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,18 +354,19 @@ def remove_repeats(
                 runs.append([{"start": int(x), "length": int(y - x)} for x, y in zip(begin, end, strict=True)])
                 removed.append(int((end - begin).sum()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(runs, span_type), pa.array(kept, pa.binary())], names=schema.fieldNames()
+                [batch.column(0), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(runs, span_type), pa.array(kept, pa.binary()), *batch.columns[3:]], names=schema.fieldNames()
             )
 
-    done = long_.select("id", "text", "at").mapInArrow(cut, schema)
-    short = texts.where(F.coalesce(F.octet_length("text"), F.lit(0)) < min_bytes).select(
+    done = long_.select("id", "text", "at", *extra).mapInArrow(cut, schema)
+    short = _hashed(docs, id_col, text_col, columns).where(F.coalesce(F.octet_length("text"), F.lit(0)) < min_bytes).select(
         F.col("id").alias(id_col),
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
         F.lit(0).cast("long").alias("n_removed"),
         F.array().cast("array<struct<start:int,length:int>>").alias("spans"),
         F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("kept"),
+        *extra,
     )
-    return done.unionByName(short)
+    return done.unionByName(short).withColumnsRenamed(dict(zip(extra, columns, strict=True)))
 
 
 def _letters(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

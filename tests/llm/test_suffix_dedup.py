@@ -49,7 +49,8 @@ def test_against_brute_force(spark):
         for keep in ("none", "first"):
             want = brute(rows, length, keep)
             for limit in (1000, 1):  # suffix order, window counts
-                got = suffix_dedup.remove_repeats(df, min_bytes=length, keep=keep, group_limit=limit).collect()
+                got = suffix_dedup.remove_repeats(df, min_bytes=length, keep=keep, group_limit=limit, columns=("th", "a")).collect()
+                assert {(r.th, r.a) for r in got} == {("x", 1)}
                 assert sorted((r.doc_id, r.n_bytes, r.n_removed, [tuple(s) for s in r.spans], bytes(r.kept)) for r in got) == want
 
 
