@@ -28,7 +28,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document of the least id stays."""
+    """Of each group of linked fingerprints the document of the least id stays.
+
+    Rows of one id count as one document; rows without an id cannot be told
+    apart and go.
+    """
     classes = simhash.near_duplicates(docs)
     first = classes.where("doc_id = component").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
@@ -36,10 +40,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of long passages are cut out; a document that was nothing else goes."""
-    cut = suffix_dedup.remove_repeats(docs, min_bytes=MIN_REPEAT_BYTES, keep="first", whole_letters=True)
-    text = cut.where(~((F.col("n_removed") > 0) & (F.trim(F.decode("kept", "UTF-8")) == ""))).select("doc_id", F.decode("kept", "UTF-8").alias("text"))
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    return docs.drop("text").join(text, "doc_id").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select("doc_id", "text", *others)
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    cut = suffix_dedup.remove_repeats(docs, min_bytes=MIN_REPEAT_BYTES, keep="first", whole_letters=True, columns=others)
+    text = F.decode("kept", "UTF-8")
+    left = cut.where(~((F.col("n_removed") > 0) & (F.trim(text) == ""))).withColumn("text", text)
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
