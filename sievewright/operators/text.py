@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievewright.functions import lexicons as L
 from sievewright.functions.columns import (
@@ -200,7 +201,7 @@ def advanced_words(text: Column, hangul: Column) -> Column:
     return F.when(hangul > 0.3, F.transform(w, strip)).otherwise(w)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def mtld(w: pd.Series) -> pd.Series:
     """Words by factor count; a factor ends where distinct words are 0.72 of its words or fewer.
 

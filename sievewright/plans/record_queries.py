@@ -82,7 +82,7 @@ def flt4_display(spark, sf):
 
 
 def flt5_catalogue(spark, sf):
-    focus = "STEEL"
+    focus = "BRAND#1"
     d = sql(spark, sf, "SELECT p_partkey, p_name, p_type, p_brand FROM part")
     return d.where(F.contains(F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")), F.lit(focus.lower()))).select("p_partkey")
 
@@ -268,7 +268,7 @@ SQL = {
     "flt1_bands": oracle("SELECT item_id, CASE WHEN score >= 67 THEN 'high' WHEN score >= 35 THEN 'medium' ELSE 'low' END AS scan_band, CASE WHEN score >= 35 THEN 'high' WHEN score >= 20 THEN 'medium' ELSE 'low' END AS screen_band, CASE WHEN status <> 'analyzed' THEN 'unknown' WHEN score >= 50 THEN 'high' WHEN score >= 20 THEN 'medium' ELSE 'low' END AS marker_band FROM items_base"),
     "flt3_priority": oracle("SELECT item_id, band FROM items_base WHERE status = 'analyzed' AND band <> 'low'"),
     "flt4_display": oracle("SELECT item_id, string_split(path, '/')[-1] AS name, regexp_replace(path, '^src0/', '') AS relative FROM items_base"),
-    "flt5_catalogue": "SELECT p_partkey FROM part WHERE contains(lower(p_name || ' ' || p_type || ' ' || p_brand), 'steel')",
+    "flt5_catalogue": "SELECT p_partkey FROM part WHERE contains(lower(p_name || ' ' || p_type || ' ' || p_brand), 'brand#1')",
     "flt6_modality": oracle(f"SELECT item_id, member FROM (SELECT item_id, {_KIND} AS kind FROM items_base) i JOIN (VALUES ('m1', 'image'), ('m2', 'audio'), ('m3', 'any'), ('m4', 'text')) m(member, modality) ON modality = kind OR modality = 'any'"),
     "flt8_cutoffs": "SELECT s.source, coalesce(max(n_chars % 101) FILTER (WHERE doc_id % 3 = 0), 67.0) AS high, 35.0 AS medium, 1.5 AS seam FROM documents s GROUP BY s.source",
     "jn1_duplicates": "SELECT doc_id, sha256(text) AS content_hash, CASE WHEN doc_id <> min(doc_id) OVER (PARTITION BY text) THEN min(doc_id) OVER (PARTITION BY text) END AS duplicate_of FROM documents",
