@@ -154,9 +154,8 @@ def calibrated_threshold(scored: DataFrame, target: float = 0.05, by: list[str]
     met = F.col("p").isNotNull()
     out = best.select(*by, met.cast("int").alias("target_fpr_met"), F.coalesce("p", "q").alias("x"))
     out = with_rates(out.select(*by, "target_fpr_met", "x.*"))
-    if not by:
-        out = out.withColumn("threshold", F.coalesce("threshold", F.lit(default)))
-    return out.withColumn("samples", F.coalesce(F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"), F.lit(0)))
+    out = out.withColumn("samples", F.coalesce(F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"), F.lit(0)))
+    return out.withColumn("threshold", F.when(F.col("samples") == 0, default).otherwise(F.col("threshold")))
 
 
 def report(scored: DataFrame, by: list[str], threshold: int = 67, score: str = "score", label: str = "label") -> DataFrame:

@@ -32,7 +32,7 @@ def files(spark: SparkSession, root: str, recursive: bool = True, max_bytes: int
 
 def text_prefix(content: Column, n: int = 65536) -> Column:
     """The first bytes as UTF-8; damaged bytes become replacement letters."""
-    return F.decode(F.substring(content, 1, n), "UTF-8")
+    return F.make_valid_utf8(F.substring(content, 1, n).cast("string"))
 
 
 def number(x: Column, default: int = 0) -> Column:
