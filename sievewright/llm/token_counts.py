@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,9 @@ from sievewright.llm.common import chunks, text_buffers
 
 #: The pre-token pattern of the byte-level vocabularies (a fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same pattern for texts within Latin-1, whose letters, numbers and spaces are listed.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \x85\xa0"
+LATIN = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 #: Pre-tokens of one leaf.
 LEAF = 64
 
@@ -31,6 +35,14 @@ class Counter:
         self.keep = keep
         self.known: dict[str, int] = {}
 
+    def pattern_for(self, *texts: str):
+        try:
+            for text in texts:
+                text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.pattern
+        return LATIN
+
     def learn(self, words: set[str]) -> None:
         """Encodes the unknown words in one batch; the memory of words is bounded."""
         new = [w for w in words if w not in self.known]
@@ -58,6 +70,7 @@ class TokenTree:
         self.width = 1 << max(0, len(leaves) - 1).bit_length()
         self.sums = np.zeros((2 * self.width, 2), np.int64)
         self.sums[self.width : self.width + len(leaves)] = leaves
+        self.pending: dict[int, list[str]] = {}  # leaves whose tokens are not counted yet
         at = self.width
         while at > 1:
             at //= 2
@@ -102,7 +115,23 @@ def build(words: list[str], counts: list[int]) -> TokenTree:
 
 
 def edit(tree: TokenTree, text: str, start: int, end: int, new: str, counter: Counter) -> tuple[str, int]:
-    """(edited text, letters encoded anew): letters start..end become ``new``.
+    """(edited text, letters encoded anew): letters start..end become ``new``, and the tree's sums follow."""
+    out = splice(tree, text, start, end, new, counter)
+    settle([tree], counter)
+    return out
+
+
+def settle(trees: list[TokenTree], counter: Counter) -> None:
+    """Encodes the pending leaves of many trees in one batch and updates their sums."""
+    counter.learn({w for tree in trees for words in tree.pending.values() for w in words})
+    for tree in trees:
+        for leaf, words in tree.pending.items():
+            tree.put(leaf, int(tree.sums[tree.width + leaf, 0]), sum(map(counter.known.__getitem__, words)))
+        tree.pending = {}
+
+
+def splice(tree: TokenTree, text: str, start: int, end: int, new: str, counter: Counter) -> tuple[str, int]:
+    """Like :func:`edit`, but leaves the touched leaf pending; letters are right at once, tokens after :func:`settle`.
 
     Encoding begins one leaf before the edit's (what ends there may reach into
     the edit) and goes on until a pre-token ends past the edit where a leaf
@@ -117,7 +146,7 @@ def edit(tree: TokenTree, text: str, start: int, end: int, new: str, counter: Co
     edited = text[:start] + new + text[end:]
     shift = len(new) - (end - start)
     last, stop = leaf, begin + int(tree.sums[tree.width + leaf, 0])  # in the old text
-    found, words, place = counter.pattern.finditer(edited, begin), [], begin
+    found, words, place = counter.pattern_for(text, new).finditer(edited, begin), [], begin
     while True:
         while stop < end or (stop <= end and stop < len(text)):
             last += 1
@@ -133,10 +162,12 @@ def edit(tree: TokenTree, text: str, start: int, end: int, new: str, counter: Co
             break
         last += 1
         stop += int(tree.sums[tree.width + last, 0])
-    tree.put(leaf, sum(map(len, words)), sum(counter.counts(words)))
-    touched = [k for k in range(leaf + 1, last + 1) if tree.sums[tree.width + k].any()]
-    for k in touched:
-        tree.put(k, 0, 0)
+    tree.put(leaf, sum(map(len, words)), 0)
+    tree.pending[leaf] = words
+    for k in range(leaf + 1, last + 1):
+        tree.pending.pop(k, None)
+        if tree.sums[tree.width + k].any():
+            tree.put(k, 0, 0)
     return edited, sum(map(len, words))
 
 
@@ -162,18 +193,20 @@ def counts_after_edits(docs: DataFrame, vocab_path: str, id_col: str = "doc_id",
             rows = []
             for i, j in chunks(offsets):
                 texts = [t or "" for t in batch.column(1).slice(i, j - i).to_pylist()]
-                words = [counter.pattern.findall(t) for t in texts]
+                words = [counter.pattern_for(t).findall(t) for t in texts]
                 flat = [w for x in words for w in x]
-                counts, at = counter.counts(flat), 0
+                counts, at, part = counter.counts(flat), 0, []
                 for text, own, changes in zip(texts, words, batch.column(2).slice(i, j - i).to_pylist(), strict=True):
                     tree = build(own, counts[at : at + len(own)])
                     at += len(own)
                     before, encoded = tree.tokens, 0
                     for c in changes or []:
                         if c is not None and None not in (c["start"], c["end"], c["text"]):
-                            text, n = edit(tree, text, c["start"], c["end"], c["text"], counter)
+                            text, n = splice(tree, text, c["start"], c["end"], c["text"], counter)
                             encoded += n
-                    rows.append((before, tree.tokens, tree.letters, encoded))
+                    part.append((before, tree, encoded))
+                settle([tree for _, tree, _ in part], counter)
+                rows += [(before, tree.tokens, tree.letters, encoded) for before, tree, encoded in part]
             columns = [pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True)) or [()] * 4]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.fieldNames())
 

@@ -21,7 +21,9 @@ def test_random_edits_equal_a_full_count(library):
     rng = random.Random(9)
     counter = token_counts.Counter(load(PATH), keep=500)
     bits = ["the ", "don't", " 'll", "  ", "\n\n", "été", " 123", "日本", "!!", " x", "'", "s", "ve ", "\t", "a" * 90, "👍", " "]
-    for _ in range(60):
+    latin = [b for b in bits if b.isascii()] + ["ß²", " ½x", "\x85", "\xa0", "\x1c", "×÷", "ª º", "'é"]
+    for k in range(120):
+        bits = latin if k % 2 else [*latin, "日本", "👍", "ǆ", "Ⅷ"]
         text = "".join(rng.choice(bits) for _ in range(rng.choice([0, 1, 5, 300, 900])))
         words = counter.pattern.findall(text)
         tree = token_counts.build(words, counter.counts(words))
