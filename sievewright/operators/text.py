@@ -45,9 +45,12 @@ def words(text: Column) -> Column:
 
 
 def grams(w: Column, n: int) -> Column:
-    """The n-word shingles of a word array."""
-    whole = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)]))
-    return F.when(F.size(w) >= n, whole).otherwise(F.array().cast("array<string>"))
+    """64-bit hashes of the n-word shingles of a word array: short keys to count and to shuffle."""
+    hashed = F.transform(w, lambda x: F.xxhash64(x))
+    if n == 1:
+        return hashed
+    whole = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
+    return F.when(F.size(w) >= n, whole).otherwise(F.array().cast("array<bigint>"))
 
 
 def prepare(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -235,7 +238,7 @@ def gram_statistics(prepared: DataFrame, id_col: str = "doc_id") -> DataFrame:
     map side and are keyed by document and gram, so no document makes a hot key.
     """
     kinds = F.array(
-        *[F.struct(F.lit(n).alias("n"), (F.col("words") if n == 1 else grams(F.col("words"), n)).alias("grams")) for n in (1, 2, 3)]
+        *[F.struct(F.lit(n).alias("n"), grams(F.col("words"), n).alias("grams")) for n in (1, 2, 3)]
     )
     flat = prepared.select(id_col, F.explode(kinds).alias("k")).select(id_col, F.col("k.n").alias("n"), F.explode("k.grams").alias("gram"))
     counts = flat.groupBy(id_col, "n", "gram").agg(F.count("*").alias("c"))
