@@ -84,11 +84,11 @@ def agg9_reasons(spark, sf):
 
 
 def agg10_isotonic(spark, sf):
-    """Fitted value of each distinct score."""
+    """Fitted value of each distinct score: that of the first knot at or above it."""
     s = _scored(spark, sf)
     knots = calibrate.isotonic_knots(s, ["lang"])
-    points = s.select("lang", "score").distinct()
-    return calibrate.apply_knots(points, knots.withColumnRenamed("lang", "lang"), ["lang"]).select("lang", "score", "calibrated")
+    above = s.select("lang", "score").distinct().join(knots, "lang").where("knot >= score")
+    return above.groupBy("lang", "score").agg(F.round(F.min_by("value", "knot"), 6).alias("fitted"))
 
 
 def agg11_fpr_table(spark, sf):
@@ -210,9 +210,7 @@ ok AS (SELECT lang FROM h GROUP BY lang HAVING sum(n) >= 20 AND sum(p) >= 5 AND
 cum AS (SELECT h.*, sum(p) OVER w AS cp, sum(n) OVER w AS cn FROM h JOIN ok USING (lang) WINDOW w AS (PARTITION BY lang ORDER BY score)),
 ends AS (SELECT a.lang, a.score AS x, b.score AS hi, c.score AS lo, (b.cp - c.cp + c.p) / (b.cn - c.cn + c.n) AS m
   FROM cum a JOIN cum b ON b.lang = a.lang AND b.score >= a.score JOIN cum c ON c.lang = a.lang AND c.score <= a.score),
-fit AS (SELECT lang, x, max(v) AS v FROM (SELECT lang, x, lo, min(m) AS v FROM ends GROUP BY lang, x, lo) GROUP BY lang, x),
-knots AS (SELECT lang, max(x) AS knot, v FROM fit GROUP BY lang, v),
-spans AS (SELECT lang, lag(knot) OVER w AS k0, lag(v) OVER w AS v0, knot AS k1, v AS v1, lead(knot) OVER w IS NULL AS last FROM knots WINDOW w AS (PARTITION BY lang ORDER BY knot))"""
+fit AS (SELECT lang, x, max(v) AS v FROM (SELECT lang, x, lo, min(m) AS v FROM ends GROUP BY lang, x, lo) GROUP BY lang, x)"""
 
 SQL = {
     "agg2_binary": oracle(f"WITH c AS (SELECT lang, {_COUNTS.format(t=67)} FROM scored_base GROUP BY lang) SELECT *, {_RATES} FROM c"),
@@ -223,7 +221,7 @@ SQL = {
     "agg7_threshold": oracle(f"WITH r AS ({_roc('scored_base', 'lang')}), top AS (SELECT lang, max(threshold) AS m FROM r GROUP BY lang) SELECT top.lang, target, round(coalesce(min(threshold) FILTER (WHERE fp / q <= target), CASE WHEN max(q) > 0 THEN any_value(m) END), 6) AS threshold FROM top JOIN r ON r.lang = top.lang CROSS JOIN (VALUES (0.01), (0.05), (0.2)) v(target) GROUP BY top.lang, target"),
     "agg8_calibrated": oracle(f"WITH {_GRID.format(by='lang', rows='scored_base')}, x AS (SELECT lang, arg_max(threshold, (tp / greatest(1, p), -threshold)) FILTER (WHERE fp / greatest(1, q) <= 0.2) AS t FROM g GROUP BY lang) SELECT x.lang, coalesce(t, 100) AS threshold, CAST(t IS NOT NULL AS INT) AS target_fpr_met, tp, fp FROM x JOIN g ON g.lang = x.lang AND g.threshold = coalesce(t, 100)"),
     "agg9_reasons": oracle("SELECT source, lang, count(*) AS n, CASE WHEN sum(label) = 0 THEN 'no_positive_samples' WHEN sum(label) = count(*) THEN 'no_negative_samples' END AS reason FROM scored_base WHERE item_id % 3 = 0 GROUP BY source, lang"),
-    "agg10_isotonic": oracle(f"WITH {_ISOTONIC} SELECT d.lang, d.score, round_even(CASE WHEN k0 IS NULL OR d.score > k1 THEN v1 ELSE v0 + (d.score - k0) / (k1 - k0) * (v1 - v0) END, 4) AS calibrated FROM (SELECT DISTINCT lang, score FROM scored_base) d LEFT JOIN spans s ON s.lang = d.lang AND (k0 IS NULL OR d.score > k0) AND (last OR d.score <= k1)"),
+    "agg10_isotonic": oracle(f"WITH {_ISOTONIC} SELECT lang, CAST(x AS INTEGER) AS score, round(v, 6) AS fitted FROM fit"),
     "agg11_fpr_table": oracle("SELECT t.lang, CAST(t.score AS DOUBLE) AS threshold, round(count(*) FILTER (WHERE r.label = 0 AND r.score >= t.score) / greatest(1, count(*) FILTER (WHERE r.label = 0)), 6) AS fpr FROM (SELECT DISTINCT lang, score FROM scored_base) t JOIN scored_base r ON r.lang = t.lang GROUP BY t.lang, t.score"),
     "jn9_fpr_bands": oracle("WITH f AS (SELECT t.lang, t.score, count(*) FILTER (WHERE r.label = 0 AND r.score >= t.score) / greatest(1, count(*) FILTER (WHERE r.label = 0)) AS fpr FROM (SELECT DISTINCT lang, score FROM scored_base) t JOIN scored_base r ON r.lang = t.lang GROUP BY t.lang, t.score) SELECT item_id, s.lang, s.score, CASE WHEN fpr <= 0.05 THEN 'low' WHEN fpr <= 0.2 THEN 'moderate' ELSE 'high' END AS fpr_band FROM scored_base s JOIN f ON f.lang = s.lang AND f.score = s.score"),
     "agg12_groups": oracle(f"""WITH rows AS (SELECT score, label, unnest([{{'grouping_name': 'all', 'value': 'all'}}, {{'grouping_name': 'source', 'value': source}}, {{'grouping_name': 'split', 'value': split}}, {{'grouping_name': 'transform', 'value': transform}}, {{'grouping_name': 'lang', 'value': lang}}], recursive := true) FROM scored_base),
