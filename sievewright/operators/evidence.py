@@ -64,7 +64,7 @@ def case_documents(items: DataFrame, edges: DataFrame, case: str = "case_id") ->
     """One JSON document for each case: its items and lineage; a case is a bounded group by contract."""
     rows = items.groupBy(case).agg(F.sort_array(F.collect_list(F.struct("item_id", "trust_level"))).alias("items"))
     links = edges.groupBy(case).agg(F.sort_array(F.collect_list(F.struct("src", "dst", "relation"))).alias("lineage"))
-    return rows.join(links, case, "left").select(case, F.to_json(F.struct(F.lit("lazy-evidence-case-v1").alias("schema"), F.col(case).alias("case_id"), "items", F.coalesce("lineage", F.array().cast("array<struct<src:bigint,dst:bigint,relation:string>>")).alias("lineage"))).alias("document"))
+    return rows.join(links, case, "left").select(case, F.to_json(F.struct(F.lit("evidence-case-v1").alias("schema"), F.col(case).alias("case_id"), "items", F.coalesce("lineage", F.array().cast("array<struct<src:bigint,dst:bigint,relation:string>>")).alias("lineage"))).alias("document"))
 
 
 def load_chains(lines: DataFrame, line: str = "value") -> tuple[DataFrame, DataFrame]:

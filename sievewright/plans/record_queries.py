@@ -270,12 +270,12 @@ SQL = {
     "flt4_display": oracle("SELECT item_id, string_split(path, '/')[-1] AS name, regexp_replace(path, '^src0/', '') AS relative FROM items_base"),
     "flt5_catalogue": "SELECT p_partkey FROM part WHERE contains(lower(p_name || ' ' || p_type || ' ' || p_brand), 'brand#1')",
     "flt6_modality": oracle(f"SELECT item_id, member FROM (SELECT item_id, {_KIND} AS kind FROM items_base) i JOIN (VALUES ('m1', 'image'), ('m2', 'audio'), ('m3', 'any'), ('m4', 'text')) m(member, modality) ON modality = kind OR modality = 'any'"),
-    "flt8_cutoffs": "SELECT s.source, coalesce(max(n_chars % 101) FILTER (WHERE doc_id % 3 = 0), 67.0) AS high, 35.0 AS medium, 1.5 AS seam FROM documents s GROUP BY s.source",
+    "flt8_cutoffs": "SELECT s.source, CAST(coalesce(max(n_chars % 101) FILTER (WHERE doc_id % 3 = 0), 67) AS DOUBLE) AS high, CAST(35 AS DOUBLE) AS medium, CAST(1.5 AS DOUBLE) AS seam FROM documents s GROUP BY s.source",
     "jn1_duplicates": "SELECT doc_id, sha256(text) AS content_hash, CASE WHEN doc_id <> min(doc_id) OVER (PARTITION BY text) THEN min(doc_id) OVER (PARTITION BY text) END AS duplicate_of FROM documents",
     "jn2_known": "WITH i AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS k FROM documents WHERE doc_id % 3 > 0), old AS (SELECT text, min(doc_id) AS o FROM documents WHERE doc_id % 3 = 0 GROUP BY text) SELECT doc_id, coalesce(CASE WHEN k <> doc_id THEN k END, o) AS duplicate_of, 'item' AS part FROM i LEFT JOIN old USING (text) UNION ALL SELECT doc_id, NULL, 'append' FROM i WHERE k = doc_id AND text NOT IN (SELECT text FROM old)",
     "jn3_cache": "SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN n_chars % 101 END AS cached_score FROM documents",
     "jn5_markers": f"WITH {_HITS} SELECT * FROM h",
-    "prv1_tools": f"WITH {_HITS}, c AS (SELECT doc_id, tool, count(DISTINCT marker) AS hits FROM h GROUP BY ALL), d AS (SELECT *, least(1.0, 0.6 + (hits - 1) * 0.15) AS confidence FROM c) SELECT doc_id, tool, hits, round(confidence, 6) AS confidence, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS label, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, tool) AS place FROM d QUALIFY place <= 5",
+    "prv1_tools": f"WITH {_HITS}, c AS (SELECT doc_id, tool, count(DISTINCT marker) AS hits FROM h GROUP BY ALL), d AS (SELECT *, least(1.0, 0.6 + (hits - 1) * 0.15) AS confidence FROM c) SELECT doc_id, tool, hits, CAST(round(confidence, 6) AS DOUBLE) AS confidence, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS label, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, tool) AS place FROM d QUALIFY place <= 5",
     "jn7_masks": f"WITH c AS ({CORPUS}), p AS (SELECT path FROM c UNION ALL SELECT replace(path, '_mask.png', '.png') FROM c WHERE path LIKE '%\\_mask.png' ESCAPE '\\') SELECT a.path, b.path AS mask_path FROM p a JOIN p b ON b.path = regexp_replace(a.path, '\\.[^./]+$', '') || '_mask.png'",
     "jn10_containers": oracle("WITH m AS (SELECT source || '/a' || item_id % 40 || '.zip' AS archive, CASE WHEN item_id % 40 = 7 THEN 'failed' ELSE status END AS status, score, band FROM items_base), a AS (SELECT archive, count(*) AS members, count(*) FILTER (WHERE status = 'analyzed') AS analyzed, coalesce(max(score) FILTER (WHERE status = 'analyzed'), 0) AS score, max(CASE band WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END) FILTER (WHERE status = 'analyzed') AS r FROM m GROUP BY archive) SELECT archive, members, analyzed, score, CASE r WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'unknown' END AS band FROM a"),
     "jn11_orphans": f"WITH e AS ({EDGES}), i AS (SELECT doc_id FROM documents WHERE doc_id % 7 <> 0) SELECT src, dst, 'src' AS missing FROM e WHERE src NOT IN (SELECT doc_id FROM i) UNION ALL SELECT src, dst, 'dst' FROM e WHERE dst NOT IN (SELECT doc_id FROM i)",

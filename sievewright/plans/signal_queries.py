@@ -456,8 +456,8 @@ SQL = {k: s for k, (_, s) in _RULES.items()} | {
     "med2_audio_source": f"WITH b AS ({AUDIO}) SELECT item_id, CASE WHEN flatness > 0.7 THEN 'noise' WHEN pitch_std < 3 AND duration > 5 THEN 'speech synthesis' WHEN bandwidth < 800 THEN 'compressed' ELSE 'unknown' END AS guess FROM b",
     "med3_speakers": f"WITH d AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, lead(vec_id) OVER w AS other_id, lead(CAST(embedding AS DOUBLE[])) OVER w AS o FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)), s AS (SELECT vec_id, other_id, greatest(0, least(100, {_ROUND.format('list_cosine_similarity(e, o) * 160')})) AS score FROM d WHERE other_id IS NOT NULL) SELECT *, CASE WHEN score >= 67 THEN 'same' WHEN score >= 35 THEN 'unclear' ELSE 'different' END AS band FROM s",
     "med5_classifier": "WITH s AS (SELECT " + ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m_{c}, stddev_pop(CAST({c} AS DOUBLE)) AS s_{c}" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")) + " FROM lineitem) SELECT l_orderkey, l_linenumber, round(least(1.0, " + " + ".join(f"coalesce(least(0.25, 0.1 * abs((CAST({c} AS DOUBLE) - m_{c}) / nullif(s_{c}, 0))), 0)" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")) + "), 5) AS score FROM lineitem, s",
-    "med6_spectral": f"WITH b AS ({AUDIO}) SELECT item_id, CASE WHEN flatness > 0.7 THEN 'Synthetic Audio' WHEN 1 - pitch_std / 120 > 0.9 THEN 'TTS Engine' END AS tool, CASE WHEN flatness > 0.7 THEN 0.6 WHEN 1 - pitch_std / 120 > 0.9 THEN 0.5 END AS confidence FROM b",
-    "med10_layers": "SELECT l_orderkey AS item_id, sum(least(CAST(l_quantity AS INTEGER), CASE l_linenumber % 4 WHEN 0 THEN 20 WHEN 1 THEN 25 WHEN 2 THEN 30 ELSE 35 END)) AS added FROM lineitem GROUP BY l_orderkey",
+    "med6_spectral": f"WITH b AS ({AUDIO}) SELECT item_id, CASE WHEN flatness > 0.7 THEN 'Synthetic Audio' WHEN 1 - pitch_std / 120 > 0.9 THEN 'TTS Engine' END AS tool, CAST(CASE WHEN flatness > 0.7 THEN 0.6 WHEN 1 - pitch_std / 120 > 0.9 THEN 0.5 END AS DOUBLE) AS confidence FROM b",
+    "med10_layers": "SELECT l_orderkey AS item_id, CAST(sum(least(CAST(l_quantity AS INTEGER), CASE l_linenumber % 4 WHEN 0 THEN 20 WHEN 1 THEN 25 WHEN 2 THEN 30 ELSE 35 END)) AS BIGINT) AS added FROM lineitem GROUP BY l_orderkey",
     "med11_sensor": "WITH r AS (SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS pos FROM embeddings WHERE vec_id % 5 > 0), f AS (SELECT label, pos, avg(CAST(v AS DOUBLE)) AS m FROM r GROUP BY ALL HAVING count(*) >= 3), t AS (SELECT vec_id, label, unnest(embedding) AS v, unnest(range(len(embedding))) AS pos FROM embeddings WHERE vec_id % 5 = 0) SELECT vec_id, label, round(corr(CAST(v AS DOUBLE), m), 5) AS correlation FROM t JOIN f USING (label, pos) GROUP BY vec_id, label",
     "img1_histograms": f"""WITH h AS ({HIST}), a AS (SELECT *, sum(n) OVER w AS a, sum(bucket * n) OVER w / sum(n) OVER w AS mean, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, bucket) AS r FROM h WINDOW w AS (PARTITION BY image_id)), m AS (SELECT image_id, any_value(mean) AS mean, sum(n / a * pow(bucket - mean, 2)) AS m2, sum(n / a * pow(bucket - mean, 3)) AS m3, sum(n / a * pow(bucket - mean, 4)) AS m4, -sum(n / a * log2(n / a)) AS entropy, sum(CASE WHEN r <= 8 THEN n / a ELSE 0 END) AS top_share FROM a GROUP BY image_id)
         SELECT image_id, round(mean, 5) AS mean, round(sqrt(m2), 5) AS std, round(entropy, 5) AS entropy, round(CASE WHEN m2 > 1e-12 THEN m3 / pow(sqrt(m2), 3) ELSE 0 END, 5) AS skew, round(CASE WHEN m2 > 1e-12 THEN m4 / (m2 * m2) ELSE 0 END, 5) AS kurtosis, round(top_share, 5) AS top_share FROM m""",

@@ -311,5 +311,5 @@ SQL = {name: s for name, (_, s) in PAIRS.items()} | {
     "txt27_source": oracle(f"WITH {SCAN} SELECT doc_id, guess AS label, CASE WHEN guess = '알 수 없음' THEN 'unknown' ELSE 'medium' END AS confidence FROM banded"),
     "flt2_capped": oracle(f"WITH {SCAN} SELECT doc_id, score, n_signals FROM banded WHERE length(trimmed) < 240"),
     "flagship": oracle(f"""WITH {SCAN} SELECT lang, count(*) AS items, count(*) FILTER (WHERE band = 'high') AS high, count(*) FILTER (WHERE band = 'medium') AS medium,
-        count(*) FILTER (WHERE band = 'low') AS low, count(*) FILTER (WHERE band = 'unknown') AS unknown, sum(score) AS score_sum FROM banded GROUP BY lang"""),
+        count(*) FILTER (WHERE band = 'low') AS low, count(*) FILTER (WHERE band = 'unknown') AS unknown, CAST(sum(score) AS BIGINT) AS score_sum FROM banded GROUP BY lang"""),
 }
