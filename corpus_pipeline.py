@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), works on every row that its predecessor
 kept, and returns a DataFrame; all but the last return the columns of
-``documents``.  Rows are told apart by doc_id.
+``documents``.
 """
 
 from __future__ import annotations
@@ -30,12 +30,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked fingerprints the document of the least id stays.
 
-    Rows of one id count as one document; rows without an id cannot be told
-    apart and go.
+    Rows are told apart by id and the hash of all columns, so rows of one id but
+    other content are documents of their own, equal rows count once, and rows
+    without an id come after those with one.
     """
-    classes = simhash.near_duplicates(docs)
-    first = classes.where("doc_id = component").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*docs.columns).alias("row"))
+    keyed = docs.withColumn("_key_", key)
+    first = simhash.near_duplicates(keyed, "_key_").where("_key_ = component").select("_key_").distinct()
+    return keyed.join(first, "_key_", "left_semi").dropDuplicates(["_key_"]).select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
