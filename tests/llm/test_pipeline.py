@@ -52,3 +52,12 @@ def test_language_stage(spark):
     assert sorted(r.doc_id for r in out.collect()) == list(range(60)) and out.columns == docs.columns
     for stage in (corpus_pipeline.language, corpus_pipeline.near_duplicates, corpus_pipeline.repeats):
         assert stage(spark, docs.limit(0), "").collect() == []
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    rng = np.random.default_rng(7)
+    a, b, c, d = (" ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(60)) for _ in range(4))
+    rows = [(5, a, "en"), (5, b, "en"), (5, a, "en"), (None, c, "en"), (None, d, None), (None, b, "en"), (3, d, "de"), (7, None, None), (8, "", None)]
+    docs = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(((r.doc_id, r.text, r.lang) for r in out), key=repr) == sorted([(5, a, "en"), (5, b, "en"), (None, c, "en"), (3, d, "de"), (7, None, None)], key=repr)
