@@ -15,8 +15,8 @@ from sievewright.llm.common import scratch_uri
 
 #: A document whose best language is less likely than this is rejected.
 MIN_LANGUAGE_SCORE = 0.5
-#: Repeats of so many bytes are removed, but for the first.
-MIN_REPEAT_BYTES = 400
+#: Repeats of so many words ("over 50") are removed, but for the first, whatever their bytes.
+MIN_REPEAT_WORDS = 51
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of long passages are cut out; a document that was nothing else goes."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    cut = suffix_dedup.remove_repeats(docs, min_bytes=MIN_REPEAT_BYTES, keep="first", whole_letters=True, columns=others)
+    cut = suffix_dedup.remove_repeats(docs, min_words=MIN_REPEAT_WORDS, keep="first", whole_letters=True, columns=others)
     text = F.decode("kept", "UTF-8")
     left = cut.where(~((F.col("n_removed") > 0) & (F.trim(text) == ""))).withColumn("text", text)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)

@@ -17,6 +17,9 @@ text.  Suffixes are therefore compared only where a repeat is possible:
    positions in suffix order give the longest earlier (later) match.  Anchors
    with over ``group_limit`` contents are settled by counting their windows'
    hashes instead, which no group can make uneven.
+
+Passages measured in words go the same way: windows are so many whole words,
+grams are runs of words, and step 3 counts the windows' hashes for every anchor.
 """
 
 from __future__ import annotations
@@ -29,9 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievewright.llm.common import ByteHasher, chunks, sliding, text_buffers
+from sievewright.llm.common import ByteHasher, chunks, sliding, text_buffers, words_of
 
 _HASHER = ByteHasher(1)
+_IS_WORD = np.ones(256, bool)
+_IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 
 #: Bytes of cuttings that one suffix order is made of (a single anchor's cuttings stay together).
 PIECE_BYTES = 1 << 20
@@ -66,6 +71,40 @@ def regions(blob: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return row[head], start[head] - base, start[tail] - base, hashes[anchor[head]].view(np.int64), content.view(np.int64)
 
 
+def passage_words(blob: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first word of each row): runs other than white space; kana and Han letters, written without it, are words of their own."""
+    starts, ends, first = words_of(blob, offsets, _IS_WORD)
+    lead = np.flatnonzero((blob >= 0xE3) & (blob <= 0xE9))
+    if not len(lead):
+        return starts, ends, first
+    cuts = np.union1d(lead, lead + 3)
+    run = np.searchsorted(starts, cuts, side="right") - 1
+    cuts = cuts[(cuts > starts[run]) & (cuts < ends[run])]
+    starts, ends = np.union1d(starts, cuts), np.union1d(ends, cuts)
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def passage_regions(blob: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
+    """(row, first byte, end, anchor hash, content hash) of each region of windows of so many words."""
+    gram = max(1, 3 * words // 8)
+    starts, ends, first = passage_words(blob, offsets)
+    empty = np.zeros(0, np.int64)
+    counts = np.maximum(np.diff(first) - words + 1, 0)
+    row = np.repeat(np.arange(len(counts)), counts)
+    if not len(row):
+        return empty, empty, empty, empty, empty
+    prefix = _HASHER.prefix(blob)
+    hashes = _HASHER.ranges(prefix, starts[: len(starts) - gram + 1], ends[gram - 1 :])
+    key = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
+    anchor = (sliding(np.minimum, key, words - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    word = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + first[row]
+    anchor = anchor[word]
+    head = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])])
+    tail = np.r_[head[1:], len(row)] - 1
+    a, b, base = starts[word[head]], ends[word[tail] + words - 1], offsets[row[head]]
+    return row[head], a - base, b - base, hashes[anchor[head]].view(np.int64), _HASHER.ranges(prefix, a, b).view(np.int64)
+
+
 def suffix_ranks(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
     """Lexicographic ranks, to the given depth, of the suffixes at the wanted places.
 
@@ -264,6 +303,65 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, min_bytes: int,
     return settled.unionByName(near).unionByName(hot).groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("at"))
 
 
+def repeated_passages(docs: DataFrame, id_col: str, text_col: str, min_words: int, keep: str) -> DataFrame:
+    """Rows (id, th, at array<struct<a,b>>): byte ranges that strings of ``min_words`` whole words which repeat cover, as in :func:`repeated_spans`."""
+    texts = _hashed(docs, id_col, text_col).where(F.octet_length("text") >= 2 * min_words - 1)
+    key = [T.StructField("id", docs.schema[id_col].dataType), T.StructField("th", T.IntegerType())]
+    place = [T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]
+    region_schema = T.StructType([*key, *place, T.StructField("g", T.LongType()), T.StructField("e", T.LongType())])
+    window_schema = T.StructType([*key, *place, T.StructField("h", T.LongType())])
+
+    def emit(form: T.StructType, batch: pa.RecordBatch, row: np.ndarray, a: np.ndarray, b: np.ndarray, *hashes: np.ndarray) -> pa.RecordBatch:
+        at = pa.array(row)
+        columns = [pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), *map(pa.array, hashes)]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=form.fieldNames())
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blob, offsets = text_buffers(batch.column(2))
+            for i, j in chunks(offsets):
+                row, a, b, g, e = passage_regions(blob[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], min_words)
+                yield emit(region_schema, batch, row + i, a, b, g, e)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blob, offsets = text_buffers(batch.column(2))
+            at = batch.column(3)
+            flat, owner = at.flatten(), np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(at.offsets)))
+            a, b = np.asarray(flat.field(0)), np.asarray(flat.field(1))
+            for i, j in chunks(offsets):
+                mine = slice(*np.searchsorted(owner, [i, j]))
+                part, base = blob[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                starts, ends, _ = passage_words(part, base)
+                begin = base[owner[mine] - i]
+                low = np.searchsorted(starts, begin + a[mine])
+                size = np.searchsorted(ends, begin + b[mine]) - min_words + 2 - low
+                word = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
+                row = np.repeat(owner[mine], size)
+                start, end, begin = starts[word], ends[word + min_words - 1], base[row - i]
+                h = _HASHER.ranges(_HASHER.prefix(part), start, end).view(np.int64)
+                yield emit(window_schema, batch, row, start - begin, end - begin, h)
+
+    found = texts.mapInArrow(find, region_schema)
+    twice = found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    found = found.join(twice, "g", "left_semi")
+    flipped = F.col("g").bitwiseXOR(F.lit(1).cast("long")).alias("f")  # as in repeated_spans
+    contents = found.groupBy("e", flipped).agg(F.first("g").alias("g"), F.count("*").alias("n"), F.min(F.struct("id", "th", "a")).alias("rep"), F.first(F.col("b") - F.col("a")).alias("w"))
+    mixed = contents.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g")
+    equal = found.withColumn("f", flipped).join(contents.where("n > 1").select("f", "e", "rep"), ["f", "e"])
+    if keep == "first":
+        equal = equal.where(F.struct("id", "th", "a") > F.col("rep"))
+    settled = equal.select("id", "th", "a", "b")
+    open_ = contents.join(mixed, "g").select("rep.*", (F.col("rep.a") + F.col("w")).alias("b"))
+    wanted = open_.groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("at"))
+    window = _join(texts, wanted).mapInArrow(windows, window_schema).distinct()
+    classes = window.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "a")).alias("first")).where("n > 1")
+    more = window.join(classes, "h")
+    if keep == "first":
+        more = more.where(F.struct("id", "th", "a") > F.col("first"))
+    return settled.unionByName(more.select("id", "th", "a", "b")).groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("at"))
+
+
 def _hashed(docs: DataFrame, id_col: str, text_col: str, columns: tuple[str, ...] = ()) -> DataFrame:
     """id, 32 bits of the text's hash (to tell apart rows of one id), text, and columns as _0, _1, ..."""
     extra = [F.col(c).alias(f"_{i}") for i, c in enumerate(columns)]
@@ -292,6 +390,7 @@ def remove_repeats(
     whole_letters: bool = False,
     group_limit: int = 1000,
     columns: tuple[str, ...] = (),
+    min_words: int | None = None,
 ) -> DataFrame:
     """Rows (<id>, n_bytes, n_removed, spans, kept, <columns>): each text without its long repeats.
 
@@ -304,11 +403,16 @@ def remove_repeats(
     Repeated rows (equal id and text) count twice with "none" and as one
     document with "first".  Nulls in the id sort first and are kept.  Other
     ``columns`` of the input are carried along; rows of equal id and text carry
-    those of one of them.
+    those of one of them.  With ``min_words`` strings are so many whole words
+    (see :func:`passage_words`), of any number of bytes, instead of ``min_bytes``.
     """
     if keep not in ("first", "none") or min_bytes < 16:
         raise ValueError("keep is first or none, min_bytes 16 at least")
-    spans = repeated_spans(docs, id_col, text_col, min_bytes, keep, group_limit)
+    if min_words:
+        min_bytes = 2 * min_words - 1  # shorter texts cannot hold so many words
+        spans = repeated_passages(docs, id_col, text_col, min_words, keep)
+    else:
+        spans = repeated_spans(docs, id_col, text_col, min_bytes, keep, group_limit)
     texts = _hashed(docs, id_col, text_col)
     long_ = _join(texts.where(F.octet_length("text") >= min_bytes), spans, "left")
     extra = [f"_{i}" for i in range(len(columns))]

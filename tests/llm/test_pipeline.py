@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import numpy as np
 import public_tokenizers
@@ -61,3 +62,53 @@ def test_near_duplicates_of_odd_rows(spark):
     docs = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     assert sorted(((r.doc_id, r.text, r.lang) for r in out), key=repr) == sorted([(5, a, "en"), (5, b, "en"), (None, c, "en"), (3, d, "de"), (7, None, None)], key=repr)
+
+
+def test_repeats_of_just_over_50_words(spark):
+    rng = np.random.default_rng(11)
+    word = lambda low, high: "".join(rng.choice(list("abcdefghijklmnop"), rng.integers(low, high)))
+    prose = lambda n, low=3, high=9: " ".join(word(low, high) for _ in range(n))
+    p51, p60, p50, tiny, long_ = prose(51), prose(60), prose(50), prose(51, 1, 3), prose(40, 12, 20)
+    han = "".join(chr(0x4E00 + k) for k in rng.integers(0, 20000, 60))
+    assert max(len(p51), len(p60), len(tiny), len(han.encode())) < 400 < len(long_)
+    texts = {}
+    for k, p in enumerate((p51, p60, p50, tiny, long_, han)):
+        for copy in range(3):
+            texts[10 * k + copy] = " ".join((prose(int(rng.integers(0, 80))), p, prose(int(rng.integers(0, 80))))).strip()
+    texts[90], texts[91] = prose(60) + "\n" + p51 + " " + p60, prose(30) + " " + p60 + " " + prose(30) + " " + p60
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeats(spark, docs, "").collect()}
+    for k, p in enumerate((p51, p60, p50, tiny, long_, han)):
+        for copy in range(3):
+            i = 10 * k + copy
+            want = texts[i] if copy == 0 or p in (p50, long_) else texts[i].replace(p, "")
+            assert got.get(i, "").strip() == want.strip(), (k, copy)
+    assert got[90] == texts[90].replace(p51, "").replace(p60, "") and got[91] == texts[91].replace(p60, "")
+
+
+def test_repeated_passages_against_brute_force(spark):
+    from collections import Counter
+
+    from sievewright.llm import suffix_dedup
+
+    rng = np.random.default_rng(12)
+    n, pool = 6, [" ".join(rng.choice(list("abcdefgh"), 30)) for _ in range(4)]
+    cut = lambda p: " ".join(p.split()[rng.integers(0, 12) : rng.integers(14, 30)])
+    texts = [" ".join(cut(pool[rng.integers(4)]) + "\n" * int(rng.integers(2)) + " " + "".join(rng.choice(list("xyz"), 4)) for _ in range(rng.integers(1, 8))) for _ in range(60)] + [" ".join("ab" * 20), None, "", pool[0]]
+    rows = list(enumerate(texts))
+    windows = []
+    for i, t in rows:
+        at = [(m.start(), m.end()) for m in re.finditer(r"\S+", t or "")]
+        windows += [(i, at[k][0], at[k + n - 1][1]) for k in range(len(at) - n + 1)]
+    content = [texts[i][a:b] for i, a, b in windows]
+    count, seen = Counter(content), set()
+    for keep in ("none", "first"):
+        gone = {i: set() for i, _ in rows}
+        seen.clear()
+        for (i, a, b), c in zip(windows, content, strict=True):
+            if count[c] > 1 and (keep == "none" or c in seen):
+                gone[i] |= set(range(a, b))
+            seen.add(c)
+        # Ids rise with the rows, so the first by id is the first here.
+        out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep=keep, min_words=n).collect()
+        assert {r.doc_id: r.kept.decode() for r in out} == {i: "".join(ch for k, ch in enumerate(t or "") if k not in gone[i]) for i, t in rows}
