@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -202,14 +204,37 @@ def orphans(items: DataFrame, edges: DataFrame) -> DataFrame:
     return miss("src").unionByName(miss("dst"))
 
 
-def ancestors(edges: DataFrame, max_depth: int = 32) -> DataFrame:
-    """Rows (src, ancestor, depth): the closure of edges (src derived from dst), the shortest way; cycles end."""
-    spark = edges.sparkSession
-    query = f"""
-    WITH RECURSIVE up(src, ancestor, depth) AS (
-      SELECT src, dst, 1 FROM {{e}} UNION ALL SELECT u.src, e.dst, u.depth + 1 FROM up u JOIN {{e}} e ON e.src = u.ancestor WHERE u.depth < {max_depth})
-    SELECT src, ancestor, min(depth) AS depth FROM up GROUP BY src, ancestor"""
-    return spark.sql(query, e=edges)
+def _checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts lineage by a checkpoint in the session's shared folder, or a local one where none is set."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return df.checkpoint()
+
+
+def ancestors(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Rows (src, ancestor, depth): the closure of edges (src derived from dst), the shortest way; cycles end.
+
+    Each round carries the pairs that the last one found a step on and keeps
+    those that no round had, so it ends when a round adds nothing; pairs of up
+    to ``max_depth`` steps if that is given.  All state is checkpointed; only
+    whether a round added rows comes to the driver.
+    """
+    edges = _checkpointed(edges.select("src", "dst").distinct())
+    steps = edges.withColumnsRenamed({"src": "via", "dst": "next"})
+    frontier = edges.select("src", F.col("dst").alias("ancestor"), F.lit(1).alias("depth"))
+    found, depth = [frontier], 1
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        known = reduce(DataFrame.unionByName, found).select(F.col("src").alias("s"), F.col("ancestor").alias("a"))
+        reached = frontier.join(steps, F.col("ancestor") == F.col("via")).select("src", F.col("next").alias("ancestor")).distinct()
+        frontier = _checkpointed(reached.join(known, F.col("src").eqNullSafe(F.col("s")) & F.col("ancestor").eqNullSafe(F.col("a")), "left_anti").withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
+            break
+        found.append(frontier)
+        if len(found) == 16:
+            found = [_checkpointed(reduce(DataFrame.unionByName, found))]
+    return reduce(DataFrame.unionByName, found)
 
 
 def reviews(log: DataFrame) -> DataFrame:

@@ -93,3 +93,19 @@ def test_lineage_and_duplicates(spark):
     assert got[(3, 2)] == 1 and got[(3, 1)] == 2 and got[(3, 3)] == 3 and got[(9, 8)] == 1
     d = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None)], "k long, t string")
     assert {r.k: r.duplicate_of for r in records.duplicates(d, "t", "k").collect()} == {1: None, 2: 1, 3: None, 4: None}
+
+
+def test_lineage_deeper_than_32_steps_and_of_many_ways(spark):
+    chain = [(i + 1, i) for i in range(40)]
+    # Twelve diamonds in a row have 4096 ways; a null end is an ancestor that leads nowhere.
+    diamonds = [e for k in range(0, 36, 3) for e in ((100 + k, 101 + k), (100 + k, 102 + k), (101 + k, 103 + k), (102 + k, 103 + k))]
+    rows = chain + chain[:3] + diamonds + [(0, None), (None, 5)]
+    got = [tuple(r) for r in records.ancestors(spark.createDataFrame(rows, "src long, dst long")).collect()]
+    want = {}
+    for s in {s for s, _ in rows}:
+        last, depth = {s}, 0
+        while last:
+            depth += 1
+            last = {d for x, d in set(rows) if x in last and (x is not None or depth == 1)} - {a for q, a in want if q == s}
+            want.update({(s, a): depth for a in last})
+    assert len(got) == len(want) and {(s, a): d for s, a, d in got} == want and want[(40, 0)] == 40
