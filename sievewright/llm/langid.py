@@ -118,12 +118,12 @@ def train(texts: list[bytes], langs: list[str], filters: int = 16, dims: int = 8
 
 def fit(labelled: DataFrame, text_col: str, lang_col: str, docs_per_language: int = DOCS_PER_LANGUAGE) -> ByteCNN:
     """Trains on a bounded sample: of each language the expected number
-    ``docs_per_language`` of documents, chosen by a hash of the text, and up to
+    ``docs_per_language`` of different texts, chosen by a hash, and up to
     ``BYTES_PER_DOC`` characters of each from a hashed place on.  Null and empty
     texts and null languages teach nothing.
     """
     rows = labelled.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where("l is not null and length(t) > 0")
-    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    counts = {r.l: r.n for r in rows.select("l", F.xxhash64("t")).distinct().groupBy("l").agg(F.count("*").alias("n")).collect()}  # a row for each language
     unit = F.pmod(F.xxhash64("t"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     share = F.lit(0.0)
     for lang, n in counts.items():
@@ -132,6 +132,7 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, docs_per_language: in
     sample = (
         rows.where(unit < share)
         .select("l", F.substring("t", start.cast("int") + 1, F.lit(BYTES_PER_DOC)).alias("t"), F.xxhash64("t").alias("h"))
+        .distinct()
         .orderBy("h", "t", "l")
         .limit(2 * docs_per_language * max(1, len(counts)))
         .collect()

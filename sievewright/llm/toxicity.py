@@ -26,9 +26,11 @@ _HASHER = ByteHasher(10)
 BITS = 20
 #: Lengths in bytes of the word openings that are features.
 STEMS = (3, 4, 5, 6, 7, 8)
-#: Labelled documents to learn from at most, and bytes of a text that teach at most.
+#: Labelled documents to learn from, and bytes that their whole texts have together, as expected numbers.
 TRAIN_DOCS = 12000
-TRAIN_BYTES = 1 << 14
+SAMPLE_BYTES = 1 << 26
+#: Equal rows count as so many at most, so that no text rules what is learned.
+COPIES = 8
 
 
 def features(blob: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -78,25 +80,23 @@ def ftrl(examples: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha
 def fit(labelled: DataFrame, text_col: str, label_col: str, train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, np.ndarray, float]:
     """(indices, weights, intercept) of the features with weight, from a bounded sample.
 
-    About ``train_docs`` labelled rows are chosen by a hash of the text, each
-    read up to ``TRAIN_BYTES``; the sample, at most twice that many rows, is all
-    that reaches the driver.  Null labels and null texts teach nothing.
+    Of the different (text, label) pairs about ``train_docs`` are chosen by a
+    hash of the text, fewer if their texts have over ``SAMPLE_BYTES`` together,
+    and each teaches as a whole, once for each equal row up to ``COPIES``.  The
+    sample, at most twice that many pairs, is all that reaches the driver.  Null
+    labels and null texts teach nothing.
     """
     rows = labelled.select(F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y")).where("t is not null and y is not null")
-    total = rows.count()
+    total = rows.select("y", F.xxhash64("t"), F.octet_length("t").alias("n")).distinct().agg(F.count("*").alias("pairs"), F.sum("n").alias("n")).first()
+    share = min(1.0, train_docs / max(1, total.pairs), SAMPLE_BYTES / max(1, total.n or 0))
     unit = F.pmod(F.xxhash64("t", F.lit(10)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = (
-        rows.where(unit < F.lit(min(1.0, train_docs / max(1, total))))
-        .select("y", F.left("t", F.lit(TRAIN_BYTES)).alias("t"), F.xxhash64("t").alias("h"))
-        .orderBy("h", "t", "y")
-        .limit(2 * train_docs)
-        .collect()
-    )
+    pairs = rows.where(unit < F.lit(share)).groupBy("t", "y").agg(F.count("*").alias("n"))
+    sample = pairs.select("y", "t", F.least("n", F.lit(COPIES)).alias("n"), F.xxhash64("t").alias("h")).orderBy("h", "t", "y").limit(2 * train_docs).collect()
     examples = []
     for r in sample:
         text = np.frombuffer(r.t.encode(), np.uint8)
-        examples.append(np.unique(features(text, np.array([0, len(text)]))[0]).astype(np.int32))
-    w, intercept = ftrl(examples, np.array([r.y for r in sample], float))
+        examples += [np.unique(features(text, np.array([0, len(text)]))[0]).astype(np.int32)] * r.n
+    w, intercept = ftrl(examples, np.array([r.y for r in sample for _ in range(r.n)], float))
     some = np.flatnonzero(w)
     return some, w[some].astype(np.float32), float(intercept)
 

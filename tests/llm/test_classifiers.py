@@ -46,3 +46,20 @@ def test_ftrl_is_sparse_and_learns():
     x = [np.unique(np.r_[rng.integers(10, 1000, 20), [3] if i % 3 == 0 else []]).astype(int) for i in range(600)]
     w, b = toxicity.ftrl(x, np.array([float(i % 3 == 0) for i in range(600)]), bits=10)
     assert w[3] > 3 and b < 0 and (w != 0).sum() < 900
+
+
+def test_training_samples_hold_whole_texts_and_few_copies(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(toxicity, "ftrl", lambda examples, labels: seen.update(x=examples, y=labels) or (np.zeros(4), 0.0))
+    monkeypatch.setattr(langid, "train", lambda texts, labels: seen.update(t=texts, l=labels))
+    long_ = "plain words " * 3000 + "venom"
+    rows = [("hot text", 0, "en")] * 3000 + [(f"text {'abcdefghij'[i % 10]} number {'klmnopqrst'[i // 10]}", i % 2, "en") for i in range(100)] + [(long_, 1, "en"), ("hot text", 1, "en")]
+    df = spark.createDataFrame(rows, "t string, y int, l string")
+    toxicity.fit(df, "t", "y")
+    assert len(seen["x"]) == 102 + toxicity.COPIES and seen["y"].sum() == 52
+    last = toxicity.features(np.frombuffer(b"venom", np.uint8), np.array([0, 5]))[0]
+    assert sum(np.isin(last, x).all() for x in seen["x"]) == 1
+    toxicity.fit(df, "t", "y", train_docs=60)
+    assert 30 < len(seen["x"]) < 100
+    langid.fit(df, "t", "l", docs_per_language=60)
+    assert 30 < len(seen["t"]) < 90 and len(set(seen["t"])) == len(seen["t"])
