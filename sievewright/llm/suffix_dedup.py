@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievewright.llm.common import ByteHasher, chunks, sliding, text_buffers, words_of
+from sievewright.llm.common import ByteHasher, chunks, scratch_uri, sliding, text_buffers, words_of
 
 _HASHER = ByteHasher(1)
 _IS_WORD = np.ones(256, bool)
@@ -311,6 +311,12 @@ def repeated_passages(docs: DataFrame, id_col: str, text_col: str, min_words: in
     region_schema = T.StructType([*key, *place, T.StructField("g", T.LongType()), T.StructField("e", T.LongType())])
     window_schema = T.StructType([*key, *place, T.StructField("h", T.LongType())])
 
+    def written(df: DataFrame, name: str) -> DataFrame:
+        """df from a table in the shared folder, so that what uses it twice computes it once."""
+        path = scratch_uri(df.sparkSession, name)
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
     def emit(form: T.StructType, batch: pa.RecordBatch, row: np.ndarray, a: np.ndarray, b: np.ndarray, *hashes: np.ndarray) -> pa.RecordBatch:
         at = pa.array(row)
         columns = [pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), *map(pa.array, hashes)]
@@ -344,7 +350,7 @@ def repeated_passages(docs: DataFrame, id_col: str, text_col: str, min_words: in
 
     found = texts.mapInArrow(find, region_schema)
     twice = found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    found = found.join(twice, "g", "left_semi")
+    found = written(found.join(twice, "g", "left_semi"), "regions")
     flipped = F.col("g").bitwiseXOR(F.lit(1).cast("long")).alias("f")  # as in repeated_spans
     contents = found.groupBy("e", flipped).agg(F.first("g").alias("g"), F.count("*").alias("n"), F.min(F.struct("id", "th", "a")).alias("rep"), F.first(F.col("b") - F.col("a")).alias("w"))
     mixed = contents.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g")
@@ -354,11 +360,13 @@ def repeated_passages(docs: DataFrame, id_col: str, text_col: str, min_words: in
     settled = equal.select("id", "th", "a", "b")
     open_ = contents.join(mixed, "g").select("rep.*", (F.col("rep.a") + F.col("w")).alias("b"))
     wanted = open_.groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("at"))
-    window = _join(texts, wanted).mapInArrow(windows, window_schema).distinct()
-    classes = window.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "a")).alias("first")).where("n > 1")
+    window = written(_join(texts, wanted).mapInArrow(windows, window_schema), "windows")
+    # Rows of equal id and text bring a window more than once: it repeats if its places differ.
+    place_ = F.struct("id", "th", "a")
+    classes = window.groupBy("h").agg(F.min(place_).alias("first"), F.max(place_).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
     more = window.join(classes, "h")
     if keep == "first":
-        more = more.where(F.struct("id", "th", "a") > F.col("first"))
+        more = more.where(place_ > F.col("first"))
     return settled.unionByName(more.select("id", "th", "a", "b")).groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("at"))
 
 
