@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,16 +20,26 @@ _PRIME = 0x9E3779B97F4A7C15 | 1
 _PRIME_INV = pow(_PRIME, -1, 1 << 64)
 
 
+#: Folders that scratch_uri has named, by application.
+_NAMED: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset, as in tests, a local folder is made and set.
+    Only where it is unset and the session is local, as in tests, a local folder
+    is made and set; on a cluster the setting is required.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return where
+    if where:
+        return where
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -44,7 +55,27 @@ def scratch_uri(spark: SparkSession, name: str) -> str:
     where = shared_dir(spark).rstrip("/")
     if "://" not in where:
         where = ("file:" if where.startswith("file:") else "file://") + where.removeprefix("file:")
-    return f"{where}/{name}-{uuid.uuid4().hex}"
+    uri = f"{where}/{name}-{uuid.uuid4().hex}"
+    _NAMED.setdefault(spark.sparkContext.applicationId, []).append(uri)
+    return uri
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes what the application has written by scratch_uri; results not yet computed are lost."""
+    for uri in _NAMED.pop(spark.sparkContext.applicationId, []):
+        delete_uri(spark, uri)
+
+
+def delete_uri(spark: SparkSession, uri: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df from a table in the shared folder, so that what uses it twice computes it once."""
+    path = scratch_uri(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def open_fs(uri: str):
@@ -111,12 +142,13 @@ class ByteHasher:
         """Hashes of blob[start:end], for arrays of starts and ends."""
         return mix((prefix[end] - prefix[start]) * self.inverse[start] + (end - start).astype(np.uint64))
 
-    def rolling(self, prefix: np.ndarray, length: int) -> np.ndarray:
-        """Hashes of all ranges of one length, by start."""
+    def rolling(self, prefix: np.ndarray, length: int, mixed: bool = True) -> np.ndarray:
+        """Hashes of all ranges of one length, by start; unmixed ones have weak lower bits."""
         n = len(prefix) - length
         if n <= 0:
             return np.zeros(0, np.uint64)
-        return mix((prefix[length:] - prefix[:n]) * self.inverse[:n] + np.uint64(length))
+        raw = (prefix[length:] - prefix[:n]) * self.inverse[:n] + np.uint64(length)
+        return mix(raw) if mixed else raw
 
 
 def mix(x: np.ndarray) -> np.ndarray:

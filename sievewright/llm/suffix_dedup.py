@@ -1,25 +1,27 @@
-"""Removal of long repeated byte strings by longest-previous-factor arrays.
+"""Removal of long repeated strings by longest-previous-factor arrays.
 
-A suffix array of all bytes would move eight bytes or more for each byte of
-text.  Suffixes are therefore compared only where a repeat is possible:
+A string is so many bytes, or so many whole words.  A suffix array of all bytes
+would move eight bytes or more for each byte of text.  Suffixes are therefore
+compared only where a repeat is possible:
 
-1. Every window of ``min_bytes`` bytes names its anchor, the least hash of the
-   k-grams inside it; equal windows have equal anchors.  Neighbouring windows
+1. Every window of the string's length names its anchor, the least hash of the
+   grams inside it; equal windows have equal anchors.  Neighbouring windows
    with one anchor form a region, about one for a hundred bytes.
-2. Counting regions by anchor (g) and by whole content (e) settles nearly all:
-   a region whose anchor occurs once has no repeat, and regions of equal
-   content repeat each other wholly.  Counts combine on the map side, so a
-   passage that a third of all documents share costs one row a map task.
-3. Anchors with regions of different content (the ends of repeats) are settled
-   by suffix order: one region of each content is cut out, the cuttings of many
-   anchors are put in one buffer, their window starts are ranked to the depth
-   of min_bytes by prefix doubling, and the previous and next smaller (larger)
-   positions in suffix order give the longest earlier (later) match.  Anchors
-   with over ``group_limit`` contents are settled by counting their windows'
-   hashes instead, which no group can make uneven.
-
-Passages measured in words go the same way: windows are so many whole words,
-grams are runs of words, and step 3 counts the windows' hashes for every anchor.
+2. A region whose anchor (g) occurs once has no repeat.  Regions of one anchor
+   and equal content (e) repeat each other wholly and go on as one content with
+   its first place.  Counts combine on the map side, so a passage that a third
+   of all documents share costs one row a map task, and joins deal plain tables,
+   so that adaptive execution splits a common anchor's rows.
+3. Anchors with different contents (the ends of repeats) are settled by suffix
+   order: each content is cut out once, the cuttings of many anchors are put in
+   one buffer, their window starts are ranked to the window's depth by prefix
+   doubling, and the previous and next smaller (larger) positions in suffix order
+   give the longest earlier (later) match.  An anchor with over ``group_limit``
+   contents would be one long task; its windows are counted by hash instead,
+   which gives the same rows.
+
+Equality of contents rests on two 64-bit hashes, of the anchor's gram and of the
+whole region, and only regions of one anchor are held against each other.
 """
 
 from __future__ import annotations
@@ -28,47 +30,56 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievewright.llm.common import ByteHasher, chunks, scratch_uri, sliding, text_buffers, words_of
+from sievewright.llm.common import ByteHasher, chunks, mix, sliding, text_buffers, words_of, written
 
 _HASHER = ByteHasher(1)
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
+_HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 
 #: Bytes of cuttings that one suffix order is made of (a single anchor's cuttings stay together).
 PIECE_BYTES = 1 << 20
+#: Kinds of strings; the lowest bit of an anchor's hash names the kind.
+BYTES, WORDS = 0, 1
 
 
-def regions(blob: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(row, first window, last window, anchor hash, content hash) of each region.
+def _regions(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(row, first window, last window, place of the anchor) of each region, over symbols.
 
-    Windows are starts p with p + length inside their text; starts are counted
-    from the text's beginning.
+    raw holds the hash of each gram by its place, offsets the rows' first symbols.
     """
-    gram = 3 * length // 8
     per = length - gram + 1
-    prefix = _HASHER.prefix(blob)
-    hashes = _HASHER.rolling(prefix, gram)
-    empty = np.zeros(0, np.int64)
-    if len(hashes) < per:
-        return empty, empty, empty, empty, empty
+    n = len(raw) - per + 1
+    if n < 1:
+        return (np.zeros(0, np.int64),) * 4
     # The upper hash bits decide, then the leftmost place.
-    key = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
-    anchor = (sliding(np.minimum, key, per) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    row = np.repeat(np.arange(len(offsets) - 1), np.maximum(np.diff(offsets) - length + 1, 0))
-    counts = np.maximum(np.diff(offsets) - length + 1, 0)
-    start = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + offsets[row]
-    anchor = anchor[start]
-    if not len(row):
-        return empty, empty, empty, empty, empty
-    head = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])])
-    tail = np.r_[head[1:], len(row)] - 1
-    base = offsets[row[head]]
-    content = _HASHER.ranges(prefix, start[head], start[tail] + length)
-    return row[head], start[head] - base, start[tail] - base, hashes[anchor[head]].view(np.int64), content.view(np.int64)
+    anchor = sliding(np.minimum, (raw & _HIGH) | np.arange(len(raw), dtype=np.uint64), per)
+    head = np.union1d(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, offsets[:-1][offsets[:-1] < n])
+    row = np.searchsorted(offsets, head, side="right") - 1
+    last = offsets[row + 1] - length
+    tail = np.minimum(np.r_[head[1:] - 1, n - 1], last)
+    some = head <= last
+    head, tail, row = head[some], tail[some], row[some]
+    return row, head, tail, (anchor[head] & _LOW).astype(np.int64)
+
+
+def _named(hashes: np.ndarray, kind: int) -> np.ndarray:
+    return (hashes & ~np.uint64(1) | np.uint64(kind)).view(np.int64)
+
+
+def regions(blob: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(row, first byte, end, anchor hash, content hash) of each region of windows of so many bytes."""
+    gram = length // 4
+    prefix = _HASHER.prefix(blob)
+    raw = _HASHER.rolling(prefix, gram, mixed=False)
+    row, head, tail, anchor = _regions(raw, offsets, length, gram)
+    base = offsets[row]
+    return row, head - base, tail + length - base, _named(mix(raw[anchor]), BYTES), _HASHER.ranges(prefix, head, tail + length).view(np.int64)
 
 
 def passage_words(blob: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,62 +96,79 @@ def passage_words(blob: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 
 def passage_regions(blob: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
-    """(row, first byte, end, anchor hash, content hash) of each region of windows of so many words."""
-    gram = max(1, 3 * words // 8)
+    """As :func:`regions`, of windows of so many whole words."""
+    gram = max(1, words // 4)
     starts, ends, first = passage_words(blob, offsets)
-    empty = np.zeros(0, np.int64)
-    counts = np.maximum(np.diff(first) - words + 1, 0)
-    row = np.repeat(np.arange(len(counts)), counts)
-    if not len(row):
-        return empty, empty, empty, empty, empty
+    if len(starts) < words:
+        return (np.zeros(0, np.int64),) * 5
     prefix = _HASHER.prefix(blob)
     hashes = _HASHER.ranges(prefix, starts[: len(starts) - gram + 1], ends[gram - 1 :])
-    key = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
-    anchor = (sliding(np.minimum, key, words - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    word = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + first[row]
-    anchor = anchor[word]
-    head = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])])
-    tail = np.r_[head[1:], len(row)] - 1
-    a, b, base = starts[word[head]], ends[word[tail] + words - 1], offsets[row[head]]
-    return row[head], a - base, b - base, hashes[anchor[head]].view(np.int64), _HASHER.ranges(prefix, a, b).view(np.int64)
+    row, head, tail, anchor = _regions(hashes, first, words, gram)
+    a, b, base = starts[head], ends[tail + words - 1], offsets[row]
+    return row, a - base, b - base, _named(hashes[anchor], WORDS), _HASHER.ranges(prefix, a, b).view(np.int64)
 
 
-def suffix_ranks(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
-    """Lexicographic ranks, to the given depth, of the suffixes at the wanted places.
+def _dense(key: np.ndarray) -> np.ndarray:
+    return np.unique(key, return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
 
-    Prefix doubling from 8 bytes up; each level ranks only the places that the
-    next one looks at.  Places whose ``depth`` bytes leave the text end early.
+
+def _doubled(first: np.ndarray, wanted: np.ndarray, have: int, depth: int) -> np.ndarray:
+    """Ranks of the suffixes at the wanted places to ``depth``, given keys that order ``have`` symbols from each place.
+
+    Each level triples the depth (doubles it where ranks need over 21 bits) and
+    ranks only the places that the next one looks at.  Places whose ``depth``
+    symbols leave the text end early.
     """
-    n = len(text)
-    steps, size = [], 8
+    n = len(first)
+    parts = 3 if n < (1 << 21) - 1 else 2
+    bits = np.uint64(63 // parts)
+    levels, size = [], have
     while size < depth:
-        step = min(size, depth - size)
-        steps.append(step)
-        size += step
+        steps = [min(k * size, depth - size) for k in range(1, parts)]
+        levels.append(steps)
+        size = min(parts * size, depth)
     need = np.zeros(n, bool)
     need[wanted] = True
-    levels = [need]
-    for step in reversed(steps):
-        need = need.copy()
-        need[step:] |= need[: n - step]
-        levels.append(need)
-    levels.reverse()
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for j in range(8):
-        key = (key << np.uint64(8)) | padded[j : j + n]
+    needs = [need]
+    for steps in reversed(levels):
+        wider = need.copy()
+        for step in steps:
+            wider[step:] |= need[: n - step]
+        needs.append(need := wider)
+    needs.reverse()
     rank = np.zeros(n + depth, np.uint64)
-    at = np.flatnonzero(levels[0])
-    rank[at] = np.unique(key[at], return_inverse=True)[1] + 1
-    for step, need in zip(steps, levels[1:], strict=True):
+    at = np.flatnonzero(needs[0])
+    rank[at] = _dense(first[at])
+    for steps, need in zip(levels, needs[1:], strict=True):
         at = np.flatnonzero(need)
-        pair = (rank[at] << np.uint64(32)) | rank[at + step]
-        new = np.zeros_like(rank)
-        new[at] = np.unique(pair, return_inverse=True)[1] + 1
-        rank = new
+        key = rank[at]
+        for step in steps:
+            key = (key << bits) | rank[at + step]
+        rank = np.zeros_like(rank)
+        rank[at] = _dense(key)
     return rank[wanted].astype(np.int64)
 
 
+def suffix_ranks(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
+    """Lexicographic ranks, to the given depth of bytes, of the suffixes at the wanted places."""
+    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
+    key = np.zeros(len(text), np.uint64)
+    for j in range(8):
+        key = (key << np.uint64(8)) | padded[j : j + len(text)]
+    return _doubled(key, wanted, 8, depth)
+
+
+def word_ranks(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, wanted: np.ndarray, words: int) -> np.ndarray:
+    """Ranks, to so many words and what separates them, of the suffixes at the wanted words."""
+    prefix = _HASHER.prefix(text)
+    alone = _HASHER.ranges(prefix, starts[wanted], ends[wanted])
+    if words == 1:
+        return _dense(alone).astype(np.int64)
+    after = _HASHER.ranges(prefix, np.r_[0, ends[:-1]], ends)  # a word and what stands before it
+    rest = _doubled(after, wanted + 1, 1, words - 1)
+    return _dense((_dense(alone) << np.uint64(32)) | rest.astype(np.uint64)).astype(np.int64)
+
+
 def nearest_smaller(x: np.ndarray) -> np.ndarray:
     """Index of the nearest smaller value before each one, or -1."""
     out = np.arange(len(x)) - 1
@@ -170,204 +198,171 @@ def reaches(ranks: np.ndarray, positions: np.ndarray) -> np.ndarray:
     return out
 
 
-def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.flatnonzero(np.diff(np.r_[0, flags.astype(np.int8), 0]))
-    return edge[::2], edge[1::2]
+def _size_of(kind: int, length: int) -> int:
+    """Bytes that a text needs to hold such a string."""
+    return length if kind == BYTES else 2 * length - 1
+
+
+def _windows(kind: int, length: int, blob: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, first byte, end, first symbol) of each window of the rows, and the words' (starts, ends)."""
+    if kind == BYTES:
+        counts, first, starts, ends = np.maximum(np.diff(offsets) - length + 1, 0), offsets[:-1], None, None
+    else:
+        starts, ends, first = passage_words(blob, offsets)
+        counts, first = np.maximum(np.diff(first) - length + 1, 0), first[:-1]
+    row = np.repeat(np.arange(len(counts)), counts)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + first[row]
+    begin, end = (at, at + length) if kind == BYTES else (starts[at], ends[at + length - 1])
+    return row, begin - offsets[row], end - offsets[row], at, starts, ends
+
 
+def repeated_spans(docs: DataFrame, id_col: str, text_col: str, lengths: dict[int, int], keep: str, group_limit: int) -> DataFrame:
+    """Rows (id, th, at array<struct<a,b,k>>): byte ranges of repeats, by kind, of documents that have any; th is the text's hash.
 
-def repeated_spans(docs: DataFrame, id_col: str, text_col: str, min_bytes: int, keep: str, group_limit: int) -> DataFrame:
-    """Rows (id, th, at array<struct<a,b>>): byte ranges to remove of documents that have any; th is the text's hash."""
-    texts = _hashed(docs, id_col, text_col).where(F.octet_length("text") >= min_bytes)
+    lengths has the windows' length for each kind, BYTES or WORDS.
+    """
+    texts = _hashed(docs, id_col, text_col).where(F.octet_length("text") >= min(_size_of(*x) for x in lengths.items()))
     id_field = T.StructField("id", docs.schema[id_col].dataType)
-    long, integer, binary = T.LongType(), T.IntegerType(), T.BinaryType()
-    key = [id_field, T.StructField("th", integer)]
+    long, integer, byte = T.LongType(), T.IntegerType(), T.ByteType()
 
     def schema(**columns) -> T.StructType:
-        return T.StructType([*key, *[T.StructField(n, t) for n, t in columns.items()]])
+        return T.StructType([id_field, *[T.StructField(n, t) for n, t in ({"th": integer, "a": integer, "b": integer} | columns).items()]])
 
-    region_schema = schema(s=integer, t=integer, g=long, e=long)
-    cutting_schema = schema(s=integer, t=integer, g=long, cut=binary)
-    window_schema = schema(p=integer, h=long)
-    span_schema = schema(a=integer, b=integer)
+    region_schema = schema(g=long, e=long)
+    cutting_schema = schema(g=long, cut=T.BinaryType())
+    window_schema = schema(k=byte, h=long)
+    span_schema = schema(k=byte)
 
-    def emit(form: T.StructType, batch: pa.RecordBatch, row: np.ndarray, *columns) -> pa.RecordBatch:
+    def emit(form: T.StructType, batch: pa.RecordBatch, row: np.ndarray, a: np.ndarray, b: np.ndarray, *columns) -> pa.RecordBatch:
         at = pa.array(row)
-        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=form.fieldNames())
+        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), *columns], names=form.fieldNames())
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blob, offsets = text_buffers(batch.column(2))
             for i, j in chunks(offsets):
-                row, s, t, g, e = regions(blob[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], min_bytes)
-                yield emit(region_schema, batch, row + i, pa.array(s.astype(np.int32)), pa.array(t.astype(np.int32)), pa.array(g), pa.array(e))
+                for kind, length in lengths.items():
+                    row, a, b, g, e = (regions, passage_regions)[kind](blob[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length)
+                    yield emit(region_schema, batch, row + i, a, b, pa.array(g), pa.array(e))
 
     found = texts.mapInArrow(find, region_schema)
-    twice = found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    found = found.join(twice, "g", "left_semi")
-    # Grouped by another form of g, so that rows are counted before they are dealt
-    # anew: the join's dealing by g would bring a common anchor's rows to one task.
-    flipped = F.col("g").bitwiseXOR(F.lit(1).cast("long")).alias("f")
-    contents = found.groupBy("e", flipped).agg(F.first("g").alias("g"), F.count("*").alias("n"), F.min(F.struct("id", "th", "s")).alias("rep"), F.first(F.col("t") - F.col("s")).alias("w"))
-    mixed = contents.groupBy("g").agg(F.count("*").alias("m")).where("m > 1")
-    # Regions of a content that occurs more than once: settled.
-    equal = found.withColumn("f", flipped).join(contents.where("n > 1").select("f", "e", "rep"), ["f", "e"])
+    # What a join deals is read from tables: adaptive execution can then split a hot key's rows.
+    twice = written(found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "anchors")
+    kept = written(found.join(twice, "g", "left_semi"), "regions")
+    place = F.struct("id", "th", "a", "b")
+    contents = written(kept.groupBy("g", "e").agg(F.count("*").alias("n"), F.min(place).alias("rep")), "contents")
+    counts = written(contents.groupBy("g").agg(F.count("*").alias("m")).where("m > 1"), "counts")
+    # Regions of a content that occurs more than once repeat wholly.
+    equal = kept.join(contents.where("n > 1").select("g", "e", "rep"), ["g", "e"])
     if keep == "first":
-        equal = equal.where(F.struct("id", "th", "s") > F.col("rep"))
-    settled = equal.select("id", "th", F.col("s").alias("a"), (F.col("t") + min_bytes).alias("b"))
+        equal = equal.where(place > F.col("rep"))
+    settled = equal.select("id", "th", "a", "b", F.col("g").bitwiseAND(F.lit(1).cast("long")).cast("byte").alias("k"))
     # One region of each content of the other anchors: cut out of its text.
-    open_ = contents.join(mixed, "g").select("g", "n", "m", "rep.*", (F.col("rep.s") + F.col("w")).alias("t"))
-    wanted = open_.groupBy("id", "th").agg(F.collect_list(F.struct("s", "t", "g", "m")).alias("at"))
+    open_ = contents.join(counts, "g").select("g", (F.col("m") > group_limit).alias("hot"), "rep.*")
+    wanted = open_.groupBy("id", "th").agg(F.collect_list(F.struct("a", "b", "g", "hot")).alias("at"))
     cut_from = _join(texts, wanted)
 
-    def places(batch: pa.RecordBatch, hot: bool):
+    def cuts(batch: pa.RecordBatch, hot: bool):
+        """(row, first byte, anchor, bytes) of the wanted regions of hot anchors, or of the others."""
         at = batch.column(3)
         flat, owner = at.flatten(), np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(at.offsets)))
-        s, t, g, m = (np.asarray(flat.field(k)) for k in range(4))
-        chosen = (m > group_limit) == hot
-        return owner[chosen], s[chosen], t[chosen], g[chosen]
+        a, b, g = (np.asarray(flat.field(k)) for k in range(3))
+        chosen = np.asarray(flat.field(3).cast(pa.uint8())).astype(bool) == hot
+        owner, a, b, g = owner[chosen], a[chosen], b[chosen], g[chosen]
+        blob, offsets = text_buffers(batch.column(2))
+        start = offsets[owner]
+        for i in range(0, len(owner), 10000):
+            k = slice(i, i + 10000)
+            yield owner[k], a[k], b[k], g[k], [blob[x:y].tobytes() for x, y in zip((start + a)[k].tolist(), (start + b)[k].tolist(), strict=True)]
 
     def cuttings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blob, offsets = text_buffers(batch.column(2))
-            owner, s, t, g = places(batch, False)
-            raw = blob.tobytes()
-            start = offsets[owner]
-            cut = [raw[a:b] for a, b in zip((start + s).tolist(), (start + t + min_bytes).tolist(), strict=True)]
-            for i in range(0, len(cut), 20000):
-                k = slice(i, i + 20000)
-                yield emit(cutting_schema, batch, owner[k], pa.array(s[k].astype(np.int32)), pa.array(t[k].astype(np.int32)), pa.array(g[k]), pa.array(cut[k], pa.binary()))
+            for owner, a, b, g, cut in cuts(batch, False):
+                yield emit(cutting_schema, batch, owner, a, b, pa.array(g), pa.array(cut, pa.binary()))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blob, offsets = text_buffers(batch.column(2))
-            owner, s, t, _ = places(batch, True)
-            for i in range(0, len(owner), 2000):
-                k = slice(i, i + 2000)
-                size = t[k] - s[k] + 1
-                row = np.repeat(owner[k], size)
-                p = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(s[k], size)
-                h = np.zeros(len(row), np.int64)
-                for r in np.unique(row):  # one text's prefix sums at a time
-                    mine = row == r
-                    prefix = _HASHER.prefix(blob[offsets[r] : offsets[r + 1]])
-                    h[mine] = _HASHER.ranges(prefix, p[mine], p[mine] + min_bytes).view(np.int64)
-                yield emit(window_schema, batch, row, pa.array(p.astype(np.int32)), pa.array(h))
+            for owner, a, _, g, cut in cuts(batch, True):
+                for kind, length in lengths.items():
+                    mine = np.flatnonzero(g & 1 == kind)
+                    blob, offsets = text_buffers_binary(pa.array([cut[i] for i in mine], pa.large_binary()))
+                    for i, j in chunks(offsets):
+                        part, base = blob[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                        row, begin, end, *_ = _windows(kind, length, part, base)
+                        h = _named(_HASHER.ranges(_HASHER.prefix(part), base[row] + begin, base[row] + end), kind)
+                        own = mine[row + i]
+                        yield emit(window_schema, batch, owner[own], a[own] + begin, a[own] + end, pa.array(np.full(len(row), kind, np.int8)), pa.array(h))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def piece(table: pa.Table) -> pa.RecordBatch:
+        def piece(table: pa.Table, kind: int) -> pa.RecordBatch:
             batch = table.combine_chunks().to_batches()[0]
             blob, offsets = text_buffers_binary(batch.column(5))
-            s = np.asarray(batch.column(2))
-            size = np.asarray(batch.column(3)) - s + 1
-            row = np.repeat(np.arange(len(s)), size)
-            place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + offsets[row]
-            ranks = suffix_ranks(blob, place, min_bytes)
-            order = np.arange(len(place))
+            row, begin, end, at, starts, ends = _windows(kind, lengths[kind], blob, offsets)
+            ranks = suffix_ranks(blob, at, lengths[kind]) if kind == BYTES else word_ranks(blob, starts, ends, at, lengths[kind])
+            order = np.arange(len(at))
             hit = reaches(ranks, order)
             if keep == "none":
                 hit |= reaches(ranks, -order)
-            flags = np.zeros(len(place) + len(s), bool)  # a gap between rows ends runs
-            flags[order + row] = hit
-            a, b = _runs(flags)
-            owner = row[a - np.searchsorted(np.cumsum(size) + np.arange(len(s)), a)] if len(a) else a
-            first = np.cumsum(size) - size + np.arange(len(s))
-            return emit(span_schema, batch, owner, pa.array((s[owner] + a - first[owner]).astype(np.int32)), pa.array((s[owner] + b - first[owner] - 1 + min_bytes).astype(np.int32)))
-
-        held: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            if held.get_total_buffer_size() < PIECE_BYTES:
-                continue
-            g = np.asarray(held.column(4).combine_chunks())
-            sizes = np.cumsum([len(x.as_buffer()) for c in held.column(5).chunks for x in c])
-            ends = np.r_[np.flatnonzero(g[1:] != g[:-1]) + 1]  # anchors' groups that are whole
-            while len(ends):
-                base = 0
-                many = ends[sizes[ends - 1] <= PIECE_BYTES]
-                cut = int(many[-1] if len(many) else ends[0])
-                yield piece(held.slice(base, cut))
-                held, sizes, ends = held.slice(cut), sizes[cut:] - sizes[cut - 1], ends[ends > cut] - cut
-        if held is not None and held.num_rows:
-            yield piece(held)
-
-    near = cut_from.mapInArrow(cuttings, cutting_schema).repartition("g").dropDuplicates(["g", "id", "th", "s"]).sortWithinPartitions("g", "id", "th", "s").mapInArrow(settle, span_schema)
-    window = cut_from.where(F.exists("at", lambda x: x["m"] > group_limit)).mapInArrow(windows, window_schema).distinct()
-    classes = window.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "p")).alias("first")).where("n > 1")
-    hot = window.join(classes, "h")
-    if keep == "first":
-        hot = hot.where(F.struct("id", "th", "p") > F.col("first"))
-    hot = hot.select("id", "th", F.col("p").alias("a"), (F.col("p") + min_bytes).alias("b"))
-    return settled.unionByName(near).unionByName(hot).groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("at"))
-
-
-def repeated_passages(docs: DataFrame, id_col: str, text_col: str, min_words: int, keep: str) -> DataFrame:
-    """Rows (id, th, at array<struct<a,b>>): byte ranges that strings of ``min_words`` whole words which repeat cover, as in :func:`repeated_spans`."""
-    texts = _hashed(docs, id_col, text_col).where(F.octet_length("text") >= 2 * min_words - 1)
-    key = [T.StructField("id", docs.schema[id_col].dataType), T.StructField("th", T.IntegerType())]
-    place = [T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]
-    region_schema = T.StructType([*key, *place, T.StructField("g", T.LongType()), T.StructField("e", T.LongType())])
-    window_schema = T.StructType([*key, *place, T.StructField("h", T.LongType())])
-
-    def written(df: DataFrame, name: str) -> DataFrame:
-        """df from a table in the shared folder, so that what uses it twice computes it once."""
-        path = scratch_uri(df.sparkSession, name)
-        df.write.parquet(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path)
-
-    def emit(form: T.StructType, batch: pa.RecordBatch, row: np.ndarray, a: np.ndarray, b: np.ndarray, *hashes: np.ndarray) -> pa.RecordBatch:
-        at = pa.array(row)
-        columns = [pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), *map(pa.array, hashes)]
-        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=form.fieldNames())
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blob, offsets = text_buffers(batch.column(2))
-            for i, j in chunks(offsets):
-                row, a, b, g, e = passage_regions(blob[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], min_words)
-                yield emit(region_schema, batch, row + i, a, b, g, e)
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blob, offsets = text_buffers(batch.column(2))
-            at = batch.column(3)
-            flat, owner = at.flatten(), np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(at.offsets)))
-            a, b = np.asarray(flat.field(0)), np.asarray(flat.field(1))
-            for i, j in chunks(offsets):
-                mine = slice(*np.searchsorted(owner, [i, j]))
-                part, base = blob[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                starts, ends, _ = passage_words(part, base)
-                begin = base[owner[mine] - i]
-                low = np.searchsorted(starts, begin + a[mine])
-                size = np.searchsorted(ends, begin + b[mine]) - min_words + 2 - low
-                word = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
-                row = np.repeat(owner[mine], size)
-                start, end, begin = starts[word], ends[word + min_words - 1], base[row - i]
-                h = _HASHER.ranges(_HASHER.prefix(part), start, end).view(np.int64)
-                yield emit(window_schema, batch, row, start - begin, end - begin, h)
-
-    found = texts.mapInArrow(find, region_schema)
-    twice = found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    found = written(found.join(twice, "g", "left_semi"), "regions")
-    flipped = F.col("g").bitwiseXOR(F.lit(1).cast("long")).alias("f")  # as in repeated_spans
-    contents = found.groupBy("e", flipped).agg(F.first("g").alias("g"), F.count("*").alias("n"), F.min(F.struct("id", "th", "a")).alias("rep"), F.first(F.col("b") - F.col("a")).alias("w"))
-    mixed = contents.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g")
-    equal = found.withColumn("f", flipped).join(contents.where("n > 1").select("f", "e", "rep"), ["f", "e"])
-    if keep == "first":
-        equal = equal.where(F.struct("id", "th", "a") > F.col("rep"))
-    settled = equal.select("id", "th", "a", "b")
-    open_ = contents.join(mixed, "g").select("rep.*", (F.col("rep.a") + F.col("w")).alias("b"))
-    wanted = open_.groupBy("id", "th").agg(F.collect_list(F.struct("a", "b")).alias("at"))
-    window = written(_join(texts, wanted).mapInArrow(windows, window_schema), "windows")
+            first = hit & np.r_[True, ~hit[:-1] | (row[1:] != row[:-1])]
+            last = hit & np.r_[~hit[1:] | (row[1:] != row[:-1]), True]
+            owner, base = row[first], np.asarray(batch.column(2))[row[first]]
+            return emit(span_schema, batch, owner, base + begin[first], base + end[last], pa.array(np.full(len(owner), kind, np.int8)))
+
+        def pieces(table: pa.Table) -> Iterator[tuple[int, pa.Table]]:
+            """(kind, cuttings) of about PIECE_BYTES, anchors whole."""
+            table = table.combine_chunks()
+            g = np.asarray(table.column(4).chunk(0))
+            size = text_buffers_binary(table.column(5).chunk(0))[1]
+            low = before = 0
+            for end in [*(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]:
+                if before > low and (g[before] & 1 != g[low] & 1 or size[end] - size[low] > PIECE_BYTES):
+                    yield int(g[low] & 1), table.slice(low, before - low)
+                    low = before
+                before = end
+            yield int(g[low] & 1), table.slice(low)
+
+        def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+            held: pa.Table | None = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                table = pa.Table.from_batches([batch])
+                held = table if held is None else pa.concat_tables([held, table])
+                if held.get_total_buffer_size() < PIECE_BYTES:
+                    continue
+                g = np.asarray(held.column(4).combine_chunks())
+                ends = np.flatnonzero(g[1:] != g[:-1]) + 1
+                if len(ends):
+                    yield from pieces(held.slice(0, int(ends[-1])))
+                    held = held.slice(int(ends[-1]))
+            if held is not None and held.num_rows:
+                yield from pieces(held)
+
+        def single(table: pa.Table) -> pa.Table:
+            """Rows of equal id and text bring a cutting more than once, one after another."""
+            new = np.zeros(table.num_rows, bool)
+            new[0] = True
+            for k in (4, 0, 1, 2):
+                column = table.column(k).combine_chunks()
+                same = pc.equal(column[1:], column[:-1])
+                null = pc.and_(pc.is_null(column[1:]), pc.is_null(column[:-1]))
+                new[1:] |= ~np.asarray(pc.or_(pc.fill_null(same, False), null).cast(pa.uint8())).astype(bool)
+            return table.filter(pa.array(new))
+
+        for kind, table in groups(batches):
+            yield piece(single(table), kind)
+
+    kind_first = F.col("g").bitwiseAND(F.lit(1).cast("long"))
+    near = cut_from.mapInArrow(cuttings, cutting_schema).repartition("g").sortWithinPartitions(kind_first, "g", "id", "th", "a").mapInArrow(settle, span_schema)
+    window = cut_from.where(F.exists("at", lambda x: x["hot"])).mapInArrow(windows, window_schema)
+    place = F.struct("id", "th", "a")
     # Rows of equal id and text bring a window more than once: it repeats if its places differ.
-    place_ = F.struct("id", "th", "a")
-    classes = window.groupBy("h").agg(F.min(place_).alias("first"), F.max(place_).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
-    more = window.join(classes, "h")
+    classes = window.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
+    hot = window.join(classes, "h")
     if keep == "first":
-        more = more.where(place_ > F.col("first"))
-    return settled.unionByName(more.select("id", "th", "a", "b")).groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("at"))
+        hot = hot.where(place > F.col("first"))
+    hot = hot.select("id", "th", "a", "b", "k")
+    return settled.unionByName(near).unionByName(hot).groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("a", "b", "k"))).alias("at"))
 
 
 def _hashed(docs: DataFrame, id_col: str, text_col: str, columns: tuple[str, ...] = ()) -> DataFrame:
@@ -399,8 +394,9 @@ def remove_repeats(
     group_limit: int = 1000,
     columns: tuple[str, ...] = (),
     min_words: int | None = None,
+    passages_of: int | None = None,
 ) -> DataFrame:
-    """Rows (<id>, n_bytes, n_removed, spans, kept, <columns>): each text without its long repeats.
+    """Rows (<id>, n_bytes, n_removed, spans, kept, <n_passage,> <columns>): each text without its long repeats.
 
     Texts are UTF-8 bytes, a null text is empty, and matches stay within texts.
     With keep "none" every byte covered by a string of ``min_bytes`` bytes that
@@ -413,14 +409,17 @@ def remove_repeats(
     ``columns`` of the input are carried along; rows of equal id and text carry
     those of one of them.  With ``min_words`` strings are so many whole words
     (see :func:`passage_words`), of any number of bytes, instead of ``min_bytes``.
+    With ``passages_of``, n_passage has the bytes that repeats of so many whole
+    words cover; they stay.
     """
     if keep not in ("first", "none") or min_bytes < 16:
         raise ValueError("keep is first or none, min_bytes 16 at least")
-    if min_words:
-        min_bytes = 2 * min_words - 1  # shorter texts cannot hold so many words
-        spans = repeated_passages(docs, id_col, text_col, min_words, keep)
-    else:
-        spans = repeated_spans(docs, id_col, text_col, min_bytes, keep, group_limit)
+    if min_words and passages_of:
+        raise ValueError("passages of words are removed or counted")
+    lengths = {WORDS: min_words} if min_words else {BYTES: min_bytes} | ({WORDS: passages_of} if passages_of else {})
+    removed_kind = WORDS if min_words else BYTES
+    min_bytes = min(_size_of(*x) for x in lengths.items())  # shorter texts hold no repeat
+    spans = repeated_spans(docs, id_col, text_col, lengths, keep, group_limit)
     texts = _hashed(docs, id_col, text_col)
     long_ = _join(texts.where(F.octet_length("text") >= min_bytes), spans, "left")
     extra = [f"_{i}" for i in range(len(columns))]
@@ -437,27 +436,29 @@ def remove_repeats(
             T.StructField("kept", T.BinaryType()),
         ]
     )
+    if passages_of:
+        schema = schema.add("n_passage", T.LongType())
     for name, c in zip(extra, columns, strict=True):
         schema = schema.add(name, docs.schema[c].dataType)
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
 
+    def runs_of(at: pa.StructScalar, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Maximal runs of the ranges of a kind, which are sorted."""
+        a, b, k = (np.asarray(at.values.field(i)) for i in range(3))
+        a, b = a[k == kind], b[k == kind]
+        # A range joins the run before it if it begins within it.
+        high = np.maximum.accumulate(b)
+        new = np.r_[True, a[1:] > high[:-1]][: len(a)]
+        return a[new], high[np.r_[np.flatnonzero(new)[1:] - 1, len(a) - 1]] if len(a) else b
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blob, offsets = text_buffers(batch.column(1))
-            kept, runs, removed = [], [], []
+            kept, runs, removed, passage = [], [], [], []
             for i, at in enumerate(batch.column(2)):
                 text = blob[offsets[i] : offsets[i + 1]]
-                if not at.is_valid:
-                    kept.append(text.tobytes())
-                    runs.append([])
-                    removed.append(0)
-                    continue
-                a, b = np.asarray(at.values.field(0)), np.asarray(at.values.field(1))
-                # Sorted ranges: a range joins the run before it if it begins within it.
-                high = np.maximum.accumulate(b)
-                new = np.r_[True, a[1:] > high[:-1]]
-                begin, end = a[new], high[np.r_[np.flatnonzero(new)[1:] - 1, len(a) - 1]]
-                if whole_letters:
+                begin, end = runs_of(at, removed_kind) if at.is_valid else (np.zeros(0, int),) * 2
+                if whole_letters and len(begin):
                     begin, end = _letters(text, begin, end)
                 flags = np.ones(len(text), bool)
                 for x, y in zip(begin, end, strict=True):
@@ -465,8 +466,12 @@ def remove_repeats(
                 kept.append(text[flags].tobytes())
                 runs.append([{"start": int(x), "length": int(y - x)} for x, y in zip(begin, end, strict=True)])
                 removed.append(int((end - begin).sum()))
+                if passages_of:
+                    begin, end = runs_of(at, WORDS) if at.is_valid else (np.zeros(0, int),) * 2
+                    passage.append(int((end - begin).sum()))
+            more = [pa.array(passage, pa.int64())] if passages_of else []
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(runs, span_type), pa.array(kept, pa.binary()), *batch.columns[3:]], names=schema.fieldNames()
+                [batch.column(0), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(runs, span_type), pa.array(kept, pa.binary()), *more, *batch.columns[3:]], names=schema.fieldNames()
             )
 
     done = long_.select("id", "text", "at", *extra).mapInArrow(cut, schema)
@@ -476,6 +481,7 @@ def remove_repeats(
         F.lit(0).cast("long").alias("n_removed"),
         F.array().cast("array<struct<start:int,length:int>>").alias("spans"),
         F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("kept"),
+        *([F.lit(0).cast("long").alias("n_passage")] if passages_of else []),
         *extra,
     )
     return done.unionByName(short).withColumnsRenamed(dict(zip(extra, columns, strict=True)))

@@ -68,6 +68,21 @@ def test_odd_rows(spark):
     assert suffix_dedup.remove_repeats(df.limit(0), min_bytes=40).collect() == []
 
 
+def test_passages_are_counted_beside_bytes(spark):
+    rng = random.Random(8)
+    pool = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(40)) for _ in range(4)]
+    cut = lambda p: " ".join(p.split()[rng.randint(0, 12) : rng.randint(14, 40)])
+    rows = [(i, " ".join(cut(rng.choice(pool)) + " " + str(rng.random()) for _ in range(rng.randint(1, 6)))) for i in range(50)] + [(90, None), (91, "a b"), (92, pool[0]), (92, pool[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for keep in ("none", "first"):
+        both = suffix_dedup.remove_repeats(df, min_bytes=60, keep=keep, passages_of=8).collect()
+        plain = suffix_dedup.remove_repeats(df, min_bytes=60, keep=keep).collect()
+        words = suffix_dedup.remove_repeats(df, min_words=8, keep=keep).collect()
+        assert sorted((r.doc_id, r.n_removed, bytes(r.kept)) for r in both) == sorted((r.doc_id, r.n_removed, bytes(r.kept)) for r in plain)
+        assert sorted((r.doc_id, r.n_passage) for r in both) == sorted((r.doc_id, r.n_removed) for r in words)
+        assert any(r.n_passage and not r.n_removed for r in both)
+
+
 def test_previous_factor_of_a_text():
     rng = np.random.default_rng(0)
     text = rng.integers(97, 99, 300).astype(np.uint8)
