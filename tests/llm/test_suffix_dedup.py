@@ -75,8 +75,8 @@ def test_passages_are_counted_beside_bytes(spark):
     rows = [(i, " ".join(cut(rng.choice(pool)) + " " + str(rng.random()) for _ in range(rng.randint(1, 6)))) for i in range(50)] + [(90, None), (91, "a b"), (92, pool[0]), (92, pool[0])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for keep in ("none", "first"):
-        both = suffix_dedup.remove_repeats(df, min_bytes=60, keep=keep, passages_of=8).collect()
-        plain = suffix_dedup.remove_repeats(df, min_bytes=60, keep=keep).collect()
+        both = suffix_dedup.remove_repeats(df, min_bytes=120, keep=keep, passages_of=8).collect()
+        plain = suffix_dedup.remove_repeats(df, min_bytes=120, keep=keep).collect()
         words = suffix_dedup.remove_repeats(df, min_words=8, keep=keep).collect()
         assert sorted((r.doc_id, r.n_removed, bytes(r.kept)) for r in both) == sorted((r.doc_id, r.n_removed, bytes(r.kept)) for r in plain)
         assert sorted((r.doc_id, r.n_passage) for r in both) == sorted((r.doc_id, r.n_removed) for r in words)
