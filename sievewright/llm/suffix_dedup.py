@@ -16,9 +16,12 @@ compared only where a repeat is possible:
    order: each content is cut out once, the cuttings of many anchors are put in
    one buffer, their window starts are ranked to the window's depth by prefix
    doubling, and the previous and next smaller (larger) positions in suffix order
-   give the longest earlier (later) match.  An anchor with over ``group_limit``
-   contents would be one long task; its windows are counted by hash instead,
-   which gives the same rows.
+   give the longest earlier (later) match.
+4. An anchor with over ``group_limit`` contents would be one long task.  Its
+   regions are cut into blocks of a few windows, by their distance from the
+   anchor, and the core that all windows of a block share takes the anchor's
+   place: step 2 again.  What is left, blocks of one core and different contents,
+   is settled by counting their windows' hashes.  The rows are the same.
 
 Equality of contents rests on two 64-bit hashes, of the anchor's gram and of the
 whole region, and only regions of one anchor are held against each other.
@@ -44,6 +47,10 @@ _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 
 #: Bytes of cuttings that one suffix order is made of (a single anchor's cuttings stay together).
 PIECE_BYTES = 1 << 20
+#: Numbers that a list of documents is reduced to before it is broadcast: 2 MiB at most.
+SIEVE = 1 << 18
+#: Windows of a block of a common anchor's region.
+BLOCK = 16
 #: Kinds of strings; the lowest bit of an anchor's hash names the kind.
 BYTES, WORDS = 0, 1
 
@@ -216,6 +223,36 @@ def _windows(kind: int, length: int, blob: np.ndarray, offsets: np.ndarray) -> t
     return row, begin - offsets[row], end - offsets[row], at, starts, ends
 
 
+def region_blocks(kind: int, length: int, blob: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows (row, first byte, end), blocks (core hash, content hash, first window) and the windows' hashes of regions.
+
+    Each row is one region.  Equal windows stand at equal distances from their
+    anchor; a block is the windows at BLOCK distances, and its core is what all
+    of them hold, whether or not the region has them all.
+    """
+    size, gram = max(1, min(BLOCK, length // 4)), max(1, length // 4)
+    row, begin, end, at, starts, ends = _windows(kind, length, blob, offsets)
+    prefix = _HASHER.prefix(blob)
+    if kind == BYTES:
+        raw, first = _HASHER.rolling(prefix, gram, mixed=False), offsets
+    else:
+        raw, first = _HASHER.ranges(prefix, starts[: max(len(starts) - gram + 1, 0)], ends[gram - 1 :]), np.searchsorted(starts, offsets)
+    owner, _, _, place = _regions(raw, first, length, gram)
+    anchor = np.zeros(len(offsets), np.int64)
+    anchor[owner] = place
+    block = (anchor[row] - at) // size
+    head = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (block[1:] != block[:-1])][: len(row)])
+    tail = np.r_[head[1:], len(row)][: len(head)] - 1
+    low = anchor[row[head]] - block[head] * size
+    high = low - (size - 1) + length  # the core's symbols
+    core = (low, high) if kind == BYTES else (starts[low], ends[high - 1])
+    base = offsets[row]
+    c = _HASHER.ranges(prefix, *core) ^ mix(block[head].astype(np.uint64) * np.uint64(2) + np.uint64(kind))
+    e = _HASHER.ranges(prefix, (base + begin)[head], (base + end)[tail])
+    h = _named(_HASHER.ranges(prefix, base + begin, base + end), kind)
+    return row, begin, end, c.view(np.int64), e.view(np.int64), head, h
+
+
 def repeated_spans(docs: DataFrame, id_col: str, text_col: str, lengths: dict[int, int], keep: str, group_limit: int) -> DataFrame:
     """Rows (id, th, at array<struct<a,b,k>>): byte ranges of repeats, by kind, of documents that have any; th is the text's hash.
 
@@ -230,7 +267,8 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, lengths: dict[in
 
     region_schema = schema(g=long, e=long)
     cutting_schema = schema(g=long, cut=T.BinaryType())
-    window_schema = schema(k=byte, h=long)
+    window_type = T.StructType([T.StructField("a", integer), T.StructField("b", integer), T.StructField("h", long)])
+    block_schema = schema(k=byte, c=long, e=long, at=T.ArrayType(window_type))
     span_schema = schema(k=byte)
 
     def emit(form: T.StructType, batch: pa.RecordBatch, row: np.ndarray, a: np.ndarray, b: np.ndarray, *columns) -> pa.RecordBatch:
@@ -258,17 +296,14 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, lengths: dict[in
         equal = equal.where(place > F.col("rep"))
     settled = equal.select("id", "th", "a", "b", F.col("g").bitwiseAND(F.lit(1).cast("long")).cast("byte").alias("k"))
     # One region of each content of the other anchors: cut out of its text.
-    open_ = contents.join(counts, "g").select("g", (F.col("m") > group_limit).alias("hot"), "rep.*")
-    wanted = open_.groupBy("id", "th").agg(F.collect_list(F.struct("a", "b", "g", "hot")).alias("at"))
-    cut_from = _join(texts, wanted)
+    open_ = contents.join(counts, "g").select("g", "m", "rep.*")
+    listed = lambda rows: rows.groupBy("id", "th").agg(F.collect_list(F.struct("a", "b", "g")).alias("at"))
 
-    def cuts(batch: pa.RecordBatch, hot: bool):
-        """(row, first byte, anchor, bytes) of the wanted regions of hot anchors, or of the others."""
+    def cuts(batch: pa.RecordBatch):
+        """(row, first byte, end, anchor, bytes) of the wanted regions, some at a time."""
         at = batch.column(3)
         flat, owner = at.flatten(), np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(at.offsets)))
         a, b, g = (np.asarray(flat.field(k)) for k in range(3))
-        chosen = np.asarray(flat.field(3).cast(pa.uint8())).astype(bool) == hot
-        owner, a, b, g = owner[chosen], a[chosen], b[chosen], g[chosen]
         blob, offsets = text_buffers(batch.column(2))
         start = offsets[owner]
         for i in range(0, len(owner), 10000):
@@ -277,21 +312,22 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, lengths: dict[in
 
     def cuttings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for owner, a, b, g, cut in cuts(batch, False):
+            for owner, a, b, g, cut in cuts(batch):
                 yield emit(cutting_schema, batch, owner, a, b, pa.array(g), pa.array(cut, pa.binary()))
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for owner, a, _, g, cut in cuts(batch, True):
+            for owner, a, _, g, cut in cuts(batch):
                 for kind, length in lengths.items():
                     mine = np.flatnonzero(g & 1 == kind)
                     blob, offsets = text_buffers_binary(pa.array([cut[i] for i in mine], pa.large_binary()))
                     for i, j in chunks(offsets):
-                        part, base = blob[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                        row, begin, end, *_ = _windows(kind, length, part, base)
-                        h = _named(_HASHER.ranges(_HASHER.prefix(part), base[row] + begin, base[row] + end), kind)
+                        row, begin, end, c, e, first, h = region_blocks(kind, length, blob[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                         own = mine[row + i]
-                        yield emit(window_schema, batch, owner[own], a[own] + begin, a[own] + end, pa.array(np.full(len(row), kind, np.int8)), pa.array(h))
+                        fields = [pa.array((a[own] + x).astype(np.int32)) for x in (begin, end)]
+                        last = np.r_[first[1:], len(row)] - 1
+                        at = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)].astype(np.int32)), pa.StructArray.from_arrays([*fields, pa.array(h)], names=["a", "b", "h"]))
+                        yield emit(block_schema, batch, owner[own[first]], (a[own] + begin)[first], (a[own] + end)[last], pa.array(np.full(len(first), kind, np.int8)), pa.array(c), pa.array(e), at)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def piece(table: pa.Table, kind: int) -> pa.RecordBatch:
@@ -353,16 +389,38 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, lengths: dict[in
             yield piece(single(table), kind)
 
     kind_first = F.col("g").bitwiseAND(F.lit(1).cast("long"))
-    near = cut_from.mapInArrow(cuttings, cutting_schema).repartition("g").sortWithinPartitions(kind_first, "g", "id", "th", "a").mapInArrow(settle, span_schema)
-    window = cut_from.where(F.exists("at", lambda x: x["hot"])).mapInArrow(windows, window_schema)
+    near = _join(texts, listed(open_.where(F.col("m") <= group_limit))).mapInArrow(cuttings, cutting_schema)
+    near = near.repartition("g").sortWithinPartitions(kind_first, "g", "id", "th", "a").mapInArrow(settle, span_schema)
+    spans = settled.unionByName(near)
+    common = counts.where(F.col("m") > group_limit)
+    if not common.isEmpty():
+        wanted = written(listed(open_.where(F.col("m") > group_limit)), "common")
+        # Few texts hold such regions: a list of at most SIEVE numbers keeps most others from being dealt.
+        sieve = F.pmod(F.xxhash64("id", "th"), F.lit(SIEVE)).alias("sieve")
+        some = texts.join(F.broadcast(wanted.select(sieve).distinct()), sieve == F.col("sieve"), "left_semi")
+        spans = spans.unionByName(_counted(_join(some, wanted).mapInArrow(blocks, block_schema), keep))
+    return spans.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("a", "b", "k"))).alias("at"))
+
+
+def _counted(blocks: DataFrame, keep: str) -> DataFrame:
+    """Rows (id, th, a, b, k) that repeat, of blocks (id, th, a, b, k, c core, e content, at windows).
+
+    Rows of equal id and text bring a block more than once: it repeats if its places differ.
+    """
+    blocks = written(blocks, "blocks")
     place = F.struct("id", "th", "a")
-    # Rows of equal id and text bring a window more than once: it repeats if its places differ.
-    classes = window.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
-    hot = window.join(classes, "h")
-    if keep == "first":
-        hot = hot.where(place > F.col("first"))
-    hot = hot.select("id", "th", "a", "b", "k")
-    return settled.unionByName(near).unionByName(hot).groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("a", "b", "k"))).alias("at"))
+    ends = lambda rows, *by: rows.groupBy(*by).agg(F.min(place).alias("rep"), F.max(place).alias("last"))
+    more = ~F.col("rep").eqNullSafe(F.col("last"))
+    later = lambda rows: rows.where(place > F.col("rep")) if keep == "first" else rows
+    contents = written(ends(blocks, "c", "e"), "block-contents")
+    cores = written(contents.groupBy("c").agg(F.count("*").alias("m")).where("m > 1").select("c"), "cores")
+    settled = later(blocks.drop("at").join(contents.where(more).drop("last"), ["c", "e"]))
+    open_ = contents.join(cores, "c", "left_semi").select("c", "e", "rep")
+    window = blocks.join(open_, ["c", "e"]).where(place.eqNullSafe(F.col("rep"))).select("id", "th", "k", F.explode("at").alias("w")).select("id", "th", "k", "w.*")
+    window = written(window, "windows")
+    found = later(window.join(ends(window, "h").where(more).drop("last"), "h"))
+    columns = ["id", "th", "a", "b", "k"]
+    return settled.select(columns).unionByName(found.select(columns))
 
 
 def _hashed(docs: DataFrame, id_col: str, text_col: str, columns: tuple[str, ...] = ()) -> DataFrame:
@@ -391,7 +449,7 @@ def remove_repeats(
     min_bytes: int = 400,
     keep: str = "first",
     whole_letters: bool = False,
-    group_limit: int = 1000,
+    group_limit: int = 2000,
     columns: tuple[str, ...] = (),
     min_words: int | None = None,
     passages_of: int | None = None,
