@@ -58,8 +58,9 @@ def capped_score(rows: Column, cap: Column | None = None, exempt: tuple[str, ...
 
 
 def occurrences(text: Column, phrase: str) -> Column:
-    """How often a phrase occurs without overlap."""
-    return ((F.length(text) - F.length(F.replace(text, F.lit(phrase), F.lit("")))) / len(phrase)).cast("int")
+    """How often a phrase occurs without overlap; most texts are done after one search."""
+    n = ((F.length(text) - F.length(F.replace(text, F.lit(phrase), F.lit("")))) / len(phrase)).cast("int")
+    return F.when(F.contains(text, F.lit(phrase)), n).when(text.isNotNull(), 0)
 
 
 def hits(text: Column, phrases) -> Column:
@@ -81,9 +82,10 @@ def trimmed(text: Column) -> Column:
 
 def hangul_share(text: Column, jamo: bool = False) -> Column:
     """Hangul syllables (and jamo) among letters; 0 without letters."""
-    kinds = "[가-힣ᄀ-ᇿ]" if jamo else "[가-힣]"
-    letters = matches(text, r"\p{L}")
-    return F.when(letters > 0, matches(text, kinds) / letters).otherwise(F.lit(0.0))
+    others = "[^가-힣ᄀ-ᇿ]+" if jamo else "[^가-힣]+"
+    # Whole runs of other letters go in one step each.
+    letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
+    return F.when(letters > 0, F.length(F.regexp_replace(text, others, "")) / letters).otherwise(F.lit(0.0))
 
 
 def mean(x: Column) -> Column:

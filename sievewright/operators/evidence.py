@@ -60,11 +60,15 @@ def violations(items: DataFrame, levels: tuple[str, ...] = TRUST_LEVELS) -> Data
     return items.select("item_id", bad.alias("violation")).where("violation IS NOT NULL")
 
 
-def case_documents(items: DataFrame, edges: DataFrame, case: str = "case_id") -> DataFrame:
-    """One JSON document for each case: its items and lineage; a case is a bounded group by contract."""
-    rows = items.groupBy(case).agg(F.sort_array(F.collect_list(F.struct("item_id", "trust_level"))).alias("items"))
-    links = edges.groupBy(case).agg(F.sort_array(F.collect_list(F.struct("src", "dst", "relation"))).alias("lineage"))
-    return rows.join(links, case, "left").select(case, F.to_json(F.struct(F.lit("evidence-case-v1").alias("schema"), F.col(case).alias("case_id"), "items", F.coalesce("lineage", F.array().cast("array<struct<src:bigint,dst:bigint,relation:string>>")).alias("lineage"))).alias("document"))
+def case_lines(items: DataFrame, edges: DataFrame, case: str = "case_id") -> DataFrame:
+    """Rows (case, part, line): a case document as JSON lines, one for each item and each edge of its lineage.
+
+    A case may be of any size: nothing is grouped, and a writer that partitions
+    by case gives one folder of lines for each.
+    """
+    head = (F.lit("evidence-case-v1").alias("schema"), F.col(case).alias("case_id"))
+    rows = items.select(case, F.lit("item").alias("part"), F.to_json(F.struct(*head, "item_id", "trust_level")).alias("line"))
+    return rows.unionByName(edges.select(case, F.lit("lineage").alias("part"), F.to_json(F.struct(*head, "src", "dst", "relation")).alias("line")))
 
 
 def load_chains(lines: DataFrame, line: str = "value") -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievewright.functions.columns import SIGNALS, band, clamp, weight_of
+from sievewright.functions.columns import SIGNALS, band, clamp, total, weight_of
 
 FUSION_TITLE = "융합 점수"
 SOURCE_TITLE = "생성 도구 메타데이터"
@@ -104,6 +104,34 @@ def expert_fusion(experts: DataFrame, id_col: str = "item_id") -> DataFrame:
         F.count_if(f.isin("spectral", "statistical", "reconstruction") & (s >= 45)).alias("statistical"),
         (F.sum(s * F.col("weight")) / F.greatest(F.sum("weight"), F.lit(0.001))).alias("mean"),
     )
+    return _voted(c).select(id_col, "high", "medium", "score")
+
+
+def expert_fusion_wide(rows: DataFrame, experts: dict[str, tuple[str, float]], id_col: str = "item_id") -> DataFrame:
+    """:func:`expert_fusion` of rows that hold each expert's score as a column, (family, weight) by name: no shuffle.
+
+    A null score is an expert that was not available.
+    """
+    def count(condition, families=None) -> Column:
+        chosen = [c for c, (family, _) in experts.items() if families is None or family in families]
+        return total([F.coalesce(condition(F.col(c)), F.lit(False)).cast("long") for c in chosen]).cast("long")
+
+    weight = total([F.when(F.col(c).isNotNull(), w).otherwise(0.0) for c, (_, w) in experts.items()])
+    mean = total([F.coalesce(F.col(c), F.lit(0)) * w for c, (_, w) in experts.items()]) / F.greatest(weight, F.lit(0.001))
+    c = rows.select(
+        id_col,
+        count(lambda s: s >= 67).alias("high"),
+        count(lambda s: (s >= 45) & (s < 67)).alias("medium"),
+        count(lambda s: s >= 45, ("retrieval",)).alias("retrieval"),
+        count(lambda s: s >= 45, ("localization", "compositing")).alias("local"),
+        count(lambda s: s >= 45, ("spectral", "statistical", "reconstruction")).alias("statistical"),
+        mean.alias("mean"),
+    )
+    return _voted(c).select(id_col, "high", "medium", "score")
+
+
+def _voted(c: DataFrame) -> DataFrame:
+    """Adds the score by the counts of high and medium experts and the mean."""
     h, m, r, lo, st = (F.col(x) for x in ("high", "medium", "retrieval", "local", "statistical"))
     near = lambda plus, low, high: clamp(F.bround(F.round(F.col("mean") + plus, 9)).cast("int"), low, high)
     score = (
@@ -113,7 +141,7 @@ def expert_fusion(experts: DataFrame, id_col: str = "item_id") -> DataFrame:
         .when(m >= 1, near(3, 34, 62))
         .otherwise(near(0, 0, 32))
     )
-    return c.select(id_col, "high", "medium", score.alias("score"))
+    return c.withColumn("score", score)
 
 
 def multimodal(scores: DataFrame, id_col: str = "subject_id") -> DataFrame:

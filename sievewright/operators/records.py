@@ -72,24 +72,21 @@ def with_cache(work: DataFrame, cache: DataFrame, key: str = "cache_key") -> tup
     return work.join(cache.select(key), key, "left_anti"), work.join(cache, key).withColumn("cached", F.lit(True))
 
 
-def marker_pattern(markers) -> str:
-    """One pattern for ASCII markers between letters and digits, plain for others."""
-    ascii_ = sorted((m for m in markers if m.isascii()), key=lambda m: (-len(m), m))
-    return r"(?<![a-z0-9])(" + "|".join(map(re.escape, ascii_)) + r")(?![a-z0-9])"
-
-
 def marker_hits(docs: DataFrame, lexicon: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (id, tool, marker) of lexicon rows (tool, marker) found in lower-cased texts.
 
-    The lexicon is a bounded list of names, so the join is a broadcast nested
-    loop over its markers for each text; texts are not shuffled.
+    ASCII markers stand between characters other than a-z and 0-9, others
+    anywhere.  The lexicon, a bounded list of names, becomes one literal array:
+    a text keeps the markers it contains, and only those are looked at again, by
+    pattern.  Texts are neither joined nor shuffled.
     """
-    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    d = docs.select(id_col, text.alias("_t"))
-    quoted = F.concat(F.lit(r"(?<![a-z0-9])\Q"), F.col("marker"), F.lit(r"\E(?![a-z0-9])"))
-    plain = F.col("marker").rlike("[^\\x00-\\x7F]")
-    found = F.contains("_t", F.col("marker")) & (plain | F.expr("_t RLIKE _q"))
-    return d.join(F.broadcast(lexicon.withColumn("_q", quoted)), found).drop("_t", "_q")
+    names = sorted({(r.tool, r.marker) for r in lexicon.select("tool", "marker").collect() if r.marker})
+    if not names:
+        return docs.select(id_col, F.lit("").alias("tool"), F.lit("").alias("marker")).where(F.lit(False))
+    known = F.array(*[F.struct(F.lit(t).alias("tool"), F.lit(m).alias("marker"), F.lit(rf"(?<![a-z0-9])\Q{m}\E(?![a-z0-9])" if m.isascii() else "").alias("bounded")) for t, m in names])
+    d = docs.select(id_col, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"))
+    d = d.select(id_col, "_t", F.explode(F.filter(known, lambda x: F.contains("_t", x["marker"]))).alias("_m"))
+    return d.where((F.col("_m.bounded") == "") | F.expr("_t RLIKE _m.bounded")).select(id_col, "_m.tool", "_m.marker")
 
 
 def tool_matches(hits: DataFrame, id_col: str, top: int = 5) -> DataFrame:
@@ -170,22 +167,36 @@ def audit(corpus: DataFrame, required: tuple[str, ...] = REQUIRED_SPLITS) -> Dat
     )
 
 
-def fingerprint(corpus: DataFrame, by: list[str], label: str, content_hash: str, order: str) -> DataFrame:
-    """Digest of each group's (label, content hash) rows in order; a group is one row's array, so for bounded groups."""
-    rows = F.sort_array(F.collect_list(F.struct(F.col(order), F.concat_ws(":", F.col(label).cast("string"), F.col(content_hash)).alias("line"))))
-    return corpus.groupBy(*by).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(rows, lambda r: r["line"]), "\n"), 256).alias("fingerprint"))
-
-
-def bucket_fingerprint(corpus: DataFrame, label: str, content_hash: str, buckets: int = 4096) -> DataFrame:
-    """One digest of a corpus of any size, of its rows' order-free sums by bucket; rows repeat in it as often as they occur.
+def fingerprint(corpus: DataFrame, by: list[str], label: str, content_hash: str) -> DataFrame:
+    """Rows (by, n, fingerprint): one digest of each group's (label, content hash) rows, whatever their order.
 
-    Differs from :func:`fingerprint`: no task or row holds the corpus.
+    The rows' digests are summed in 4096 buckets, which combine before the
+    shuffle; a group's digest is over its buckets, so no task or row holds a
+    group.  Rows repeat in it as often as they occur; null hashes count as empty.
     """
     line = F.sha2(F.concat_ws(":", F.col(label).cast("string"), F.col(content_hash)), 256)
-    half = lambda i: F.conv(F.substring("d", i, 15), 16, 10).cast("decimal(38,0)")
-    sums = corpus.select(line.alias("d")).groupBy(F.pmod(F.xxhash64("d"), F.lit(buckets)).alias("b")).agg(F.count("*").alias("n"), F.sum(half(1)).alias("x"), F.sum(half(16)).alias("y"))
+    part = lambda i: F.conv(F.substring("d", i, 15), 16, 10).cast("decimal(38,0)")
+    sums = corpus.select(*by, line.alias("d")).groupBy(*by, F.left("d", F.lit(3)).alias("b")).agg(F.count("*").alias("n"), F.sum(part(4)).alias("x"), F.sum(part(19)).alias("y"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "n", "x", "y"))), lambda r: F.concat_ws(",", r["b"], r["n"], r["x"], r["y"])), ";")
-    return sums.agg(F.sum("n").alias("n"), F.sha2(text, 256).alias("fingerprint"))
+    return sums.groupBy(*by).agg(F.sum("n").alias("n"), F.sha2(text, 256).alias("fingerprint"))
+
+
+def search(rows: DataFrame, queries: DataFrame, id_col: str, value: str, block: list[str], score, match, salts: int = 16) -> DataFrame:
+    """Rows (id, compared, matched, best_id, best_score): each query against all other rows of its block.
+
+    ``score`` is a column of two values, ``match`` says of a score whether it
+    counts.  Rows are dealt by block and one of ``salts`` numbers, and queries
+    to all of them, so a common block is many tasks; only counts and the best go
+    on.  Nulls in the block match nothing; ties go to the least id; queries
+    without another row have no row.
+    """
+    salt = F.pmod(F.xxhash64(id_col), F.lit(salts))
+    q = queries.select(*block, F.col(id_col).alias("_q"), F.col(value).alias("_v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_s"))
+    pairs = rows.select(*block, id_col, value, salt.cast("long").alias("_s")).join(q, [*block, "_s"]).where(F.col(id_col) != F.col("_q"))
+    pairs = pairs.select("_q", id_col, score(F.col("_v"), F.col(value)).alias("_score"))
+    best = F.max(F.struct("_score", (-F.col(id_col)).alias("_id")))
+    d = pairs.groupBy("_q").agg(F.count("*").alias("compared"), F.count_if(match(F.col("_score"))).alias("matched"), best.alias("_b"))
+    return d.select(F.col("_q").alias(id_col), "compared", "matched", (-F.col("_b._id")).alias("best_id"), F.col("_b._score").alias("best_score"))
 
 
 def containers(items: DataFrame) -> DataFrame:

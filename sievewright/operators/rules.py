@@ -100,12 +100,19 @@ def apply(rows: DataFrame, rules: Rules, high: int = 67, medium: int = 35) -> Da
     return d.withColumn("score", F.least(F.lit(100), weight_of(F.col("signals")))).withColumn("band", band(F.col("score"), high, medium))
 
 
-def long_scores(rows: DataFrame, rules: Rules, id_col: str, floors=None) -> DataFrame:
-    """Rows (id, name, family, score): every expert's score of every feature row."""
-    out = []
+def wide_scores(rows: DataFrame, rules: Rules, floors=None) -> DataFrame:
+    """Adds score_<probe> for every probe, raised to the floors whose condition holds."""
+    scores = {}
     for name, cases in rules.items():
         score = F.expr(probe_weight(cases))
         for condition, least in (floors or {}).get(name, []):
             score = F.when(F.expr(condition), F.greatest(score, F.lit(least))).otherwise(score)
-        out.append(F.struct(F.lit(name).alias("name"), F.lit(FAMILIES.get(name, "")).alias("family"), score.alias("score")))
-    return rows.select(id_col, F.explode(F.array(*out)).alias("e")).select(id_col, "e.*")
+        scores[f"score_{name}"] = score
+    return rows.withColumns(scores)
+
+
+def long_scores(rows: DataFrame, rules: Rules, id_col: str, floors=None) -> DataFrame:
+    """Rows (id, name, family, score): every expert's score of every feature row."""
+    d = wide_scores(rows, rules, floors)
+    out = [F.struct(F.lit(name).alias("name"), F.lit(FAMILIES.get(name, "")).alias("family"), F.col(f"score_{name}").alias("score")) for name in rules]
+    return d.select(id_col, F.explode(F.array(*out)).alias("e")).select(id_col, "e.*")

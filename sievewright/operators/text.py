@@ -56,7 +56,7 @@ def grams(w: Column, n: int) -> Column:
 def prepare(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds trimmed, normalized, lines, sentences (8 letters or more), words and the Hangul share."""
     text = trimmed(F.coalesce(F.col(text_col), F.lit("")))
-    out = docs.withColumn("trimmed", text).withColumn("normalized", F.regexp_replace(F.lower("trimmed"), r"\s+", " "))
+    out = docs.withColumn("trimmed", text).withColumn("normalized", F.regexp_replace(F.lower("trimmed"), r"[^\S ]\s*| \s+", " "))  # all runs but single spaces
     return out.withColumns({"lines": lines(F.col("trimmed")), "sentences": sentences(F.col("trimmed"), 8), "words": words(F.col("normalized")), "hangul": hangul_share(F.col("trimmed"))})
 
 
@@ -88,11 +88,12 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "lengths": F.transform(s, lambda x: F.greatest(F.lit(1), matches(x, WORD))),
             "typographic": matches(F.col("trimmed"), L.TYPOGRAPHIC),
             "structure": structure_share(rows),
-            "plain_words": F.regexp_extract_all(n, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)),
+            "plain_words": F.concat(w, F.flatten(F.transform(F.filter(w, lambda x: F.contains(x, F.lit("'"))), lambda x: F.split(x, "'")))),
+            "shingles": grams(w, 3),
         }
     )
-    shingles = grams(w, 3)
-    starter = lambda x, known: F.regexp_replace(F.lower(x), "^[\"'\\-–— ]+", "").rlike(f"^({alternation(known)})")
+    shingles = F.col("shingles")
+    starter = lambda x, known: F.lower(x).rlike(f"^[\"'\\-–— ]*({alternation(known)})")
     return d.withColumns(
         {
             "mean_length": mean(F.col("lengths")),
@@ -231,41 +232,52 @@ def prepare_advanced(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumns({"words": advanced_words(F.col("trimmed"), F.col("hangul")), "sentences": sentences(F.col("trimmed"), 5), "lower": F.lower("trimmed")})
 
 
-def gram_statistics(prepared: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows (id, entropy, distinct and repeated trigrams, distinct words, words used once).
+def _runs(hashes: Column) -> Column:
+    """(n, distinct, once, weighted) of an array of hashes: equal ones stand together once sorted.
 
-    Every word, bigram and trigram is one exploded row; counts combine on the
-    map side and are keyed by document and gram, so no document makes a hot key.
+    weighted is the sum of c * log2(c) over the counts c, grown as each hash joins its run.
     """
-    kinds = F.array(
-        *[F.struct(F.lit(n).alias("n"), grams(F.col("words"), n).alias("grams")) for n in (1, 2, 3)]
-    )
-    flat = prepared.select(id_col, F.explode(kinds).alias("k")).select(id_col, F.col("k.n").alias("n"), F.explode("k.grams").alias("gram"))
-    counts = flat.groupBy(id_col, "n", "gram").agg(F.count("*").alias("c"))
-    is_n = lambda n: F.col("n") == n
-    c = F.col("c")
-    sums = counts.groupBy(id_col).agg(
-        F.sum(F.when(is_n(2), c)).alias("bigrams"),
-        F.sum(F.when(is_n(2), c * F.log2(c.cast("double")))).alias("weighted"),
-        F.count_if(is_n(3)).alias("trigrams"),
-        F.count_if(is_n(3) & (c > 1)).alias("trigrams_repeated"),
-        F.count_if(is_n(1)).alias("distinct_words"),
-        F.count_if(is_n(1) & (c == 1)).alias("hapax"),
-    )
-    entropy = F.when(F.col("bigrams") > 0, F.log2(F.col("bigrams").cast("double")) - F.col("weighted") / F.col("bigrams")).otherwise(0.0)
-    return sums.select(id_col, entropy.alias("entropy"), "trigrams", "trigrams_repeated", "distinct_words", "hapax")
+    state = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0).alias("c"), F.lit(0).alias("distinct"), F.lit(0).alias("once"), F.lit(0.0).alias("weighted"))
+
+    def step(a, x):
+        same = a["last"].eqNullSafe(x)
+        c = F.when(same, a["c"] + 1).otherwise(1)
+        more = (a["c"] + 1) * F.log2((a["c"] + 1).cast("double")) - a["c"] * F.log2(a["c"].cast("double"))
+        return F.struct(
+            x.alias("last"),
+            c.alias("c"),
+            (a["distinct"] + F.when(same, 0).otherwise(1)).alias("distinct"),
+            (a["once"] + F.when(same & (a["c"] == 1), -1).when(same, 0).otherwise(1)).alias("once"),
+            (a["weighted"] + F.when(same, more).otherwise(0.0)).alias("weighted"),
+        )
+
+    return F.aggregate(F.sort_array(hashes), state, step)
+
+
+def gram_statistics(prepared: DataFrame) -> DataFrame:
+    """Adds entropy (of bigrams), trigrams, trigrams_repeated, distinct_words and hapax.
+
+    A document's grams are counted in its own row: no shuffle.
+    """
+    d = prepared.withColumns({f"_g{n}": grams(F.col("words"), n) for n in (1, 2, 3)})
+    d = d.withColumns({f"_r{n}": _runs(F.col(f"_g{n}")) for n in (1, 2, 3)})
+    bigrams = F.size("_g2")
+    entropy = F.when(bigrams > 0, F.log2(bigrams.cast("double")) - F.col("_r2.weighted") / bigrams).otherwise(0.0)
+    long = lambda c: c.cast("long")
+    d = d.withColumns({"entropy": entropy, "trigrams": long(F.col("_r3.distinct")), "trigrams_repeated": long(F.col("_r3.distinct") - F.col("_r3.once")), "distinct_words": long(F.col("_r1.distinct")), "hapax": long(F.col("_r1.once"))})
+    return d.drop(*[f"_{k}{n}" for k in "gr" for n in (1, 2, 3)])
 
 
 def advanced_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Measures of the advanced rules for every row of distinct ids."""
-    p = prepare_advanced(docs, text_col)
+    """Adds the measures of the advanced rules to every row."""
+    p = gram_statistics(prepare_advanced(docs, text_col))
     t, w, s, low = F.col("trimmed"), F.col("words"), F.col("sentences"), F.col("lower")
     ko = F.col("hangul") > 0.3
     tokens = F.filter(F.split(low, r"\s+"), lambda x: x != "")
     rows = F.filter(F.split(t, r"\r\n|\r|\n"), lambda x: trimmed(x) != "")
     marked = F.filter(rows, lambda x: x.rlike(r"^\s*(#{1,6}\s|[-*•]\s|\d+[.)]\s|>\s)") | trimmed(x).rlike("^```"))
     lengths = F.transform(s, lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda y: y != "")))
-    starter = lambda x, known: F.regexp_replace(F.lower(x), "^[\"'\\-–— ]+", "").rlike(f"^({alternation(known)})")
+    starter = lambda x, known: F.lower(x).rlike(f"^[\"'\\-–— ]*({alternation(known)})")
     flips = F.aggregate(
         F.sequence(F.lit(2), F.greatest(F.size("lengths") - 1, F.lit(2))),
         F.lit(0),
@@ -296,7 +308,7 @@ def advanced_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             "mtld": mtld(w),
         }
     ).withColumn("flips", flips)
-    return d.join(gram_statistics(p, id_col), id_col, "left").fillna({"entropy": 0.0, "trigrams": 0, "trigrams_repeated": 0, "distinct_words": 0, "hapax": 0})
+    return d
 
 
 def advanced_weights() -> dict[str, tuple[str, Column]]:
@@ -347,10 +359,9 @@ def scan_advanced(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return d.withColumns({"band": band(F.col("score"), unknown=empty), "probability": F.col("score") / 100.0})
 
 
-def stylometry(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, vector): nine style measures of each text."""
-    p = prepare_advanced(docs, text_col).withColumn("pieces", sentences(F.col("trimmed"), 1))
-    d = p.join(gram_statistics(p, id_col), id_col, "left").fillna({"entropy": 0.0, "distinct_words": 0, "hapax": 0})
+def stylometry(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (id, <keep>, vector): nine style measures of each text."""
+    d = gram_statistics(prepare_advanced(docs, text_col)).withColumn("pieces", sentences(F.col("trimmed"), 1))
     n = F.greatest(F.size("words"), F.lit(1))
     size = F.greatest(F.length("trimmed"), F.lit(1))
     lengths = F.when(F.size("pieces") > 0, F.transform("pieces", lambda x: matches(F.lower(x), WORD))).otherwise(F.array(F.lit(0)))
@@ -367,7 +378,7 @@ def stylometry(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.col("entropy") / 20.0,
     )
     zero = F.array(*[F.lit(0.0)] * 9)
-    return d.select(id_col, F.when(F.length("trimmed") == 0, zero).otherwise(vector).alias("vector"))
+    return d.select(id_col, *keep, F.when(F.length("trimmed") == 0, zero).otherwise(vector).alias("vector"))
 
 
 def style_distance(a: Column, b: Column) -> Column:

@@ -6,27 +6,41 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Documents with phrases the rules look for worked into most of them, by id.
+#: Whole documents with phrases the rules look for beside most of them, by id; short rows of
+#: conversations, in which such phrases weigh more; nation names, blank and empty for some.
 NOTES = """
 SELECT doc_id, lang, source, CASE doc_id % 18
  WHEN 1 THEN text || ' As an AI language model, I cannot browse.'
  WHEN 2 THEN 'In conclusion, overall it is important to note the balanced approach. ' || text
  WHEN 3 THEN text || chr(10) || repeat('- item of a list' || chr(10), 7)
- WHEN 4 THEN repeat('However the words of this plain old sentence are all of one very similar and steady length just as before today. ', 12) || substring(text, 1, 40)
- WHEN 5 THEN repeat('we delve into the crucial realm — moreover a nuanced tapestry… ', 12) || substring(text, 1, 200)
+ WHEN 4 THEN repeat('However the words of this plain old sentence are all of one very similar and steady length just as before today. ', 12) || text
+ WHEN 5 THEN repeat('we delve into the crucial realm — moreover a nuanced tapestry… ', 12) || text
  WHEN 6 THEN 'On the one hand it is so. On the other hand it is not so. However it is important to note this here. Although late, nevertheless good. ' || text
- WHEN 7 THEN repeat('Moreover this is so now. Furthermore it was good then and there for us. ', 9) || substring(text, 1, 100)
- WHEN 8 THEN '```' || chr(10) || substring(text, 1, 300) || chr(10) || '```' || chr(10) || '# head' || chr(10) || '| a | b |' || chr(10) || repeat('1. numbered **bold** line' || chr(10), 6)
- WHEN 9 THEN substring(text, 1, 20)
- WHEN 10 THEN '   '
- WHEN 11 THEN ''
- WHEN 12 THEN repeat('한편 이 방법은 장점이 있습니다. 반면 단점도 있습니다. 결론적으로 다양한 측면을 살펴보면 중요한 것은 문제들과 방안들입니다. 그것은 지속 가능한 시너지 효과를 통해 할 수 있습니다. ', 6) || substring(text, 1, 60)
+ WHEN 7 THEN repeat('Moreover this is so now. Furthermore it was good then and there for us. ', 9) || text
+ WHEN 8 THEN '```' || chr(10) || text || chr(10) || '```' || chr(10) || '# head' || chr(10) || '| a | b |' || chr(10) || repeat('1. numbered **bold** line' || chr(10), 6)
+ WHEN 9 THEN '[a link](http://example.org/a) `code` ' || text || ' https://example.org/b'
+ WHEN 10 THEN '   ' || text || '   '
+ WHEN 11 THEN text || chr(10) || chr(9) || chr(10)
+ WHEN 12 THEN repeat('한편 이 방법은 장점이 있습니다. 반면 단점도 있습니다. 결론적으로 다양한 측면을 살펴보면 중요한 것은 문제들과 방안들입니다. 그것은 지속 가능한 시너지 효과를 통해 할 수 있습니다. ', 6) || text
  WHEN 13 THEN text || ' ChatGPT said so in the report that it announced.'
- WHEN 14 THEN '나는 오늘 학교에서 친구를 만났다. 우리의 선생님의 책은 좋았다. ' || repeat('또한 이것은 주의해야 합니다. ', 8)
+ WHEN 14 THEN '나는 오늘 학교에서 친구를 만났다. 우리의 선생님의 책은 좋았다. ' || repeat('또한 이것은 주의해야 합니다. ', 8) || text
  WHEN 15 THEN text || ' my friend and I met yesterday 2024-05-01, you know, so well, like then.'
- WHEN 16 THEN '- one' || chr(10) || '- two' || chr(10) || '- three' || chr(10) || '**a** **b** **c**' || chr(10) || substring(text, 1, 150)
+ WHEN 16 THEN '- one' || chr(10) || '- two' || chr(10) || '- three' || chr(10) || '**a** **b** **c**' || chr(10) || text
  ELSE text END AS text
 FROM documents
+UNION ALL
+SELECT 1000000000000 + conv_id * 1000 + turn AS doc_id, CAST(NULL AS VARCHAR(9)) AS lang, role AS source, CASE (conv_id + turn) % 7
+ WHEN 0 THEN repeat('However the words of this plain old sentence are all of one very similar and steady length just as before today. ', 30) || text
+ WHEN 1 THEN repeat('한편 이 방법은 장점이 있습니다. 반면 단점도 있습니다. 결론적으로 다양한 측면을 살펴보면 중요한 것은 문제들과 방안들입니다. 그것은 지속 가능한 시너지 효과를 통해 할 수 있습니다. ', 30) || text
+ WHEN 2 THEN text || chr(10) || repeat('1. numbered **bold** line' || chr(10), 40)
+ WHEN 3 THEN repeat('we delve into the crucial realm — moreover a nuanced tapestry… ', 30) || text
+ WHEN 4 THEN repeat('나는 오늘 학교에서 친구를 만났다. 우리의 선생님의 책은 좋았다. 또한 이것은 주의해야 합니다. 이것을 기억하세요. ', 30) || text
+ WHEN 5 THEN repeat('Moreover it is. Furthermore this was good then and there for us all. ', 30) || text
+ ELSE text END AS text
+FROM conversations
+UNION ALL
+SELECT 2000000000000 + n_nationkey AS doc_id, CAST(NULL AS VARCHAR(9)) AS lang, 'nation' AS source, CASE n_nationkey % 4 WHEN 0 THEN '' WHEN 1 THEN '   ' ELSE n_name END AS text
+FROM nation
 """
 
 #: A score of 0-100, a label, and groups for each labelled document.

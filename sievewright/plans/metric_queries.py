@@ -79,8 +79,8 @@ def agg8_calibrated(spark, sf):
 
 
 def agg9_reasons(spark, sf):
-    """AUROC and reason of each source and language; small groups lack a class."""
-    return _rounded(metrics.auroc(_scored(spark, sf).where("item_id % 3 = 0"), ["source", "lang"])).select("source", "lang", "n", "reason")
+    """Why a source, language and split has no AUROC; small groups lack a class."""
+    return _rounded(metrics.auroc(_scored(spark, sf), ["source", "lang", "split"])).select("source", "lang", "split", "n", "reason")
 
 
 def agg10_isotonic(spark, sf):
@@ -215,12 +215,12 @@ fit AS (SELECT lang, x, max(v) AS v FROM (SELECT lang, x, lo, min(m) AS v FROM e
 SQL = {
     "agg2_binary": oracle(f"WITH c AS (SELECT lang, {_COUNTS.format(t=67)} FROM scored_base GROUP BY lang) SELECT *, {_RATES} FROM c"),
     "agg3_auroc": oracle(f"WITH a AS ({_auroc('scored_base', 'lang')}), c AS (SELECT lang, count(*) AS n, CAST(sum(label) AS BIGINT) AS pos, CAST(count(*) - sum(label) AS BIGINT) AS neg FROM scored_base GROUP BY lang) SELECT c.*, round(auroc, 6) AS auroc, CASE WHEN pos = 0 THEN 'no_positive_samples' WHEN neg = 0 THEN 'no_negative_samples' END AS reason FROM c LEFT JOIN a USING (lang)"),
-    "agg4_roc": oracle(f"WITH r AS ({_roc('scored_base', 'split')}) SELECT split, round(threshold, 6) AS threshold, tp, fp, round(fp / q, 6) AS fpr, round((p - tp) / p, 6) AS fnr FROM r UNION ALL SELECT split, CAST(max(threshold) AS DOUBLE), 0, 0, 0.0, 1.0 FROM r GROUP BY split"),
+    "agg4_roc": oracle(f"WITH r AS ({_roc('scored_base', 'split')}) SELECT split, round(threshold, 6) AS threshold, tp, fp, round(fp / q, 6) AS fpr, round((p - tp) / p, 6) AS fnr FROM r UNION ALL SELECT split, CAST(max(threshold) AS DOUBLE), 0, 0, CASE WHEN max(q) > 0 THEN 0.0 END, CASE WHEN max(p) > 0 THEN 1.0 END FROM r GROUP BY split"),
     "agg5_eer": oracle(f"WITH r AS ({_roc('scored_base', 'lang')}), {_EER.format(by='lang')} SELECT l.lang, round(eer, 6) AS eer FROM (SELECT DISTINCT lang FROM scored_base) l LEFT JOIN eers USING (lang)"),
     "agg6_grid_eer": oracle(f"WITH {_GRID.format(by='lang', rows='scored_base')} SELECT lang, CASE WHEN p > 0 AND q > 0 THEN round(eer, 6) END AS eer FROM best"),
     "agg7_threshold": oracle(f"WITH r AS ({_roc('scored_base', 'lang')}), top AS (SELECT lang, max(threshold) AS m FROM r GROUP BY lang) SELECT top.lang, CAST(v.target AS DOUBLE) AS target, round(coalesce(min(threshold) FILTER (WHERE fp / q <= target), CASE WHEN max(q) > 0 THEN any_value(m) END), 6) AS threshold FROM top JOIN r ON r.lang = top.lang CROSS JOIN (VALUES (0.01), (0.05), (0.2)) v(target) GROUP BY ALL"),
     "agg8_calibrated": oracle(f"WITH {_GRID.format(by='lang', rows='scored_base')}, x AS (SELECT lang, arg_max(threshold, (tp / greatest(1, p), -threshold)) FILTER (WHERE fp / greatest(1, q) <= 0.2) AS t FROM g GROUP BY lang) SELECT x.lang, coalesce(t, 100) AS threshold, CAST(t IS NOT NULL AS INT) AS target_fpr_met, tp, fp FROM x JOIN g ON g.lang = x.lang AND g.threshold = coalesce(t, 100)"),
-    "agg9_reasons": oracle("SELECT source, lang, count(*) AS n, CASE WHEN sum(label) = 0 THEN 'no_positive_samples' WHEN sum(label) = count(*) THEN 'no_negative_samples' END AS reason FROM scored_base WHERE item_id % 3 = 0 GROUP BY source, lang"),
+    "agg9_reasons": oracle("SELECT source, lang, split, count(*) AS n, CASE WHEN sum(label) = 0 THEN 'no_positive_samples' WHEN sum(label) = count(*) THEN 'no_negative_samples' END AS reason FROM scored_base GROUP BY source, lang, split"),
     "agg10_isotonic": oracle(f"WITH {_ISOTONIC} SELECT lang, CAST(x AS INTEGER) AS score, round(v, 6) AS fitted FROM fit"),
     "agg11_fpr_table": oracle("SELECT t.lang, CAST(t.score AS DOUBLE) AS threshold, round(count(*) FILTER (WHERE r.label = 0 AND r.score >= t.score) / greatest(1, count(*) FILTER (WHERE r.label = 0)), 6) AS fpr FROM (SELECT DISTINCT lang, score FROM scored_base) t JOIN scored_base r ON r.lang = t.lang GROUP BY t.lang, t.score"),
     "jn9_fpr_bands": oracle("WITH f AS (SELECT t.lang, t.score, count(*) FILTER (WHERE r.label = 0 AND r.score >= t.score) / greatest(1, count(*) FILTER (WHERE r.label = 0)) AS fpr FROM (SELECT DISTINCT lang, score FROM scored_base) t JOIN scored_base r ON r.lang = t.lang GROUP BY t.lang, t.score) SELECT item_id, s.lang, s.score, CASE WHEN fpr <= 0.05 THEN 'low' WHEN fpr <= 0.2 THEN 'moderate' ELSE 'high' END AS fpr_band FROM scored_base s JOIN f ON f.lang = s.lang AND f.score = s.score"),

@@ -169,12 +169,12 @@ def agg15_audit(spark, sf):
 
 def agg16_fingerprint(spark, sf):
     c = sql(spark, sf, "SELECT doc_id, source, lang, text FROM documents").withColumn("content_hash", F.sha2("text", 256))
-    return R.fingerprint(c, ["source"], "lang", "content_hash", "doc_id")
+    return R.fingerprint(c, ["source"], "lang", "content_hash")
 
 
 def agg16_bucketed(spark, sf):
     c = sql(spark, sf, "SELECT lang, text FROM documents").withColumn("content_hash", F.sha2("text", 256))
-    return R.bucket_fingerprint(c, "lang", "content_hash")
+    return R.fingerprint(c, [], "lang", "content_hash")
 
 
 def agg17_gaps(spark, sf):
@@ -219,9 +219,9 @@ def srt3_top_experts(spark, sf):
 
 
 def set1_missing_splits(spark, sf):
-    d = sql(spark, sf, "SELECT source, split FROM scored_base WHERE item_id % 13 < 3")
-    have = d.groupBy("source").agg(F.collect_set("split").alias("have"))
-    return have.select("source", F.array_join(F.array_sort(F.array_except(F.array(*map(F.lit, R.REQUIRED_SPLITS)), "have")), ",").alias("missing"))
+    d = sql(spark, sf, "SELECT source, lang, label, split FROM scored_base")
+    have = d.groupBy("source", "lang", "label").agg(F.collect_set("split").alias("have"))
+    return have.select("source", "lang", "label", F.array_join(F.array_sort(F.array_except(F.array(*map(F.lit, R.REQUIRED_SPLITS)), "have")), ",").alias("missing"))
 
 
 def set2_union(spark, sf):
@@ -255,6 +255,9 @@ lab AS (SELECT *, CASE WHEN list_has_any(parts, ['edited', 'tampered', 'manipula
  CASE WHEN list_contains(parts, 'train') THEN 'train' WHEN list_has_any(parts, ['val', 'valid', 'validation']) THEN 'val' WHEN list_contains(parts, 'test') THEN 'test' ELSE 'unspecified' END AS split FROM p)"""
 _HITS = f"l AS ({LEXICON}), h AS (SELECT doc_id, tool, marker FROM documents, l WHERE contains(lower(text), marker) AND (NOT regexp_matches(marker, '^[\\x00-\\x7F]*$') OR regexp_matches(lower(text), '(^|[^a-z0-9])' || marker || '($|[^a-z0-9])')))"
 
+_BUCKETS = "WITH h AS (SELECT source, sha256(lang || ':' || sha256(text)) AS d FROM documents), d AS (SELECT source, left(d, 3) AS b, ('0x' || substring(d, 4, 15))::UBIGINT AS x, ('0x' || substring(d, 19, 15))::UBIGINT AS y FROM h)"
+_SUMS = "b || ',' || count(*) || ',' || sum(x) || ',' || sum(y) AS line"
+
 SQL = {
     "src2_kinds": oracle(f"SELECT {_KIND} AS kind, count(*) AS n FROM (SELECT path FROM items_base UNION ALL SELECT url FROM pages) GROUP BY 1"),
     "src3_guard": oracle("SELECT CASE WHEN size_bytes > 5000 THEN 'skipped' ELSE status END AS status, count(*) AS n FROM items_base GROUP BY 1"),
@@ -286,7 +289,8 @@ SQL = {
         UNION ALL SELECT source, 'unknown_label', '', count(*) FROM lab WHERE label = 'unknown' GROUP BY source
         UNION ALL SELECT source, 'duplicate_groups', '', count(*) FROM (SELECT source, text FROM lab GROUP BY ALL HAVING count(*) > 1) GROUP BY source
         UNION ALL SELECT '', 'split_leak', '', count(*) FROM (SELECT text FROM lab GROUP BY text HAVING count(DISTINCT split) > 1) HAVING count(*) > 0""",
-    "agg16_fingerprint": "SELECT source, count(*) AS n, sha256(string_agg(lang || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY source",
+    "agg16_fingerprint": f"{_BUCKETS} SELECT source, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(line, ';' ORDER BY b)) AS fingerprint FROM (SELECT source, b, count(*) AS n, {_SUMS} FROM d GROUP BY source, b) GROUP BY source",
+    "agg16_bucketed": f"{_BUCKETS} SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(line, ';' ORDER BY b)) AS fingerprint FROM (SELECT b, count(*) AS n, {_SUMS} FROM d GROUP BY b)",
     "agg17_gaps": "WITH h AS (SELECT d.source, count(*) AS present FROM documents d JOIN labels USING (doc_id) GROUP BY d.source) SELECT s.source, 20 + length(s.source) * 10 AS required, coalesce(present, 0) AS present, greatest(20 + length(s.source) * 10 - coalesce(present, 0), 0) AS missing FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN h ON h.source = s.source",
     "agg18_cube": oracle("SELECT label, lang, split, count(*) AS n FROM scored_base GROUP BY CUBE (label, lang, split)"),
     "agg19_throughput": "SELECT user_id % 10 AS run, count(*) AS files, round(count(*) / greatest(sum(value) / 1000, 0.000001), 4) AS files_per_second, round(count(*) FILTER (WHERE event_type = 'view') / count(*), 6) AS cache_rate, round(count(*) FILTER (WHERE event_id % 7 = 0) / count(*), 6) AS duplicate_rate FROM events GROUP BY 1",
@@ -294,7 +298,7 @@ SQL = {
     "srt1_review_order": oracle("SELECT item_id, source, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN status <> 'analyzed' THEN 4 WHEN band = 'high' THEN 0 WHEN band = 'medium' THEN 1 WHEN band = 'unknown' THEN 2 ELSE 3 END, CASE WHEN status = 'analyzed' THEN score END DESC NULLS LAST, lower(path), path) AS place FROM items_base"),
     "srt2_worst": oracle(f"WITH c AS ({_CASES}) SELECT source, case_type, item_id, row_number() OVER (PARTITION BY source, case_type ORDER BY CASE WHEN case_type = 'false_positive' THEN -score ELSE score END, item_id) AS place FROM c WHERE case_type IS NOT NULL QUALIFY place <= 5"),
     "srt3_top_experts": "SELECT l_orderkey AS item_id, l_linenumber AS expert, CAST((l_partkey + l_suppkey) % 101 AS INTEGER) AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_partkey + l_suppkey) % 101 DESC, l_linenumber) AS place FROM lineitem WHERE (l_partkey + l_suppkey) % 101 >= 45 QUALIFY place <= 5",
-    "set1_missing_splits": oracle("SELECT source, array_to_string(list_sort(list_filter(['train', 'val', 'test'], lambda x: NOT list_contains(have, x))), ',') AS missing FROM (SELECT source, list(DISTINCT split) AS have FROM scored_base WHERE item_id % 13 < 3 GROUP BY source)"),
+    "set1_missing_splits": oracle("SELECT source, lang, label, array_to_string(list_sort(list_filter(['train', 'val', 'test'], lambda x: NOT list_contains(have, x))), ',') AS missing FROM (SELECT source, lang, label, list(DISTINCT split) AS have FROM scored_base GROUP BY source, lang, label)"),
     "set2_union": "SELECT source, count(*) AS n, count(lang) AS with_lang, count(turn) AS with_turn FROM (SELECT doc_id, source, lang, NULL AS turn FROM documents UNION ALL SELECT conv_id, role, NULL, turn FROM conversations) GROUP BY source",
     "set3_leaks": "SELECT sha256(text) AS content_hash, count(DISTINCT doc_id % 10 < 7) AS splits, count(*) AS n FROM documents GROUP BY text HAVING count(DISTINCT doc_id % 10 < 7) > 1",
     "smp1_split": "WITH u AS (SELECT doc_id, CAST(('0x' || left(sha256('seed:' || doc_id), 16))::UBIGINT AS DOUBLE) / 18446744073709551615 AS x FROM documents) SELECT doc_id, CASE WHEN x < 0.7 THEN 'train' WHEN x < 0.85 THEN 'val' ELSE 'test' END AS split, round(x, 9) AS unit FROM u",

@@ -43,20 +43,30 @@ def img2_experts(spark, sf):
     return R.long_scores(sql(spark, sf, EXPERT), R.EXPERTS, "item_id", R.FLOORS)
 
 
+def _expert_score(name: str) -> str:
+    s = R.probe_weight(R.EXPERTS[name])
+    for condition, least in R.FLOORS.get(name, []):
+        s = f"CASE WHEN {condition} THEN greatest({s}, {least}) ELSE {s} END"
+    return s
+
+
 def _expert_sql() -> str:
-    out = []
-    for name, cases in R.EXPERTS.items():
-        s = R.probe_weight(cases)
-        for condition, least in R.FLOORS.get(name, []):
-            s = f"CASE WHEN {condition} THEN greatest({s}, {least}) ELSE {s} END"
-        out.append(f"SELECT item_id, '{name}' AS name, '{R.FAMILIES[name]}' AS family, {s} AS score FROM b")
+    out = [f"SELECT item_id, '{name}' AS name, '{R.FAMILIES[name]}' AS family, {_expert_score(name)} AS score FROM b" for name in R.EXPERTS]
     return f"b AS ({EXPERT}), e AS ({' UNION ALL '.join(out)})"
 
 
+_USED = {name: _expert_score(name) for name in R.EXPERTS if name != "periodicity"}
+
+
+def _votes(condition: str, names=tuple(_USED)) -> str:
+    return "(" + " + ".join(f"CAST(s_{n} {condition} AS BIGINT)" for n in names) + ")"
+
+
 def fus7_expert_fusion(spark, sf):
-    e = R.long_scores(sql(spark, sf, EXPERT), R.EXPERTS, "item_id", R.FLOORS).withColumns({"weight": F.lit(0.2), "available": F.col("name") != "periodicity"})
-    e = e.withColumn("family", F.when(F.col("name") == "baseline", "retrieval").otherwise(F.col("family")))
-    return FU.expert_fusion(e)
+    families = R.FAMILIES | {"baseline": "retrieval"}
+    used = [name for name in R.EXPERTS if name != "periodicity"]
+    d = R.wide_scores(sql(spark, sf, EXPERT), R.EXPERTS, R.FLOORS)
+    return FU.expert_fusion_wide(d, {f"score_{name}": (families[name], 0.2) for name in used})
 
 
 def srt3_experts(spark, sf):
@@ -205,11 +215,12 @@ def med2_audio_source(spark, sf):
 
 
 def med3_speakers(spark, sf):
-    """Each vector against the next two of its label: links of a block, not all pairs."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    d = sql(spark, sf, "SELECT vec_id, label, embedding FROM embeddings").withColumns({"other_id": F.lead("vec_id").over(w), "other": F.lead("embedding").over(w)}).where("other_id IS NOT NULL")
-    score, kind = I.speaker_score(F.col("embedding"), F.col("other"))
-    return d.select("vec_id", "other_id", score.alias("score"), kind.alias("band"))
+    """Each vector whose id is divisible by 20 against all others of its label: how many, how many of the same speaker, and the nearest."""
+    from sievewright.operators.records import search
+
+    v = sql(spark, sf, "SELECT vec_id, label, embedding FROM embeddings")
+    d = search(v, v.where("vec_id % 20 = 0"), "vec_id", "embedding", ["label"], lambda a, b: I.speaker_score(a, b)[0], lambda s: s >= 67)
+    return d.select("vec_id", "compared", "matched", "best_id", F.col("best_score").alias("score"))
 
 
 def med5_classifier(spark, sf):
@@ -324,7 +335,7 @@ def prv7_folded(spark, sf):
 def prv8_families(spark, sf):
     d = sql(spark, sf, "SELECT page_id, url, html FROM pages")
     fam = {"a": {"metadata": ("html lang=\"en\"",), "text": ("blog",), "extension": (".html",)}, "b": {"text": ("www",), "extension": ("/",)}}
-    return d.select("page_id", P.family_score(F.col("url"), F.substring("html", 1, 60), F.col("url"), fam, {"metadata": 25, "text": 20, "extension": 10}).alias("score"))
+    return d.select("page_id", P.family_score(F.col("url"), F.col("html"), F.col("url"), fam, {"metadata": 25, "text": 20, "extension": 10}).alias("score"))
 
 
 def prv9_confidence(spark, sf):
@@ -390,7 +401,7 @@ def evd5_violations(spark, sf):
 def evd6_cases(spark, sf):
     items = sql(spark, sf, "SELECT source AS case_id, doc_id AS item_id, CASE WHEN doc_id % 2 = 0 THEN 'observed' ELSE 'derived' END AS trust_level FROM documents")
     edges = sql(spark, sf, "SELECT source AS case_id, doc_id AS src, CAST(floor(doc_id / 2) AS BIGINT) AS dst, 'derived_from' AS relation FROM documents WHERE doc_id % 9 = 0")
-    return E.case_documents(items, edges).select("case_id", F.md5("document").alias("document_md5"), F.length("document").alias("size"))
+    return E.case_lines(items, edges)
 
 
 _RULES = {
@@ -429,8 +440,8 @@ _AGENT = f"""a AS ({AGENT_TEXT}), l AS (SELECT conv_id, turn, lower(text) AS t F
 
 SQL = {k: s for k, (_, s) in _RULES.items()} | {
     "img2_experts": f"WITH {_expert_sql()} SELECT * FROM e",
-    "fus7_expert_fusion": f"""WITH {_expert_sql()}, x AS (SELECT item_id, CASE WHEN name = 'baseline' THEN 'retrieval' ELSE family END AS family, score FROM e WHERE name <> 'periodicity'),
-        c AS (SELECT item_id, count(*) FILTER (WHERE score >= 67) AS high, count(*) FILTER (WHERE score >= 45 AND score < 67) AS medium, count(*) FILTER (WHERE score >= 45 AND family = 'retrieval') AS r, count(*) FILTER (WHERE score >= 45 AND family IN ('localization', 'compositing')) AS l, count(*) FILTER (WHERE score >= 45 AND family IN ('spectral', 'statistical', 'reconstruction')) AS s, sum(score * 0.2) / sum(0.2) AS m FROM x GROUP BY item_id)
+    "fus7_expert_fusion": f"""WITH {_expert_sql()}, w AS (SELECT item_id, {', '.join(f'{v} AS s_{k}' for k, v in _USED.items())} FROM b),
+        c AS (SELECT item_id, {_votes('>= 67')} AS high, {_votes('BETWEEN 45 AND 66')} AS medium, {_votes('>= 45', ('baseline',))} AS r, {_votes('>= 45', ('alpha', 'error_level', 'localization'))} AS l, {_votes('>= 45', ('frequency', 'reconstruction', 'fractal'))} AS s, ({' + '.join(f's_{k} * 0.2' for k in _USED)}) / {0.2 * len(R.EXPERTS) - 0.2} AS m FROM w)
         SELECT item_id, high, medium, CASE WHEN high >= 2 OR (high > 0 AND r > 0 AND s > 0) THEN greatest(72, least(96, {_ROUND.format('m + 16')})) WHEN high > 0 AND (medium > 0 OR l > 0) THEN greatest(66, least(88, {_ROUND.format('m + 10')})) WHEN medium >= 3 THEN greatest(54, least(78, {_ROUND.format('m + 8')})) WHEN medium >= 1 THEN greatest(34, least(62, {_ROUND.format('m + 3')})) ELSE greatest(0, least(32, {_ROUND.format('m')})) END AS score FROM c""",
     "srt3_experts": f"WITH {_expert_sql()} SELECT item_id, name, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, name) AS place FROM e WHERE score >= 45 QUALIFY place <= 5",
     "win1_frames": oracle(f"WITH {_FR} SELECT video_id, n, brightness_cuts, turns, still, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("brightness_std", "contrast_std", "blur_std", "blur_mean", "edges_std", "brightness_step", "blur_step", "oscillation", "amplitude", "jitter")) + " FROM fs"),
@@ -443,6 +454,11 @@ SQL = {k: s for k, (_, s) in _RULES.items()} | {
     "win13_pauses": "WITH q AS (SELECT *, value <= max(value) OVER (PARTITION BY user_id) * 0.2 AS quiet FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, quiet ORDER BY ts, event_id) AS g FROM q), r AS (SELECT user_id, g, count(*) AS k FROM n WHERE quiet GROUP BY user_id, g), s AS (SELECT user_id, count(*) AS runs, sum(k) AS quiet, stddev_pop(k) / avg(k) AS cv FROM r GROUP BY user_id), a AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) SELECT a.user_id, round(coalesce(quiet, 0) / n, 6) AS ratio, coalesce(runs, 0) AS runs, round(coalesce(cv, 0.0), 6) AS cv FROM a LEFT JOIN s ON s.user_id = a.user_id",
     "win14_floor": "WITH d AS (SELECT user_id, value * 0.013 % 1.0 AS f, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS r FROM events) SELECT user_id, round(stddev_pop(f), 6) AS spread FROM d WHERE r <= greatest(8, n // 10) GROUP BY user_id",
     "str1_rolling": oracle("WITH d AS (SELECT *, avg(score) OVER (PARTITION BY stream_id ORDER BY ts, event_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS m, row_number() OVER (PARTITION BY stream_id ORDER BY ts, event_id) AS frame_count FROM stream_base) SELECT stream_id, event_id, round(m, 6) AS mean, frame_count, CASE WHEN m >= 67 THEN 'high' WHEN m >= 35 THEN 'medium' ELSE 'low' END AS band FROM d"),
+    "str2_alerts": oracle("""WITH RECURSIVE d AS (SELECT stream_id, event_id, ts, avg(least(100, score * 2)) OVER (PARTITION BY stream_id ORDER BY ts, event_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS m FROM stream_base),
+        h AS (SELECT stream_id, event_id, ts, row_number() OVER (PARTITION BY stream_id ORDER BY ts, event_id) AS r FROM d WHERE m >= 67),
+        f AS (SELECT stream_id, event_id, ts, r, ts AS last, TRUE AS fires FROM h WHERE r = 1 UNION ALL SELECT h.stream_id, h.event_id, h.ts, h.r, CASE WHEN epoch(h.ts) - epoch(f.last) > 5 THEN h.ts ELSE f.last END, epoch(h.ts) - epoch(f.last) > 5 FROM f JOIN h ON h.stream_id = f.stream_id AND h.r = f.r + 1),
+        p AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY r DESC) AS back, count(*) OVER (PARTITION BY stream_id) AS alerts FROM f WHERE fires)
+        SELECT stream_id, max(alerts) AS alerts, string_agg(event_id, ',' ORDER BY r) AS last FROM p WHERE back <= 10 GROUP BY stream_id"""),
     "str3_summary": oracle("WITH d AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY ts DESC, event_id DESC) AS r, count(*) OVER (PARTITION BY stream_id) AS n FROM stream_base) SELECT stream_id, max(n) AS frame_count, round(avg(score), 6) AS average_score, max(score) AS max_score, min(score) AS min_score FROM d WHERE r <= 30 GROUP BY stream_id"),
     "fus1_components": oracle(f"SELECT item_id, own AS metadata, CASE source_confidence WHEN 'high' THEN 100 WHEN 'medium' THEN 65 WHEN 'low' THEN 35 ELSE 0 END AS source FROM ({FUSED_ITEMS})"),
     "fus2_fused": oracle(f"WITH d AS ({FUSED_ITEMS}), s AS (SELECT *, {_ROUND.format('own * 0.35 + pixel_score * 0.25 + coalesce(model_score, 0) * 0.3 + (CASE source_confidence WHEN $$high$$ THEN 100 WHEN $$medium$$ THEN 65 WHEN $$low$$ THEN 35 ELSE 0 END) * 0.1')} AS score FROM d) SELECT item_id, score, CASE WHEN score < 8 AND source_confidence = 'unknown' THEN 'unknown' WHEN score >= 67 THEN 'high' WHEN score >= 35 THEN 'medium' ELSE 'low' END AS band, 5 AS n_signals FROM s"),
@@ -454,7 +470,7 @@ SQL = {k: s for k, (_, s) in _RULES.items()} | {
     "fus8_multimodal": f"""WITH m AS ({MODAL}), s AS (SELECT subject_id, count(*) AS modalities, avg(score) AS m, max(score) - min(score) AS spread, stddev_pop(score) AS sd, count(*) FILTER (WHERE source <> 'unknown') AS named, count(DISTINCT source) FILTER (WHERE source <> 'unknown') AS sources, sum(sync_weight) AS sync FROM m GROUP BY subject_id),
         c AS (SELECT *, least(100, {_ROUND.format('m + sync + CASE WHEN modalities < 2 THEN 0 WHEN spread > 40 THEN 20 WHEN named >= 2 AND sources > 1 THEN 15 ELSE 0 END')}) AS score FROM s) SELECT subject_id, modalities, score, CASE WHEN score >= 67 THEN 'high' WHEN score >= 35 THEN 'medium' ELSE 'low' END AS band, round(CASE WHEN modalities < 2 THEN 0.5 ELSE least(1.0, greatest(0.0, 1 - sd / 50) + CASE WHEN named >= 2 AND sources = 1 THEN 0.2 ELSE 0.0 END) END, 6) AS consistency FROM c""",
     "med2_audio_source": f"WITH b AS ({AUDIO}) SELECT item_id, CASE WHEN flatness > 0.7 THEN 'noise' WHEN pitch_std < 3 AND duration > 5 THEN 'speech synthesis' WHEN bandwidth < 800 THEN 'compressed' ELSE 'unknown' END AS guess FROM b",
-    "med3_speakers": f"WITH d AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, lead(vec_id) OVER w AS other_id, lead(CAST(embedding AS DOUBLE[])) OVER w AS o FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)), s AS (SELECT vec_id, other_id, greatest(0, least(100, {_ROUND.format('list_cosine_similarity(e, o) * 160')})) AS score FROM d WHERE other_id IS NOT NULL) SELECT *, CASE WHEN score >= 67 THEN 'same' WHEN score >= 35 THEN 'unclear' ELSE 'different' END AS band FROM s",
+    "med3_speakers": f"WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT a.vec_id, b.vec_id AS other_id, greatest(0, least(100, {_ROUND.format('list_cosine_similarity(a.e, b.e) * 160')})) AS score FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) SELECT vec_id, count(*) AS compared, count(*) FILTER (WHERE score >= 67) AS matched, arg_max(other_id, (score, -other_id)) AS best_id, max(score) AS score FROM s GROUP BY vec_id",
     "med5_classifier": "WITH s AS (SELECT " + ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m_{c}, stddev_pop(CAST({c} AS DOUBLE)) AS s_{c}" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")) + " FROM lineitem) SELECT l_orderkey, l_linenumber, round(least(1.0, " + " + ".join(f"coalesce(least(0.25, 0.1 * abs((CAST({c} AS DOUBLE) - m_{c}) / nullif(s_{c}, 0))), 0)" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")) + "), 5) AS score FROM lineitem, s",
     "med6_spectral": f"WITH b AS ({AUDIO}) SELECT item_id, CASE WHEN flatness > 0.7 THEN 'Synthetic Audio' WHEN 1 - pitch_std / 120 > 0.9 THEN 'TTS Engine' END AS tool, CAST(CASE WHEN flatness > 0.7 THEN 0.6 WHEN 1 - pitch_std / 120 > 0.9 THEN 0.5 END AS DOUBLE) AS confidence FROM b",
     "med10_layers": "SELECT l_orderkey AS item_id, CAST(sum(least(CAST(l_quantity AS INTEGER), CASE l_linenumber % 4 WHEN 0 THEN 20 WHEN 1 THEN 25 WHEN 2 THEN 30 ELSE 35 END)) AS BIGINT) AS added FROM lineitem GROUP BY l_orderkey",
@@ -470,7 +486,7 @@ SQL = {k: s for k, (_, s) in _RULES.items()} | {
     "prv5_markers": "WITH s AS (SELECT page_id, least(100, 10 * (" + " + ".join("CAST(" + " OR ".join(f"contains(html, '{m}')" for m in ms) + " AS INT)" for ms in FAMILIES.values()) + ")) AS score FROM pages) SELECT *, CASE WHEN score >= 50 THEN 'high' WHEN score >= 20 THEN 'medium' ELSE 'low' END AS band FROM s",
     "prv6_status": "SELECT lang, CASE doc_id % 6 WHEN 0 THEN 'valid' WHEN 1 THEN 'absent' WHEN 2 THEN 'invalid' ELSE 'unavailable' END AS status, count(*) AS n FROM documents GROUP BY ALL",
     "prv7_folded": "SELECT doc_id, CASE WHEN doc_id % 5 IN (0, 2) AND doc_id % 2 = 0 THEN 'AI 도구 생성 메타데이터 추정' ELSE 'x' END AS label, CASE WHEN doc_id % 2 = 1 THEN 'high' WHEN doc_id % 5 IN (0, 2) THEN 'medium' ELSE 'unknown' END AS confidence, CAST(doc_id % 5 <= 2 AS INT) AS hints FROM documents",
-    "prv8_families": "SELECT page_id, 25 * CAST(contains(lower(left(html, 60)), 'html lang=\"en\"') AS INT) + 20 * CAST(contains(lower(url), 'blog') AS INT) + 10 * CAST(ends_with(lower(url), '.html') AS INT) + 20 * CAST(contains(lower(url), 'www') AS INT) + 10 * CAST(ends_with(url, '/') AS INT) AS score FROM pages",
+    "prv8_families": "SELECT page_id, 25 * CAST(contains(lower(html), 'html lang=\"en\"') AS INT) + 20 * CAST(contains(lower(url), 'blog') AS INT) + 10 * CAST(ends_with(lower(url), '.html') AS INT) + 20 * CAST(contains(lower(url), 'www') AS INT) + 10 * CAST(ends_with(url, '/') AS INT) AS score FROM pages",
     "prv9_confidence": "SELECT source, round(avg(CASE WHEN doc_id % 3 = 0 AND doc_id % 4 = 0 THEN 0.9 WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 0.5 WHEN doc_id % 3 = 0 THEN 0.3 ELSE 0.4 END), 6) AS confidence FROM documents GROUP BY source",
     "txt30_agents": f"WITH {_AGENT} SELECT conv_id, turn, score, n_signals, agent_type, CASE WHEN score >= 67 THEN 'high' WHEN score >= 35 THEN 'medium' ELSE 'low' END AS band, CASE WHEN score >= 67 AND n_signals >= 3 THEN 'high' WHEN score >= 35 THEN 'medium' ELSE 'low' END AS confidence FROM s",
     "txt31_green": f"WITH {_TOK}, g AS (SELECT item_id, count(*) AS n, count(*) FILTER (WHERE {_UNIT.format(key='secret')} < 0.25) AS greens FROM tk GROUP BY item_id HAVING count(*) >= 32), z AS (SELECT *, (greens - 0.25 * n) / sqrt(n * 0.25 * 0.75) AS z FROM g) SELECT item_id, n, greens, round(z, 6) AS z, greatest(0, least(100, CAST(trunc(z / 8 * 100) AS INT))) AS score FROM z",
@@ -480,5 +496,7 @@ SQL = {k: s for k, (_, s) in _RULES.items()} | {
     "evd1_integrity": "SELECT source, count(*) AS items, count(*) FILTER (WHERE doc_id % 11 > 0 AND doc_id % 13 > 0 AND doc_id % 7 > 0) AS verified, round(count(*) FILTER (WHERE doc_id % 11 > 0 AND doc_id % 13 > 0 AND doc_id % 7 > 0) / count(*), 6) AS integrity_score FROM documents GROUP BY source",
     "evd3_signatures": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'unsigned' WHEN doc_id % 5 = 0 THEN 'tampered' ELSE 'verified' END AS state FROM documents",
     "evd4_exhibits": oracle("SELECT item_id, row_number() OVER (PARTITION BY source ORDER BY path) AS exhibit, CASE band WHEN 'high' THEN 'priority review' WHEN 'medium' THEN 'further check' WHEN 'unknown' THEN 'more material' ELSE 'record' END AS purpose, band IN ('high', 'medium') AS references_due FROM items_base"),
+    "evd6_cases": """SELECT source AS case_id, 'item' AS part, '{"schema":"evidence-case-v1","case_id":"' || source || '","item_id":' || doc_id || ',"trust_level":"' || CASE WHEN doc_id % 2 = 0 THEN 'observed' ELSE 'derived' END || '"}' AS line FROM documents
+        UNION ALL SELECT source, 'lineage', '{"schema":"evidence-case-v1","case_id":"' || source || '","src":' || doc_id || ',"dst":' || CAST(floor(doc_id / 2) AS BIGINT) || ',"relation":"derived_from"}' FROM documents WHERE doc_id % 9 = 0""",
     "evd5_violations": "SELECT doc_id AS item_id, CASE WHEN doc_id % 5 IN (3, 4) THEN 'trust_level' ELSE 'limitations' END AS violation FROM documents WHERE doc_id % 5 IN (3, 4) OR (doc_id % 5 = 1 AND n_chars % 2 = 1)",
 }

@@ -133,11 +133,11 @@ def flagship(spark, sf):
 
 def flt2_capped(spark, sf):
     d = T.scan(_notes(spark, sf))
-    return d.where(F.length("trimmed") < 240).select("doc_id", "score", F.size("signals").alias("n_signals"))
+    return d.select("doc_id", (F.length("trimmed") < 240).alias("capped"), "score", F.size("signals").alias("n_signals"))
 
 
 def txt3_particles(spark, sf):
-    p = T.prepare_advanced(_notes(spark, sf).where("doc_id % 18 IN (12, 14)"))
+    p = T.prepare_advanced(_notes(spark, sf))
     return p.select("doc_id", F.array_join("words", " ").alias("words"))
 
 
@@ -241,15 +241,14 @@ def txt17_mtld(spark, sf):
 
 
 def txt28_stylometry(spark, sf):
-    """Each document against the next one of its source and language (by id): links of one block, not all pairs."""
-    from pyspark.sql import Window
+    """Each document whose id is divisible by 20 against all others of its source and language: how many it was held against, how many may be of its author, and the nearest."""
+    from sievewright.operators.records import search
 
-    v = T.stylometry(sql(spark, sf, "SELECT doc_id, text FROM documents")).join(sql(spark, sf, "SELECT doc_id, source, lang FROM documents"), "doc_id")
-    w = Window.partitionBy("source", "lang").orderBy("doc_id")
-    pairs = v.withColumns({"other_id": F.lead("doc_id").over(w), "other": F.lead("vector").over(w)}).where("other_id IS NOT NULL")
-    distance = T.style_distance(F.col("vector"), F.col("other"))
-    score, kind = T.same_author(distance)
-    return pairs.select("doc_id", "other_id", F.round(distance, 6).alias("distance"), score.alias("score"), kind.alias("band"))
+    v = T.stylometry(sql(spark, sf, "SELECT doc_id, source, lang, text FROM documents"), keep=("source", "lang"))
+    distance = lambda a, b: F.round(T.style_distance(a, b), 6)
+    d = search(v, v.where("doc_id % 20 = 0"), "doc_id", "vector", ["source", "lang"], lambda a, b: -distance(a, b), lambda s: T.same_author(-s)[0] >= 67)
+    score, kind = T.same_author(-F.col("best_score"))
+    return d.select("doc_id", "compared", "matched", "best_id", (-F.col("best_score")).alias("distance"), score.alias("score"), kind.alias("band"))
 
 
 def txt29_prose(spark, sf):
@@ -303,13 +302,13 @@ QUERIES = {name: q for name, (q, _) in PAIRS.items()} | {
 SQL = {name: s for name, (_, s) in PAIRS.items()} | {
     "txt1_parts": oracle(f"WITH {FEATURES} SELECT doc_id, n_lines, n_sentences, n_words, md5(normalized) AS normalized_md5 FROM feat"),
     "txt2_hangul": oracle(rf"WITH {FEATURES} SELECT doc_id, round(hangul, 6) AS syllables, round(CASE WHEN len(regexp_extract_all(trimmed, '\p{{L}}')) > 0 THEN len(regexp_extract_all(trimmed, '[가-힣ᄀ-ᇿ]')) / len(regexp_extract_all(trimmed, '\p{{L}}')) ELSE 0.0 END, 6) AS with_jamo FROM feat"),
-    "txt3_particles": oracle(f"WITH {ADVANCED} SELECT doc_id, array_to_string(ws, ' ') AS words FROM a2 WHERE doc_id % 18 IN (12, 14)"),
+    "txt3_particles": oracle(f"WITH {ADVANCED} SELECT doc_id, array_to_string(ws, ' ') AS words FROM a2"),
     "txt15_burstiness": oracle(f"WITH {ADVANCED} SELECT doc_id, round(list_avg(lengths), 6) AS mean_words, CASE WHEN {ADVANCED_WEIGHTS['burstiness']} ELSE 0 END AS w_burstiness FROM adv"),
     "txt24_style": oracle(f"WITH {ADVANCED} SELECT doc_id, {_STYLE} AS style FROM adv"),
     "txt25_advanced": oracle(f"WITH {ADVANCED} SELECT doc_id, least(100, {' + '.join(f'CASE WHEN {w} ELSE 0 END' for w in ADVANCED_WEIGHTS.values())}) AS score_without_mtld, {_STYLE} AS style FROM adv"),
     "txt26_scan": oracle(f"WITH {SCAN} SELECT doc_id, score, band, n_signals, guess FROM banded"),
     "txt27_source": oracle(f"WITH {SCAN} SELECT doc_id, guess AS label, CASE WHEN guess = '알 수 없음' THEN 'unknown' ELSE 'medium' END AS confidence FROM banded"),
-    "flt2_capped": oracle(f"WITH {SCAN} SELECT doc_id, score, n_signals FROM banded WHERE length(trimmed) < 240"),
+    "flt2_capped": oracle(f"WITH {SCAN} SELECT doc_id, length(trimmed) < 240 AS capped, score, n_signals FROM banded"),
     "flagship": oracle(f"""WITH {SCAN} SELECT lang, count(*) AS items, count(*) FILTER (WHERE band = 'high') AS high, count(*) FILTER (WHERE band = 'medium') AS medium,
         count(*) FILTER (WHERE band = 'low') AS low, count(*) FILTER (WHERE band = 'unknown') AS unknown, CAST(sum(score) AS BIGINT) AS score_sum FROM banded GROUP BY lang"""),
 }

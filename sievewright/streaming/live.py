@@ -27,21 +27,30 @@ def alerts_batch(rows: DataFrame, keep: int = 10) -> DataFrame:
     """Rows (stream_id, alerts, last): alert count and the ids of the last ones, over 5 s apart.
 
     The cooldown depends on the alert before, so it is a fold over each stream's
-    high frames in order.  Frames within a cooldown of the high frame before are
-    no alert unless the fold says so; only high frames are collected.
+    high frames in order.  Frames arrive sorted and are folded as they pass: a
+    task holds one batch, the alert before and the last ids, however long a
+    stream is.  Streams without an alert have no row.
     """
-    high = states(rows).where("band = 'high'").select("stream_id", F.struct(F.col("ts").cast("timestamp").cast("double").alias("t"), F.col("event_id").alias("id")).alias("f"))
-    arrays = high.groupBy("stream_id").agg(F.sort_array(F.collect_list("f")).alias("fs"))
-    empty = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<bigint>").alias("ids"))
-
-    def step(a, f):
-        fires = a["last"].isNull() | (f["t"] - a["last"] > COOLDOWN_SECONDS)
-        return F.struct(F.when(fires, f["t"]).otherwise(a["last"]).alias("last"), F.when(fires, F.concat(a["ids"], F.array(f["id"]))).otherwise(a["ids"]).alias("ids"))
-
-    ids = F.aggregate("fs", empty, step, lambda a: a["ids"])
-    d = arrays.withColumn("ids", ids)
-    last = F.slice("ids", F.greatest(F.size("ids") - keep + 1, F.lit(1)), keep)
-    return d.select("stream_id", F.size("ids").cast("long").alias("alerts"), F.array_join(F.transform(last, lambda x: x.cast("string")), ",").alias("last"))
+    high = states(rows).where("band = 'high'").select("stream_id", F.col("ts").cast("timestamp").cast("double").alias("t"), "event_id", "ts")
+    ordered = high.repartition("stream_id").sortWithinPartitions("stream_id", "ts", "event_id").drop("ts")
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, now = [], None  # now: stream, alerts, time of the last, ids of the last ones
+        for frame in frames:
+            for stream, t, event in zip(frame["stream_id"].tolist(), frame["t"].tolist(), frame["event_id"].tolist(), strict=True):
+                if now is None or now[0] != stream:
+                    if now is not None:
+                        out.append((now[0], now[1], ",".join(map(str, now[3]))))
+                    now = (stream, 1, t, [event])
+                elif t - now[2] > COOLDOWN_SECONDS:
+                    now = (stream, now[1] + 1, t, [*now[3], event][-keep:])
+            if out:
+                yield pd.DataFrame(out, columns=["stream_id", "alerts", "last"])
+                out = []
+        if now is not None:
+            yield pd.DataFrame([(now[0], now[1], ",".join(map(str, now[3])))], columns=["stream_id", "alerts", "last"])
+
+    return ordered.mapInPandas(fold, f"stream_id {rows.schema['stream_id'].dataType.simpleString()}, alerts long, last string")
 
 
 def summary(rows: DataFrame) -> DataFrame:
@@ -105,9 +114,17 @@ def stream_states(rows: DataFrame, watermark: str = "1 minute") -> DataFrame:
 
 
 def incremental(source: DataFrame, transform, sink: str, checkpoint: str):
-    """A stream that applies ``transform`` to each micro-batch of items and appends to parquet; resumes from its checkpoint."""
+    """A stream that applies ``transform`` to each micro-batch of items and writes parquet; resumes from its checkpoint.
+
+    Each batch is a partition ``batch_id`` of its own and replaces it, so a batch
+    that is replayed after a failure is not written twice; its progress (rows
+    and time) is a row of ``<sink>_progress`` in the same way.
+    """
 
-    def put(batch: DataFrame, _: int) -> None:
-        transform(batch).write.mode("append").parquet(sink)
+    def put(batch: DataFrame, number: int) -> None:
+        done = transform(batch)
+        done.write.mode("overwrite").parquet(f"{sink}/batch_id={number}")
+        written = batch.sparkSession.read.parquet(f"{sink}/batch_id={number}")
+        written.agg(F.count("*").alias("rows"), F.current_timestamp().alias("finished")).write.mode("overwrite").parquet(f"{sink}_progress/batch_id={number}")
 
     return source.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

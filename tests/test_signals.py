@@ -77,6 +77,52 @@ def test_fusion_is_idempotent_and_rounds_to_even(spark):
     assert once == twice and once[0].score == 26
 
 
+def test_search_equals_brute_force(spark):
+    from sievewright.operators.records import search
+
+    rng = random.Random(5)
+    rows = [(i, "hot" if i % 3 else rng.choice("ab"), float(rng.randint(0, 30))) for i in range(200)] + [(900, None, 1.0), (920, "alone", 1.0)]
+    df = spark.createDataFrame(rows, "k long, b string, v double")
+    score = lambda x, y: -F.abs(x - y)
+    got = {r.k: tuple(r)[1:] for r in search(df, df.where("k % 20 = 0"), "k", "v", ["b"], score, lambda s: s >= -1, salts=3).collect()}
+    want = {}
+    for k, b, v in rows:
+        others = [(-abs(v - w), -j) for j, c, w in rows if c == b and b is not None and j != k]
+        if k % 20 == 0 and others:
+            best = max(others)
+            want[k] = (len(others), sum(s >= -1 for s, _ in others), -best[1], best[0])
+    assert got == want
+
+
+def test_alerts_of_long_streams(spark):
+    import datetime
+
+    from sievewright.streaming import live
+
+    start = datetime.datetime(2024, 1, 1)
+    rng = random.Random(6)
+    rows = [(s, s * 10000 + i, start + datetime.timedelta(seconds=i), rng.randint(60, 100) if s else 10) for s in range(4) for i in range(500)]
+    got = {r.stream_id: (r.alerts, r.last) for r in live.alerts_batch(spark.createDataFrame(rows, "stream_id long, event_id long, ts timestamp, score int")).collect()}
+    for s in range(4):
+        mine, ids, last = [r for r in rows if r[0] == s], [], None
+        for i, r in enumerate(mine):
+            window = [x[3] for x in mine[max(0, i - 29) : i + 1]]
+            if sum(window) / len(window) >= 67 and (last is None or (r[2] - last).total_seconds() > 5):
+                ids.append(r[1])
+                last = r[2]
+        assert got.get(s) == ((len(ids), ",".join(map(str, ids[-10:]))) if ids else None)
+
+
+def test_markers_overlap_and_bounds(spark):
+    from sievewright.operators.records import marker_hits
+
+    lexicon = spark.createDataFrame([("a", "gpt"), ("a", "chat gpt"), ("b", "c++"), ("k", "생성"), ("n", "")], "tool string, marker string")
+    texts = [(1, "Chat GPT x"), (2, "egpt"), (3, "c++, gpt."), (4, "그림생성기"), (5, None), (6, "")]
+    got = sorted(tuple(r) for r in marker_hits(spark.createDataFrame(texts, "id int, t string"), lexicon, "id", "t").collect())
+    assert got == [(1, "a", "chat gpt"), (1, "a", "gpt"), (3, "a", "gpt"), (3, "b", "c++"), (4, "k", "생성")]
+    assert marker_hits(spark.createDataFrame(texts, "id int, t string"), lexicon.limit(0), "id", "t").collect() == []
+
+
 def test_signatures(spark):
     import hashlib
     import hmac
