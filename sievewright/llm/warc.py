@@ -23,10 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievewright.llm.common import open_fs, scratch_uri
+from sievewright.llm.common import open_fs, scratch_uri, written
 
 #: Capture lines in an index block.
 BLOCK_LINES = 256
+#: Captures of one key that one lookup reads.
+SLICE = 256
+#: Bytes of records, as stored, that one task reads, and so many tasks at most.
+TASK_BYTES, MAX_TASKS = 8 << 20, 100_000
 #: Payloads of so many bytes are recorded once.
 MIN_REVISIT = 1000
 
@@ -182,7 +186,7 @@ class Index:
             if len(self.directory) > 8:
                 self.directory.clear()
             table = ds.dataset(f"{self.path}/directory", filesystem=self.fs, format="parquet").to_table(filter=ds.field("part") == part)
-            rows = zip(*(table[c].to_pylist() for c in ("first_key", "file", "offset", "length")), strict=True)
+            rows = zip(*(table[c].to_pylist() for c in ("first_key", "file", "offset", "length", "lines")), strict=True)
             self.directory[part] = sorted(rows, key=lambda r: (r[0], r[2]))
         return self.directory[part]
 
@@ -203,20 +207,32 @@ class Index:
                     raise
         raise AssertionError
 
-    def captures(self, key: str) -> Iterator[list]:
-        """Capture lines (key, page id, file, offset, length) of a key, in order."""
+    def captures(self, key: str, start: int = 0, stop: int | None = None) -> Iterator[list]:
+        """Capture lines (key, page id, file, offset, length) of a key, in order, from the start-th to before the stop-th.
+
+        Blocks that hold nothing but the key and lie before the start are counted by the directory, not read.
+        """
         at = max(bisect.bisect_left(self.first, key) - 1, 0)
+        seen = 0
         while at < len(self.first) and self.first[at] <= key:
             blocks = self._blocks(self.part[at])
             keys = [b[0] for b in blocks]
+            after = self.first[at + 1] if at + 1 < len(self.first) else None
             k = max(bisect.bisect_left(keys, key) - 1, 0)
-            while k < len(blocks) and keys[k] <= key:
-                _, name, offset, length = blocks[k]
+            while k < len(blocks) and keys[k] <= key and (stop is None or seen < stop):
+                _, name, offset, length, lines = blocks[k]
+                follows = keys[k + 1] if k + 1 < len(keys) else after
+                if keys[k] == follows == key and seen + lines <= start:
+                    seen += lines
+                    k += 1
+                    continue
                 if self.block[0] != (name, offset):
-                    lines = [json.loads(x) for x in zlib.decompress(self.read("index", name, offset, length), 31).split(b"\n")]
-                    self.block = ((name, offset), lines, [x[0] for x in lines])
-                lines, inside = self.block[1], self.block[2]
-                yield from lines[bisect.bisect_left(inside, key) : bisect.bisect_right(inside, key)]
+                    rows = [json.loads(x) for x in zlib.decompress(self.read("index", name, offset, length), 31).split(b"\n")]
+                    self.block = ((name, offset), rows, [x[0] for x in rows])
+                rows, inside = self.block[1], self.block[2]
+                found = rows[bisect.bisect_left(inside, key) : bisect.bisect_right(inside, key)]
+                yield from found[max(0, start - seen) : None if stop is None else max(0, stop - seen)]
+                seen += len(found)
                 k += 1
             at += 1
 
@@ -227,9 +243,11 @@ RESULT = "key string, page_id string, record_type string, url string, digest str
 def lookup(keys: DataFrame, folder: str, key_col: str = "key", with_payload: bool = True) -> DataFrame:
     """Captures of the wanted keys, each read by its byte range; ids are JSON text.
 
-    Keys are sorted by range first, so that a task's lookups share blocks.  Keys
-    that are null or not captured have no row; each distinct key is looked up once.
-    A revisit has the digest and size of the payload that it refers to.
+    Keys are sorted by range first, so that a task's lookups share blocks, and
+    dealt to as many tasks as the records' bytes need; a key of many captures is
+    looked up in slices of SLICE.  Keys that are null or not captured have no
+    row; each distinct key is looked up once.  A revisit has the digest and size
+    of the payload that it refers to.
     """
     spark = keys.sparkSession
     # A row for each index file, of which there are as many as shuffle partitions.
@@ -239,8 +257,8 @@ def lookup(keys: DataFrame, folder: str, key_col: str = "key", with_payload: boo
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, rows = Index(folder, ranges), []
         for batch in batches:
-            for key in batch.column(0).to_pylist():
-                for _, page, name, offset, length in index.captures(key):
+            for key, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for _, page, name, offset, length in index.captures(key, part * SLICE, (part + 1) * SLICE):
                     headers, payload = parse_record(index.read("records", name, offset, length))
                     digest = base64.b32decode(headers["WARC-Payload-Digest"].removeprefix("sha1:"))
                     kind = headers["WARC-Type"]
@@ -253,8 +271,12 @@ def lookup(keys: DataFrame, folder: str, key_col: str = "key", with_payload: boo
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), form, strict=True)], schema=form)
 
-    wanted = keys.select(F.col(key_col).alias("key")).where("key is not null").distinct()
-    return wanted.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(get, RESULT)
+    counts = spark.read.schema(CAPTURES).parquet(f"{folder}/captures").groupBy("key").agg(F.count("*").alias("n"), F.sum("length").alias("size"))
+    wanted = written(keys.select(F.col(key_col).alias("key")).where("key is not null").distinct().join(counts, "key"), "wanted")
+    size = wanted.agg(F.sum("size")).first()[0] or 0
+    slices = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SLICE))).alias("slice")
+    parts = max(1, min(-(-size // TASK_BYTES), MAX_TASKS))
+    return wanted.select("key", slices).repartitionByRange(parts, "key", "slice").sortWithinPartitions("key", "slice").mapInArrow(get, RESULT)
 
 
 def archive_and_read(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", with_payload: bool = False) -> DataFrame:

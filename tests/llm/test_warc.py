@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from sievewright.llm import warc
 from sievewright.llm.common import open_fs, scratch_uri
@@ -45,3 +46,16 @@ def test_lookup_of_some_keys_and_damage(spark):
     raw[20] ^= 0xFF
     with pytest.raises(ValueError):
         warc.parse_record(bytes(raw))
+
+
+def test_one_url_in_half_the_rows_is_read_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(warc, "TASK_BYTES", 1 << 13)
+    rows = [(i, "http://hot.example.org/" if i % 2 else f"http://h{i}.example.org/", f"page {i} " * 20) for i in range(4000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = scratch_uri(spark, "warc")
+    warc.write(df, folder)
+    hot = warc.lookup(spark.createDataFrame([("org,example,hot)/",)], "key string"), folder)
+    parts = hot.withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
+    assert sum(p["count"] for p in parts) == 2000 and len(parts) >= 4 and max(p["count"] for p in parts) <= 1024
+    assert sorted(int(r.page_id) for r in hot.collect()) == list(range(1, 4000, 2))
+    assert sorted(r.page_id for r in warc.archive_and_read(df).collect()) == list(range(4000))
