@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -117,17 +119,49 @@ class MergeTable:
         return ids[np.argsort(owner, kind="stable")], counts
 
 
+@functools.cache
+def unicode_differences() -> tuple[dict[int, str], dict[int, str]]:
+    """(lower-case letters, stand-ins) of the code points that the tokenizers library's Unicode tables treat otherwise.
+
+    Python, the regex module and the library each hold another Unicode version.
+    A stand-in is a letter of the class that the library sees: letter, number,
+    white space or none of them.
+    """
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    every = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and chr(c) not in "\n"]
+    whole = "".join(every)
+    classes = {"\u00e9": (r"\p{L}", r"\p{L}"), "2": (r"\p{N}", r"\p{N}"), " ": (r"\s", r"\p{White_Space}")}
+    theirs, ours = {}, {}
+    for stand_in, (library, module) in classes.items():
+        found = pre_tokenizers.Split(Regex(library), "removed", invert=True).pre_tokenize_str(whole)
+        theirs.update((piece, stand_in) for piece, _ in found)
+        ours.update((piece, stand_in) for piece in regex.findall(module, whole))
+    stand_ins = {ord(c): theirs.get(c, "!") for c in every if theirs.get(c) != ours.get(c)}
+    lowered = normalizers.Lowercase().normalize_str("\n".join(every)).split("\n")
+    lower = {ord(c): low for c, low in zip(every, lowered, strict=True) if c != "\u03a3" and low != c.lower()}
+    return lower, stand_ins
+
+
 class WordTokenizer:
-    """Lower-casing BPE with word ends: NFC, white space dropped, special tokens kept whole."""
+    """Lower-casing BPE with word ends: NFC, white space dropped, special tokens kept whole.
+
+    ``differences`` are those of :func:`unicode_differences`.
+    """
 
     ascii_words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
     words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
-    def __init__(self, spec: dict):
+    def __init__(self, spec: dict, differences: tuple[dict[int, str], dict[int, str]] | None = None):
         self.table = MergeTable(spec["model"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = dict(enumerate(self.table.tokens)) | {i: t for t, i in self.special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.lower, self.stand_ins = differences or unicode_differences()
+        odd = sorted({*self.lower, *self.stand_ins, *(ord(c) for x in self.lower.values() for c in x)})
+        starts = [c for i, c in enumerate(odd) if not i or odd[i - 1] != c - 1]
+        ends = [c for i, c in enumerate(odd) if i == len(odd) - 1 or odd[i + 1] != c + 1]
+        self.odd = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True)) + "]") if odd else None
 
     def split(self, text: str) -> list[str | int]:
         """Words of a text; a special token is its id."""
@@ -140,7 +174,12 @@ class WordTokenizer:
                 out += self.ascii_words.findall(part.lower())
             else:
                 # Lower-casing goes letter by letter: a final sigma is not special.
-                out += self.words.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
+                if self.odd is None or not self.odd.search(part):
+                    out += self.words.findall(part.lower())
+                    continue
+                part = "".join(self.lower.get(ord(c)) or c.lower() for c in part)
+                out += [part[m.start() : m.end()] for m in self.words.finditer(part.translate(self.stand_ins))]
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -185,14 +224,14 @@ def encode_decode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text
     32-bit numbers, decoded_sha256 over the decoded text in UTF-8.  A null or
     empty text has no tokens and decodes to the empty text.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(load(vocab_path))
+    sent = docs.sparkSession.sparkContext.broadcast((load(vocab_path), unicode_differences()))
     schema = T.StructType([docs.schema[id_col]])
     schema = schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if keep_tokens:
         schema = schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(sent.value)
+        tokenizer = WordTokenizer(*sent.value)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             _, offsets = text_buffers(batch.column(1))

@@ -24,3 +24,25 @@ def test_equals_the_library(spark):
         assert key in got, (t or "")[:60]
         assert got[key].ids == ids and got[key].decoded == decoded
     assert bpe.encode_decode(df.limit(0), PATH).collect() == []
+
+
+def test_every_code_point():
+    library, own = Tokenizer.from_file(PATH), bpe.WordTokenizer(bpe.load(PATH))
+    letters = [chr(c) for c in range(0x20, 0x110000) if not 0xD800 <= c < 0xE000]
+    for form in ("a{}b", "1 {}2", "!{}!"):
+        texts = [form.format(c) for c in letters]
+        ids, counts = own.encode(texts)
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        want = library.encode_batch(texts, add_special_tokens=False)
+        assert [c for i, c in enumerate(letters) if want[i].ids != ids[bounds[i] : bounds[i + 1]].tolist()] == []
+
+
+def test_random_texts():
+    library, own = Tokenizer.from_file(PATH), bpe.WordTokenizer(bpe.load(PATH))
+    rng = np.random.default_rng(3)
+    odd = [chr(c) for c in (*range(0x20, 0x600), *range(0x1C80, 0x1C90), *range(0x2080, 0x20A0), *range(0xA7C0, 0xA7F4), *range(0x10D40, 0x10D90), *range(0xAC00, 0xAC40), *range(0x1100, 0x1180))]
+    texts = ["".join(rng.choice(odd, rng.integers(1, 40))) for _ in range(3000)]
+    ids, counts = own.encode(texts)
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    for i, e in enumerate(library.encode_batch(texts, add_special_tokens=False)):
+        assert e.ids == ids[bounds[i] : bounds[i + 1]].tolist(), ascii(texts[i])
