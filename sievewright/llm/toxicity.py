@@ -52,7 +52,7 @@ def features(blob: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[n
     return (np.concatenate(values) >> np.uint64(64 - bits)).astype(np.int64), np.concatenate(rows)
 
 
-def ftrl(examples: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha: float = 3.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.1, epochs: int = 4) -> tuple[np.ndarray, float]:
+def ftrl(examples: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha: float = 0.5, beta: float = 1.0, l1: float = 4.0, l2: float = 0.1, epochs: int = 4) -> tuple[np.ndarray, float]:
     """(weights, intercept): per-coordinate FTRL-proximal over sets of hashed features.
 
     A feature present counts 1.  The intercept is a coordinate without L1.
@@ -77,6 +77,22 @@ def ftrl(examples: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha
     return weights(z, n), -z0 / ((beta + n0**0.5) / alpha + l2)
 
 
+def balanced_shift(logits: np.ndarray, labels: np.ndarray) -> float:
+    """What to add to logits so that the labels' mean errors of probability balance; 0 where a label is missing.
+
+    Found by bisection: the mean of label 1's missing probability falls with the
+    shift, that of label 0's probability rises.
+    """
+    if not (labels == 1).any() or not (labels == 0).any():
+        return 0.0
+    low, high = -30.0, 30.0
+    for _ in range(60):
+        shift = (low + high) / 2
+        p = 1 / (1 + np.exp(-np.clip(logits + shift, -30, 30)))
+        low, high = (shift, high) if (1 - p[labels == 1]).mean() > p[labels == 0].mean() else (low, shift)
+    return low
+
+
 def fit(labelled: DataFrame, text_col: str, label_col: str, train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, np.ndarray, float]:
     """(indices, weights, intercept) of the features with weight, from a bounded sample.
 
@@ -84,7 +100,12 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, train_docs: int = TR
     hash of the text, fewer if their texts have over ``SAMPLE_BYTES`` together,
     and each teaches as a whole, once for each equal row up to ``COPIES``.  The
     sample, at most twice that many pairs, is all that reaches the driver.  Null
-    labels and null texts teach nothing.
+    labels and null texts teach nothing; without a row of either label every
+    text scores alike.
+
+    Labels are rare, so plain probabilities of unseen texts are low.  Each half
+    of the sample is scored by what the other half teaches, and the intercept is
+    shifted so that both labels' mean errors are alike there.
     """
     rows = labelled.select(F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y")).where("t is not null and y is not null")
     total = rows.select("y", F.xxhash64("t"), F.octet_length("t").alias("n")).distinct().agg(F.count("*").alias("pairs"), F.sum("n").alias("n")).first()
@@ -92,13 +113,25 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, train_docs: int = TR
     unit = F.pmod(F.xxhash64("t", F.lit(10)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     pairs = rows.where(unit < F.lit(share)).groupBy("t", "y").agg(F.count("*").alias("n"))
     sample = pairs.select("y", "t", F.least("n", F.lit(COPIES)).alias("n"), F.xxhash64("t").alias("h")).orderBy("h", "t", "y").limit(2 * train_docs).collect()
-    examples = []
+    one, examples, fold = [], [], []
     for r in sample:
         text = np.frombuffer(r.t.encode(), np.uint8)
-        examples += [np.unique(features(text, np.array([0, len(text)]))[0]).astype(np.int32)] * r.n
-    w, intercept = ftrl(examples, np.array([r.y for r in sample for _ in range(r.n)], float))
+        one.append(np.unique(features(text, np.array([0, len(text)]))[0]).astype(np.int32))
+        examples += [one[-1]] * r.n
+        fold += [r.h & 3] * r.n
+    labels, fold = np.array([r.y for r in sample for _ in range(r.n)], float), np.array(fold)
+    w, intercept = ftrl(examples, labels)
+    shift = 0.0
+    if len(sample):
+        logits, mine = np.zeros(len(sample)), np.array([r.h & 3 for r in sample])
+        for k in (0, 1):
+            other = np.flatnonzero(fold != k)
+            v, v0 = ftrl([examples[i] for i in other], labels[other])
+            for i in np.flatnonzero(mine == k):
+                logits[i] = v[one[i]].sum() + v0
+        shift = balanced_shift(logits[mine < 2], np.array([r.y for r in sample], float)[mine < 2])
     some = np.flatnonzero(w)
-    return some, w[some].astype(np.float32), float(intercept)
+    return some, w[some].astype(np.float32), float(intercept + shift)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
