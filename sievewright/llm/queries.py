@@ -85,8 +85,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
-    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id"), F.col("toxic").alias("y"))
-    model = toxicity.fit(docs.where(~held_out).select("doc_id", "text").join(labels, "doc_id"), "text", "y")
+    model = toxicity.fit(toxicity.labelled_rows(docs.where(~held_out), _table(spark, sf_dir, "labels")), "t", "y")
     out = toxicity.score(docs, model)
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 

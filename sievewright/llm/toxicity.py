@@ -93,6 +93,16 @@ def balanced_shift(logits: np.ndarray, labels: np.ndarray) -> float:
     return low
 
 
+def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """Rows (t, y, h, n) of labelled texts, their hashes and bytes.
+
+    Hash and size are columns of the documents' side, so that what only counts
+    joins light rows; which labels an id has twice teach twice.
+    """
+    light = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"), F.octet_length(text_col).alias("n"))
+    return light.join(labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")), "id").drop("id")
+
+
 def fit(labelled: DataFrame, text_col: str, label_col: str, train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, np.ndarray, float]:
     """(indices, weights, intercept) of the features with weight, from a bounded sample.
 
@@ -107,8 +117,11 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, train_docs: int = TR
     of the sample is scored by what the other half teaches, and the intercept is
     shifted so that both labels' mean errors are alike there.
     """
-    rows = labelled.select(F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y")).where("t is not null and y is not null")
-    total = rows.select("y", F.xxhash64("t"), F.octet_length("t").alias("n")).distinct().agg(F.count("*").alias("pairs"), F.sum("n").alias("n")).first()
+    if {"h", "n"} <= set(labelled.columns):  # of labelled_rows
+        rows = labelled.select(F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y"), "h", "n").where("n is not null and y is not null")
+    else:
+        rows = labelled.select(F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y"), F.xxhash64(text_col).alias("h"), F.octet_length(text_col).alias("n")).where("n is not null and y is not null")
+    total = rows.select("y", "h", "n").distinct().agg(F.count("*").alias("pairs"), F.sum("n").alias("n")).first()
     share = min(1.0, train_docs / max(1, total.pairs), SAMPLE_BYTES / max(1, total.n or 0))
     unit = F.pmod(F.xxhash64("t", F.lit(10)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     pairs = rows.where(unit < F.lit(share)).groupBy("t", "y").agg(F.count("*").alias("n"))
