@@ -94,12 +94,12 @@ def balanced_shift(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """Rows (t, y, h, n) of labelled texts, their hashes and bytes.
+    """Rows (t, y, _hash_, _bytes_) of labelled texts, their hashes and sizes.
 
     Hash and size are columns of the documents' side, so that what only counts
     joins light rows; which labels an id has twice teach twice.
     """
-    light = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"), F.octet_length(text_col).alias("n"))
+    light = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("_hash_"), F.octet_length(text_col).alias("_bytes_"))
     return light.join(labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")), "id").drop("id")
 
 
@@ -117,8 +117,8 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, train_docs: int = TR
     of the sample is scored by what the other half teaches, and the intercept is
     shifted so that both labels' mean errors are alike there.
     """
-    if {"h", "n"} <= set(labelled.columns):  # of labelled_rows
-        rows = labelled.select(F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y"), "h", "n").where("n is not null and y is not null")
+    if {"_hash_", "_bytes_"} <= set(labelled.columns):  # of labelled_rows
+        rows = labelled.select(F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y"), F.col("_hash_").alias("h"), F.col("_bytes_").alias("n")).where("n is not null and y is not null")
     else:
         rows = labelled.select(F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y"), F.xxhash64(text_col).alias("h"), F.octet_length(text_col).alias("n")).where("n is not null and y is not null")
     total = rows.select("y", "h", "n").distinct().agg(F.count("*").alias("pairs"), F.sum("n").alias("n")).first()
