@@ -76,16 +76,20 @@ def marker_hits(docs: DataFrame, lexicon: DataFrame, id_col: str, text_col: str)
     """Rows (id, tool, marker) of lexicon rows (tool, marker) found in lower-cased texts.
 
     ASCII markers stand between characters other than a-z and 0-9, others
-    anywhere.  The lexicon, a bounded list of names, becomes one literal array:
-    a text keeps the markers it contains, and only those are looked at again, by
-    pattern.  Texts are neither joined nor shuffled.
+    anywhere.  The lexicon, a bounded list of names, becomes one literal array.
+    A bounded marker's first word is a word of the text, so a text looks for
+    those of the words it has, and checks the bounds of what it contains.
+    Texts are neither joined nor shuffled.
     """
     names = sorted({(r.tool, r.marker) for r in lexicon.select("tool", "marker").collect() if r.marker})
     if not names:
         return docs.select(id_col, F.lit("").alias("tool"), F.lit("").alias("marker")).where(F.lit(False))
-    known = F.array(*[F.struct(F.lit(t).alias("tool"), F.lit(m).alias("marker"), F.lit(rf"(?<![a-z0-9])\Q{m}\E(?![a-z0-9])" if m.isascii() else "").alias("bounded")) for t, m in names])
+    first = {m: (re.findall("[a-z0-9]+", m) or [""])[0] if m.isascii() else "" for _, m in names}
+    known = F.array(*[F.struct(F.lit(t).alias("tool"), F.lit(m).alias("marker"), F.lit(first[m]).alias("first"), F.lit(rf"(?<![a-z0-9])\Q{m}\E(?![a-z0-9])" if m.isascii() else "").alias("bounded")) for t, m in names])
     d = docs.select(id_col, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"))
-    d = d.select(id_col, "_t", F.explode(F.filter(known, lambda x: F.contains("_t", x["marker"]))).alias("_m"))
+    d = d.withColumn("_w", F.array_intersect(F.split("_t", "[^a-z0-9]+"), F.array(*map(F.lit, sorted({w for w in first.values() if w} | {"-"})))))
+    held = lambda x: ((x["first"] == "") | F.array_contains("_w", x["first"])) & F.contains("_t", x["marker"])
+    d = d.select(id_col, "_t", F.explode(F.filter(known, held)).alias("_m"))
     return d.where((F.col("_m.bounded") == "") | F.expr("_t RLIKE _m.bounded")).select(id_col, "_m.tool", "_m.marker")
 
 

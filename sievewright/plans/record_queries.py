@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sievewright.functions.catalogue import TOOLS
 from sievewright.operators import records as R
 from sievewright.plans.base import oracle, sql
 
-#: Tools whose names the tables' own words stand in for.
-LEXICON = "SELECT * FROM (VALUES ('alpha', 'the'), ('alpha', 'ation'), ('beta', 'and of'), ('beta', 'ing'), ('gamma', 'ción'), ('gamma', 'de la'), ('delta', 'över'), ('delta', 'der'), ('epsilon', 'mit license'), ('epsilon', 'gpl')) AS l(tool, marker)"
+#: The tool catalogue, and tools whose names the tables' own words stand in for.
+_ROWS = ", ".join("('{}', '{}')".format(name.replace("'", "''"), marker.replace("'", "''")) for name, _, _, markers in TOOLS for marker in markers)
+LEXICON = "SELECT * FROM (VALUES ('alpha', 'the'), ('alpha', 'ation'), ('beta', 'and of'), ('beta', 'ing'), ('gamma', 'ción'), ('gamma', 'de la'), ('delta', 'över'), ('delta', 'der'), ('epsilon', 'mit license'), ('epsilon', 'gpl'), " + _ROWS + ") AS l(tool, marker)"
 CORPUS = """SELECT doc_id AS item_id, CASE doc_id % 4 WHEN 0 THEN 'train/1_fake/' WHEN 1 THEN 'valid/0_real/' WHEN 2 THEN 'test/ai/edited/' ELSE 'misc/' END || source || '/' || CAST(doc_id AS VARCHAR(20)) || CASE WHEN doc_id % 6 = 0 THEN '_mask.png' ELSE '.png' END AS path, text, source FROM documents"""
 EDGES = "SELECT doc_id AS src, CAST(floor(doc_id / 3) AS BIGINT) AS dst FROM documents WHERE doc_id > 0 AND doc_id % 2 = 0"
 REVIEWS = """SELECT event_id, user_id AS artifact_id, ts, CASE WHEN event_type = 'click' THEN TRUE WHEN event_type = 'error' THEN FALSE END AS star, CASE WHEN event_id % 3 = 0 THEN 'n' || CAST(event_id AS VARCHAR(20)) END AS note,
@@ -253,7 +255,7 @@ _CASES = "SELECT CASE WHEN score >= 67 AND label = 0 THEN 'false_positive' WHEN
 _PARTS = f"""c AS ({CORPUS}), p AS (SELECT *, list_transform(string_split(lower(path), '/')[1:len(string_split(path, '/')) - 1], lambda x: regexp_replace(x, '^\\d+_', '')) AS parts FROM c),
 lab AS (SELECT *, CASE WHEN list_has_any(parts, ['edited', 'tampered', 'manipulated']) THEN 'edited' WHEN list_has_any(parts, ['ai', 'fake', 'synthetic', 'generated']) THEN 'ai' WHEN list_has_any(parts, ['real', 'human', 'camera', 'authentic']) THEN 'human' ELSE 'unknown' END AS label,
  CASE WHEN list_contains(parts, 'train') THEN 'train' WHEN list_has_any(parts, ['val', 'valid', 'validation']) THEN 'val' WHEN list_contains(parts, 'test') THEN 'test' ELSE 'unspecified' END AS split FROM p)"""
-_HITS = f"l AS ({LEXICON}), h AS (SELECT doc_id, tool, marker FROM documents, l WHERE contains(lower(text), marker) AND (NOT regexp_matches(marker, '^[\\x00-\\x7F]*$') OR regexp_matches(lower(text), '(^|[^a-z0-9])' || marker || '($|[^a-z0-9])')))"
+_HITS = f"l AS ({LEXICON}), h AS (SELECT doc_id, tool, marker FROM documents, l WHERE contains(lower(text), marker) AND (NOT regexp_matches(marker, '^[\\x00-\\x7F]*$') OR regexp_matches(lower(text), '(^|[^a-z0-9])' || regexp_escape(marker) || '($|[^a-z0-9])')))"
 
 _BUCKETS = "WITH h AS (SELECT source, sha256(lang || ':' || sha256(text)) AS d FROM documents), d AS (SELECT source, left(d, 3) AS b, ('0x' || substring(d, 4, 15))::UBIGINT AS x, ('0x' || substring(d, 19, 15))::UBIGINT AS y FROM h)"
 _SUMS = "b || ',' || count(*) || ',' || sum(x) || ',' || sum(y) AS line"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sievewright.functions import catalogue as C
 from sievewright.operators import evidence as E
 from sievewright.operators import fusion as FU
 from sievewright.operators import images as I
@@ -313,7 +314,8 @@ def prv4_strings(spark, sf):
     return d.select("page_id", F.size(P.printable_strings(F.encode("html", "UTF-8"), ("script", "title"))).alias("n"))
 
 
-FAMILIES = {"c2pa": ("jumbf", "track(0)"), "google": ("lang=\"en\"",), "vendor": ("lang=\"fr\"", "Êen"), "frame": ("<nav>",), "ad": ("class=\"ad\"",)}
+#: The provenance families, and some whose markers the pages hold.
+FAMILIES = C.PROVENANCE | {"lang": ("lang=\"en\"",), "other": ("lang=\"fr\"", "Êen"), "frame": ("<nav>",), "ad": ("class=\"ad\"",)}
 
 
 def prv5_markers(spark, sf):
@@ -332,9 +334,21 @@ def prv7_folded(spark, sf):
     return d.select("doc_id", label.alias("label"), level.alias("confidence"), F.size(hints).alias("hints"))
 
 
+#: 3-D and avatar families over text and metadata, and two whose markers the pages hold.
+FIELD_FAMILIES = {f: {"metadata": m, "text": m} for f, m in (C.THREED | C.AVATAR).items()} | {"a": {"metadata": ("html lang=\"en\"",), "text": ("blog",), "extension": (".html",)}, "b": {"text": ("www",), "extension": ("/",)}}
+
+
+def _family_sql(fields: dict[str, str], weights: dict[str, int]) -> str:
+    parts = []
+    for markers in FIELD_FAMILIES.values():
+        parts += [f"{weights[k]} * CAST(({' OR '.join(f'contains({c}, {chr(39)}{m}{chr(39)})' for m in markers[k])}) AS INT)" for k, c in fields.items() if markers.get(k)]
+        parts += [f"{weights['extension']} * CAST(ends_with(lower(url), '{e}') AS INT)" for e in markers.get("extension", ())]
+    return "least(100, " + " + ".join(parts) + ")"
+
+
 def prv8_families(spark, sf):
     d = sql(spark, sf, "SELECT page_id, url, html FROM pages")
-    fam = {"a": {"metadata": ("html lang=\"en\"",), "text": ("blog",), "extension": (".html",)}, "b": {"text": ("www",), "extension": ("/",)}}
+    fam = FIELD_FAMILIES
     return d.select("page_id", P.family_score(F.col("url"), F.col("html"), F.col("url"), fam, {"metadata": 25, "text": 20, "extension": 10}).alias("score"))
 
 
@@ -486,7 +500,7 @@ SQL = {k: s for k, (_, s) in _RULES.items()} | {
     "prv5_markers": "WITH s AS (SELECT page_id, least(100, 10 * (" + " + ".join("CAST(" + " OR ".join(f"contains(html, '{m}')" for m in ms) + " AS INT)" for ms in FAMILIES.values()) + ")) AS score FROM pages) SELECT *, CASE WHEN score >= 50 THEN 'high' WHEN score >= 20 THEN 'medium' ELSE 'low' END AS band FROM s",
     "prv6_status": "SELECT lang, CASE doc_id % 6 WHEN 0 THEN 'valid' WHEN 1 THEN 'absent' WHEN 2 THEN 'invalid' ELSE 'unavailable' END AS status, count(*) AS n FROM documents GROUP BY ALL",
     "prv7_folded": "SELECT doc_id, CASE WHEN doc_id % 5 IN (0, 2) AND doc_id % 2 = 0 THEN 'AI 도구 생성 메타데이터 추정' ELSE 'x' END AS label, CASE WHEN doc_id % 2 = 1 THEN 'high' WHEN doc_id % 5 IN (0, 2) THEN 'medium' ELSE 'unknown' END AS confidence, CAST(doc_id % 5 <= 2 AS INT) AS hints FROM documents",
-    "prv8_families": "SELECT page_id, 25 * CAST(contains(lower(html), 'html lang=\"en\"') AS INT) + 20 * CAST(contains(lower(url), 'blog') AS INT) + 10 * CAST(ends_with(lower(url), '.html') AS INT) + 20 * CAST(contains(lower(url), 'www') AS INT) + 10 * CAST(ends_with(url, '/') AS INT) AS score FROM pages",
+    "prv8_families": f"SELECT page_id, {_family_sql({'metadata': 'lower(html)', 'text': 'lower(url)'}, {'metadata': 25, 'text': 20, 'extension': 10})} AS score FROM pages",
     "prv9_confidence": "SELECT source, round(avg(CASE WHEN doc_id % 3 = 0 AND doc_id % 4 = 0 THEN 0.9 WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 0.5 WHEN doc_id % 3 = 0 THEN 0.3 ELSE 0.4 END), 6) AS confidence FROM documents GROUP BY source",
     "txt30_agents": f"WITH {_AGENT} SELECT conv_id, turn, score, n_signals, agent_type, CASE WHEN score >= 67 THEN 'high' WHEN score >= 35 THEN 'medium' ELSE 'low' END AS band, CASE WHEN score >= 67 AND n_signals >= 3 THEN 'high' WHEN score >= 35 THEN 'medium' ELSE 'low' END AS confidence FROM s",
     "txt31_green": f"WITH {_TOK}, g AS (SELECT item_id, count(*) AS n, count(*) FILTER (WHERE {_UNIT.format(key='secret')} < 0.25) AS greens FROM tk GROUP BY item_id HAVING count(*) >= 32), z AS (SELECT *, (greens - 0.25 * n) / sqrt(n * 0.25 * 0.75) AS z FROM g) SELECT item_id, n, greens, round(z, 6) AS z, greatest(0, least(100, CAST(trunc(z / 8 * 100) AS INT))) AS score FROM z",
