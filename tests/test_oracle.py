@@ -14,6 +14,7 @@ NAMES = [
     "agg3_auroc", "agg5_eer", "agg8_calibrated", "agg10_isotonic", "agg12_groups", "agg22_members", "agg25_fusion_weights", "jn4_feedback",
     "jn1_duplicates", "jn2_known", "jn5_markers", "jn11_ancestors", "agg15_audit", "snk4_reviews", "smp1_split", "srt1_review_order",
     "med1_audio", "img2_experts", "fus2_fused", "fus4_ensemble", "win1_frames", "win8_av_sync", "win13_pauses", "str1_rolling", "prv2_image_source", "evd3_signatures",
+    "str2_alerts", "evd6_cases", "agg16_fingerprint", "agg16_bucketed", "med3_speakers", "prv8_families", "fus7_expert_fusion",
 ]
 
 
