@@ -8,21 +8,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sievewright.llm.common import ByteHasher, chunks, mix, sliding, text_buffers, words_of
+from sievewright.llm.common import ByteHasher, chunks, mix, sliding, text_buffers, words_of, written
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Words are runs of digits, letters and bytes beyond ASCII.
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+#: The same words, of text in either case.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-#: Benchmark bytes that one broadcast block holds at most (one longer item is a block).
-BLOCK_BYTES = 16 << 20
-
-RESULT = "n_words long, n_hit long, item_ids array<string>, hit_spans array<struct<start:int,length:int>>"
-
+#: Bits of the filter of benchmark fingerprints that every task gets: 8 MiB, whatever the benchmark's size.
+FILTER_BITS = 26
 
 class _Words:
     """Words of a slice of texts, with a hash of each."""
@@ -46,8 +44,13 @@ class _Words:
             factor = factor * 0xD1342543DE82EF95 & (1 << 64) - 1 | 1
         return mix(total + np.uint64(n)), self.row[:m] == self.row[n - 1 :]
 
-    def text(self, start: int, n: int) -> bytes:
-        return b" ".join(self.blob[a:b].tobytes() for a, b in zip(self.starts[start : start + n], self.ends[start : start + n], strict=True))
+    def joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, starts, ends): the words with one space between those that something separated."""
+        inside = _IS_WORD[self.blob]
+        kept = inside.copy()
+        kept[1:] |= inside[:-1]
+        at = np.concatenate([[0], np.cumsum(kept)])
+        return np.where(inside, self.blob, np.uint8(32))[kept], at[self.starts], at[self.ends]
 
 
 def winnowed(hashes: np.ndarray, valid: np.ndarray, width: int) -> np.ndarray:
@@ -63,69 +66,141 @@ def winnowed(hashes: np.ndarray, valid: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(valid & (sliding(np.maximum, least, width) == x))
 
 
-class Fingerprints:
-    """What a task needs to know of one block of benchmark items."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int, gram: int):
-        self.window, self.gram, self.winnow = window, gram, window - gram + 1
-        self.ids = [i for i, _ in items]
-        texts = [t.encode() for _, t in items]
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]).astype(np.int64)
-        words = _Words(np.frombuffer(b"".join(texts), np.uint8), offsets)
-        counts = np.diff(words.first)
-        owners: dict[int, dict[bytes, list[int]]] = {}  # by window length: text of the window -> items
-        by_length: dict[int, list[np.ndarray]] = {}
-        for n in sorted({min(int(c), window) for c in counts if c}):
-            hashes, valid = words.grams(n)
-            mine = np.minimum(counts, window) == n
-            at = np.flatnonzero(valid & mine[words.row[: len(hashes)]])
-            by_length[n] = [np.unique(hashes[at])]
-            known = owners.setdefault(n, {})
-            for p in at.tolist():
-                who = known.setdefault(words.text(p, n), [])
-                if not who or who[-1] != int(words.row[p]):
-                    who.append(int(words.row[p]))
-        self.owners, self.hashes = owners, {n: v[0] for n, v in by_length.items()}
-        hashes, valid = words.grams(gram)
-        long = counts >= window
-        self.prints = np.unique(hashes[winnowed(hashes, valid & long[words.row[: len(hashes)]], self.winnow)])
-
-    def hits(self, words: _Words) -> tuple[np.ndarray, dict[int, set[int]]]:
-        """(whether each word is hit, items by row)."""
-        hit = np.zeros(len(words.hash) + 1, np.int64)
-        found: dict[int, set[int]] = {}
-        for n, known in self.hashes.items():
-            if n == self.window:
-                hashes, valid = words.grams(self.gram)
-                at = winnowed(hashes, valid, self.winnow)
-                at = at[_member(hashes[at], self.prints)]
-                if not len(at):
-                    continue
-                starts = np.unique((at[:, None] - np.arange(self.winnow)).ravel())
-            else:
-                starts = np.arange(len(words.hash))
-            hashes, valid = words.grams(n)
-            starts = starts[(starts >= 0) & (starts < len(hashes))]
-            starts = starts[valid[starts]]
-            starts = starts[_member(hashes[starts], known)]
-            for p in starts.tolist():
-                if who := self.owners[n].get(words.text(p, n)):
-                    hit[p] += 1
-                    hit[p + n] -= 1
-                    found.setdefault(int(words.row[p]), set()).update(who)
-        return np.cumsum(hit[:-1]) > 0, found
-
-
-def _member(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(x), bool)
-    at = np.searchsorted(known, x)
-    return known[np.minimum(at, len(known) - 1)] == x
-
-
-def _runs(flags: np.ndarray) -> list[dict]:
-    edge = np.flatnonzero(np.diff(np.r_[0, flags.astype(np.int8), 0]))
-    return [{"start": int(a), "length": int(b - a)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
+
+def _prints(words: _Words, counts: np.ndarray, n: int, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) to join on: winnowed k-grams for whole windows, every n-gram for shorter items.
+
+    ``counts`` are the words of each row; only rows that can hold such a window count.
+    """
+    hashes, valid = words.grams(gram if n == window else n)
+    if n == window:
+        at = winnowed(hashes, valid & (counts >= window)[words.row[: len(hashes)]], window - gram + 1)
+    else:
+        at = np.flatnonzero(valid)
+    return hashes[at], at
+
+
+def _item_prints(items: DataFrame, window: int, gram: int) -> DataFrame:
+    """Rows (n, h): the fingerprints of the items, by the length of their windows."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blob, offsets = text_buffers(batch.column(1))
+            for i, j in chunks(offsets):
+                words = _Words(blob[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                counts = np.diff(words.first)
+                for n in np.unique(np.minimum(counts, window)).tolist():
+                    if n:
+                        h, at = _prints(words, counts, n, window, gram)
+                        h = np.unique(h[(np.minimum(counts, window) == n)[words.row[at]]])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), n, np.int32)), pa.array(h.view(np.int64))], names=["n", "h"])
+
+    return items.mapInArrow(work, "n int, h long").distinct()
+
+
+def _item_windows(items: DataFrame, window: int) -> DataFrame:
+    """Rows (words, item): every different window of every item, its words with spaces between."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blob, offsets = text_buffers(batch.column(1))
+            for i, j in chunks(offsets):
+                words = _Words(blob[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                text, starts, ends = words.joined()
+                n = np.minimum(np.diff(words.first), window)
+                # Positions from which a whole window fits into the row.
+                at = np.flatnonzero(np.arange(len(words.row)) + n[words.row] <= words.first[1:][words.row])
+                to = at + n[words.row[at]] - 1
+                raw = text.tobytes()
+                for k in range(0, len(at), 1 << 16):
+                    a, b = starts[at[k : k + (1 << 16)]].tolist(), ends[to[k : k + (1 << 16)]].tolist()
+                    rows = pa.array(words.row[at[k : k + (1 << 16)]] + i)
+                    yield pa.RecordBatch.from_arrays([pa.array([raw[x:y].decode() for x, y in zip(a, b, strict=True)], pa.string()), batch.column(0).take(rows)], names=["words", "item"])
+
+    return items.mapInArrow(work, "words string, item string").distinct()
+
+
+def _filter(prints: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each value that the upper ``bits`` bits of some fingerprint have."""
+    slot = F.shiftrightunsigned("h", 64 - bits)
+    packed = prints.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int))")).alias("bits")).toArrow()
+    table = np.zeros(max(1, 1 << bits >> 6), np.int64)
+    table[packed["at"].to_numpy()] = packed["bits"].to_numpy()
+    return table
+
+
+def _candidates(texts: DataFrame, lengths: list[int], table: np.ndarray, bits: int, window: int, gram: int) -> DataFrame:
+    """Rows (k, n, h, words, at) for fingerprints of the texts that pass the filter.
+
+    ``words`` are those that windows around the fingerprint may hold, ``at`` the
+    places of the first of them, in words; a text has one row for equal ones.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(table)
+    schema = pa.schema([("k", pa.binary()), ("n", pa.int32()), ("h", pa.int64()), ("words", pa.string()), ("at", pa.list_(pa.int32()))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        for batch in batches:
+            blob, offsets = text_buffers(batch.column(1))
+            for i, j in chunks(offsets):
+                words = _Words(blob[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                counts = np.diff(words.first)
+                raw = None
+                for n in lengths:
+                    h, at = _prints(words, counts, n, window, gram)
+                    slot = (h >> np.uint64(64 - bits)).astype(np.int64)
+                    some = (table[slot >> 6] >> (slot & 63)) & 1 == 1
+                    h, at = h[some].view(np.int64), at[some]
+                    if not len(at):
+                        continue
+                    row = words.row[at]
+                    reach = window - gram if n == window else 0
+                    a, b = np.maximum(at - reach, words.first[row]), np.minimum(at + n, words.first[row + 1])
+                    if raw is None:
+                        text, starts, ends = words.joined()
+                        raw = text.tobytes()
+                    seen: dict[tuple, list[int]] = {}
+                    columns = (row, h, starts[a], ends[b - 1], a - words.first[row])
+                    for r, x, s, e, place in zip(*(c.tolist() for c in columns), strict=True):
+                        seen.setdefault((r, x, raw[s:e]), []).append(place)
+                    keys = list(seen)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).take(pa.array([k[0] + i for k in keys], pa.int64())).cast(pa.binary()),
+                            pa.array(np.full(len(keys), n, np.int32)),
+                            pa.array([k[1] for k in keys], pa.int64()),
+                            pa.array([k[2].decode() for k in keys], pa.string()),
+                            pa.array(list(seen.values()), schema.field("at").type),
+                        ],
+                        schema=schema,
+                    )
+
+    return texts.mapInArrow(work, "k binary, n int, h long, words string, at array<int>")
+
+
+def _spans(hits: DataFrame) -> DataFrame:
+    """Rows (k, n_hit, spans) of hits (k, n, shift, at): the union of the windows of each text."""
+    grouped = hits.groupBy("k").agg(F.collect_list(F.struct("n", "shift", "at")).alias("hits"))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_hit, spans = [], []
+            for r in range(batch.num_rows):
+                one = batch.column(1)[r].values
+                at = one.field("at")
+                size = np.diff(at.offsets.to_numpy())
+                starts = at.flatten().to_numpy() + np.repeat(one.field("shift").to_numpy(), size)
+                ends = starts + np.repeat(one.field("n").to_numpy(), size)
+                order = np.argsort(starts, kind="stable")
+                starts, reach = starts[order], np.maximum.accumulate(ends[order])
+                new = np.flatnonzero(np.r_[True, starts[1:] > reach[:-1]])
+                first, last = starts[new], reach[np.r_[new[1:] - 1, len(reach) - 1]]
+                spans.append([{"start": a, "length": b - a} for a, b in zip(first.tolist(), last.tolist(), strict=True)])
+                n_hit.append(int((last - first).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_hit, pa.int64()), pa.array(spans, kind)], names=["k", "n_hit", "spans"])
+
+    return grouped.mapInArrow(work, "k binary, n_hit long, spans array<struct<start:int,length:int>>")
 
 
 def contaminated_words(
@@ -137,7 +212,7 @@ def contaminated_words(
     item_text_col: str = "text",
     window: int = 13,
     gram: int = 7,
-    block_bytes: int = BLOCK_BYTES,
+    filter_bits: int = FILTER_BITS,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Per document: n_words, n_hit, ids of the items with occurring windows, runs of hit words.
@@ -145,72 +220,52 @@ def contaminated_words(
     A-Z are lower-cased; words are runs of 0-9, a-z and bytes beyond ASCII.  A
     window is ``window`` consecutive words of an item; an item of fewer words is
     one window.  Both sides keep the least ``gram``-gram hash of each run of
-    ``window - gram + 1``; a shared fingerprint is extended to the windows
-    around it, which are compared word by word, so every shared window is found
-    and nothing else.  Windows of short items are looked up at each word.
-
-    The benchmark is dealt into blocks of about ``block_bytes`` by hash; each
-    block is broadcast and all documents are held against it, so no broadcast
-    outgrows that bound.  A null text has no words and no hits; null items and
-    items without words have no windows; equal items all count, by id.
-    Columns named in ``keep`` stay in the result.
+    ``window - gram + 1``, and every n-gram where items have only n words.  The
+    fingerprints are joined; what a hit reaches is cut into windows, which are
+    joined with the items' windows word for word, so every shared window is
+    found and nothing else.
+
+    What a text holds depends on the text alone, so rows go by its SHA-256 and
+    copies of a text are looked up once.  Every task gets a filter of
+    2**``filter_bits`` bits, which spares the shuffle most fingerprints that no
+    item has; those that it lets through fall out in the join.  Windows are
+    joined as different ones, so neither frequent passages nor many items that
+    share one give pairs of rows; what is used twice is written to the shared
+    folder.  A null text has no words and no hits; null items and items without
+    words have no windows; equal items all count, by id.  Columns named in
+    ``keep`` stay in the result.
     """
     if not 1 <= gram <= window:
         raise ValueError("gram must lie between 1 and window")
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id_col).cast("string").alias("id"), F.col(item_text_col).alias("text")).where(
-        "id is not null and text is not null"
-    )
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-size // block_bytes))
-    kept = [id_col, *[c for c in keep if c != id_col], *([] if text_col in keep or text_col == id_col else [text_col])]
-    out = T.StructType([docs.schema[c] for c in kept])
-    for field in T._parse_datatype_string(RESULT).fields:
-        out = out.add(field)
-    frame = docs.select(
+    if not 6 <= filter_bits <= 30:
+        raise ValueError("filter_bits must lie between 6 and 30")
+    items = benchmark.select(F.col(item_id_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
+    prints = written(_item_prints(items, window, gram), "prints")
+    owned = written(_item_windows(items, window), "windows")
+    lengths = sorted(r.n for r in prints.select("n").distinct().collect())  # 1 to window
+
+    key = F.unhex(F.sha2(text_col, 256))
+    found = _candidates(docs.where(F.col(text_col).isNotNull()).select(key.alias("k"), F.col(text_col).alias("t")), lengths, _filter(prints, filter_bits), filter_bits, window, gram)
+    joined = found.distinct().join(prints, ["n", "h"], "left_semi").withColumn("w", F.split("words", " "))
+    cut = F.expr("transform(sequence(0, size(w) - n), i -> array_join(slice(w, i + 1, n), ' '))")
+    pieces = joined.where("size(w) >= n").select("k", "n", "at", F.posexplode(cut).alias("shift", "words"))
+    hits = written(pieces.join(owned.select("words").distinct(), "words", "left_semi"), "hits")
+
+    of_items = hits.select("k", "words").distinct().join(owned, "words").select("k", "item").distinct()
+    ids = of_items.groupBy("k").agg(F.sort_array(F.collect_list("item")).alias("ids"))
+    # Read from a table its size is known, so that a small one is broadcast and texts stay where they are.
+    result = written(_spans(hits.select("k", "n", "shift", "at")).join(ids, "k"), "found")
+
+    kept = [id_col, *[c for c in keep if c != id_col]]
+    count = F.coalesce(F.regexp_count(text_col, F.lit(_WORD)).cast("long"), F.lit(0))
+    left = docs.select(*kept, count.alias("_n_words_"), key.alias("_text_key_")).join(result.select(F.col("k").alias("_text_key_"), F.col("n_hit").alias("_n_hit_"), F.col("ids").alias("_ids_"), F.col("spans").alias("_spans_")), "_text_key_", "left")
+    return left.select(
         *kept,
-        F.lit(None).cast("long").alias("n_words"),
-        F.lit(None).cast("long").alias("n_hit"),
-        F.array().cast("array<string>").alias("item_ids"),
-        F.array().cast("array<struct<start:int,length:int>>").alias("hit_spans"),
+        F.col("_n_words_").alias("n_words"),
+        F.coalesce("_n_hit_", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("_ids_", F.array().cast("array<string>")).alias("item_ids"),
+        F.coalesce("_spans_", F.array().cast("array<struct<start:int,length:int>>")).alias("hit_spans"),
     )
-    at = len(kept)
-    text_at = kept.index(text_col)
-    arrow_items, arrow_spans = pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
-    for block in range(n_blocks):
-        # One block: a row count bounded by block_bytes, at 64 bytes a row at least.
-        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == block).collect()
-        known = spark.sparkContext.broadcast(Fingerprints(sorted((r.id, r.text) for r in rows), window, gram))
-
-        def work(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            prints = known.value
-            for batch in batches:
-                n = batch.num_rows
-                blob, offsets = text_buffers(batch.column(text_at))
-                n_words, n_hit = np.zeros(n, np.int64), np.zeros(n, np.int64)
-                ids, spans = [[] for _ in range(n)], [[] for _ in range(n)]
-                old_ids, old_spans = batch.column(at + 2), batch.column(at + 3)
-                some_ids, some_spans = old_ids.flatten().to_pylist() != [], old_spans.flatten().to_pylist() != []
-                if some_ids or some_spans:
-                    ids, spans = old_ids.to_pylist(), old_spans.to_pylist()
-                for i, j in chunks(offsets):
-                    words = _Words(blob[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    hit, found = prints.hits(words)
-                    for row, who in found.items():
-                        flags = hit[words.first[row] : words.first[row + 1]].copy()
-                        for s in spans[i + row]:
-                            flags[s["start"] : s["start"] + s["length"]] = True
-                        spans[i + row] = _runs(flags)
-                        ids[i + row] = sorted({*ids[i + row], *(prints.ids[w] for w in who)})
-                    n_words[i:j] = np.diff(words.first)
-                n_hit[:] = [sum(s["length"] for s in x) for x in spans]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:at], pa.array(n_words), pa.array(n_hit), pa.array(ids, arrow_items), pa.array(spans, arrow_spans)],
-                    names=[f.name for f in out.fields],
-                )
-
-        frame = frame.mapInArrow(work, out)
-    return frame if text_col in keep else frame.drop(text_col)
 
 
 def is_contaminated() -> F.Column:

@@ -42,8 +42,8 @@ def test_against_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, item_ids string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = sorted([(i, *brute(t, items)) for i, t, _ in rows], key=repr)
-    for block in (1 << 20, 300):  # one block, many blocks
-        got = decontam.contaminated_words(df, bench, block_bytes=block).collect()
+    for bits in (26, 6):  # a filter that few pass, one that most pass
+        got = decontam.contaminated_words(df, bench, filter_bits=bits).collect()
         assert sorted([(r.doc_id, r.n_words, r.n_hit, r.item_ids) for r in got], key=repr) == want
 
 
@@ -52,3 +52,21 @@ def test_empty_tables(spark):
     (row,) = decontam.contaminated_words(docs, none).collect()
     assert (row.n_words, row.n_hit, row.item_ids) == (2, 0, [])
     assert decontam.contaminated_words(docs.limit(0), none).collect() == []
+
+
+def test_copies_and_frequent_windows(spark):
+    """A text in a third of the rows, a passage that all items share, an item of one frequent word."""
+    shared = " ".join(f"s{i}" for i in range(15))
+    items = [(i, f"{shared} q{i} " + " ".join(f"u{i}x{k}" for k in range(13))) for i in range(60)] + [(99, "the")]
+    hot = f"a b {shared} c d the the"
+    docs = [(i, hot) for i in range(200)] + [(i, f"the {shared} q{i % 60} the t{i}") for i in range(200, 300)] + [(i, None if i % 2 else f"no {i}") for i in range(300, 400)]
+    got = decontam.contaminated_words(
+        spark.createDataFrame(docs, "doc_id long, text string").repartition(7).selectExpr("*", "text as k", "doc_id as n_hit_"),
+        spark.createDataFrame(items, "item_id long, text string").repartition(3),
+        keep=("text", "k"),
+    ).collect()
+    want = {t: brute(t, items) for t in {t for _, t in docs}}
+    assert len(got) == len(docs)
+    for r in got:
+        assert (r.n_words, r.n_hit, r.item_ids) == want[r.text] and r.k == r.text
+        assert sum(s.length for s in r.hit_spans) == r.n_hit
