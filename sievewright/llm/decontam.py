@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievewright.llm.common import ByteHasher, chunks, mix, sliding, text_buffers, words_of, written
 
@@ -16,9 +17,6 @@ _LOWER[65:91] += 32
 #: Words are runs of digits, letters and bytes beyond ASCII.
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-#: The same words, of text in either case.
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-
 #: Bits of the filter of benchmark fingerprints that every task gets: 8 MiB, whatever the benchmark's size.
 FILTER_BITS = 26
 
@@ -203,6 +201,23 @@ def _spans(hits: DataFrame) -> DataFrame:
     return grouped.mapInArrow(work, "k binary, n_hit long, spans array<struct<start:int,length:int>>")
 
 
+def _counted(docs: DataFrame, kept: list[str], text_col: str, key: F.Column) -> DataFrame:
+    """Rows (<kept>, _text_key_, _n_words_) of all documents."""
+    frame = docs.select(*kept, key.alias("_text_key_"), *([] if text_col in kept else [text_col]))
+    out = T.StructType([*frame.schema.fields[: len(kept) + 1], T.StructField("_n_words_", T.LongType())])
+    text_at = frame.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blob, offsets = text_buffers(batch.column(text_at))
+            n = np.zeros(batch.num_rows, np.int64)
+            for i, j in chunks(offsets):
+                n[i:j] = np.diff(words_of(_LOWER[blob[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i], _IS_WORD)[2])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept) + 1], pa.array(n)], names=[f.name for f in out])
+
+    return frame.mapInArrow(work, out)
+
+
 def contaminated_words(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -257,8 +272,7 @@ def contaminated_words(
     result = written(_spans(hits.select("k", "n", "shift", "at")).join(ids, "k"), "found")
 
     kept = [id_col, *[c for c in keep if c != id_col]]
-    count = F.coalesce(F.regexp_count(text_col, F.lit(_WORD)).cast("long"), F.lit(0))
-    left = docs.select(*kept, count.alias("_n_words_"), key.alias("_text_key_")).join(result.select(F.col("k").alias("_text_key_"), F.col("n_hit").alias("_n_hit_"), F.col("ids").alias("_ids_"), F.col("spans").alias("_spans_")), "_text_key_", "left")
+    left = _counted(docs, kept, text_col, key).join(result.select(F.col("k").alias("_text_key_"), F.col("n_hit").alias("_n_hit_"), F.col("ids").alias("_ids_"), F.col("spans").alias("_spans_")), "_text_key_", "left")
     return left.select(
         *kept,
         F.col("_n_words_").alias("n_words"),
