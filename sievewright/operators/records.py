@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievewright.sources.scratch import shared_folder
+
 #: File kinds by extension.
 KINDS = {
     "text": (".txt", ".md", ".csv", ".json", ".log"),
@@ -220,10 +221,10 @@ def orphans(items: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a checkpoint in the session's shared folder, or a local one where none is set."""
+    """Cuts lineage by a checkpoint in the session's shared folder; a local session without one gets a local one."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -40,9 +40,12 @@ def number(x: Column, default: int = 0) -> Column:
     return F.coalesce(x.try_cast("double").cast("long"), F.lit(default).cast("long"))
 
 
-def scan_items(spark: SparkSession, path: str) -> DataFrame:
-    """Items of earlier scan documents, with malformed numbers as 0 and missing texts as empty."""
-    d = spark.read.schema(SCAN).option("multiLine", "true").option("mode", "PERMISSIVE").json(path).select(F.explode("items").alias("i"))
+def scan_items(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Items of earlier scan documents, with malformed numbers as 0 and missing texts as empty.
+
+    A document is a file, or a line, so that a large file can be split.
+    """
+    d = spark.read.schema(SCAN).option("multiLine", str(not lines).lower()).option("mode", "PERMISSIVE").json(path).select(F.explode("items").alias("i"))
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     return d.select(
         text("i.path").alias("path"), text("i.name").alias("name"), text("i.kind").alias("kind"), F.coalesce("i.status", F.lit("failed")).alias("status"), number(F.col("i.size_bytes")).alias("size_bytes"),
@@ -55,17 +58,18 @@ def scan_items(spark: SparkSession, path: str) -> DataFrame:
 _ENTRY = "struct<path:string,file:string,expected_label:string,label:string,expected:string,verdict:string,notes:string>"
 
 
-def feedback(spark: SparkSession, path: str) -> DataFrame:
+def feedback(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Rows (path, label 0/1, expected_label, notes) of examiner labels.
 
     Reads JSON lines, an array, an object that holds one under records, items,
     feedback or entries, or a lone object.  Rows without a path or a known label go.
+    With ``lines`` every line is such a text, so that a large file can be split.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("value").alias("v"))
+    whole = spark.read.text(path, wholetext=not lines).select(F.col("value").alias("v"))
     boxed = [F.from_json(F.col("v"), f"struct<{k}:array<{_ENTRY}>>")[k] for k in ("records", "items", "feedback", "entries")]
     rows = F.from_json(F.col("v"), f"array<{_ENTRY}>")
-    lines = F.transform(F.filter(F.split("v", "\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, _ENTRY))
-    found = F.when(F.ltrim("v").startswith("["), rows).otherwise(F.coalesce(*boxed, lines))
+    each = F.transform(F.filter(F.split("v", "\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, _ENTRY))
+    found = F.when(F.ltrim("v").startswith("["), rows).otherwise(F.coalesce(*boxed, each))
     d = whole.select(F.explode(found).alias("e")).where("e IS NOT NULL")
     label = F.lower(F.trim(F.coalesce("e.expected_label", "e.label", "e.expected", "e.verdict", F.lit(""))))
     d = d.select(F.coalesce("e.path", "e.file").alias("path"), label.alias("expected_label"), F.coalesce("e.notes", F.lit("")).alias("notes"))
@@ -74,16 +78,17 @@ def feedback(spark: SparkSession, path: str) -> DataFrame:
 
 
 def label_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema="path string, label string").where("path IS NOT NULL")
+    """Rows (path, label); quotes inside quoted fields are doubled, as CSV has it."""
+    return spark.read.csv(path, header=True, escape='"', schema="path string, label string").where("path IS NOT NULL")
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
+def manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     schema = "samples array<struct<path:string,label:string,generator:string,language:string>>"
-    return spark.read.schema(schema).option("multiLine", "true").json(path).select(F.inline("samples"))
+    return spark.read.schema(schema).option("multiLine", str(not lines).lower()).json(path).select(F.inline("samples"))
 
 
-def profile(spark: SparkSession, path: str, version: str) -> DataFrame:
+def profile(spark: SparkSession, path: str, version: str, lines: bool = False) -> DataFrame:
     """Rows (key, value) of a profile document's numbers; another version has none."""
     schema = "version string, values map<string,double>, weights map<string,double>"
-    d = spark.read.schema(schema).option("multiLine", "true").json(path).where(F.col("version") == version)
+    d = spark.read.schema(schema).option("multiLine", str(not lines).lower()).json(path).where(F.col("version") == version)
     return d.select(F.explode(F.coalesce("values", "weights")).alias("key", "value")).where("value IS NOT NULL")

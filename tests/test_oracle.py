@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from sievewright.plans import metric_queries, record_queries, signal_queries, text_queries
+from sievewright.plans import io_queries, metric_queries, record_queries, signal_queries, text_queries
 
 SF = "/root/testdata/sf0.001"
 NAMES = [
@@ -15,6 +15,7 @@ NAMES = [
     "jn1_duplicates", "jn2_known", "jn5_markers", "jn11_ancestors", "agg15_audit", "snk4_reviews", "smp1_split", "srt1_review_order",
     "med1_audio", "img2_experts", "fus2_fused", "fus4_ensemble", "win1_frames", "win8_av_sync", "win13_pauses", "str1_rolling", "prv2_image_source", "evd3_signatures",
     "str2_alerts", "evd6_cases", "agg16_fingerprint", "agg16_bucketed", "med3_speakers", "prv8_families", "fus7_expert_fusion",
+    *io_queries.QUERIES,
 ]
 
 
@@ -48,7 +49,7 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_every_sql_has_its_query():
-    plans = (text_queries, metric_queries, record_queries, signal_queries)
+    plans = (text_queries, metric_queries, record_queries, signal_queries, io_queries)
     assert all(set(p.SQL) <= set(p.QUERIES) for p in plans)
     assert sum(len(p.QUERIES) for p in plans) == len({n for p in plans for n in p.QUERIES})
 
