@@ -135,7 +135,19 @@ def str5_incremental(spark, sf):
     return rows.unionByName(spark.read.parquet(f"{folder}/out_progress").select(F.lit("progress").alias("event_type"), F.col("rows").alias("n"), F.lit(0).cast("long").alias("high")).groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("high").alias("high")))
 
 
-QUERIES = {f.__name__: f for f in (src1_files, src6_prior_scans, src7_feedback, src8_label_csv, src9_manifest, src11_profile, snk1_scan, evd2_rejects, udf1_process, udf2_members, str5_incremental)}
+def str6_resumed(spark, sf):
+    """Events that arrive in two parts, each scanned once: the second scan resumes where the first stopped."""
+    folder = new_folder(spark, "resumed")
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "event_type", "value")
+    late = F.coalesce(F.col("value") >= 50, F.lit(False))
+    for part in (~late, late):
+        events.where(part).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+        live.incremental(stream, lambda d: d, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("events"))
+
+
+QUERIES = {f.__name__: f for f in (src1_files, src6_prior_scans, src7_feedback, src8_label_csv, src9_manifest, src11_profile, snk1_scan, evd2_rejects, udf1_process, udf2_members, str5_incremental, str6_resumed)}
 _STATS = ", ".join(f"count(*) FILTER (WHERE status = 'analyzed' AND band = '{b}') AS {b}" for b in ("high", "medium", "unknown", "low"))
 SQL = {
     "src1_files": "SELECT coalesce(lang, 'none') AS lang, 'text' AS kind, 'pending' AS status, CAST(sum(coalesce(strlen(text), 0) + 1) AS BIGINT) AS size_bytes FROM documents GROUP BY 1",
@@ -151,4 +163,5 @@ SQL = {
     "udf1_process": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN doc_id % 5 > 0 THEN CAST(length(coalesce(text, '')) // (doc_id % 5) AS VARCHAR) END AS result, CASE WHEN doc_id % 5 = 0 THEN 'ZeroDivisionError: integer division or modulo by zero' END AS error FROM documents",
     "udf2_members": "SELECT doc_id AS item_id, 'length' AS member, CAST(least(length(coalesce(text, '')) % 120, 100) AS DOUBLE) AS score, TRUE AS available FROM documents UNION ALL SELECT doc_id, 'absent', NULL, FALSE FROM documents",
     "str5_incremental": "SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value >= 50) AS high FROM events GROUP BY event_type UNION ALL SELECT 'progress', count(*), 0 FROM events",
+    "str6_resumed": "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS events FROM events GROUP BY event_type",
 }
