@@ -68,6 +68,21 @@ def test_training_samples_hold_whole_texts_and_few_copies(spark, monkeypatch):
     assert 30 < len(seen["t"]) < 90 and len(set(seen["t"])) == len(seen["t"])
 
 
+def test_language_sample_draws_from_whole_texts(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(langid, "train", lambda texts, labels: seen.update(t=texts, l=labels))
+    long_ = "".join(f"w{i:06d} " for i in range(40000))
+    rows = [(long_, "en")] * 5 + [("copy", "en")] * 300 + [("\u00e9" * 100 + str(i), "fr") for i in range(20)] + [(None, "en"), ("", "en"), ("text", None)]
+    df = spark.createDataFrame(rows, "t string, l string")
+    langid.fit(df, "t", "l")  # 2500 windows of the long text, fewer than the bound
+    assert sorted(seen["t"]) == sorted(t.encode() for t in {t for t, l in rows if t and l}) and seen["l"].count("fr") == 20
+    langid.fit(df.where("l = 'en'"), "t", "l", docs_per_language=30)  # 240 windows of 2501 on average
+    drawn = max(seen["t"], key=len)
+    at = np.array([long_.encode().find(drawn[i : i + langid.WINDOW]) for i in range(0, len(drawn), langid.WINDOW)])
+    assert 150 < len(at) < 350 and (at % langid.WINDOW == 0).all() and (np.diff(at) > 0).all()
+    assert at.min() < len(long_) * 0.1 and at.max() > len(long_) * 0.9 and len(seen["t"]) <= 2
+
+
 def test_ftrl_equals_a_plain_loop():
     rng = np.random.default_rng(1)
     x = [sorted({int(v) for v in rng.integers(0, 30, 6)}) for _ in range(40)]
