@@ -219,23 +219,23 @@ def load(path: str) -> dict:
 def encode_decode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", keep_tokens: bool = True) -> DataFrame:
     """Rows (<id>, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]) of each whole text.
 
-    The vocabulary file is read once on the driver and broadcast; it does not
-    grow with the data.  ids_sha256 is over the ids as little-endian unsigned
+    The tokenizer is made once on the driver and broadcast; it does not grow with
+    the data.  ids_sha256 is over the ids as little-endian unsigned
     32-bit numbers, decoded_sha256 over the decoded text in UTF-8.  A null or
     empty text has no tokens and decodes to the empty text.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((load(vocab_path), unicode_differences()))
+    sent = docs.sparkSession.sparkContext.broadcast(WordTokenizer(load(vocab_path), unicode_differences()))
     schema = T.StructType([docs.schema[id_col]])
     schema = schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if keep_tokens:
         schema = schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(*sent.value)
+        tokenizer = sent.value
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             _, offsets = text_buffers(batch.column(1))
-            for i, j in chunks(offsets, 2 << 20):
+            for i, j in chunks(offsets):
                 texts = [t or "" for t in batch.column(1).slice(i, j - i).to_pylist()]
                 ids, counts = tokenizer.encode(texts)
                 bounds = np.concatenate([[0], np.cumsum(counts)]).astype(int)
