@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import bpe, decontam, langid, licenses, media, simhash, suffix_dedup, token_counts, toxicity, warc
+from sievewright.llm import bpe, decontam, langid, licenses, media, sharding, simhash, suffix_dedup, token_counts, toxicity, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,7 +90,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repeats, op2_licenses, op3_media, op4_simhash, op5_bpe, op6_language, op7_warc, op8_decontaminate, op9_token_counts, op10_toxicity)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = _table(spark, sf_dir, "documents").withColumn("size", F.octet_length(text).cast("long") + 1).withColumn("text_crc32", F.crc32(text))
+    out = sharding.interleaved(docs, keep=("size", "text_crc32"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_licenses, op3_media, op4_simhash, op5_bpe, op6_language, op7_warc, op8_decontaminate, op9_token_counts, op10_toxicity, op11_whitening, op12_sharding)}
 SQL: dict[str, str] = {
     "op7_warc": """
         WITH p AS (
@@ -101,4 +112,24 @@ SQL: dict[str, str] = {
                CASE WHEN page_id < latest THEN latest END AS refers_to
         FROM p LEFT JOIN m ON p.html = m.html
     """,
+    "op12_sharding": """
+        WITH RECURSIVE bits AS (
+            SELECT range AS byte, range::BIGINT AS c, 0 AS k FROM range(256)
+            UNION ALL SELECT byte, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+        ), crc AS (SELECT list(c ORDER BY byte) AS t FROM bits WHERE k = 8),
+        d AS (
+            SELECT doc_id, source, coalesce(text, '') AS text, coalesce('+' || source, '-') AS s,
+                   md5(concat_ws('|', '42', coalesce(doc_id::VARCHAR, ''), coalesce(md5(text), ''))) AS h
+            FROM documents
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY s ORDER BY h) - 1 AS r, count(*) OVER (PARTITION BY s) AS n FROM d
+        ), placed AS (
+            SELECT *, row_number() OVER (ORDER BY (2 * r + 1)::DOUBLE / (2 * n)::DOUBLE, h, s, r) - 1 AS place, count(*) OVER () AS total FROM ranked
+        ), dealt AS (SELECT *, place * 8 // total AS shard FROM placed)
+        SELECT doc_id, strlen(text) + 1 AS size,
+               xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT)),
+                   lambda a, b: xor(a >> 8, crc.t[1 + (xor(a, b) & 255)]))) AS text_crc32,
+               'rows' AS law, shard::INTEGER AS shard, place - (shard * total + 7) // 8 AS slot, NULL::INTEGER AS grown_shard
+        FROM dealt, crc
+    """,
 }
