@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import bpe, decontam, langid, licenses, media, sharding, simhash, suffix_dedup, token_counts, toxicity, warc, whitening
+from sievewright.llm import alignment, bpe, decontam, langid, licenses, media, sharding, simhash, suffix_dedup, token_counts, toxicity, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,7 +101,11 @@ def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repeats, op2_licenses, op3_media, op4_simhash, op5_bpe, op6_language, op7_warc, op8_decontaminate, op9_token_counts, op10_toxicity, op11_whitening, op12_sharding)}
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_licenses, op3_media, op4_simhash, op5_bpe, op6_language, op7_warc, op8_decontaminate, op9_token_counts, op10_toxicity, op11_whitening, op12_sharding, op13_alignment)}
 SQL: dict[str, str] = {
     "op7_warc": """
         WITH p AS (
