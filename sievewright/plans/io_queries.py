@@ -147,7 +147,41 @@ def str6_resumed(spark, sf):
     return spark.read.parquet(f"{folder}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("events"))
 
 
-QUERIES = {f.__name__: f for f in (src1_files, src6_prior_scans, src7_feedback, src8_label_csv, src9_manifest, src11_profile, snk1_scan, evd2_rejects, udf1_process, udf2_members, str5_incremental, str6_resumed)}
+def str4_stream(spark, sf):
+    """States of live streams with resets: files arrive in two parts, and between them the stream ends and starts again from its checkpoint."""
+    folder = new_folder(spark, "live")
+    rows = sql(spark, sf, "SELECT stream_id, event_id, CAST(ts AS TIMESTAMP) AS ts, CAST(least(100, score * 2) AS INTEGER) AS score, event_id % 13 = 0 AS reset FROM stream_base")
+    middle = rows.agg(F.timestamp_seconds((F.min("ts").cast("double") + F.max("ts").cast("double")) / 2)).first()[0]
+    for part in (F.col("ts") < F.lit(middle), F.col("ts") >= F.lit(middle)):
+        rows.where(part).write.mode("append").parquet(f"{folder}/in")
+        live.run_states(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/state")
+    return spark.read.parquet(f"{folder}/out").select("stream_id", "event_id", F.round("mean", 6).alias("mean"), "frame_count", "band", "alert")
+
+
+def str5_cancelled(spark, sf):
+    """A scan that is cancelled after its first batch, what can be read of it then, and all of it after it was resumed."""
+    folder = new_folder(spark, "cancelled")
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "event_type", "value")
+    for part in range(4):  # four files each: a batch
+        events.where(F.col("event_id") % 4 == part).repartition(4).write.mode("append").parquet(f"{folder}/in")
+
+    def scan(after=None):
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+        query = live.incremental(stream, lambda d: d.withColumn("high", F.col("value") >= 50), f"{folder}/out", f"{folder}/state", f"{folder}/cancel", after)
+        ended = live.outcome(query)
+        d = live.partial_results(spark, f"{folder}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("events"), F.count_if("high").alias("high"))
+        return d.select(F.lit(ended).alias("ended"), "*")
+
+    def stop(number):
+        if number == 0:
+            live.cancel(spark, f"{folder}/cancel")
+
+    first = spark.createDataFrame(scan(stop).collect(), "ended string, event_type string, n long, events long, high long")  # a row for each type
+    live.allow(spark, f"{folder}/cancel")
+    return first.unionByName(scan())
+
+
+QUERIES = {f.__name__: f for f in (src1_files, src6_prior_scans, src7_feedback, src8_label_csv, src9_manifest, src11_profile, snk1_scan, evd2_rejects, udf1_process, udf2_members, str5_incremental, str6_resumed, str4_stream, str5_cancelled)}
 _STATS = ", ".join(f"count(*) FILTER (WHERE status = 'analyzed' AND band = '{b}') AS {b}" for b in ("high", "medium", "unknown", "low"))
 SQL = {
     "src1_files": "SELECT coalesce(lang, 'none') AS lang, 'text' AS kind, 'pending' AS status, CAST(sum(coalesce(strlen(text), 0) + 1) AS BIGINT) AS size_bytes FROM documents GROUP BY 1",
@@ -164,4 +198,12 @@ SQL = {
     "udf2_members": "SELECT doc_id AS item_id, 'length' AS member, CAST(least(length(coalesce(text, '')) % 120, 100) AS DOUBLE) AS score, TRUE AS available FROM documents UNION ALL SELECT doc_id, 'absent', NULL, FALSE FROM documents",
     "str5_incremental": "SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value >= 50) AS high FROM events GROUP BY event_type UNION ALL SELECT 'progress', count(*), 0 FROM events",
     "str6_resumed": "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS events FROM events GROUP BY event_type",
+    "str4_stream": oracle("""WITH RECURSIVE e AS (SELECT stream_id, event_id, ts, least(100, score * 2) AS score, event_id % 13 = 0 AS reset FROM stream_base),
+        s AS (SELECT *, count(*) FILTER (WHERE reset) OVER (PARTITION BY stream_id ORDER BY ts, event_id) AS part FROM e),
+        d AS (SELECT *, avg(score) OVER (PARTITION BY stream_id, part ORDER BY ts, event_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS m, row_number() OVER (PARTITION BY stream_id, part ORDER BY ts, event_id) AS frame_count FROM s WHERE NOT reset),
+        h AS (SELECT stream_id, part, event_id, ts, row_number() OVER (PARTITION BY stream_id, part ORDER BY ts, event_id) AS r FROM d WHERE m >= 67),
+        f AS (SELECT stream_id, part, event_id, r, ts AS last, TRUE AS fires FROM h WHERE r = 1 UNION ALL SELECT h.stream_id, h.part, h.event_id, h.r, CASE WHEN epoch(h.ts) - epoch(f.last) > 5 THEN h.ts ELSE f.last END, epoch(h.ts) - epoch(f.last) > 5 FROM f JOIN h ON h.stream_id = f.stream_id AND h.part = f.part AND h.r = f.r + 1)
+        SELECT stream_id, event_id, round(m, 6) AS mean, frame_count, CASE WHEN m >= 67 THEN 'high' WHEN m >= 35 THEN 'medium' ELSE 'low' END AS band, coalesce(fires, FALSE) AS alert FROM d LEFT JOIN f USING (stream_id, part, event_id)"""),
+    "str5_cancelled": """SELECT 'cancelled' AS ended, event_type, count(*) AS n, count(DISTINCT event_id) AS events, count(*) FILTER (WHERE value >= 50) AS high FROM events WHERE event_id % 4 = 0 GROUP BY event_type
+        UNION ALL SELECT 'done', event_type, count(*), count(DISTINCT event_id), count(*) FILTER (WHERE value >= 50) FROM events GROUP BY event_type""",
 }

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -113,18 +115,90 @@ def stream_states(rows: DataFrame, watermark: str = "1 minute") -> DataFrame:
     return rows.withWatermark("ts", watermark).groupBy("stream_id").transformWithStateInPandas(Rolling(), STATES, "Append", "EventTime")
 
 
-def incremental(source: DataFrame, transform, sink: str, checkpoint: str):
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """The state store that keyed state needs, for streams started inside; the session's own setting comes back."""
+    name, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, provider)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def run_states(rows: DataFrame, sink: str, checkpoint: str, watermark: str = "1 minute") -> None:
+    """Takes what has arrived of a stream of scores through :func:`stream_states` into parquet files at ``sink``.
+
+    Ends when the files there at its start are taken.  A next call with the same
+    checkpoint goes on with every stream's scores, count and last alert, and
+    takes no file twice; the sink shows whole batches only.
+    """
+    with keyed_state(rows.sparkSession):
+        query = stream_states(rows, watermark).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+
+
+class Cancelled(Exception):
+    """A scan found its cancel mark before a batch."""
+
+
+def _path(spark: SparkSession, uri: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def cancel(spark: SparkSession, mark: str) -> None:
+    """Asks the scan that watches ``mark`` to stop before its next batch; any session that sees the folder can ask."""
+    fs, path = _path(spark, mark)
+    fs.create(path, True).close()
+
+
+def allow(spark: SparkSession, mark: str) -> None:
+    """Takes the cancel mark away, so that the scan can be started again."""
+    fs, path = _path(spark, mark)
+    fs.delete(path, False)
+
+
+def incremental(source: DataFrame, transform, sink: str, checkpoint: str, mark: str | None = None, after: Callable[[int], None] | None = None):
     """A stream that applies ``transform`` to each micro-batch of items and writes parquet; resumes from its checkpoint.
 
     Each batch is a partition ``batch_id`` of its own and replaces it, so a batch
     that is replayed after a failure is not written twice; its progress (rows
-    and time) is a row of ``<sink>_progress`` in the same way.
+    and time) is a row of ``<sink>_progress`` in the same way, written last.
+    Where a cancel mark is given and there, the stream ends before its next
+    batch with nothing of it done (see :func:`outcome`).  ``after`` is called
+    with the number of each batch done.
     """
 
     def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if mark is not None:
+            fs, path = _path(spark, mark)
+            if fs.exists(path):
+                raise Cancelled(f"before batch {number}")
         done = transform(batch)
         done.write.mode("overwrite").parquet(f"{sink}/batch_id={number}")
-        written = batch.sparkSession.read.parquet(f"{sink}/batch_id={number}")
+        written = spark.read.parquet(f"{sink}/batch_id={number}")
         written.agg(F.count("*").alias("rows"), F.current_timestamp().alias("finished")).write.mode("overwrite").parquet(f"{sink}_progress/batch_id={number}")
+        if after is not None:
+            after(number)
 
     return source.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def outcome(query) -> str:
+    """Waits for a scan: "done", or "cancelled" if it stopped at its cancel mark; other failures are raised."""
+    try:
+        query.awaitTermination()
+    except StreamingQueryException as e:
+        if "Cancelled: before batch" not in str(e):
+            raise
+        return "cancelled"
+    return "done"
+
+
+def partial_results(spark: SparkSession, sink: str) -> DataFrame:
+    """What a scan has done so far: the rows of all batches whose progress is written, the scan running or not."""
+    done = spark.read.parquet(f"{sink}_progress").select("batch_id")
+    return spark.read.parquet(sink).join(done, "batch_id", "left_semi")
