@@ -2,7 +2,8 @@
 
 All functions take scored rows (score, label 0/1, group columns) and begin with
 a histogram by group and score, whose size is bounded by the distinct scores.
-Windows run over histograms only, never over raw rows.
+Counts above a score come from ranges of the histogram (:func:`curve`), so a
+group is no task of its own, whatever its scores are.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions.columns import safe_divide
+from sievewright.operators import ordered
 
 
 def validated(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
@@ -23,14 +25,25 @@ def validated(scored: DataFrame, score: str = "score", label: str = "label") ->
 
 
 def histogram(scored: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
-    """Rows (by, score, pos, neg), with totals of each group."""
-    h = scored.groupBy(*by, F.col(score).cast("double").alias("score")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    return h.withColumns({"all_pos": F.sum("pos").over(w), "all_neg": F.sum("neg").over(w)})
+    """Rows (by, score, pos, neg)."""
+    return scored.groupBy(*by, F.col(score).cast("double").alias("score")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
 
 
-def _by(by: list[str]):
-    return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+def curve(scored: DataFrame, by: list[str] = (), score: str = "score", label: str = "label", ranges: int | None = None) -> DataFrame:
+    """Rows (by, score, pos, neg, tp, fp, all_pos, all_neg): of each distinct score its labels, those at or above it, and the group's.
+
+    The histogram of the scores, however many they are, is cut into ranges whose
+    totals are put together, so one group of real-valued scores is many tasks
+    (see :mod:`ordered`).  The metrics below take it instead of scored rows
+    where several are wanted.
+    """
+    d = ordered.running(histogram(scored, list(by), score, label), list(by), [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("neg")}, ranges, totals=True)
+    return d.withColumnsRenamed({"tp_all": "all_pos", "fp_all": "all_neg"})
+
+
+def _curve(rows: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
+    """rows if they are a curve, else the curve of scored rows."""
+    return rows if {"tp", "fp", "all_pos", "all_neg"} <= set(rows.columns) else curve(rows, by, score, label)
 
 
 def roc(scored: DataFrame, by: list[str] = (), score: str = "score", label: str = "label") -> DataFrame:
@@ -39,18 +52,18 @@ def roc(scored: DataFrame, by: list[str] = (), score: str = "score", label: str
     The first point's threshold is the next number above the highest score.
     """
     by = list(by)
-    h = histogram(scored, by, score, label)
-    down = _by(by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    points = h.select(*by, F.col("score").alias("threshold"), F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), "all_pos", "all_neg")
-    top = points.groupBy(*by).agg(F.max("threshold").alias("threshold"), F.first("all_pos").alias("all_pos"), F.first("all_neg").alias("all_neg"))
+    points = _curve(scored, by, score, label).select(*by, F.col("score").alias("threshold"), "tp", "fp", "all_pos", "all_neg")
+    top = points.groupBy(*by).agg(F.max("threshold").alias("threshold"), F.first("all_pos").alias("all_pos"), F.first("all_neg").alias("all_neg")).where("threshold IS NOT NULL")
     above = top.select(*by, next_above(F.col("threshold")).alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), "all_pos", "all_neg")
-    out = points.unionByName(above)
-    return out.withColumns(
-        {
-            "fpr": F.when(F.col("all_neg") > 0, F.col("fp") / F.greatest(F.col("all_neg"), F.lit(1))),
-            "fnr": F.when(F.col("all_pos") > 0, (F.col("all_pos") - F.col("tp")) / F.greatest(F.col("all_pos"), F.lit(1))),
-        }
-    )
+    return points.unionByName(above).withColumns({"fpr": _fpr("fp"), "fnr": _fnr("tp")})
+
+
+def _fpr(fp: str) -> Column:
+    return F.when(F.col("all_neg") > 0, F.col(fp) / F.greatest(F.col("all_neg"), F.lit(1)))
+
+
+def _fnr(tp: str) -> Column:
+    return F.when(F.col("all_pos") > 0, (F.col("all_pos") - F.col(tp)) / F.greatest(F.col("all_pos"), F.lit(1)))
 
 
 def next_above(x: Column) -> Column:
@@ -69,13 +82,12 @@ def reason(n: Column, pos: Column, neg: Column) -> Column:
 def auroc(scored: DataFrame, by: list[str] = (), score: str = "score", label: str = "label") -> DataFrame:
     """Rows (by, n, pos, neg, auroc, reason); ties count a half; null with a reason if a class is missing."""
     by = list(by)
-    h = histogram(scored, by, score, label)
-    below = F.coalesce(F.sum("neg").over(_by(by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = h.withColumn("wins", F.col("pos") * (below + F.col("neg") / 2))
+    below = F.col("all_neg") - F.col("fp")
+    wins = _curve(scored, by, score, label).withColumn("wins", F.col("pos") * (below + F.col("neg") / 2))
     out = wins.groupBy(*by).agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("pos"), F.coalesce(F.sum("neg"), F.lit(0)).alias("neg"), F.sum("wins").alias("wins"))
     both = (F.col("pos") > 0) & (F.col("neg") > 0)
     out = out.withColumn("n", F.col("pos") + F.col("neg"))
-    return out.select(*by, "n", "pos", "neg", F.when(both, F.col("wins") / F.greatest(F.col("pos") * F.col("neg"), F.lit(1))).alias("auroc"), reason(F.col("n"), F.col("pos"), F.col("neg")).alias("reason"))
+    return out.select(*by, "n", "pos", "neg", F.when(both, F.col("wins") / F.greatest(F.col("pos").cast("double") * F.col("neg"), F.lit(1))).alias("auroc"), reason(F.col("n"), F.col("pos"), F.col("neg")).alias("reason"))
 
 
 def at_threshold(scored: DataFrame, threshold, by: list[str] = (), score: str = "score", label: str = "label") -> DataFrame:
@@ -101,18 +113,19 @@ def with_rates(counts: DataFrame) -> DataFrame:
 
 
 def interpolated_eer(scored: DataFrame, by: list[str] = (), score: str = "score", label: str = "label") -> DataFrame:
-    """Rows (by, eer): where false positive and miss rate cross, between neighbouring ROC points; null if a class is missing."""
+    """Rows (by, eer): where false positive and miss rate cross, between neighbouring ROC points; null if a class is missing.
+
+    The point before a curve's point has its counts less its own labels, so no
+    row looks at another.
+    """
     by = list(by)
-    r = roc(scored, by, score, label)
-    w = _by(by).orderBy(F.desc("threshold"))
-    r = r.withColumns({"fpr0": F.lag("fpr").over(w), "fnr0": F.lag("fnr").over(w)})
-    crossing = r.where("fpr >= fnr").groupBy(*by).agg(F.max_by(F.struct("fpr", "fnr", "fpr0", "fnr0"), "threshold").alias("x"))
+    c = _curve(scored, by, score, label).withColumns({"tp0": F.col("tp") - F.col("pos"), "fp0": F.col("fp") - F.col("neg")})
+    c = c.withColumns({"fpr": _fpr("fp"), "fnr": _fnr("tp"), "fpr0": _fpr("fp0"), "fnr0": _fnr("tp0")})
+    crossing = F.max_by(F.when(F.col("fpr") >= F.col("fnr"), F.struct("fpr", "fnr", "fpr0", "fnr0")), F.when(F.col("fpr") >= F.col("fnr"), F.col("score"))).alias("x")
     d0 = F.col("x.fpr0") - F.col("x.fnr0")
     step = F.col("x.fpr") - F.col("x.fnr") - d0
     value = F.when(F.col("x.fpr") == F.col("x.fnr"), F.col("x.fpr")).otherwise(F.col("x.fpr0") - d0 / step * (F.col("x.fpr") - F.col("x.fpr0")))
-    groups = scored.select(*by).distinct() if by else scored.select(F.lit(0).alias("_")).limit(1)
-    done = crossing.select(*by, value.alias("eer"))
-    return groups.join(done, by, "left") if by else groups.join(done, F.lit(True), "left").drop("_")
+    return c.groupBy(*by).agg(crossing).select(*by, value.alias("eer"))
 
 
 def grid(scored: DataFrame, by: list[str] = (), score: str = "score", label: str = "label") -> DataFrame:
@@ -122,7 +135,7 @@ def grid(scored: DataFrame, by: list[str] = (), score: str = "score", label: str
     h = scored.groupBy(*by, cell.alias("t")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
     totals = h.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     full = totals.select("*", F.explode(F.sequence(F.lit(-1), F.lit(100))).alias("t")).join(h, [*by, "t"], "left").fillna(0, ["pos", "neg"])
-    up = _by(by).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+    up = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
     counted = full.withColumns({"tp": F.sum("pos").over(up), "fp": F.sum("neg").over(up)}).where("t >= 0")
     return with_rates(counted.select(*by, F.col("t").alias("threshold"), "tp", "fp", (F.col("all_neg") - F.col("fp")).alias("tn"), (F.col("all_pos") - F.col("tp")).alias("fn")))
 
@@ -136,8 +149,9 @@ def grid_eer(scored: DataFrame, by: list[str] = (), score: str = "score", label:
 
 def threshold_at_fpr(scored: DataFrame, target: float, by: list[str] = (), score: str = "score", label: str = "label") -> DataFrame:
     """Rows (by, threshold): the lowest ROC threshold whose false positive rate is within the target; null without negatives."""
-    r = roc(scored, by, score, label)
-    return r.groupBy(*by).agg(F.min(F.when(F.col("fpr") <= target, F.col("threshold"))).alias("threshold"))
+    met = F.min(F.when(_fpr("fp") <= target, F.col("score")))
+    above = F.when(F.max("all_neg") > 0, next_above(F.max("score")))
+    return _curve(scored, list(by), score, label).groupBy(*by).agg(F.coalesce(met, above).alias("threshold"))
 
 
 def calibrated_threshold(scored: DataFrame, target: float = 0.05, by: list[str] = (), score: str = "score", label: str = "label", default: int = 67) -> DataFrame:
@@ -173,9 +187,10 @@ def member_table(members: DataFrame, threshold: int = 50) -> DataFrame:
     mean = members.groupBy("item_id").agg(F.avg("score").alias("score"), F.max("label").alias("label")).withColumn("member", F.lit("<ensemble-mean>"))
     both = members.select("item_id", "member", F.col("score").cast("double").alias("score"), "label").unionByName(mean.select("item_id", "member", "score", "label"))
     by = ["member"]
-    out = auroc(both, by).join(interpolated_eer(both, by), by)
+    points = curve(both, by)
+    out = auroc(points, by).join(interpolated_eer(points, by), by)
     for name, target in (("thr_fpr1", 0.01), ("thr_fpr5", 0.05)):
-        out = out.join(threshold_at_fpr(both, target, by).withColumnRenamed("threshold", name), by)
+        out = out.join(threshold_at_fpr(points, target, by).withColumnRenamed("threshold", name), by)
     return out.join(at_threshold(both, threshold, by).select("member", F.col("fpr").alias("fpr_at"), F.col("recall").alias("recall_at")), by)
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievewright.sources.scratch import shared_folder
+from sievewright.operators import ordered
+from sievewright.sources.scratch import shared_folder, written
 
 #: File kinds by extension.
 KINDS = {
@@ -152,10 +154,15 @@ def review_bucket(status: Column, band: Column) -> Column:
     return F.when(status != "analyzed", 4).when(band == "high", 0).when(band == "medium", 1).when(band == "unknown", 2).otherwise(3)
 
 
-def review_order(items: DataFrame, by: list[str]) -> DataFrame:
-    """Adds place: high, medium, unknown, low, not analysed; then score down, then path; within groups."""
+def review_order(items: DataFrame, by: list[str] = (), ranges: int | None = None) -> DataFrame:
+    """Adds place: high, medium, unknown, low, not analysed; then score down, then path; over all items or within groups.
+
+    Places are counted over ranges of the order, so one list of all sources, or a
+    source of any size, is many tasks.  Items go through two shuffles: select
+    what is wanted of them before.
+    """
     order = [review_bucket(F.col("status"), F.col("band")), F.when(F.col("status") == "analyzed", F.col("score")).desc_nulls_last(), F.lower("path"), F.col("path")]
-    return items.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return ordered.ranked(items, order, list(by), "place", ranges)
 
 
 def audit(corpus: DataFrame, required: tuple[str, ...] = REQUIRED_SPLITS) -> DataFrame:
@@ -186,6 +193,80 @@ def fingerprint(corpus: DataFrame, by: list[str], label: str, content_hash: str)
     return sums.groupBy(*by).agg(F.sum("n").alias("n"), F.sha2(text, 256).alias("fingerprint"))
 
 
+#: Nodes that one node of a tree of digests is over.
+FAN = 256
+
+
+def _levels(n_most: int, fan: int) -> int:
+    levels = 1
+    while n_most > fan**levels:
+        levels += 1
+    return levels
+
+
+def tree_levels(rows: DataFrame, by: list[str], path: str, label: str, content_hash: str, fan: int = FAN, ranges: int | None = None) -> list[DataFrame]:
+    """Levels of each group's tree of digests, leaves first: rows (by, n, i, digest); the last level has i = 0 alone.
+
+    Leaves are SHA-256 of path, label and content hash in path order, numbered
+    over ranges of it; node i of a level is SHA-256 of the ``fan`` digests from
+    fan * i on of the level below, put together as hex.  A group whose level has
+    one node keeps it.  Nulls count as empty; rows of one path go by label and hash.
+    Each level is a table in the shared folder, 1/fan of the one below; only the
+    largest group's count comes to the driver.
+    """
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    leaves = rows.select(*by, part(path).alias("_p"), part(label).alias("_l"), part(content_hash).alias("_h"))
+    leaves = ordered.running(leaves, by, ["_p", "_l", "_h"], {"i": F.lit(1).cast("long")}, ranges, totals=True)
+    level = written(leaves.select(*by, F.col("i_all").alias("n"), (F.col("i") - 1).alias("i"), F.sha2(F.concat_ws("|", "_p", "_l", "_h"), 256).alias("digest")), "leaves")
+    out = [level]
+    for k in range(_levels(level.agg(F.max("n")).first()[0] or 0, fan)):
+        below = F.sort_array(F.collect_list(F.struct("i", "digest")))
+        node = F.sha2(F.array_join(F.transform(F.col("x"), lambda r: r["digest"]), ""), 256)
+        alone = F.col("n") <= fan**k if k else F.lit(False)
+        level = level.groupBy(*by, "n", F.expr(f"i div {fan}").alias("up")).agg(below.alias("x"))
+        level = written(level.select(*by, "n", F.col("up").alias("i"), F.when(alone, F.col("x")[0]["digest"]).otherwise(node).alias("digest")), "level")
+        out.append(level)
+    return out
+
+
+def tree_root(rows: DataFrame, by: list[str], path: str, label: str, content_hash: str, fan: int = FAN, ranges: int | None = None) -> DataFrame:
+    """Rows (by, n, root): a digest of each group's (path, label, content hash) rows in path order.
+
+    A change of a path, a label or a content changes it; how the rows are
+    partitioned does not.
+    """
+    return tree_levels(rows, by, path, label, content_hash, fan, ranges)[-1].select(*by, "n", F.col("digest").alias("root"))
+
+
+def tree_proof(levels: list[DataFrame], leaf: str, group: Column | None = None) -> list[tuple[int, list[str]]]:
+    """Of a leaf's digest, on each level its place among its siblings and all their digests; [] if it is no leaf.
+
+    With the group's condition where there are groups.  At most ``fan`` digests
+    of each level come to the driver.
+    """
+    of = [d.where(group) if group is not None else d for d in levels]
+    found = of[0].where(F.col("digest") == leaf).agg(F.min("i"), F.max("n")).first()
+    if found[0] is None:
+        return []
+    i, n, out, fan, k = found[0], found[1], [], FAN, 0
+    for k, d in enumerate(of[:-1]):
+        if k and n <= fan**k:
+            break
+        near = d.where(F.expr(f"i div {fan}") == i // fan).orderBy("i").select("digest").collect()
+        out.append((i % fan, [r.digest for r in near]))
+        i //= fan
+    return out
+
+
+def tree_verify(proof: list[tuple[int, list[str]]], leaf: str, root: str) -> bool:
+    """Whether a proof leads from the leaf's digest to the root."""
+    for place, digests in proof:
+        if place >= len(digests) or digests[place] != leaf:
+            return False
+        leaf = hashlib.sha256("".join(digests).encode()).hexdigest()
+    return bool(proof) and leaf == root
+
+
 def search(rows: DataFrame, queries: DataFrame, id_col: str, value: str, block: list[str], score, match, salts: int = 16) -> DataFrame:
     """Rows (id, compared, matched, best_id, best_score): each query against all other rows of its block.
 

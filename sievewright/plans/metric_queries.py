@@ -66,7 +66,7 @@ def agg6_grid_eer(spark, sf):
 
 
 def agg7_threshold(spark, sf):
-    s = _scored(spark, sf)
+    s = metrics.curve(_scored(spark, sf), ["lang"])
     out = None
     for target in (0.01, 0.05, 0.2):
         one = metrics.threshold_at_fpr(s, target, ["lang"]).select("lang", F.lit(target).alias("target"), F.round("threshold", 6).alias("threshold"))
@@ -100,6 +100,41 @@ def jn9_fpr_bands(spark, sf):
     return calibrate.with_fpr_band(s.select("item_id", "lang", "score"), calibrate.fpr_table(s, ["lang"]), ["lang"])
 
 
+#: Real-valued scores, one group of all events.
+REAL = "SELECT event_id, value AS score, CASE WHEN event_id % 5 = 0 OR value > 90 THEN 1 ELSE 0 END AS label FROM events WHERE value IS NOT NULL"
+
+
+def agg4_real_roc(spark, sf):
+    """The ROC of one group of unrounded scores."""
+    r = metrics.roc(metrics.validated(sql(spark, sf, REAL)))
+    return r.select("threshold", "tp", "fp", F.round("fpr", 9).alias("fpr"), F.round("fnr", 9).alias("fnr"))
+
+
+def agg5_real_summary(spark, sf):
+    """AUROC, EER and thresholds of one group of unrounded scores, from one curve."""
+    points = metrics.curve(sql(spark, sf, REAL))
+    out = metrics.auroc(points).crossJoin(metrics.interpolated_eer(points))  # one row each
+    for name, target in (("thr_fpr1", 0.01), ("thr_fpr5", 0.05)):
+        out = out.crossJoin(metrics.threshold_at_fpr(points, target).withColumnRenamed("threshold", name))
+    return out.select("n", "pos", "neg", F.round("auroc", 9).alias("auroc"), F.round("eer", 9).alias("eer"), "thr_fpr1", "thr_fpr5")
+
+
+def agg11_real_fpr(spark, sf):
+    t = calibrate.fpr_table(sql(spark, sf, REAL))
+    return t.select("threshold", F.round("fpr", 9).alias("fpr"))
+
+
+def agg10_real_knots(spark, sf):
+    """Knots of one group of unrounded scores."""
+    return calibrate.isotonic_knots(sql(spark, sf, REAL), [])
+
+
+def jn9_calibrated(spark, sf):
+    """Every scored row by the knots of its language."""
+    s = _scored(spark, sf).select("item_id", "lang", "score", "label")
+    return calibrate.apply_knots(s.drop("label"), calibrate.isotonic_knots(s, ["lang"]), ["lang"])
+
+
 def agg12_groups(spark, sf):
     s = _scored(spark, sf)
     flat = s.select("*", F.explode(F.array(*[F.struct(F.lit(g).alias("grouping_name"), (F.lit("all") if g == "all" else F.col(g)).alias("value")) for g in ("all", "source", "split", "transform", "lang")])).alias("g")).select("score", "label", "g.*")
@@ -188,7 +223,7 @@ def jn4_feedback(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        agg2_binary, agg3_auroc, agg4_roc, agg5_eer, agg6_grid_eer, agg7_threshold, agg8_calibrated, agg9_reasons, agg10_isotonic, agg11_fpr_table, jn9_fpr_bands, agg12_groups, agg13_confusion,
+        agg2_binary, agg3_auroc, agg4_roc, agg5_eer, agg6_grid_eer, agg7_threshold, agg8_calibrated, agg9_reasons, agg10_isotonic, agg11_fpr_table, agg4_real_roc, agg5_real_summary, agg11_real_fpr, agg10_real_knots, jn9_calibrated, jn9_fpr_bands, agg12_groups, agg13_confusion,
         agg21_benchmark, agg22_members, agg23_weights, agg24_components, agg24_signals, agg25_fusion_weights, agg26_layers, agg27_provisional, agg28_scope, fus3_fusion_threshold, set4_union_recall, jn4_feedback,
     )
 }
@@ -212,6 +247,8 @@ ends AS (SELECT a.lang, a.score AS x, b.score AS hi, c.score AS lo, (b.cp - c.cp
   FROM cum a JOIN cum b ON b.lang = a.lang AND b.score >= a.score JOIN cum c ON c.lang = a.lang AND c.score <= a.score),
 fit AS (SELECT lang, x, max(v) AS v FROM (SELECT lang, x, lo, min(m) AS v FROM ends GROUP BY lang, x, lo) GROUP BY lang, x)"""
 
+_REAL = f"""r AS ({REAL}), hh AS (SELECT score, sum(label) AS pos, count(*) - sum(label) AS neg FROM r GROUP BY score),
+c AS (SELECT score, pos, neg, CAST(sum(pos) OVER w AS BIGINT) AS tp, CAST(sum(neg) OVER w AS BIGINT) AS fp, sum(pos) OVER () AS p, sum(neg) OVER () AS q FROM hh WINDOW w AS (ORDER BY score DESC))"""
 SQL = {
     "agg2_binary": oracle(f"WITH c AS (SELECT lang, {_COUNTS.format(t=67)} FROM scored_base GROUP BY lang) SELECT *, {_RATES} FROM c"),
     "agg3_auroc": oracle(f"WITH a AS ({_auroc('scored_base', 'lang')}), c AS (SELECT lang, count(*) AS n, CAST(sum(label) AS BIGINT) AS pos, CAST(count(*) - sum(label) AS BIGINT) AS neg FROM scored_base GROUP BY lang) SELECT c.*, round(auroc, 6) AS auroc, CASE WHEN pos = 0 THEN 'no_positive_samples' WHEN neg = 0 THEN 'no_negative_samples' END AS reason FROM c LEFT JOIN a USING (lang)"),
@@ -244,4 +281,22 @@ SQL = {
     "jn4_feedback": oracle("""WITH i AS (SELECT path, score, string_split(path, '/')[-1] AS base FROM items_base WHERE status = 'analyzed'), one AS (SELECT base, any_value(path) AS path, any_value(score) AS score FROM i GROUP BY base HAVING count(*) = 1),
         e AS (SELECT CASE l.doc_id % 3 WHEN 0 THEN b.path WHEN 1 THEN 'elsewhere/f' || l.doc_id || '.png' ELSE 'gone/x' || l.doc_id END AS path, l.toxic AS label FROM labels l JOIN items_base b ON b.item_id = l.doc_id)
         SELECT e.path, label, coalesce(i.path, one.path) AS item_path, CASE WHEN i.path IS NOT NULL THEN i.score ELSE one.score END AS score FROM e LEFT JOIN i ON i.path = e.path LEFT JOIN one ON one.base = string_split(e.path, '/')[-1]"""),
+    "agg4_real_roc": oracle(f"WITH {_REAL} SELECT score AS threshold, tp, fp, round(fp / q, 9) AS fpr, round((p - tp) / p, 9) AS fnr FROM c UNION ALL SELECT nextafter(max(score), 1e300), 0, 0, 0.0, 1.0 FROM c"),
+    "agg5_real_summary": oracle(f"""WITH {_REAL}, e AS (SELECT *, fp / q AS fpr, (p - tp) / p AS fnr, (fp - neg) / q AS f0, (p - tp + pos) / p AS m0 FROM c),
+        x AS (SELECT * FROM e WHERE fpr >= fnr ORDER BY score DESC LIMIT 1)
+        SELECT (SELECT count(*) FROM r) AS n, (SELECT sum(label) FROM r)::BIGINT AS pos, (SELECT count(*) - sum(label) FROM r)::BIGINT AS neg, round((SELECT sum(pos * (q - fp + neg / 2)) / max(p * q) FROM c), 9) AS auroc,
+        round((SELECT CASE WHEN fpr = fnr THEN fpr ELSE f0 - (f0 - m0) / (fpr - fnr - (f0 - m0)) * (fpr - f0) END FROM x), 9) AS eer,
+        (SELECT coalesce(min(score) FILTER (WHERE fp / q <= 0.01), nextafter(max(score), 1e300)) FROM c) AS thr_fpr1, (SELECT coalesce(min(score) FILTER (WHERE fp / q <= 0.05), nextafter(max(score), 1e300)) FROM c) AS thr_fpr5"""),
+    "agg11_real_fpr": oracle(f"WITH {_REAL} SELECT score AS threshold, round(fp / greatest(1, q), 9) AS fpr FROM c"),
+    "jn9_calibrated": oracle(f"""WITH {_ISOTONIC},
+        upto AS (SELECT f.lang, f.x, f.v, abs(sum(f.v * h.n) OVER w - sum(h.p) OVER w) < 1e-7 AS ends FROM fit f JOIN h ON h.lang = f.lang AND h.score = f.x WINDOW w AS (PARTITION BY f.lang ORDER BY f.x)),
+        k AS (SELECT lang, x AS k1, v AS v1, lag(x) OVER w AS k0, lag(v) OVER w AS v0, lead(x) OVER w IS NULL AS last FROM upto WHERE ends WINDOW w AS (PARTITION BY lang ORDER BY x))
+        SELECT s.item_id, s.lang, s.score, round_even(CASE WHEN k0 IS NULL OR s.score > k1 THEN v1 ELSE v0 + (s.score - k0) / (k1 - k0) * (v1 - v0) END, 4) AS calibrated
+        FROM scored_base s LEFT JOIN k ON k.lang = s.lang AND (k0 IS NULL OR s.score > k0) AND (last OR s.score <= k1)"""),
+    "agg10_real_knots": oracle(f"""WITH {_REAL}, pts AS (SELECT score, tp AS up, tp + fp AS un, p, p + q AS n, pos, neg FROM c),
+        cum AS (SELECT score, p - up + pos AS y, n - un + pos + neg AS x FROM pts UNION ALL SELECT NULL, 0, 0),
+        lefts AS (SELECT b.score, max((b.y - a.y) / (b.x - a.x)) AS m FROM cum b JOIN cum a ON a.x < b.x GROUP BY b.score),
+        rights AS (SELECT a.score, min((b.y - a.y) / (b.x - a.x)) AS m FROM cum a JOIN cum b ON a.x < b.x GROUP BY a.score),
+        hull AS (SELECT cum.* FROM cum LEFT JOIN lefts USING (score) LEFT JOIN rights USING (score) WHERE cum.score IS NULL OR rights.m IS NULL OR lefts.m <= rights.m)
+        SELECT score AS knot, (y - lag(y) OVER w) / (x - lag(x) OVER w) AS value FROM hull WINDOW w AS (ORDER BY x) QUALIFY score IS NOT NULL"""),
 }

@@ -179,6 +179,12 @@ def agg16_bucketed(spark, sf):
     return R.fingerprint(c, [], "lang", "content_hash")
 
 
+def agg16_tree(spark, sf):
+    """The root of the tree of digests of each source's items in path order, and of all items'."""
+    d = _items(spark, sf).select(F.explode(F.array("source", F.lit("<all>"))).alias("source"), "path", "band", F.sha2("text", 256).alias("content_hash"))
+    return R.tree_root(d, ["source"], "path", "band", "content_hash")
+
+
 def agg17_gaps(spark, sf):
     need = sql(spark, sf, "SELECT source, CAST(20 + length(source) * 10 AS BIGINT) AS required FROM (SELECT DISTINCT source FROM documents)")
     have = sql(spark, sf, "SELECT d.source, count(*) AS present FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.source")
@@ -206,7 +212,14 @@ def agg20_jobs(spark, sf):
 
 
 def srt1_review_order(spark, sf):
-    return R.review_order(_items(spark, sf), ["source"]).select("item_id", "source", "place")
+    d = _items(spark, sf).select("item_id", "source", "path", "status", "band", "score")
+    return R.review_order(d, ["source"]).select("item_id", "source", "place")
+
+
+def srt1_review_list(spark, sf):
+    """One review list over all sources."""
+    d = _items(spark, sf).select("item_id", "path", "status", "band", "score")
+    return R.review_order(d).select("item_id", "place")
 
 
 def srt2_worst(spark, sf):
@@ -305,4 +318,12 @@ SQL = {
     "set3_leaks": "SELECT sha256(text) AS content_hash, count(DISTINCT doc_id % 10 < 7) AS splits, count(*) AS n FROM documents GROUP BY text HAVING count(DISTINCT doc_id % 10 < 7) > 1",
     "smp1_split": "WITH u AS (SELECT doc_id, CAST(('0x' || left(sha256('seed:' || doc_id), 16))::UBIGINT AS DOUBLE) / 18446744073709551615 AS x FROM documents) SELECT doc_id, CASE WHEN x < 0.7 THEN 'train' WHEN x < 0.85 THEN 'val' ELSE 'test' END AS split, round(x, 9) AS unit FROM u",
     "smp2_per_class": oracle("SELECT source, label, item_id FROM scored_base QUALIFY row_number() OVER (PARTITION BY source, label ORDER BY sha256('7:' || item_id)) <= 3"),
+    "srt1_review_list": oracle("SELECT item_id, row_number() OVER (ORDER BY CASE WHEN status <> 'analyzed' THEN 4 WHEN band = 'high' THEN 0 WHEN band = 'medium' THEN 1 WHEN band = 'unknown' THEN 2 ELSE 3 END, CASE WHEN status = 'analyzed' THEN score END DESC NULLS LAST, lower(path), path) AS place FROM items_base"),
+    "agg16_tree": oracle("""WITH c AS (SELECT unnest([source, '<all>']) AS source, coalesce(path, '') AS p, coalesce(band, '') AS l, coalesce(sha256(text), '') AS h FROM items_base),
+        l0 AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY p, l, h) - 1 AS i, count(*) OVER (PARTITION BY source) AS n, sha256(p || '|' || l || '|' || h) AS d FROM c),
+        l1 AS (SELECT source, n, i // 256 AS i, sha256(string_agg(d, '' ORDER BY i)) AS d FROM l0 GROUP BY source, n, i // 256),
+        l2 AS (SELECT source, n, i // 256 AS i, CASE WHEN n <= 256 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d FROM l1 GROUP BY source, n, i // 256),
+        l3 AS (SELECT source, n, i // 256 AS i, CASE WHEN n <= 65536 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d FROM l2 GROUP BY source, n, i // 256),
+        l4 AS (SELECT source, n, i // 256 AS i, CASE WHEN n <= 16777216 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d FROM l3 GROUP BY source, n, i // 256)
+        SELECT source, n, d AS root FROM l4"""),
 }

@@ -84,3 +84,87 @@ def test_weights_sum_to_one(spark):
     for aurocs in ((0.9, 0.61, 0.7, 0.5), (0.4, 0.5, None, 0.2), (2 / 3, 2 / 3, 2 / 3, 0.5)):
         df = spark.createDataFrame(list(zip(base, aurocs)), "component string, auroc double")
         assert sum(round(r.weight * 10000) for r in feedback.suggest_weights(df, base).collect()) == 10000
+
+
+def test_knots_do_not_depend_on_the_cuts(spark):
+    import random
+
+    from sievewright.operators import calibrate
+
+    rng = random.Random(4)
+    rows = [(g, s, int(rng.random() < (s / 400 if g == "rising" else 1 - s / 400 if g == "falling" else (s % 100) / 100 if g == "teeth" else 0.5))) for g in ("rising", "falling", "teeth", None) for s in [rng.randrange(400) for _ in range(1500)]]
+    rows += [("rising", s, 0) for s in range(-40, 0)] + [("rising", s, 1) for s in range(400, 440)] + [("few", 1, 1)]
+    df = spark.createDataFrame(rows, "g string, score int, label int")
+    want = {}
+    for g in ("rising", "falling", "teeth", None):
+        at = {}
+        for own, s, y in rows:
+            if own == g:
+                p, n = at.get(s, (0, 0))
+                at[s] = (p + y, n + 1)
+        want |= {(g, top): p / n for p, n, top in calibrate.pooled([(p, n, s) for s, (p, n) in sorted(at.items())])}
+    for ranges in (1, 3, 7, 40):
+        got = {(r.g, r.knot): r.value for r in calibrate.isotonic_knots(df, ["g"], ranges=ranges).collect()}
+        assert got == want
+
+
+def test_binary_search_in_the_row(spark):
+    from pyspark.sql import functions as F
+
+    from sievewright.operators import calibrate
+
+    for n in (0, 1, 2, 3, 7, 8, 9, 33):
+        keys = [3.0 * k for k in range(n)]
+        rows = [(keys, x) for x in [-1.0, *[k + d for k in keys for d in (-0.5, 0.0, 0.5)], 1e9]]
+        got = spark.createDataFrame(rows, "k array<double>, x double").select("x", calibrate.first_at_least(F.col("k"), F.col("x")).alias("i")).collect()
+        assert all(r.i == sum(k < r.x for k in keys) for r in got)
+
+
+def test_running_sums_over_ranges(spark):
+    import random
+
+    from sievewright.operators import ordered
+
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(50), i) for i in range(700)]
+    df = spark.createDataFrame(rows, "g string, x int, i int")
+    for ranges in (1, 5, 30):
+        got = ordered.ranked(df, ["x", "i"], ["g"], ranges=ranges).collect()
+        for g in ("a", "b", None):
+            mine = sorted((x, i) for h, x, i in rows if h == g)
+            assert sorted((r.place, r.i) for r in got if r.g == g) == [(k + 1, i) for k, (_, i) in enumerate(mine)]
+    assert ordered.ranked(df.limit(0), ["x"]).collect() == []
+
+
+def test_tree_of_digests(spark):
+    import hashlib
+
+    from sievewright.operators import records
+
+    rows = [("s" if i % 5 else "t", f"p/{i:05d}", "ai" if i % 3 else None, f"{i:064x}") for i in range(1100)]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+
+    def root(own):
+        level = [sha("|".join((p, lab or "", h))) for p, lab, h in sorted((p, lab or "", h) for _, p, lab, h in own)]
+        while True:
+            level = [sha("".join(level[k : k + 256])) for k in range(0, len(level), 256)]
+            if len(level) == 1:
+                return level[0]
+
+    def tree(own, ranges):
+        df = spark.createDataFrame(own, "source string, path string, label string, content_hash string")
+        return {r.source: (r.n, r.root) for r in records.tree_root(df, ["source"], "path", "label", "content_hash", ranges=ranges).collect()}
+
+    want = {s: (len(own), root(own)) for s in "st" for own in [[r for r in rows if r[0] == s]]}
+    assert tree(rows, 1) == tree(list(reversed(rows)), 6) == want
+    swapped = [("s", "p/00001", "ai", rows[2][3]), ("s", "p/00002", "ai", rows[1][3])]
+    for change in ([*rows[:1], *swapped, *rows[3:]], [*rows[:-1], (*rows[-1][:2], "human", rows[-1][3])], [(rows[0][0], "p/x", *rows[0][2:]), *rows[1:]]):
+        assert tree(change, 4) != want
+    df = spark.createDataFrame(rows, "source string, path string, label string, content_hash string")
+    from pyspark.sql import functions as F
+
+    levels = records.tree_levels(df, ["source"], "path", "label", "content_hash", ranges=4)
+    leaf = sha("|".join((rows[7][1], rows[7][2] or "", rows[7][3])))
+    proof = records.tree_proof(levels, leaf, F.col("source") == "s")
+    assert records.tree_verify(proof, leaf, want["s"][1]) and len(proof) == 2
+    assert not records.tree_verify(proof, sha("other"), want["s"][1]) and records.tree_proof(levels, sha("other")) == []
