@@ -25,28 +25,30 @@ DIRECT_TOOLS = (
     ("Canva AI 추정", ("canva ai", "magic media")),
     ("Grok/xAI 추정", ("grok", "xai")),
 )
+# Patterns of agents' texts.
 WORKFLOW = (r" step \d+[:.]", r" task \d+[:.]", r" agent[:.]", r" tool[:.]", r" action[:.]", r" observation[:.]", r" thought[:.]", " executing", " processing", " analyzing", " generating", " completed", " finished", " done", " workflow", " pipeline", " automation", " automated")
-AUTOMATIC = (r"i (have|will|can) (now|automatically|programmatically)", r"executing (task|command|action)", r"completed (task|step|action)", r"running (script|code|program)")
+AUTOMATIC = (r"i (?:have|will|can) (?:now|automatically|programmatically)", r"executing (?:task|command|action)", r"completed (?:task|step|action)", r"running (?:script|code|program)")
+# Names of agents.
 AGENTS = {
     "openai_agent": ("openai agent", "gpt agent", "chatgpt agent", "operator", "openai operators"),
     "anthropic_agent": ("claude agent", "anthropic agent", "computer use", "claude computer"),
     "google_agent": ("gemini agent", "google agent", "project astra", "google ai studio agent"),
     "microsoft_agent": ("copilot agent", "microsoft agent", "autogen", "semantic kernel"),
     "meta_agent": ("llama agent", "meta agent", "meta ai agent"),
-    "langchain": ("langchain", "langgraph", "langsmith"),
-    "crewai": ("crewai", "crew ai"),
+    "langchain": ("langchain", "langgraph", "langsmith", "langchain agent"),
+    "crewai": ("crewai", "crew ai", "crewai agent"),
     "autogen": ("autogen", "auto-gen", "pyautogen"),
     "babyagi": ("babyagi", "baby agi"),
     "auto_gpt": ("auto-gpt", "autogpt", "auto gpt"),
-    "devin": ("devin", "cognition ai"),
+    "devin": ("devin", "cognition ai", "devin agent"),
     "sweep": ("sweep ai", "sweep.dev"),
     "cursor_agent": ("cursor agent", "cursor ai", "cursor copilot"),
-    "replit_agent": ("replit agent", "replit ai"),
+    "replit_agent": ("replit agent", "replit ai", "replit agent"),
     "openai_swarm": ("openai swarm", "swarm agent"),
     "llamaindex": ("llamaindex", "llama index", "gpt index"),
     "haystack": ("haystack", "deepset"),
     "semantic_kernel": ("semantic kernel", "microsoft semantic"),
-    "dspy": ("dspy",),
+    "dspy": ("dspy", "dspy ai"),
     "agentverse": ("agentverse", "agent verse"),
     "metagpt": ("metagpt", "meta gpt"),
 }

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievewright.operators import ordered
+from sievewright.operators import matching, ordered
 from sievewright.sources.scratch import shared_folder, written
 
 #: File kinds by extension.
@@ -75,25 +75,33 @@ def with_cache(work: DataFrame, cache: DataFrame, key: str = "cache_key") -> tup
     return work.join(cache.select(key), key, "left_anti"), work.join(cache, key).withColumn("cached", F.lit(True))
 
 
+#: Rows of a lexicon at most; it is a list of names, not a table that grows with the texts.
+LEXICON_ROWS = 1_000_000
+
+
 def marker_hits(docs: DataFrame, lexicon: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (id, tool, marker) of lexicon rows (tool, marker) found in lower-cased texts.
 
     ASCII markers stand between characters other than a-z and 0-9, others
-    anywhere.  The lexicon, a bounded list of names, becomes one literal array.
-    A bounded marker's first word is a word of the text, so a text looks for
-    those of the words it has, and checks the bounds of what it contains.
-    Texts are neither joined nor shuffled.
+    anywhere.  One automaton of all markers is broadcast and goes over each text
+    once, so neither the number of markers nor of tools adds to the time; texts
+    are neither joined nor shuffled.  A lexicon of over LEXICON_ROWS rows is an
+    error; null and empty markers are left out.
     """
-    names = sorted({(r.tool, r.marker) for r in lexicon.select("tool", "marker").collect() if r.marker})
-    if not names:
+    rows = lexicon.select("tool", "marker").where("marker <> ''").distinct().limit(LEXICON_ROWS + 1).collect()
+    if len(rows) > LEXICON_ROWS:
+        raise ValueError(f"the lexicon has over {LEXICON_ROWS} rows")
+    if not rows:
         return docs.select(id_col, F.lit("").alias("tool"), F.lit("").alias("marker")).where(F.lit(False))
-    first = {m: (re.findall("[a-z0-9]+", m) or [""])[0] if m.isascii() else "" for _, m in names}
-    known = F.array(*[F.struct(F.lit(t).alias("tool"), F.lit(m).alias("marker"), F.lit(first[m]).alias("first"), F.lit(rf"(?<![a-z0-9])\Q{m}\E(?![a-z0-9])" if m.isascii() else "").alias("bounded")) for t, m in names])
-    d = docs.select(id_col, F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"))
-    d = d.withColumn("_w", F.array_intersect(F.split("_t", "[^a-z0-9]+"), F.array(*map(F.lit, sorted({w for w in first.values() if w} | {"-"})))))
-    held = lambda x: ((x["first"] == "") | F.array_contains("_w", x["first"])) & F.contains("_t", x["marker"])
-    d = d.select(id_col, "_t", F.explode(F.filter(known, held)).alias("_m"))
-    return d.where((F.col("_m.bounded") == "") | F.expr("_t RLIKE _m.bounded")).select(id_col, "_m.tool", "_m.marker")
+    tools: dict[str, list[str | None]] = {}
+    for r in sorted(rows, key=lambda r: (r.marker, r.tool or "")):
+        tools.setdefault(r.marker, []).append(r.tool)
+    markers = list(tools)
+    found = matching.present(docs.sparkSession, markers, [m.isascii() for m in markers])
+    named = F.array(*[F.array(*[F.struct(F.lit(t).cast("string").alias("tool"), F.lit(m).alias("marker")) for t in tools[m]]) for m in markers])
+    hits = F.flatten(F.transform("_m", lambda k: F.get(named, k)))
+    d = docs.select(id_col, found(F.lower(F.coalesce(F.col(text_col), F.lit("")))).alias("_m")).where(F.size("_m") > 0)
+    return d.select(id_col, F.explode(hits).alias("_h")).select(id_col, "_h.tool", "_h.marker")
 
 
 def tool_matches(hits: DataFrame, id_col: str, top: int = 5) -> DataFrame:

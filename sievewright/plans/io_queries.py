@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievewright.functions import udfs
-from sievewright.operators import evidence
+from sievewright.operators import evidence, profiles
 from sievewright.plans.base import oracle, sql
 from sievewright.sources import readers, sinks
 from sievewright.sources.scratch import new_folder
@@ -181,8 +181,39 @@ def str5_cancelled(spark, sf):
     return first.unionByName(scan())
 
 
-QUERIES = {f.__name__: f for f in (src1_files, src6_prior_scans, src7_feedback, src8_label_csv, src9_manifest, src11_profile, snk1_scan, evd2_rejects, udf1_process, udf2_members, str5_incremental, str6_resumed, str4_stream, str5_cancelled)}
+#: Rules of three profiles, as rows of the given tables; some are no rules.
+PROFILES = """
+SELECT DISTINCT 'first' AS profile, 'v1' AS version, 'term' AS kind, 'opening' AS component, lower(split_part(text, ' ', 1)) AS key, 1.5 AS value FROM benchmark
+UNION ALL SELECT DISTINCT 'first', 'v1', 'term', 'lang', lang, 4.0 FROM documents
+UNION ALL SELECT 'first', 'v1', 'fusion', CASE r_regionkey WHEN 0 THEN 'opening' WHEN 1 THEN 'lang' ELSE lower(r_name) END, CAST(NULL AS VARCHAR(9)), 1.0 + r_regionkey FROM region
+UNION ALL SELECT 'first', 'v1', 'threshold', NULL, CASE r_regionkey WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'unknown_below' ELSE r_name END, CASE r_regionkey WHEN 0 THEN 60.0 WHEN 1 THEN 20.0 ELSE 5.0 END FROM region
+UNION ALL SELECT DISTINCT 'second', 'v1', 'term', 'role', role, 10.0 FROM conversations
+UNION ALL SELECT DISTINCT 'second', 'v1', 'term', 'ending', lower(split_part(text, ' ', 3)), CASE WHEN length(split_part(text, ' ', 3)) > 4 THEN 2.0 ELSE -0.5 END FROM benchmark WHERE split_part(text, ' ', 3) <> '' AND split_part(text, ' ', 3) = lower(split_part(text, ' ', 3))
+UNION ALL SELECT 'second', 'v1', 'cap', 'ending', r_name, r_regionkey * 50.0 - 10.0 FROM region WHERE r_regionkey < 2
+UNION ALL SELECT 'second', 'v1', 'threshold', NULL, CASE r_regionkey WHEN 0 THEN 'high' ELSE 'medium' END, r_regionkey * 40.0 + 10.0 FROM region WHERE r_regionkey < 2
+UNION ALL SELECT 'third', CASE WHEN n_nationkey % 2 = 0 THEN 'v2' ELSE 'v1' END, CASE WHEN n_nationkey % 3 = 0 THEN 'regex' ELSE 'term' END, CASE WHEN n_nationkey % 5 = 0 THEN ' ' ELSE 'nation' END, CASE WHEN n_nationkey % 7 = 0 THEN NULL ELSE lower(n_name) END, CASE WHEN n_nationkey % 11 = 0 THEN NULL ELSE 1.0 END FROM nation
+"""
+
+
+def udf3_profiles(spark, sf):
+    """Every document under each profile of a table of rules."""
+    d = profiles.scan(sql(spark, sf, "SELECT doc_id, text FROM documents"), sql(spark, sf, PROFILES))
+    return d.select("doc_id", "profile", F.array_join(F.array_sort(F.transform(F.map_entries("components"), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"] * 2).cast("long").cast("string")))), ",").alias("components"), "score", "band")
+
+
+def udf3_rejects(spark, sf):
+    """The rows of the table that are no rules, by reason."""
+    return profiles.rejected(sql(spark, sf, PROFILES)).groupBy("profile", "kind", "why").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (src1_files, src6_prior_scans, src7_feedback, src8_label_csv, src9_manifest, src11_profile, snk1_scan, evd2_rejects, udf1_process, udf2_members, str5_incremental, str6_resumed, str4_stream, str5_cancelled, udf3_profiles, udf3_rejects)}
 _STATS = ", ".join(f"count(*) FILTER (WHERE status = 'analyzed' AND band = '{b}') AS {b}" for b in ("high", "medium", "unknown", "low"))
+_JUDGED = f"""t AS ({PROFILES}), w AS (SELECT *, count(*) OVER (PARTITION BY profile, kind, component, key) AS same,
+  coalesce(max(CASE WHEN kind = 'threshold' AND key = 'medium' THEN value END) OVER (PARTITION BY profile), 35) > coalesce(max(CASE WHEN kind = 'threshold' AND key = 'high' THEN value END) OVER (PARTITION BY profile), 67) AS turned,
+  max(CASE WHEN kind = 'term' AND trim(coalesce(key, '')) <> '' THEN 1 END) OVER (PARTITION BY profile, component) AS has FROM t),
+j AS (SELECT profile, kind, component, key, CAST(value AS DOUBLE) AS value, CASE WHEN trim(coalesce(profile, '')) = '' THEN 'no profile' WHEN version IS NULL OR version <> 'v1' THEN 'version' WHEN kind IS NULL OR kind NOT IN ('term', 'cap', 'fusion', 'threshold') THEN 'kind' WHEN value IS NULL THEN 'no number'
+  WHEN kind <> 'threshold' AND trim(coalesce(component, '')) = '' THEN 'no component' WHEN kind = 'term' AND trim(coalesce(key, '')) = '' THEN 'no term' WHEN kind <> 'term' AND value < 0 THEN 'negative' WHEN kind = 'threshold' AND (key IS NULL OR key NOT IN ('high', 'medium', 'unknown_below')) THEN 'threshold'
+  WHEN same > 1 THEN 'repeated' WHEN kind = 'threshold' AND key IN ('high', 'medium') AND turned THEN 'order' WHEN kind IN ('cap', 'fusion') AND has IS NULL THEN 'no terms' END AS why FROM w), ok AS (SELECT * FROM j WHERE why IS NULL)"""
 SQL = {
     "src1_files": "SELECT coalesce(lang, 'none') AS lang, 'text' AS kind, 'pending' AS status, CAST(sum(coalesce(strlen(text), 0) + 1) AS BIGINT) AS size_bytes FROM documents GROUP BY 1",
     "src6_prior_scans": """SELECT coalesce(source || '/' || doc_id, '') AS path, CASE WHEN doc_id % 5 > 0 THEN 'analyzed' ELSE 'failed' END AS status, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE coalesce(n_chars, 0) END AS size_bytes,
@@ -206,4 +237,11 @@ SQL = {
         SELECT stream_id, event_id, round(m, 6) AS mean, frame_count, CASE WHEN m >= 67 THEN 'high' WHEN m >= 35 THEN 'medium' ELSE 'low' END AS band, coalesce(fires, FALSE) AS alert FROM d LEFT JOIN f USING (stream_id, part, event_id)"""),
     "str5_cancelled": """SELECT 'cancelled' AS ended, event_type, count(*) AS n, count(DISTINCT event_id) AS events, count(*) FILTER (WHERE value >= 50) AS high FROM events WHERE event_id % 4 = 0 GROUP BY event_type
         UNION ALL SELECT 'done', event_type, count(*), count(DISTINCT event_id), count(*) FILTER (WHERE value >= 50) FROM events GROUP BY event_type""",
+    "udf3_rejects": f"WITH {_JUDGED} SELECT profile, kind, why, count(*) AS n FROM j WHERE why IS NOT NULL GROUP BY profile, kind, why",
+    "udf3_profiles": f"""WITH {_JUDGED}, d AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents),
+        points AS (SELECT doc_id, profile, component, greatest(0, least(coalesce((SELECT max(value) FROM ok c WHERE c.kind = 'cap' AND c.profile = o.profile AND c.component = o.component), 100), sum(value * ((length(low) - length(replace(low, lower(key), ''))) // length(key))))) AS s FROM d CROSS JOIN (SELECT * FROM ok WHERE kind = 'term') o GROUP BY doc_id, profile, component),
+        weighed AS (SELECT p.*, CASE WHEN (SELECT count(*) FROM ok f WHERE f.kind = 'fusion' AND f.profile = p.profile) = 0 THEN 1.0 ELSE coalesce(f.value, 0) END AS w FROM points p LEFT JOIN ok f ON f.kind = 'fusion' AND f.profile = p.profile AND f.component = p.component),
+        fused AS (SELECT doc_id, profile, string_agg(component || '=' || CAST(round(s * 2) AS BIGINT), ',' ORDER BY component || '=' || CAST(round(s * 2) AS BIGINT)) AS components, CAST(least(100, greatest(0, round_even(round(sum(s * w) / sum(w), 9), 0))) AS INTEGER) AS score, max(s) AS most FROM weighed GROUP BY doc_id, profile),
+        lim AS (SELECT profile, coalesce(max(value) FILTER (WHERE kind = 'threshold' AND key = 'high'), 67) AS hi, coalesce(max(value) FILTER (WHERE kind = 'threshold' AND key = 'medium'), 35) AS mid, coalesce(max(value) FILTER (WHERE kind = 'threshold' AND key = 'unknown_below'), 8) AS low FROM ok GROUP BY profile)
+        SELECT doc_id, profile, components, score, CASE WHEN score < low AND most = 0 THEN 'unknown' WHEN score >= hi THEN 'high' WHEN score >= mid THEN 'medium' ELSE 'low' END AS band FROM fused JOIN lim USING (profile)""",
 }

@@ -10,7 +10,7 @@ from sievewright.operators import records as R
 from sievewright.plans.base import oracle, sql
 
 #: The tool catalogue, and tools whose names the tables' own words stand in for.
-_ROWS = ", ".join("('{}', '{}')".format(name.replace("'", "''"), marker.replace("'", "''")) for name, _, _, markers in TOOLS for marker in markers)
+_ROWS = ", ".join("('{}', '{}')".format(name.replace("'", "''"), marker.replace("'", "''")) for name, _, markers, _ in TOOLS for marker in markers)
 LEXICON = "SELECT * FROM (VALUES ('alpha', 'the'), ('alpha', 'ation'), ('beta', 'and of'), ('beta', 'ing'), ('gamma', 'ción'), ('gamma', 'de la'), ('delta', 'över'), ('delta', 'der'), ('epsilon', 'mit license'), ('epsilon', 'gpl'), " + _ROWS + ") AS l(tool, marker)"
 CORPUS = """SELECT doc_id AS item_id, CASE doc_id % 4 WHEN 0 THEN 'train/1_fake/' WHEN 1 THEN 'valid/0_real/' WHEN 2 THEN 'test/ai/edited/' ELSE 'misc/' END || source || '/' || CAST(doc_id AS VARCHAR(20)) || CASE WHEN doc_id % 6 = 0 THEN '_mask.png' ELSE '.png' END AS path, text, source FROM documents"""
 EDGES = "SELECT doc_id AS src, CAST(floor(doc_id / 3) AS BIGINT) AS dst FROM documents WHERE doc_id > 0 AND doc_id % 2 = 0"
