@@ -180,7 +180,7 @@ def present(spark: SparkSession, markers: list[str | bytes], bounded: list[bool]
         starts = np.searchsorted(row, np.arange(len(column) + 1)).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int32)))
 
-    return F.arrow_udf(find, "array<int>", F.ArrowUDFType.SCALAR)
+    return F.arrow_udf(find, "array<int>")
 
 
 def counted(spark: SparkSession, lists: dict[str, tuple[str, ...]]):
@@ -210,7 +210,7 @@ def counted(spark: SparkSession, lists: dict[str, tuple[str, ...]]):
                 out[f"{name}_times"][i:j] = np.bincount(row, weights=weight[marker] * times, minlength=j - i)
         return pa.StructArray.from_arrays([pa.array(out[f]) for f in fields], names=fields)
 
-    return F.arrow_udf(count, "struct<" + ",".join(f"{f}:int" for f in fields) + ">", F.ArrowUDFType.SCALAR)
+    return F.arrow_udf(count, "struct<" + ",".join(f"{f}:int" for f in fields) + ">")
 
 
 def weighed(spark: SparkSession, lists: dict[str, dict[str, float]]):
@@ -234,4 +234,4 @@ def weighed(spark: SparkSession, lists: dict[str, dict[str, float]]):
                 out[name][i:j] = np.bincount(row, weights=weight[marker], minlength=j - i)
         return pa.StructArray.from_arrays([pa.array(x) for x in out.values()], names=list(out))
 
-    return F.arrow_udf(weigh, "struct<" + ",".join(f"{name}:double" for name in lists) + ">", F.ArrowUDFType.SCALAR)
+    return F.arrow_udf(weigh, "struct<" + ",".join(f"{name}:double" for name in lists) + ">")

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sievewright.functions import lexicons as L
 from sievewright.functions.columns import (
@@ -15,7 +13,6 @@ from sievewright.functions.columns import (
     capped_score,
     deviation,
     hangul_share,
-    hits,
     matches,
     mean,
     occurrences,
@@ -26,6 +23,8 @@ from sievewright.functions.columns import (
     trimmed,
     weighed,
 )
+from sievewright.operators import matching
+from sievewright.operators.wordstats import word_statistics
 
 SENTENCE_END = r"[.!?。！？\n]+"
 STRUCTURE_TITLES = ("과도하게 균일한 목록 구조", "목록 중심 구성", "문장 길이 균일성", "낮은 문장 변주")
@@ -77,39 +76,50 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     d = prepare(docs, text_col)
     n, s, w, rows = F.col("normalized"), F.col("sentences"), F.col("words"), F.col("lines")
     ko = F.col("hangul") > 0.3
+    d = d.withColumns({"_c": phrase_counts(docs)(n), "_s": word_statistics(w)})
     d = d.withColumns(
         {
             "n_words": F.size(w),
             "n_sentences": F.size(s),
             "n_lines": F.size(rows),
-            "identity_hits": hits(n, L.AI_IDENTITY),
-            "phrase_hits": hits(n, L.TEMPLATE_PHRASES),
+            "identity_hits": F.col("_c.identity_kinds"),
+            "phrase_hits": F.col("_c.template_kinds"),
+            "vendors": F.array(*[F.col(f"_c.vendor{i}_kinds") for i in range(len(L.TEXT_VENDORS))]),
             "list_lines": F.size(F.filter(rows, lambda x: x.rlike(r"^(\d+[).]|[-*•])\s+.+"))),
             "lengths": F.transform(s, lambda x: F.greatest(F.lit(1), matches(x, WORD))),
             "typographic": matches(F.col("trimmed"), L.TYPOGRAPHIC),
             "structure": structure_share(rows),
             "plain_words": F.concat(w, F.flatten(F.transform(F.filter(w, lambda x: F.contains(x, F.lit("'"))), lambda x: F.split(x, "'")))),
-            "shingles": grams(w, 3),
         }
     )
-    shingles = F.col("shingles")
     starter = lambda x, known: F.lower(x).rlike(f"^[\"'\\-–— ]*({alternation(known)})")
     return d.withColumns(
         {
             "mean_length": mean(F.col("lengths")),
             "length_cv": deviation(F.col("lengths")) / F.greatest(F.lit(1.0), mean(F.col("lengths"))),
-            "repeat_share": F.when(F.col("n_words") >= 80, (F.size(shingles) - F.size(F.array_distinct(shingles))) / F.greatest(F.lit(1), F.size(shingles))),
+            "repeat_share": F.when(F.col("n_words") >= 80, (F.col("_s.n_trigrams") - F.col("_s.trigrams")) / F.greatest(F.lit(1), F.col("_s.n_trigrams"))),
             "anchors": F.size(F.array_intersect("plain_words", F.array(*map(F.lit, L.PERSONAL_ANCHORS)))),
             "has_number": n.rlike(r"\p{Nd}"),
-            "vocabulary": F.when(ko, total([occurrences(n, p) for p in L.CONNECTORS_KO])).otherwise(
-                F.size(F.filter(w, lambda x: x.isin(*L.VOCABULARY_EN))) + total([occurrences(n, p) for p in L.CONNECTORS_EN])
-            ),
-            "hedges": F.when(ko, total([(n.contains(a) & n.contains(b)).cast("int") for a, b in L.HEDGES_KO])).otherwise(
-                total([(n.contains(a) & n.contains(b)).cast("int") for a, b in L.HEDGES_EN])
-            ),
+            "vocabulary": F.when(ko, F.col("_c.connectors_ko_times")).otherwise(F.size(F.filter(w, lambda x: x.isin(*L.VOCABULARY_EN))) + F.col("_c.connectors_en_times")),
+            "hedges": hedges(ko),
             "starters": F.when(ko, F.size(F.filter(s, lambda x: starter(x, L.STARTERS_KO)))).otherwise(F.size(F.filter(s, lambda x: starter(x, L.STARTERS_EN)))),
         }
-    )
+    ).drop("_c", "_s")
+
+
+def phrase_counts(docs: DataFrame):
+    """The function that counts the phrases of all lists of the text rules in one pass over a text."""
+    lists = {"identity": L.AI_IDENTITY, "template": L.TEMPLATE_PHRASES, "connectors_ko": L.CONNECTORS_KO, "connectors_en": L.CONNECTORS_EN}
+    lists |= {f"vendor{i}": names for i, (_, names) in enumerate(L.TEXT_VENDORS)}
+    lists |= {f"style{i}": markers for i, (_, _, markers) in enumerate(L.STYLES)}
+    lists |= {f"hedge_{lang}{i}{side}": (phrase,) for lang, pairs in (("ko", L.HEDGES_KO), ("en", L.HEDGES_EN)) for i, pair in enumerate(pairs) for side, phrase in zip("ab", pair, strict=True)}
+    return matching.counted(docs.sparkSession, lists)
+
+
+def hedges(ko: Column) -> Column:
+    """Pairs of phrases that both occur, of :func:`phrase_counts` in ``_c``."""
+    both = lambda lang, i: ((F.col(f"_c.hedge_{lang}{i}a_kinds") > 0) & (F.col(f"_c.hedge_{lang}{i}b_kinds") > 0)).cast("int")
+    return F.when(ko, total([both("ko", i) for i in range(len(L.HEDGES_KO))])).otherwise(total([both("en", i) for i in range(len(L.HEDGES_EN))]))
 
 
 def rule_weights() -> dict[str, tuple[str, Column]]:
@@ -148,12 +158,12 @@ def model_weight(score: Column) -> Column:
     return weighed((score >= 82, 67), (score >= 65, 42), (score >= 45, 24))
 
 
-def text_source(normalized: Column, identity_hits: Column) -> Column:
-    """(label, confidence): a vendor's name in the text, then a self-description, else unknown."""
+def text_source(vendors: Column, identity_hits: Column) -> Column:
+    """(label, confidence): a vendor's name in the text (``vendors``, names found of each), then a self-description, else unknown."""
     guess = lambda label, level: F.struct(F.lit(label).alias("label"), F.lit(level).alias("confidence"))
     out = None
-    for label, names in L.TEXT_VENDORS:
-        found = hits(normalized, names) > 0
+    for i, (label, _) in enumerate(L.TEXT_VENDORS):
+        found = F.get(vendors, F.lit(i)) > 0
         out = F.when(found, guess(label, "medium")) if out is None else out.when(found, guess(label, "medium"))
     return out.when(identity_hits > 0, guess("AI 어시스턴트 문체 추정", "medium")).otherwise(guess("알 수 없음", "unknown"))
 
@@ -176,7 +186,7 @@ def scan(docs: DataFrame, text_col: str = "text", model_score: Column | None = N
     if model_score is not None:
         for title, low, high, weight in (("외부 모델 강한 의심", 82, 101, 67), ("외부 모델 의심", 65, 82, 42), ("외부 모델 약한 의심", 45, 65, 24)):
             rows.append(signal(title, weighed(((model_score >= low) & (model_score < high), weight))))
-    d = d.withColumn("signals", signals(*rows)).withColumn("source_guess", text_source(F.col("normalized"), F.col("identity_hits")))
+    d = d.withColumn("signals", signals(*rows)).withColumn("source_guess", text_source(F.col("vendors"), F.col("identity_hits")))
     size = F.length("trimmed")
     cap = F.when(size < 240, 66)
     bare = (F.size("signals") == 0) & (F.col("source_guess.confidence") == "unknown")
@@ -205,25 +215,9 @@ def advanced_words(text: Column, hangul: Column) -> Column:
     return F.when(hangul > 0.3, F.transform(w, strip)).otherwise(w)
 
 
-@F.pandas_udf(T.DoubleType())
-def mtld(w: pd.Series) -> pd.Series:
-    """Words by factor count; a factor ends where distinct words are 0.72 of its words or fewer.
-
-    Sequential over the words of a text, with a set that grows: a batch function.
-    """
-
-    def one(words) -> float:
-        factors, n, seen = 0.0, 0, set()
-        for word in words:
-            seen.add(word)
-            n += 1
-            if len(seen) / n <= 0.72:
-                factors, n, seen = factors + 1, 0, set()
-        if n:
-            factors += (1 - len(seen) / n) / (1 - 0.72)
-        return len(words) / factors if factors else float(len(words))
-
-    return w.map(one, na_action="ignore")
+def mtld(w: Column) -> Column:
+    """Words by factor count; a factor ends where distinct words are 0.72 of its words or fewer."""
+    return word_statistics(w)["mtld"]
 
 
 def prepare_advanced(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -232,40 +226,15 @@ def prepare_advanced(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumns({"words": advanced_words(F.col("trimmed"), F.col("hangul")), "sentences": sentences(F.col("trimmed"), 5), "lower": F.lower("trimmed")})
 
 
-def _runs(hashes: Column) -> Column:
-    """(n, distinct, once, weighted) of an array of hashes: equal ones stand together once sorted.
-
-    weighted is the sum of c * log2(c) over the counts c, grown as each hash joins its run.
-    """
-    state = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0).alias("c"), F.lit(0).alias("distinct"), F.lit(0).alias("once"), F.lit(0.0).alias("weighted"))
-
-    def step(a, x):
-        same = a["last"].eqNullSafe(x)
-        c = F.when(same, a["c"] + 1).otherwise(1)
-        more = (a["c"] + 1) * F.log2((a["c"] + 1).cast("double")) - a["c"] * F.log2(a["c"].cast("double"))
-        return F.struct(
-            x.alias("last"),
-            c.alias("c"),
-            (a["distinct"] + F.when(same, 0).otherwise(1)).alias("distinct"),
-            (a["once"] + F.when(same & (a["c"] == 1), -1).when(same, 0).otherwise(1)).alias("once"),
-            (a["weighted"] + F.when(same, more).otherwise(0.0)).alias("weighted"),
-        )
-
-    return F.aggregate(F.sort_array(hashes), state, step)
-
-
 def gram_statistics(prepared: DataFrame) -> DataFrame:
-    """Adds entropy (of bigrams), trigrams, trigrams_repeated, distinct_words and hapax.
+    """Adds entropy (of bigrams), trigrams, trigrams_repeated, distinct_words, hapax and mtld.
 
-    A document's grams are counted in its own row: no shuffle.
+    A document's grams are counted in its own row, all sizes in one pass over
+    its words: no shuffle.
     """
-    d = prepared.withColumns({f"_g{n}": grams(F.col("words"), n) for n in (1, 2, 3)})
-    d = d.withColumns({f"_r{n}": _runs(F.col(f"_g{n}")) for n in (1, 2, 3)})
-    bigrams = F.size("_g2")
-    entropy = F.when(bigrams > 0, F.log2(bigrams.cast("double")) - F.col("_r2.weighted") / bigrams).otherwise(0.0)
-    long = lambda c: c.cast("long")
-    d = d.withColumns({"entropy": entropy, "trigrams": long(F.col("_r3.distinct")), "trigrams_repeated": long(F.col("_r3.distinct") - F.col("_r3.once")), "distinct_words": long(F.col("_r1.distinct")), "hapax": long(F.col("_r1.once"))})
-    return d.drop(*[f"_{k}{n}" for k in "gr" for n in (1, 2, 3)])
+    d = prepared.withColumn("_s", word_statistics("words"))
+    names = {"entropy": "bigram_entropy"} | {n: n for n in ("trigrams", "trigrams_repeated", "distinct_words", "hapax", "mtld")}
+    return d.withColumns({name: F.col(f"_s.{field}") for name, field in names.items()}).drop("_s")
 
 
 def advanced_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,6 +252,8 @@ def advanced_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.lit(0),
         lambda a, i: a + F.coalesce(((F.get("lengths", i) - F.get("lengths", i - 1)) * (F.get("lengths", i - 1) - F.get("lengths", i - 2)) < 0).cast("int"), F.lit(0)),
     )
+    korean = {"translationese": (*L.KO_PLURALS, *L.KO_PASSIVES, *L.KO_PRONOUNS), "stock": L.KO_STOCK}
+    p = p.withColumns({"_c": phrase_counts(docs)(low), "_k": matching.counted(docs.sparkSession, korean)(t)})
     d = p.withColumns(
         {
             "n_words": F.size(w),
@@ -295,20 +266,16 @@ def advanced_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             "n_tokens": F.size(tokens),
             "transitions": F.size(F.filter(tokens, lambda x: x.isin(*L.TRANSITIONS))),
             "anchors": F.size(F.filter(w, lambda x: x.isin(*L.PERSONAL_ANCHORS_WIDE))),
-            "vocabulary": F.when(ko, total([occurrences(low, x) for x in L.CONNECTORS_KO])).otherwise(
-                F.size(F.filter(w, lambda x: x.isin(*L.VOCABULARY_EN_WIDE))) + total([occurrences(low, x) for x in L.CONNECTORS_EN])
-            ),
-            "hedges": F.when(ko, total([(low.contains(a) & low.contains(b)).cast("int") for a, b in L.HEDGES_KO])).otherwise(
-                total([(low.contains(a) & low.contains(b)).cast("int") for a, b in L.HEDGES_EN])
-            ),
+            "vocabulary": F.when(ko, F.col("_c.connectors_ko_times")).otherwise(F.size(F.filter(w, lambda x: x.isin(*L.VOCABULARY_EN_WIDE))) + F.col("_c.connectors_en_times")),
+            "hedges": hedges(ko),
             "starters": F.when(ko, F.size(F.filter(s, lambda x: starter(x, L.STARTERS_KO)))).otherwise(F.size(F.filter(s, lambda x: starter(x, L.STARTERS_EN)))),
-            "translationese": total([occurrences(t, x) for x in (*L.KO_PLURALS, *L.KO_PASSIVES, *L.KO_PRONOUNS)]) + matches(t, r"[가-힣]+의\s+[가-힣]+의\s+[가-힣]+"),
+            "style_hits": F.array(*[F.col(f"_c.style{i}_kinds") for i in range(len(L.STYLES))]),
+            "translationese": F.col("_k.translationese_times") + matches(t, r"[가-힣]+의\s+[가-힣]+의\s+[가-힣]+"),
             "endings": F.size(F.filter(s, lambda x: x.rlike(alternation(L.KO_ENDINGS)))),
-            "stock": hits(t, L.KO_STOCK),
-            "mtld": mtld(w),
+            "stock": F.col("_k.stock_kinds"),
         }
     ).withColumn("flips", flips)
-    return d
+    return d.drop("_c", "_k")
 
 
 def advanced_weights() -> dict[str, tuple[str, Column]]:
@@ -345,8 +312,8 @@ def advanced_weights() -> dict[str, tuple[str, Column]]:
 def style() -> Column:
     """short, academic, news, blog, conversational or general, in that order."""
     out = F.when(F.length("trimmed") == 0, "empty").when(F.col("n_words") < 20, "short")
-    for name, least, markers in L.STYLES:
-        out = out.when(hits(F.col("lower"), markers) >= least, name)
+    for i, (name, least, _) in enumerate(L.STYLES):
+        out = out.when(F.get("style_hits", F.lit(i)) >= least, name)
     return out.otherwise("general")
 
 

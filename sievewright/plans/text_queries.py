@@ -229,7 +229,7 @@ def txt24_style(spark, sf):
 
 
 def txt25_advanced(spark, sf):
-    """Advanced scan; the English diversity rule's MTLD has no SQL, so that rule is left out of the compared sum."""
+    """Advanced scan; the English diversity rule's MTLD is compared in txt17_mtld and left out of the compared sum."""
     d = T.scan_advanced(_notes(spark, sf))
     rest = F.aggregate(F.filter("signals", lambda s: s["title"] != "보통 어휘 다양성"), F.lit(0), lambda a, s: a + s["weight"])
     return d.select("doc_id", F.least(F.lit(100), rest).alias("score_without_mtld"), T.style().alias("style"))
@@ -269,7 +269,7 @@ def txt2_hangul(spark, sf):
 
 def txt27_source(spark, sf):
     d = T.features(_notes(spark, sf))
-    guess = T.text_source(F.col("normalized"), F.col("identity_hits"))
+    guess = T.text_source(F.col("vendors"), F.col("identity_hits"))
     return d.select("doc_id", guess["label"].alias("label"), guess["confidence"].alias("confidence"))
 
 
@@ -311,4 +311,12 @@ SQL = {name: s for name, (_, s) in PAIRS.items()} | {
     "flt2_capped": oracle(f"WITH {SCAN} SELECT doc_id, length(trimmed) < 240 AS capped, score, n_signals FROM banded"),
     "flagship": oracle(f"""WITH {SCAN} SELECT lang, count(*) AS items, count(*) FILTER (WHERE band = 'high') AS high, count(*) FILTER (WHERE band = 'medium') AS medium,
         count(*) FILTER (WHERE band = 'low') AS low, count(*) FILTER (WHERE band = 'unknown') AS unknown, CAST(sum(score) AS BIGINT) AS score_sum FROM banded GROUP BY lang"""),
+    "txt17_mtld": oracle(f"""WITH RECURSIVE {ADVANCED},
+        w AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS g FROM a3),
+        p AS (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id, g ORDER BY i), 0) AS last, count(*) OVER (PARTITION BY doc_id) AS n FROM w),
+        walk AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST(1 AS BIGINT) AS s, CAST(0 AS BIGINT) AS kinds, 0.0::DOUBLE AS f FROM a3 WHERE n_words > 0
+          UNION ALL SELECT p.doc_id, p.i, CASE WHEN ended THEN p.i + 1 ELSE s END, CASE WHEN ended THEN 0 ELSE k END, CASE WHEN ended THEN f + 1 ELSE f END
+          FROM (SELECT p.doc_id, p.i, s, f, kinds + CAST(p.last < s AS BIGINT) AS k, (kinds + CAST(p.last < s AS BIGINT)) / (p.i - s + 1) <= 0.72 AS ended FROM walk JOIN p ON p.doc_id = walk.doc_id AND p.i = walk.i + 1) p),
+        ends AS (SELECT doc_id, i AS n, f + CASE WHEN s <= i THEN (1 - kinds / (i - s + 1)) / (1 - 0.72) ELSE 0 END AS f FROM walk JOIN (SELECT DISTINCT doc_id, n FROM p) USING (doc_id) WHERE i = n)
+        SELECT a3.doc_id, n_words, round(CASE WHEN coalesce(f, 0) > 0 THEN n_words / f ELSE CAST(n_words AS DOUBLE) END, 6) AS mtld FROM a3 LEFT JOIN ends USING (doc_id)"""),
 }
