@@ -23,8 +23,10 @@ from sievewright.llm.common import chunks, text_buffers, written
 LINK_CHUNK_BYTES = 4 << 20
 #: Products that one step of a sparse product spreads out.
 PRODUCTS = 1 << 21
-#: Segments, and bytes of them, that a task remembers; segments longer than KEEP_LETTERS are forgotten first.
-KEEP_SEGMENTS, KEEP_BYTES = 150_000, 16 << 20
+#: Segments, and letters of them, that a task remembers; those met once are forgotten first.
+KEEP_SEGMENTS, KEEP_LETTERS = 300_000, 8 << 20
+#: Letters of new segments that are encoded as one text.
+JOINED_LETTERS = 1 << 16
 #: A segment begins with a space that follows a letter both tokenizers take for no white space.
 CUT = re.compile(r"(?<=[^\s\x1c-\x1f\u180e\u200b])(?= )")
 _B_BITS = 20
@@ -125,15 +127,51 @@ def align(a_ids: np.ndarray, a_lengths: np.ndarray, a_counts: np.ndarray, b_ids:
     pairs = ((keys_a[owner] & ((1 << _B_BITS) - 1)) << _B_BITS) | kinds_b[shared.at]
     pair_starts = np.searchsorted(keys_a[owner] >> _B_BITS, np.arange(n + 1))
     segment_of_link = segment_a[a]
-    texts_a, texts_b = [str(i) for i in a_ids.tolist()], [str(i) for i in b_ids.tolist()]
-    cut_a, cut_b = np.searchsorted(group_a, np.arange(n_all + 1)).tolist(), np.searchsorted(group_b, np.arange(n_all + 1)).tolist()
-    parts = [",".join(texts_a[cut_a[g] : cut_a[g + 1]]) + "|" + ",".join(texts_b[cut_b[g] : cut_b[g + 1]]) for g in range(n_all)]
     segment_of_group = segment_of_link[first]
     bounds = np.searchsorted(segment_of_group, np.arange(n + 1))
-    groups = [";".join(parts[i:j]).encode() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+    groups = _group_texts(a_ids, group_a, b_ids, group_b, bounds)
     return Aligned(a_counts, b_counts, np.diff(bounds), np.bincount(segment_of_link, minlength=n), pair_starts, pairs, shared.counts, groups)
 
 
+def _group_texts(a_ids: np.ndarray, group_a: np.ndarray, b_ids: np.ndarray, group_b: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """``a,a|b;a|b,b`` of the groups bounds[i]..bounds[i + 1] of each segment."""
+    ids, group = np.concatenate([a_ids, b_ids]), np.concatenate([group_a, group_b])
+    side = np.repeat([0, 1], [len(a_ids), len(b_ids)])
+    order = np.argsort(group * 2 + side, kind="stable")
+    ids, group, side = ids[order], group[order], side[order]
+    before = np.full(len(ids), ord(","), np.uint8)
+    new_group = np.r_[True, group[1:] != group[:-1]] if len(ids) else np.zeros(0, bool)
+    before[new_group] = ord(";")
+    before[1:][(side[1:] == 1) & (side[:-1] == 0)] = ord("|")
+    width = 1 + np.searchsorted([10, 100, 1000, 10_000, 100_000, 1_000_000], ids, side="right")
+    ends = np.cumsum(width + 1)
+    text = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    text[ends - width - 1] = before
+    for k in range(int(width.max(initial=0))):
+        own = width > k
+        text[ends[own] - 1 - k] = 48 + ids[own] // 10**k % 10
+    flat = text.tobytes()
+    at = np.concatenate([(ends - width - 1)[new_group], [len(flat)]]) if len(ends) else np.zeros(1, np.int64)
+    return [flat[i + 1 : j] for i, j in zip(at[bounds[:-1]].tolist(), at[bounds[1:]].tolist(), strict=True)]
+
+
+class _Bytes(NamedTuple):
+    """The bytes of tokens by id: ``blob[starts[i]:starts[i + 1]]``."""
+
+    blob: np.ndarray
+    starts: np.ndarray
+
+    @classmethod
+    def of(cls, tokens: dict[int, bytes]) -> _Bytes:
+        every = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        return cls(np.frombuffer(b"".join(every), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in every])]))
+
+    def joined(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of the ids in order, how many each has)."""
+        lengths = self.starts[ids + 1] - self.starts[ids]
+        return self.blob[np.repeat(self.starts[ids] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))], lengths
+
+
 class Tokenizers:
     """Vocabulary A (byte-level BPE, a tokenizer file) and B (a sentencepiece model), and the bytes of their tokens."""
 
@@ -150,9 +188,10 @@ class Tokenizers:
         spec = json.loads(a_file)
         byte_of = {letter: b for b, letter in enumerate(byte_letters())}
         names = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
-        self.a_bytes = {i: bytes(map(byte_of.__getitem__, t)) if set(t) <= byte_of.keys() else t.encode() for i, t in names.items()}
+        a_bytes = {i: bytes(map(byte_of.__getitem__, t)) if set(t) <= byte_of.keys() else t.encode() for i, t in names.items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)}
+        b_bytes = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)}
+        self.a_bytes, self.b_bytes = _Bytes.of(a_bytes), _Bytes.of(b_bytes)
         self.space = self.b.piece_to_id("▁")
         before = spec.get("pre_tokenizer") or {}
         plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer")
@@ -162,53 +201,107 @@ class Tokenizers:
 
     def reset(self) -> None:
         self.known: dict[str, int] = {}
-        self.bytes_kept = 0
+        self.letters_kept = 0
         none = np.zeros(0, np.int64)
         self.table = Aligned(none, none, none, none, np.zeros(1, np.int64), none, none, [])
         self.good = np.zeros(0, bool)
+        self.uses = np.zeros(0, np.int64)
+
+    def forget(self) -> None:
+        """Keeps the segments met most often, at least twice and half of the bounds at most."""
+        names = sorted(self.known, key=self.known.__getitem__)
+        sizes = np.array([len(s) for s in names])
+        order = np.argsort(-self.uses, kind="stable")
+        fits = (self.uses[order] > 1) & (np.cumsum(sizes[order]) <= KEEP_LETTERS // 2)
+        kept = np.sort(order[: KEEP_SEGMENTS // 2][fits[: KEEP_SEGMENTS // 2]])
+        old = self.table
+        size = np.diff(old.pair_starts)[kept]
+        place = np.repeat(old.pair_starts[kept] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        self.table = Aligned(*[x[kept] for x in old[:4]], np.concatenate([[0], np.cumsum(size)]), old.pairs[place], old.links[place], [old.groups[k] for k in kept.tolist()])
+        self.good, self.uses = self.good[kept], self.uses[kept] // 2
+        self.known = {names[k]: i for i, k in enumerate(kept.tolist())}
+        self.letters_kept = int(sizes[kept].sum())
 
     def segments(self, text: str) -> list[str]:
         """Pieces of space + text that both encode by themselves; each begins with a space."""
         return CUT.split(" " + text) if self.cuts else [" " + text]
 
+    def _encode(self, part: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of segments encoded as one text, [(ids of A, their number by segment, ids of B, number, whether both give the bytes back)].
+
+        Where the bytes are not those of the text the halves are encoded apart,
+        down to the segment that is not given back.
+        """
+        text = "".join(part)
+        raw = np.frombuffer(text.encode(), np.uint8)
+        a = np.array(self.a.encode(text, add_special_tokens=False).ids, np.int64)
+        b = np.array([self.space] if text == " " else self.b.encode(text[1:]), np.int64)
+        ends = np.cumsum([len(s.encode()) for s in part]) if not text.isascii() else np.cumsum([len(s) for s in part])
+        counts = []
+        for ids, table in ((a, self.a_bytes), (b, self.b_bytes)):
+            given, lengths = table.joined(ids)
+            upto = np.searchsorted(np.cumsum(lengths), ends)
+            same = len(given) == len(raw) and (given == raw).all() and (np.cumsum(lengths)[upto] == ends).all()
+            counts.append(np.diff(np.concatenate([[0], upto + 1])) if same else None)
+        if counts[0] is not None and counts[1] is not None:
+            return [(a, counts[0], b, counts[1], np.ones(len(part), bool))]
+        if len(part) == 1:
+            none = np.zeros(0, np.int64)
+            return [(none, np.zeros(1, np.int64), none, np.zeros(1, np.int64), np.zeros(1, bool))]
+        half = len(part) // 2
+        return self._encode(part[:half]) + self._encode(part[half:])
+
     def learn(self, new: list[str]) -> None:
-        """Encodes and aligns segments in batches and appends them to the table."""
-        for i, j in chunks(np.concatenate([[0], np.cumsum([len(s) for s in new])]), 1 << 18):
-            part = new[i:j]
-            encode = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
-            a = [e.ids for e in encode(part, add_special_tokens=False)]
-            b = [[self.space] if s == " " else ids for s, ids in zip(part, self.b.encode([s[1:] for s in part], num_threads=1), strict=True)]
-            good = np.zeros(len(part), bool)
-            for k, (s, x, y) in enumerate(zip(part, a, b, strict=True)):
-                raw = s.encode()
-                good[k] = b"".join(map(self.a_bytes.__getitem__, x)) == raw == b"".join(map(self.b_bytes.__getitem__, y))
-            a = [x if ok else [] for x, ok in zip(a, good, strict=True)]
-            b = [y if ok else [] for y, ok in zip(b, good, strict=True)]
-            flat_a, flat_b = [t for x in a for t in x], [t for y in b for t in y]
-            length_a = np.array([len(self.a_bytes[t]) for t in flat_a], np.int64)
-            length_b = np.array([len(self.b_bytes[t]) for t in flat_b], np.int64)
-            counts = [np.array([len(x) for x in side], np.int64) for side in (a, b)]
-            got = align(np.array(flat_a, np.int64), length_a, counts[0], np.array(flat_b, np.int64), length_b, counts[1])
-            old = self.table
-            joined = [np.concatenate([x, y]) for x, y in zip(old[:4], got[:4], strict=True)]
-            starts = np.concatenate([old.pair_starts, got.pair_starts[1:] + old.pair_starts[-1]])
-            self.table = Aligned(*joined, starts, np.concatenate([old.pairs, got.pairs]), np.concatenate([old.links, got.links]), old.groups + got.groups)
-            self.good = np.concatenate([self.good, good])
+        """Encodes and aligns segments and appends them to the table.
+
+        Segments follow each other in one text where both tokenizers part them
+        anyway; one that ends in white space is encoded alone.
+        """
+        alone = [k for k, s in enumerate(new) if not self.cuts or not CUT.search(s[-1] + " ")]
+        apart = set(alone)
+        order = [k for k in range(len(new)) if k not in apart] + alone
+        rest = [new[k] for k in order[: len(new) - len(alone)]]
+        parts = [rest[i:j] for i, j in chunks(np.concatenate([[0], np.cumsum([len(s) for s in rest])]), JOINED_LETTERS)] if rest else []
+        got = [x for part in [*parts, *([new[k]] for k in alone)] for x in self._encode(part)]
+        a_ids, a_counts, b_ids, b_counts, good = (np.concatenate(x) for x in zip(*got, strict=True))
+        for i, j in chunks(np.concatenate([[0], np.cumsum([len(new[k]) for k in order])]), 1 << 18):
+            one = self._part(a_ids, a_counts, i, j), self._part(b_ids, b_counts, i, j)
+            made = align(one[0], np.diff(self.a_bytes.starts)[one[0]], a_counts[i:j], one[1], np.diff(self.b_bytes.starts)[one[1]], b_counts[i:j])
+            self._append(made, good[i:j])
+        for place, k in enumerate(order, len(self.known) - len(new)):
+            self.known[new[k]] = place
+        self.letters_kept += sum(map(len, new))
+
+    @staticmethod
+    def _part(ids: np.ndarray, counts: np.ndarray, i: int, j: int) -> np.ndarray:
+        begin = int(counts[:i].sum())
+        return ids[begin : begin + int(counts[i:j].sum())]
+
+    def _append(self, got: Aligned, good: np.ndarray) -> None:
+        old = self.table
+        joined = [np.concatenate([x, y]) for x, y in zip(old[:4], got[:4], strict=True)]
+        starts = np.concatenate([old.pair_starts, got.pair_starts[1:] + old.pair_starts[-1]])
+        old.groups.extend(got.groups)
+        self.table = Aligned(*joined, starts, np.concatenate([old.pairs, got.pairs]), np.concatenate([old.links, got.links]), old.groups)
+        self.good = np.concatenate([self.good, good])
+        self.uses = np.concatenate([self.uses, np.zeros(len(good), np.int64)])
 
     def places(self, texts: list[str | None]) -> list[np.ndarray]:
         """Rows of the table of each text's segments, in order; null and empty texts have none."""
         split = [self.segments(t) if t else [] for t in texts]
-        if len(self.known) > KEEP_SEGMENTS or self.bytes_kept > KEEP_BYTES:
-            self.reset()
+        if len(self.known) > KEEP_SEGMENTS or self.letters_kept > KEEP_LETTERS:
+            self.forget()
         known, new = self.known, []
         for own in split:
             for s in own:
                 if s not in known:
                     known[s] = len(known)
                     new.append(s)
-        self.bytes_kept += sum(map(len, new))
-        self.learn(new)
-        return [np.fromiter(map(known.__getitem__, own), np.int64, len(own)) for own in split]
+        if new:
+            self.learn(new)
+        out = [np.fromiter(map(known.__getitem__, own), np.int64, len(own)) for own in split]
+        self.uses += np.bincount(np.concatenate([*out, np.zeros(0, np.int64)]), minlength=len(known))
+        return out
 
 
 _LOADED: dict[tuple[str, bytes], Tokenizers] = {}

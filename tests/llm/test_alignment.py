@@ -89,6 +89,7 @@ def test_small_chunks_and_forgetting(spark, libraries, monkeypatch):
     assert tokenizers.cuts
     whole = alignment._chunk(tokenizers, texts, True)
     monkeypatch.setattr(alignment, "KEEP_SEGMENTS", 3)
+    monkeypatch.setattr(alignment, "JOINED_LETTERS", 40)
     monkeypatch.setattr(alignment, "PRODUCTS", 7)
     tokenizers.reset()
     parts = [alignment._chunk(tokenizers, texts[i : i + 11], True) for i in range(0, len(texts), 11)]
