@@ -143,16 +143,44 @@ def unicode_differences() -> tuple[dict[int, str], dict[int, str]]:
     return lower, stand_ins
 
 
+@functools.cache
+def marks_apart() -> str:
+    """Code points at which the tokenizers library's normal form stands apart from Python's: it cuts there.
+
+    The library knows fewer combining marks: to it newer ones are letters of
+    class 0, which no mark is moved over and nothing composes over.  The newer
+    marks and the second parts of newer composed letters are returned.
+    """
+    from tokenizers import normalizers
+
+    form = normalizers.NFC().normalize_str
+    every = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xE1000)) if chr(c) not in "\n"]  # the other planes have no marks
+    odd: set[str] = set()
+
+    def compare(of: dict[str, str]) -> set[str]:
+        theirs = form("\n".join(of.values())).split("\n")
+        return {c for (c, text), t in zip(of.items(), theirs, strict=True) if t != unicodedata.normalize("NFC", text)}
+
+    marks = [c for c in every if unicodedata.combining(c)]
+    odd |= compare({c: f"q{c}\u0334" for c in marks}) | compare({c: f"q\u0315{c}" for c in marks})  # over a mark of class 1, over one of class 232
+    others = "\n".join(f"q{c}\u0334" for c in every if not unicodedata.combining(c))
+    if form(others) != others:  # marks to the library alone
+        odd |= compare({c: f"q{c}\u0334" for c in every if not unicodedata.combining(c)})
+    split = {c: unicodedata.normalize("NFD", c) for c in every if unicodedata.decomposition(c)}
+    return "".join(sorted(odd | {split[c][-1] for c in compare(split)}))
+
+
 class WordTokenizer:
     """Lower-casing BPE with word ends: NFC, white space dropped, special tokens kept whole.
 
-    ``differences`` are those of :func:`unicode_differences`.
+    ``differences`` are those of :func:`unicode_differences`, ``apart`` those of :func:`marks_apart`.
     """
 
     ascii_words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
     words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
-    def __init__(self, spec: dict, differences: tuple[dict[int, str], dict[int, str]] | None = None):
+    def __init__(self, spec: dict, differences: tuple[dict[int, str], dict[int, str]] | None = None, apart: str | None = None):
+        apart = marks_apart() if apart is None else apart
         self.table = MergeTable(spec["model"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = dict(enumerate(self.table.tokens)) | {i: t for t, i in self.special.items()}
@@ -161,6 +189,7 @@ class WordTokenizer:
         odd = sorted({*self.lower, *self.stand_ins, *(ord(c) for x in self.lower.values() for c in x)})
         starts = [c for i, c in enumerate(odd) if not i or odd[i - 1] != c - 1]
         ends = [c for i, c in enumerate(odd) if i == len(odd) - 1 or odd[i + 1] != c + 1]
+        self.apart = re.compile(f"([{re.escape(apart)}])") if apart else None
         self.odd = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True)) + "]") if odd else None
 
     def split(self, text: str) -> list[str | int]:
@@ -174,7 +203,8 @@ class WordTokenizer:
                 out += self.ascii_words.findall(part.lower())
             else:
                 # Lower-casing goes letter by letter: a final sigma is not special.
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
+                pieces = self.apart.split(part) if self.apart else [part]
+                part = "".join([unicodedata.normalize("NFC", p) for p in pieces]).replace("Σ", "σ")
                 if self.odd is None or not self.odd.search(part):
                     out += self.words.findall(part.lower())
                     continue
@@ -224,7 +254,7 @@ def encode_decode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text
     32-bit numbers, decoded_sha256 over the decoded text in UTF-8.  A null or
     empty text has no tokens and decodes to the empty text.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(WordTokenizer(load(vocab_path), unicode_differences()))
+    sent = docs.sparkSession.sparkContext.broadcast(WordTokenizer(load(vocab_path), unicode_differences(), marks_apart()))
     schema = T.StructType([docs.schema[id_col]])
     schema = schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if keep_tokens:

@@ -1,4 +1,6 @@
 import hashlib
+import sys
+import unicodedata
 
 import numpy as np
 import public_tokenizers
@@ -46,3 +48,17 @@ def test_random_texts():
     bounds = np.concatenate([[0], np.cumsum(counts)])
     for i, e in enumerate(library.encode_batch(texts, add_special_tokens=False)):
         assert e.ids == ids[bounds[i] : bounds[i + 1]].tolist(), ascii(texts[i])
+
+
+def test_combining_marks_side_by_side():
+    library, own = Tokenizer.from_file(PATH), bpe.WordTokenizer(bpe.load(PATH))
+    marks = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))]
+    near = "\u0334\u0315\u0327\u0301\u0345\u0610\u0749\ufe2a\u05c4"
+    texts = [b + x + y for x in marks for y in near for b in ("e", "")] + [b + y + x for x in marks for y in near for b in ("e", "가")]
+    rng = np.random.default_rng(4)
+    letters = [*marks, *["e", "a", "o", "가", "\U00011935", "\U00011930", "א", "ب", " "] * 90]
+    texts += ["".join(rng.choice(letters, rng.integers(1, 12))) for _ in range(8000)]
+    ids, counts = own.encode(texts)
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    for i, e in enumerate(library.encode_batch(texts, add_special_tokens=False)):
+        assert e.ids == ids[bounds[i] : bounds[i + 1]].tolist(), ascii(texts[i])
