@@ -20,13 +20,13 @@ from sievewright.llm.bpe import byte_letters
 from sievewright.llm.common import chunks, text_buffers, written
 
 #: Bytes of text whose links are counted together; a longer text is a chunk of its own.
-LINK_CHUNK_BYTES = 4 << 20
+LINK_CHUNK_BYTES = 2 << 20
 #: Products that one step of a sparse product spreads out.
 PRODUCTS = 1 << 21
 #: Segments, and letters of them, that a task remembers; those met once are forgotten first.
-KEEP_SEGMENTS, KEEP_LETTERS = 300_000, 8 << 20
+KEEP_SEGMENTS, KEEP_LETTERS = 200_000, 6 << 20
 #: Letters of new segments that are encoded as one text.
-JOINED_LETTERS = 1 << 16
+JOINED_LETTERS = 1 << 15
 #: A segment begins with a space that follows a letter both tokenizers take for no white space.
 CUT = re.compile(r"(?<=[^\s\x1c-\x1f\u180e\u200b])(?= )")
 _B_BITS = 20

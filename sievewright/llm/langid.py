@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievewright.llm.common import chunks, mix, text_buffers
+from sievewright.llm.common import chunks, text_buffers
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
-#: Bound of the training sample: different texts of each language, and windows drawn for each of them on average.
+#: Bounds of the training sample: different texts of each language, and bytes that those have together, as expected numbers.
 DOCS_PER_LANGUAGE = 800
-WINDOWS_PER_TEXT = 8
+BYTES_PER_LANGUAGE = 1 << 20
 
 
 @dataclass
@@ -116,46 +116,23 @@ def train(texts: list[bytes], langs: list[str], filters: int = 16, dims: int = 8
     return net
 
 
-def fit(labelled: DataFrame, text_col: str, lang_col: str, docs_per_language: int = DOCS_PER_LANGUAGE) -> ByteCNN:
-    """Trains on a bounded sample of labelled texts, each taken as a whole.
+def fit(labelled: DataFrame, text_col: str, lang_col: str, docs_per_language: int = DOCS_PER_LANGUAGE, bytes_per_language: int = BYTES_PER_LANGUAGE) -> ByteCNN:
+    """Trains on a bounded sample of labelled texts, each taken as a whole, with all its windows.
 
-    Of each language the expected number ``docs_per_language`` of different texts
-    is chosen by a hash.  Of their windows, from beginning to end, about
-    ``WINDOWS_PER_TEXT`` times as many as texts are drawn by another hash, every
-    window as likely as any other; all of them where there are no more.  The
-    driver gets at most twice that many windows for each language.  Null and
-    empty texts and null languages teach nothing.
+    Of each language about ``docs_per_language`` different texts are chosen by a
+    hash, fewer if those would have over ``bytes_per_language`` together; a text
+    longer than that is not chosen.  The driver gets at most twice that many
+    texts.  Null and empty texts and null languages teach nothing.
     """
-    light = (F.xxhash64(text_col).alias("h"), F.ceil(F.octet_length(text_col) / F.lit(WINDOW)).alias("n"))
-    rows = labelled.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), *light).where("l is not null and n > 0")
-    counts = rows.select("l", "h", "n").distinct().groupBy("l").agg(F.count("*").alias("texts"), F.sum("n").alias("windows")).collect()  # a row for each language
+    rows = labelled.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), F.xxhash64(text_col).alias("h"), F.octet_length(text_col).alias("n")).where("l is not null and n > 0").where(F.col("n") <= bytes_per_language)
+    counts = rows.select("l", "h", "n").distinct().groupBy("l").agg(F.count("*").alias("texts"), F.sum("n").alias("n")).collect()  # a row for each language
     unit = F.pmod(F.col("h"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    share, part = F.lit(0.0), F.lit(0.0)
+    share = F.lit(0.0)
     for r in counts:
-        chosen = min(1.0, docs_per_language / r.texts)
-        share = F.when(F.col("l") == r.l, F.lit(chosen)).otherwise(share)
-        part = F.when(F.col("l") == r.l, F.lit(min(1.0, WINDOWS_PER_TEXT * docs_per_language / (chosen * r.windows)))).otherwise(part)
-    schema = T.StructType([T.StructField("l", T.StringType()), T.StructField("h", T.LongType()), T.StructField("k", T.LongType()), T.StructField("place", T.LongType()), T.StructField("w", T.BinaryType())])
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, hashes, parts = batch.column(0), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()
-            blob, offsets = text_buffers(batch.column(3))
-            for i, j in chunks(offsets):
-                windows, row, length = _windows(blob[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                nth = np.arange(len(row)) - np.searchsorted(row, row)
-                place = mix(hashes[i:j][row] + mix(nth.astype(np.uint64) + np.uint64(1)))
-                at = np.flatnonzero((place >> np.uint64(11)) * 2.0**-53 < parts[i:j][row])
-                taken = [windows[a, : length[a]].tobytes() for a in at.tolist()]
-                arrays = [langs.take(pa.array(i + row[at])), pa.array(hashes[i:j][row[at]].view(np.int64)), pa.array(nth[at]), pa.array(place[at].view(np.int64)), pa.array(taken, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
-
-    sample = rows.where(unit < share).select("l", "h", part.alias("part"), "t").mapInArrow(draw, schema).dropDuplicates(["l", "h", "k"])
-    bound = 2 * WINDOWS_PER_TEXT * docs_per_language * max(1, len(counts))
-    texts: dict[tuple[int, str], list[bytes]] = {}
-    for r in sorted(sample.orderBy("place", "l").limit(bound).collect(), key=lambda r: (r.h, r.l, r.k)):
-        texts.setdefault((r.h, r.l), []).append(bytes(r.w))
-    return train([b"".join(parts) for parts in texts.values()], [lang for _, lang in texts])
+        share = F.when(F.col("l") == r.l, F.lit(min(1.0, docs_per_language / r.texts, bytes_per_language / r.n))).otherwise(share)
+    sample = rows.where(unit < share).select("h", "l", "t").dropDuplicates(["h", "l"])
+    chosen = sample.orderBy("h", "l").limit(2 * docs_per_language * max(1, len(counts))).collect()
+    return train([r.t.encode() for r in chosen], [r.l for r in chosen])
 
 
 def predict(docs: DataFrame, net: ByteCNN, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -29,8 +29,6 @@ STEMS = (3, 4, 5, 6, 7, 8)
 #: Labelled documents to learn from, and bytes that their whole texts have together, as expected numbers.
 TRAIN_DOCS = 12000
 SAMPLE_BYTES = 1 << 26
-#: Equal rows count as so many at most, so that no text rules what is learned.
-COPIES = 8
 
 
 def features(blob: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -108,8 +106,8 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, train_docs: int = TR
 
     Of the different (text, label) pairs about ``train_docs`` are chosen by a
     hash of the text, fewer if their texts have over ``SAMPLE_BYTES`` together,
-    and each teaches as a whole, once for each equal row up to ``COPIES``.  The
-    sample, at most twice that many pairs, is all that reaches the driver.  Null
+    and each teaches as a whole, 1 + log2(c) times, rounded down, where it has c
+    equal rows, so that more of them always count and none rules.  The sample, at most twice that many pairs, is all that reaches the driver.  Null
     labels and null texts teach nothing; without a row of either label every
     text scores alike.
 
@@ -125,7 +123,7 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, train_docs: int = TR
     share = min(1.0, train_docs / max(1, total.pairs), SAMPLE_BYTES / max(1, total.n or 0))
     unit = F.pmod(F.xxhash64("t", F.lit(10)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     pairs = rows.where(unit < F.lit(share)).groupBy("t", "y").agg(F.count("*").alias("n"))
-    sample = pairs.select("y", "t", F.least("n", F.lit(COPIES)).alias("n"), F.xxhash64("t").alias("h")).orderBy("h", "t", "y").limit(2 * train_docs).collect()
+    sample = pairs.select("y", "t", (F.floor(F.log2("n")) + 1).cast("int").alias("n"), F.xxhash64("t").alias("h")).orderBy("h", "t", "y").limit(2 * train_docs).collect()
     one, examples, fold = [], [], []
     for r in sample:
         text = np.frombuffer(r.t.encode(), np.uint8)

@@ -58,7 +58,7 @@ def test_training_samples_hold_whole_texts_and_few_copies(spark, monkeypatch):
     rows = [("hot text", 0, "en")] * 3000 + [(f"text {'abcdefghij'[i % 10]} number {'klmnopqrst'[i // 10]}", i % 2, "en") for i in range(100)] + [(long_, 1, "en"), ("hot text", 1, "en")]
     df = spark.createDataFrame(rows, "t string, y int, l string")
     toxicity.fit(df, "t", "y")
-    assert len(seen["x"]) == 102 + toxicity.COPIES and seen["y"].sum() == 52
+    assert len(seen["x"]) == 102 + 12 and seen["y"].sum() == 52
     last = toxicity.features(np.frombuffer(b"venom", np.uint8), np.array([0, 5]))[0]
     assert sum(np.isin(last, x).all() for x in seen["x"]) == 1
     seen.clear()
@@ -68,19 +68,16 @@ def test_training_samples_hold_whole_texts_and_few_copies(spark, monkeypatch):
     assert 30 < len(seen["t"]) < 90 and len(set(seen["t"])) == len(seen["t"])
 
 
-def test_language_sample_draws_from_whole_texts(spark, monkeypatch):
+def test_language_sample_is_whole_texts(spark, monkeypatch):
     seen = {}
     monkeypatch.setattr(langid, "train", lambda texts, labels: seen.update(t=texts, l=labels))
     long_ = "".join(f"w{i:06d} " for i in range(40000))
-    rows = [(long_, "en")] * 5 + [("copy", "en")] * 300 + [("\u00e9" * 100 + str(i), "fr") for i in range(20)] + [(None, "en"), ("", "en"), ("text", None)]
+    rows = [(long_, "en")] * 5 + [("copy", "en")] * 300 + [("\u00e9" * 100 + str(i), "fr") for i in range(200)] + [(None, "en"), ("", "en"), ("text", None), ("x" * (langid.BYTES_PER_LANGUAGE + 1), "en")]
     df = spark.createDataFrame(rows, "t string, l string")
-    langid.fit(df, "t", "l")  # 2500 windows of the long text, fewer than the bound
-    assert sorted(seen["t"]) == sorted(t.encode() for t in {t for t, l in rows if t and l}) and seen["l"].count("fr") == 20
-    langid.fit(df.where("l = 'en'"), "t", "l", docs_per_language=30)  # 240 windows of 2501 on average
-    drawn = max(seen["t"], key=len)
-    at = np.array([long_.encode().find(drawn[i : i + langid.WINDOW]) for i in range(0, len(drawn), langid.WINDOW)])
-    assert 150 < len(at) < 350 and (at % langid.WINDOW == 0).all() and (np.diff(at) > 0).all()
-    assert at.min() < len(long_) * 0.1 and at.max() > len(long_) * 0.9 and len(seen["t"]) <= 2
+    langid.fit(df, "t", "l")
+    assert sorted(seen["t"]) == sorted(t.encode() for t in {t for t, l in rows if t and l and len(t) <= langid.BYTES_PER_LANGUAGE})
+    langid.fit(df.where("l = 'fr'"), "t", "l", bytes_per_language=200 * 100)  # about half of 200 texts of 202 bytes
+    assert 60 < len(seen["t"]) < 140 and set(seen["t"]) <= {t.encode() for t, l in rows if l == "fr"}
 
 
 def test_ftrl_equals_a_plain_loop():
