@@ -174,13 +174,52 @@ def capped_layers(layers: DataFrame, caps: dict[str, int], id_col: str = "item_i
     return layers.groupBy(id_col).agg(F.sum(F.least("score", F.coalesce(F.try_element_at(cap, F.col("layer")), F.col("score")))).alias("added"))
 
 
-def explanation(items: DataFrame, n: int = 10) -> DataFrame:
-    """Adds features (the n heaviest signals with importance) and confidence by score and count."""
+# Texts of explanations by band.
+PATHS = {
+    "high": ("높은 점수 임계값(67+) 도달", "여러 의심 신호가 동시에 활성화됨", "AI 생성 가능성 높음으로 판단"),
+    "medium": ("중간 점수 임계값(35-66) 범위", "일부 의심 신호가 감지됨", "추가 확인 권장"),
+    "low": ("낮은 점수 임계값(35 미만)", "뚜렷한 의심 신호 부족", "자연스러운 콘텐츠로 판단"),
+}
+SUMMARIES = {
+    "high": ("이 콘텐츠는 ", "점으로 높은 AI 생성 의심 점수를 받았습니다. "),
+    "medium": ("이 콘텐츠는 ", "점으로 중간 수준의 의심 신호를 보입니다. 추가 검토가 필요합니다."),
+    "low": ("이 콘텐츠는 ", "점으로 낮은 의심 점수를 받았습니다. 자연스러운 콘텐츠로 보입니다."),
+}
+LIMITATIONS = ("이 설명은 휴리스틱 기반 분석 결과에 기반합니다.", "확정적 판별이 아닌 선별 도구로 활용해야 합니다.", "메타데이터가 없어 분석이 제한적일 수 있습니다.")
+
+
+def explanation(items: DataFrame, n: int = 10, form: str = "general", has_metadata: Column | None = None) -> DataFrame:
+    """Adds features, confidence, summary, decision_path and limitations to items (score, signals).
+
+    features are the n heaviest signals with their importance, ties by title;
+    confidence goes by score and number of signals.  The summary of a high score
+    names the three heaviest.  Form ``face`` adds what ``face_count`` and
+    ``manipulation_type`` say, ``video`` what ``frame_count`` and ``duration``
+    do, where there are faces or frames; ``general`` and ``audio`` add nothing.
+    """
+    if form not in ("general", "audio", "face", "video"):
+        raise ValueError(f"no form {form}")
     order = lambda a, b: F.when(a["weight"] > b["weight"], -1).when(a["weight"] < b["weight"], 1).when(a["title"] < b["title"], -1).when(a["title"] > b["title"], 1).otherwise(0)
-    top = F.slice(F.array_sort("signals", order), 1, n)
-    rows = F.transform(top, lambda s: F.struct(s["title"].alias("feature"), (s["weight"] / 100.0).alias("importance")))
-    level = F.when((F.col("score") >= 67) & (F.size("signals") >= 3), "high").when((F.col("score") >= 35) & (F.size("signals") >= 1), "medium").otherwise("low")
-    return items.withColumn("features", rows).withColumn("confidence", level)
+    sorted_ = F.array_sort("signals", order)
+    rows = F.transform(F.slice(sorted_, 1, n), lambda s: F.struct(s["title"].alias("feature"), (s["weight"] / 100.0).alias("importance")))
+    high, medium = F.col("score") >= 67, F.col("score") >= 35
+    level = F.when(high & (F.size("signals") >= 3), "high").when(medium & (F.size("signals") >= 1), "medium").otherwise("low")
+    by_band = lambda of: F.when(high, of("high")).when(medium, of("medium")).otherwise(of("low"))
+    top = F.array_join(F.transform(F.slice(sorted_, 1, 3), lambda s: s["title"]), ", ")
+    named = F.when(high & (F.size("signals") > 0), F.concat(F.lit("주요 요인: "), top, F.lit("."))).otherwise("")
+    said = F.concat(by_band(lambda b: F.concat(F.lit(SUMMARIES[b][0]), F.col("score").cast("string"), F.lit(SUMMARIES[b][1]))), named)
+    path = by_band(lambda b: F.array(*map(F.lit, PATHS[b])))
+    if form == "face":
+        some = F.coalesce(F.col("face_count") > 0, F.lit(False))
+        said = F.when(some, F.concat(said, F.lit(" "), F.col("face_count").cast("string"), F.lit("개의 얼굴이 감지되었습니다."))).otherwise(said)
+        path = F.when(some, F.concat(path, F.array(F.concat(F.lit("얼굴 조작 유형: "), F.coalesce("manipulation_type", F.lit("unknown")))))).otherwise(path)
+    elif form == "video":
+        some = F.coalesce(F.col("frame_count") > 0, F.lit(False))
+        said = F.when(some, F.concat(said, F.lit(" "), F.col("frame_count").cast("string"), F.lit("개 프레임 분석 (재생시간: "), F.format_string("%.1f", F.bround(F.coalesce(F.col("duration").cast("double"), F.lit(0.0)), 1)), F.lit("초)."))).otherwise(said)
+    limits = F.array(*map(F.lit, LIMITATIONS[:2]))
+    known = F.lit(False) if has_metadata is None else F.coalesce(has_metadata, F.lit(False))
+    limits = F.when(known, limits).otherwise(F.concat(limits, F.array(F.lit(LIMITATIONS[2]))))
+    return items.withColumns({"features": rows, "confidence": level, "summary": said, "decision_path": path, "limitations": limits})
 
 
 def top_per_item(rows: DataFrame, id_col: str, least: int, n: int) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievewright.functions import catalogue
 from sievewright.functions.columns import band, clamp, hits, total
 
 # Marker lists.
@@ -96,6 +97,45 @@ def marker_score(content: Column, families: dict[str, tuple[str, ...]], weight:
     return score, band(score, 50, 20)
 
 
+def provenance_records(content: Column, manifest=None, tool=None, vendors: dict[str, str] | None = None) -> dict[str, Column]:
+    """Hints of a binary's provenance: ``manifest``, ``tool`` and ``vendor`` records, each a struct or null, and ``confidence``.
+
+    A manifest record has the first of its markers that occurs, a web address
+    near it (from 200 bytes before to 500 after) and whether the bytes near it
+    speak of a signature.  A tool record has the first of its markers around
+    whose first place (50 bytes before, 100 after) over half of the letters are
+    printable.  A vendor record has the first of its markers that occurs.  None
+    of them is a verified manifest or watermark: confidence is .5 for a manifest
+    that speaks of a signature, .3 for another, .4 for a tool or vendor alone,
+    null for nothing.  Bytes stand for letters, so places are places of bytes.
+    """
+    manifest, tool, vendors = manifest or catalogue.MANIFEST, tool or catalogue.GOOGLE, vendors or {marker: name for name, marker in catalogue.VENDORS.items()}
+    text = F.decode(content, "ISO-8859-1")
+    letters = lambda m: m.encode().decode("latin-1")
+    near = lambda at, before, after: F.substring(text, F.greatest(at - before, F.lit(1)), at + after - F.greatest(at - before, F.lit(1)))
+
+    def first(markers, make, good=None):
+        out = None
+        for m in markers:
+            at = F.instr(text, letters(m))
+            holds = (at > 0) if good is None else (at > 0) & good(at)
+            row = make(m, at)
+            out = F.when(holds, row) if out is None else out.when(holds, row)
+        return out
+
+    def of_manifest(m, at):
+        region = near(at, 200, 500)
+        address = F.regexp_extract(region, "http[^\\x00 \"'><]{0,196}", 0)
+        signed = F.lower(region).contains("signature") | F.lower(region).contains("signed")
+        return F.struct(F.lit("C2PA").alias("standard"), F.lit("CAI").alias("provider"), F.lit(m).alias("marker"), signed.alias("signed"), F.nullif(address, F.lit("")).alias("claim_url"))
+
+    printable = lambda at: F.regexp_count(near(at, 50, 100), F.lit("[ -~\u00a1-\u00ac\u00ae-\u00ff]")) > 0.5 * F.length(near(at, 50, 100))
+    plain = lambda provider: lambda m, at: F.struct(F.lit("ToolMetadata").alias("standard"), F.lit(provider(m)).alias("provider"), F.lit(m).alias("marker"))
+    found = {"manifest": first(manifest, of_manifest), "tool": first(tool, plain(lambda m: "Google"), printable), "vendor": first(vendors, plain(lambda m: vendors[m]))}
+    sure = F.when(found["manifest"]["signed"], 0.5).when(found["manifest"].isNotNull(), 0.3).when(found["tool"].isNotNull() | found["vendor"].isNotNull(), 0.4)
+    return found | {"confidence": sure}
+
+
 def status_counts(rows: DataFrame, by: list[str], status: str = "provenance_status") -> DataFrame:
     """Rows per provenance status; valid, absent, invalid and unavailable stay apart, others are unavailable."""
     four = F.when(F.col(status).isin("valid", "absent", "invalid"), F.col(status)).otherwise("unavailable")

@@ -112,7 +112,7 @@ def pulse_spectrum(series: DataFrame, stream: str, step: str, value: str, rate:
     """Rows (stream, bpm, snr, ok, re, im): the strongest frequency of a band by a relational Fourier sum.
 
     Each sample meets each frequency of the band (a fixed number); snr is the
-    peak's power by the mean of the band's other powers.
+    peak's power by the mean of the band's other powers; of equal peaks the lowest.
     """
     w = Window.partitionBy(stream)
     freqs = [round(low + k * grid, 6) for k in range(int(round((high - low) / grid)) + 1)]
@@ -120,7 +120,7 @@ def pulse_spectrum(series: DataFrame, stream: str, step: str, value: str, rate:
     flat = d.select(stream, step, "x", F.explode(F.array(*map(F.lit, freqs))).alias("f"))
     angle = 2 * math.pi * F.col("f") * F.col(step) / rate
     s = flat.groupBy(stream, "f").agg(F.sum(F.col("x") * F.cos(angle)).alias("re"), F.sum(F.col("x") * F.sin(angle)).alias("im")).withColumn("power", F.col("re") * F.col("re") + F.col("im") * F.col("im"))
-    best = s.groupBy(stream).agg(F.max_by(F.struct("f", "re", "im", "power"), "power").alias("p"), F.sum("power").alias("all"), F.count("*").alias("k"))
+    best = s.groupBy(stream).agg(F.max_by(F.struct("f", "re", "im", "power"), F.struct(F.col("power"), -F.col("f"))).alias("p"), F.sum("power").alias("all"), F.count("*").alias("k"))
     snr = F.col("p.power") / F.greatest((F.col("all") - F.col("p.power")) / (F.col("k") - 1), F.lit(1e-12))
     out = best.select(stream, (F.col("p.f") * 60).alias("bpm"), snr.alias("snr"), F.col("p.re").alias("re"), F.col("p.im").alias("im"))
     return out.withColumn("ok", F.col("bpm").between(45, 200) & (F.col("snr") >= 8))

@@ -122,6 +122,26 @@ def hedges(ko: Column) -> Column:
     return F.when(ko, total([both("ko", i) for i in range(len(L.HEDGES_KO))])).otherwise(total([both("en", i) for i in range(len(L.HEDGES_EN))]))
 
 
+#: Titles of the text scan's rules.
+RULE_TITLES = {
+    "identity": "AI 자기표현 문구",
+    "template_strong": "템플릿형 문장 전개",
+    "template": "정형화된 연결 문구",
+    "list_strong": "과도하게 균일한 목록 구조",
+    "list": "목록 중심 구성",
+    "uniform": "문장 길이 균일성",
+    "flat": "낮은 문장 변주",
+    "repeat_strong": "반복 어구",
+    "repeat": "약한 반복 패턴",
+    "generic": "개인 맥락 부족",
+    "typographic": "타이포그래픽 구두점",
+    "connectors_ko": "모델형 연결어 밀도(한국어)",
+    "vocabulary": "LLM 과용 어휘",
+    "hedging": "양면 균형 헤징 구조",
+    "starters": "문두 접속사 균일성",
+}
+
+
 def rule_weights() -> dict[str, tuple[str, Column]]:
     """The rules' names, titles and weights (null where a rule does not hold) over :func:`features`.
 
@@ -134,23 +154,24 @@ def rule_weights() -> dict[str, tuple[str, Column]]:
     strong_list, strong_repeat = c("list_lines") >= 6, c("repeat_share") >= 0.1
     even = (c("n_sentences") >= 5) & (c("mean_length") >= 18) & (c("length_cv") < 0.28)
     flat = (c("n_sentences") >= 5) & (c("mean_length") >= 14) & (c("length_cv") < 0.38) & ~even
-    return {
-        "identity": ("AI 자기표현 문구", weighed((c("identity_hits") > 0, 35))),
-        "template_strong": ("템플릿형 문장 전개", weighed((c("phrase_hits") >= 4, 22))),
-        "template": ("정형화된 연결 문구", weighed((c("phrase_hits").between(2, 3), 12))),
-        "list_strong": ("과도하게 균일한 목록 구조", weighed((strong_list, 18))),
-        "list": ("목록 중심 구성", weighed((c("list_lines").between(3, 5), 10))),
-        "uniform": ("문장 길이 균일성", weighed((even, 15))),
-        "flat": ("낮은 문장 변주", weighed((flat, 9))),
-        "repeat_strong": ("반복 어구", weighed((strong_repeat, 16))),
-        "repeat": ("약한 반복 패턴", weighed(((c("repeat_share") >= 0.055) & ~strong_repeat, 8))),
-        "generic": ("개인 맥락 부족", weighed(((c("n_words") >= 70) & ~c("has_number") & (c("anchors") == 0), 8))),
-        "typographic": ("타이포그래픽 구두점", weighed(((size >= 200) & (c("typographic") >= 6) & (c("typographic") / size > 0.002), 12))),
-        "connectors_ko": ("모델형 연결어 밀도(한국어)", weighed((ko & (c("n_words") >= 60) & (c("vocabulary") >= 3) & (per_thousand > 4), 12))),
-        "vocabulary": ("LLM 과용 어휘", weighed((~ko & (c("n_words") >= 60) & (c("vocabulary") >= 4) & (per_thousand > 5), 15))),
-        "hedging": ("양면 균형 헤징 구조", weighed(((c("n_sentences") >= 4) & (c("hedges") >= 2), 10))),
-        "starters": ("문두 접속사 균일성", weighed(((c("n_sentences") >= 6) & (c("starters") >= 3) & (c("starters") / c("n_sentences") > 0.3), 10))),
+    weights = {
+        "identity": weighed((c("identity_hits") > 0, 35)),
+        "template_strong": weighed((c("phrase_hits") >= 4, 22)),
+        "template": weighed((c("phrase_hits").between(2, 3), 12)),
+        "list_strong": weighed((strong_list, 18)),
+        "list": weighed((c("list_lines").between(3, 5), 10)),
+        "uniform": weighed((even, 15)),
+        "flat": weighed((flat, 9)),
+        "repeat_strong": weighed((strong_repeat, 16)),
+        "repeat": weighed(((c("repeat_share") >= 0.055) & ~strong_repeat, 8)),
+        "generic": weighed(((c("n_words") >= 70) & ~c("has_number") & (c("anchors") == 0), 8)),
+        "typographic": weighed(((size >= 200) & (c("typographic") >= 6) & (c("typographic") / size > 0.002), 12)),
+        "connectors_ko": weighed((ko & (c("n_words") >= 60) & (c("vocabulary") >= 3) & (per_thousand > 4), 12)),
+        "vocabulary": weighed((~ko & (c("n_words") >= 60) & (c("vocabulary") >= 4) & (per_thousand > 5), 15)),
+        "hedging": weighed(((c("n_sentences") >= 4) & (c("hedges") >= 2), 10)),
+        "starters": weighed(((c("n_sentences") >= 6) & (c("starters") >= 3) & (c("starters") / c("n_sentences") > 0.3), 10)),
     }
+    return {name: (RULE_TITLES[name], weight) for name, weight in weights.items()}
 
 
 def model_weight(score: Column) -> Column:

@@ -92,6 +92,20 @@ def snk1_scan(spark, sf):
     return head.select(F.inline(F.array(*stacked))).unionByName(items.select(F.concat(F.lit("kind "), "kind").alias("name"), "n"))
 
 
+REVIEWED = """SELECT path, 'text' AS kind, status, score, band, CASE item_id % 3 WHEN 0 THEN named_struct('available', item_id % 2 = 0, 'score', score, 'confidence', band, 'model', 'px', 'fusion', 'mean', 'heatmap_path', CASE WHEN item_id % 4 = 0 THEN concat('h/', path) END,
+  'experts', array(named_struct('name', 'a', 'available', true, 'score', score), named_struct('name', 'b', 'available', item_id % 5 > 0, 'score', score + 1), named_struct('name', 'c', 'available', true, 'score', 60), named_struct('name', 'd', 'available', true, 'score', score))) END AS pixel,
+  CASE WHEN item_id % 5 < 2 THEN named_struct('available', item_id % 5 = 0, 'model', lang, 'score', 100 - score) END AS model, named_struct('label', source, 'confidence', CASE WHEN item_id % 2 = 0 THEN 'high' ELSE 'unknown' END) AS source_guess,
+  CASE WHEN item_id % 7 > 0 THEN array(named_struct('title', concat('the "', lang, '", first'), 'detail', '', 'weight', 3), named_struct('title', 'second', 'detail', '', 'weight', 9)) ELSE array() END AS signals, CASE WHEN status = 'failed' THEN 'no reader, damaged' END AS error FROM items_base"""
+
+
+def snk2_review_sheet(spark, sf):
+    """The review sheet's 17 columns, written as CSV and read back."""
+    folder = new_folder(spark, "review")
+    sinks.write_review(sql(spark, sf, REVIEWED), folder)
+    kinds = ", ".join(f"{c} {'int' if c in ('score', 'pixel_score', 'external_model_score') else 'string'}" for c in sinks.REVIEW_COLUMNS)
+    return spark.read.csv(folder, header=True, escape='"', schema=kinds)
+
+
 def evd2_rejects(spark, sf):
     """Custody chains from lines, by why they were rejected."""
     path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
@@ -206,7 +220,7 @@ def udf3_rejects(spark, sf):
     return profiles.rejected(sql(spark, sf, PROFILES)).groupBy("profile", "kind", "why").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (src1_files, src6_prior_scans, src7_feedback, src8_label_csv, src9_manifest, src11_profile, snk1_scan, evd2_rejects, udf1_process, udf2_members, str5_incremental, str6_resumed, str4_stream, str5_cancelled, udf3_profiles, udf3_rejects)}
+QUERIES = {f.__name__: f for f in (src1_files, src6_prior_scans, src7_feedback, src8_label_csv, src9_manifest, src11_profile, snk1_scan, evd2_rejects, udf1_process, udf2_members, str5_incremental, str6_resumed, str4_stream, str5_cancelled, udf3_profiles, udf3_rejects, snk2_review_sheet)}
 _STATS = ", ".join(f"count(*) FILTER (WHERE status = 'analyzed' AND band = '{b}') AS {b}" for b in ("high", "medium", "unknown", "low"))
 _JUDGED = f"""t AS ({PROFILES}), w AS (SELECT *, count(*) OVER (PARTITION BY profile, kind, component, key) AS same,
   coalesce(max(CASE WHEN kind = 'threshold' AND key = 'medium' THEN value END) OVER (PARTITION BY profile), 35) > coalesce(max(CASE WHEN kind = 'threshold' AND key = 'high' THEN value END) OVER (PARTITION BY profile), 67) AS turned,
@@ -244,4 +258,9 @@ SQL = {
         fused AS (SELECT doc_id, profile, string_agg(component || '=' || CAST(round(s * 2) AS BIGINT), ',' ORDER BY component || '=' || CAST(round(s * 2) AS BIGINT)) AS components, CAST(least(100, greatest(0, round_even(round(sum(s * w) / sum(w), 9), 0))) AS INTEGER) AS score, max(s) AS most FROM weighed GROUP BY doc_id, profile),
         lim AS (SELECT profile, coalesce(max(value) FILTER (WHERE kind = 'threshold' AND key = 'high'), 67) AS hi, coalesce(max(value) FILTER (WHERE kind = 'threshold' AND key = 'medium'), 35) AS mid, coalesce(max(value) FILTER (WHERE kind = 'threshold' AND key = 'unknown_below'), 8) AS low FROM ok GROUP BY profile)
         SELECT doc_id, profile, components, score, CASE WHEN score < low AND most = 0 THEN 'unknown' WHEN score >= hi THEN 'high' WHEN score >= mid THEN 'medium' ELSE 'low' END AS band FROM fused JOIN lim USING (profile)""",
+    "snk2_review_sheet": oracle("""WITH e AS (SELECT *, list_filter([{'s': score, 'i': 0, 'n': 'a', 'ok': TRUE}, {'s': score + 1, 'i': 1, 'n': 'b', 'ok': item_id % 5 > 0}, {'s': 60, 'i': 2, 'n': 'c', 'ok': TRUE}, {'s': score, 'i': 3, 'n': 'd', 'ok': TRUE}], lambda x: x.ok AND x.s >= 45) AS ex, item_id % 3 = 0 AND item_id % 2 = 0 AS px, item_id % 5 = 0 AS om, status = 'analyzed' AS done FROM items_base)
+        SELECT path, 'text' AS kind, status, CASE WHEN done THEN score END AS score, CASE WHEN done THEN CASE band WHEN 'high' THEN '높음' WHEN 'medium' THEN '주의' WHEN 'low' THEN '낮음' ELSE '판단 어려움' END END AS risk,
+        CASE WHEN px THEN score END AS pixel_score, CASE WHEN px THEN band END AS pixel_confidence, CASE WHEN px THEN 'px' END AS pixel_model, CASE WHEN px THEN 'mean' END AS pixel_fusion, CASE WHEN px AND len(ex) > 0 THEN array_to_string(list_transform(list_sort(list_transform(ex, lambda x: {'k': -x.s, 'i': x.i, 'n': x.n})), lambda x: x.n), ';') END AS pixel_top_experts,
+        CASE WHEN om THEN lang END AS external_model, CASE WHEN om THEN 100 - score END AS external_model_score, CASE WHEN item_id % 3 = 0 AND item_id % 4 = 0 THEN 'h/' || path END AS heatmap_path, CASE WHEN done THEN source END AS source, CASE WHEN done THEN CASE WHEN item_id % 2 = 0 THEN 'high' ELSE 'unknown' END END AS source_confidence,
+        CASE WHEN done AND item_id % 7 > 0 THEN 'the "' || lang || '", first' END AS top_signal, CASE WHEN status = 'failed' THEN 'no reader, damaged' END AS error FROM e"""),
 }

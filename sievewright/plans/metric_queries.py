@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sievewright.functions.columns import clamp
 from sievewright.operators import calibrate, feedback, metrics
 from sievewright.plans.base import oracle, sql
+from sievewright.plans.text_queries import SIGNALS
 
 
 def _scored(spark, sf):
@@ -299,4 +300,7 @@ SQL = {
         rights AS (SELECT a.score, min((b.y - a.y) / (b.x - a.x)) AS m FROM cum a JOIN cum b ON a.x < b.x GROUP BY a.score),
         hull AS (SELECT cum.* FROM cum LEFT JOIN lefts USING (score) LEFT JOIN rights USING (score) WHERE cum.score IS NULL OR rights.m IS NULL OR lefts.m <= rights.m)
         SELECT score AS knot, (y - lag(y) OVER w) / (x - lag(x) OVER w) AS value FROM hull WINDOW w AS (ORDER BY x) QUALIFY score IS NOT NULL"""),
+    "agg24_signals": oracle(f"""WITH {SIGNALS}, f AS (SELECT l.toxic AS label, title, weight FROM signals s JOIN labels l ON l.doc_id = s.doc_id WHERE weight IS NOT NULL),
+        g AS (SELECT title, count(*) AS items, coalesce(avg(weight) FILTER (WHERE label = 1), 0.0) AS p, coalesce(avg(weight) FILTER (WHERE label = 0), 0.0) AS q FROM f GROUP BY title)
+        SELECT title, items, round(p, 6) AS mean_positive, round(q, 6) AS mean_negative, round(p - q, 6) AS separation FROM g"""),
 }

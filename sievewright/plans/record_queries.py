@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievewright.functions.catalogue import TOOLS
 from sievewright.operators import records as R
 from sievewright.plans.base import oracle, sql
+from sievewright.sources import readers
 
 #: The tool catalogue, and tools whose names the tables' own words stand in for.
 _ROWS = ", ".join("('{}', '{}')".format(name.replace("'", "''"), marker.replace("'", "''")) for name, _, markers, _ in TOOLS for marker in markers)
@@ -35,8 +36,16 @@ def src3_guard(spark, sf):
     return R.guarded(_items(spark, sf), 5000).groupBy("status").agg(F.count("*").alias("n"))
 
 
+def src3_capped(spark, sf):
+    """A scan of at most 40 items of all, with the flag that says there are more, and one of as many as there may be."""
+    items = R.guarded(sql(spark, sf, "SELECT path, status, size_bytes FROM items_base"), 5000)
+    nations = sql(spark, sf, "SELECT n_name AS path, 'pending' AS status, CAST(n_nationkey AS BIGINT) AS size_bytes FROM nation")
+    return readers.capped(items, "path", 40).unionByName(readers.capped(nations, "path", 40))
+
+
 def src4_prefix(spark, sf):
-    return sql(spark, sf, "SELECT doc_id, text FROM documents").select("doc_id", F.md5(F.substring("text", 1, 65536)).alias("prefix_md5"))
+    d = sql(spark, sf, "SELECT doc_id, text FROM documents").withColumn("content", F.encode("text", "UTF-8"))
+    return d.select("doc_id", F.md5(F.substring("text", 1, 65536)).alias("prefix_md5"), F.md5(readers.text_prefix(F.col("content"))).alias("bytes_md5"), F.length(readers.text_prefix(F.col("content"), 1001)).alias("letters_of_1001"))
 
 
 def src5_labels(spark, sf):
@@ -273,10 +282,18 @@ _HITS = f"l AS ({LEXICON}), h AS (SELECT doc_id, tool, marker FROM documents, l
 _BUCKETS = "WITH h AS (SELECT source, sha256(lang || ':' || sha256(text)) AS d FROM documents), d AS (SELECT source, left(d, 3) AS b, ('0x' || substring(d, 4, 15))::UBIGINT AS x, ('0x' || substring(d, 19, 15))::UBIGINT AS y FROM h)"
 _SUMS = "b || ',' || count(*) || ',' || sum(x) || ',' || sum(y) AS line"
 
+
+def _bytes(n: int) -> str:
+    """The first n bytes of a text, a letter that they cut through as a replacement letter."""
+    cut = lambda t: f"TRY(decode(unhex(left(hex(encode(text)), {2 * (n - t)}))))"
+    return f"CASE WHEN strlen(text) <= {n} THEN text ELSE coalesce({cut(0)}, {cut(1)} || chr(65533), {cut(2)} || chr(65533), {cut(3)} || chr(65533)) END"
+
+
 SQL = {
     "src2_kinds": oracle(f"SELECT {_KIND} AS kind, count(*) AS n FROM (SELECT path FROM items_base UNION ALL SELECT url FROM pages) GROUP BY 1"),
     "src3_guard": oracle("SELECT CASE WHEN size_bytes > 5000 THEN 'skipped' ELSE status END AS status, count(*) AS n FROM items_base GROUP BY 1"),
-    "src4_prefix": "SELECT doc_id, md5(left(text, 65536)) AS prefix_md5 FROM documents",
+    "src4_prefix": f"SELECT doc_id, md5(left(text, 65536)) AS prefix_md5, md5({_bytes(65536)}) AS bytes_md5, length({_bytes(1001)}) AS letters_of_1001 FROM documents",
+    "src3_capped": oracle("WITH i AS (SELECT path, CASE WHEN size_bytes > 5000 THEN 'skipped' ELSE status END AS status, size_bytes FROM items_base), a AS (SELECT *, count(*) OVER () > 40 AS capped FROM i ORDER BY path LIMIT 40) SELECT * FROM a UNION ALL SELECT n_name, 'pending', CAST(n_nationkey AS BIGINT), FALSE FROM nation"),
     "src5_labels": f"WITH {_PARTS} SELECT label, split, count(*) AS n, count(DISTINCT coalesce(list_filter(parts, lambda x: NOT list_contains(['edited', 'ai', 'fake', 'real', 'train', 'val', 'valid', 'test', ''], x))[1], 'unknown')) AS sources FROM lab GROUP BY label, split",
     "src10_scores": oracle("WITH s AS (SELECT CASE item_id % 2 WHEN 0 THEN path ELSE 'old/f' || item_id || '.png' END AS k, CASE item_id % 3 WHEN 0 THEN score / 100.0 ELSE score + 0.5 END AS value FROM items_base WHERE item_id % 5 <> 0), n AS (SELECT string_split(k, '/')[-1] AS base, max(value) AS v FROM s GROUP BY 1), j AS (SELECT item_id, coalesce(s.value, n.v) AS v FROM items_base i LEFT JOIN s ON s.k = i.path LEFT JOIN n ON n.base = string_split(i.path, '/')[-1]) SELECT item_id, CASE WHEN v IS NOT NULL THEN CAST(least(100, greatest(0, round_even(CAST(CASE WHEN v BETWEEN 0 AND 1 THEN v * 100 ELSE v END AS DOUBLE), 0))) AS INT) ELSE 0 END AS score FROM j"),
     "snk2_review_rows": oracle(f"SELECT path, {_KIND} AS kind, status, CASE WHEN status = 'analyzed' THEN score END AS score, CASE WHEN status = 'analyzed' THEN band END AS band, size_bytes FROM items_base"),

@@ -209,6 +209,16 @@ def fus9_explanation(spark, sf):
     return d.select("item_id", F.array_join(F.col("features.feature"), ",").alias("features"), "confidence")
 
 
+def fus9_forms(spark, sf):
+    """Explanations of each form: audio, face and video."""
+    d = R.apply(sql(spark, sf, AUDIO), R.AUDIO).withColumns({"face_count": (F.col("item_id") % 4).cast("int"), "manipulation_type": F.when(F.col("item_id") % 3 == 0, "swap"), "frame_count": (F.col("item_id") % 5 * 30).cast("int")})
+    out = None
+    for form in ("audio", "face", "video"):
+        one = FU.explanation(d, 3, form, F.col("item_id") % 2 == 0).select("item_id", F.lit(form).alias("form"), "summary", F.array_join("decision_path", "|").alias("path"), F.size("limitations").alias("limits"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def med2_audio_source(spark, sf):
     d = sql(spark, sf, AUDIO)
     guess = F.when(F.col("flatness") > 0.7, "noise").when((F.col("pitch_std") < 3) & (F.col("duration") > 5), "speech synthesis").when(F.col("bandwidth") < 800, "compressed").otherwise("unknown")
@@ -324,6 +334,17 @@ def prv5_markers(spark, sf):
     return d.select("page_id", score.alias("score"), kind.alias("band"))
 
 
+#: Pages with marks of provenance put into most of them.
+MARKED = """SELECT page_id, CASE page_id % 8 WHEN 0 THEN html || '<p>c2pa signed by http://example.org/claim' || page_id || '</p>' WHEN 1 THEN 'jumbf' || html WHEN 2 THEN html || ' made with Adobe Firefly' WHEN 3 THEN 'SynthID ' || html
+  WHEN 4 THEN repeat(chr(1), 120) || 'deepmind' || repeat(chr(2), 200) || ' Recraft ' || html WHEN 5 THEN html || ' Content Credentials' ELSE html END AS html FROM pages"""
+
+
+def prv5_records(spark, sf):
+    d = sql(spark, sf, MARKED)
+    r = P.provenance_records(F.encode("html", "UTF-8"))
+    return d.select("page_id", r["manifest"]["marker"].alias("manifest"), r["manifest"]["signed"].alias("signed"), r["manifest"]["claim_url"].alias("claim_url"), r["tool"]["marker"].alias("tool"), r["vendor"]["provider"].alias("vendor"), r["confidence"].alias("confidence"))
+
+
 def prv6_status(spark, sf):
     return P.status_counts(sql(spark, sf, "SELECT lang, CASE doc_id % 6 WHEN 0 THEN 'valid' WHEN 1 THEN 'absent' WHEN 2 THEN 'invalid' WHEN 3 THEN NULL ELSE 'other' END AS provenance_status FROM documents"), ["lang"])
 
@@ -452,6 +473,28 @@ _any = lambda word: "(" + " OR ".join(v for k, v in _AG_N.items() if word in k)
 _AGENT = f"""a AS ({AGENT_TEXT}), l AS (SELECT conv_id, turn, lower(text) AS t FROM a), c AS (SELECT *, {' + '.join(f'CAST({v} AS INT)' for v in _AG_N.values())} AS names, {' + '.join(f"CAST(regexp_matches(t, '{p}') AS INT)" for p in P.WORKFLOW)} AS flows, {' + '.join(f"CAST(regexp_matches(t, '{p}') AS INT)" for p in P.AUTOMATIC)} AS autos,
  CASE WHEN {_any('openai')} THEN 'openai_agent' WHEN {_any('anthropic')} THEN 'anthropic_agent' WHEN {_any('google')} THEN 'google_agent' WHEN {_any('microsoft')} THEN 'microsoft_agent' WHEN {_AG_N['langchain']} OR {_AG_N['crewai']} THEN 'framework_agent' ELSE 'unknown' END AS agent_type FROM l), s AS (SELECT *, least(100, names * 30 + flows * 20 + autos * 15) AS score, names + flows + autos AS n_signals FROM c)"""
 
+_PULSE = """xs AS (SELECT video_id, frame_number AS t, brightness - avg(brightness) OVER (PARTITION BY video_id) AS x FROM frames_base),
+fs AS (SELECT CAST(0.7 + k * 0.05 AS DOUBLE) AS f FROM range(67) r(k)),
+waves AS (SELECT video_id, f, sum(x * cos(2 * pi() * f * t / 30.0)) AS re, sum(x * sin(2 * pi() * f * t / 30.0)) AS im FROM xs CROSS JOIN fs GROUP BY video_id, f),
+powers AS (SELECT *, re * re + im * im AS power FROM waves),
+peaks AS (SELECT video_id, arg_max({'f': f, 're': re, 'im': im, 'power': power}, (power, -f)) AS p, (max(power)) / greatest((sum(power) - max(power)) / (count(*) - 1), 1e-12) AS snr FROM powers GROUP BY video_id)"""
+_EXPLAINED = f"b AS ({AUDIO}), s AS (SELECT item_id, duration, list_filter([" + ", ".join("CASE " + " ".join("WHEN {} THEN {{'t': '{}', 'w': {}}}".format(c, t.replace("'", "''"), w) for t, c, w in cases) + " END" for cases in R.AUDIO.values()) + "], lambda x: x IS NOT NULL) AS own FROM b), x AS (SELECT item_id, duration, least(100, coalesce(list_sum(list_transform(own, lambda x: x.w)), 0))::INTEGER AS score, list_transform(list_sort(list_transform(own, lambda x: {'k': -x.w, 't': x.t})), lambda x: {'t': x.t, 'w': -x.k}) AS sorted FROM s)"
+
+
+def _first(text: str, markers) -> str:
+    return "CASE " + " ".join(f"WHEN contains({text}, '{m}') THEN '{m}'" for m in markers) + " END"
+
+
+def _near_tool() -> str:
+    cases = []
+    for m in C.GOOGLE:
+        at = f"position('{m}' IN html)"
+        near = f"substring(html, greatest({at} - 50, 1), {at} + 100 - greatest({at} - 50, 1))"
+        cases.append(f"WHEN {at} > 0 AND len(regexp_extract_all({near}, '[^\\x00-\\x1f\\x7f]')) > 0.5 * length({near}) THEN '{m}'")
+    return "CASE " + " ".join(cases) + " END"
+
+
+
 SQL = {k: s for k, (_, s) in _RULES.items()} | {
     "img2_experts": f"WITH {_expert_sql()} SELECT * FROM e",
     "fus7_expert_fusion": f"""WITH {_expert_sql()}, w AS (SELECT item_id, {', '.join(f'{v} AS s_{k}' for k, v in _USED.items())} FROM b),
@@ -513,4 +556,23 @@ SQL = {k: s for k, (_, s) in _RULES.items()} | {
     "evd6_cases": """SELECT source AS case_id, 'item' AS part, '{"schema":"evidence-case-v1","case_id":"' || source || '","item_id":' || doc_id || ',"trust_level":"' || CASE WHEN doc_id % 2 = 0 THEN 'observed' ELSE 'derived' END || '"}' AS line FROM documents
         UNION ALL SELECT source, 'lineage', '{"schema":"evidence-case-v1","case_id":"' || source || '","src":' || doc_id || ',"dst":' || CAST(floor(doc_id / 2) AS BIGINT) || ',"relation":"derived_from"}' FROM documents WHERE doc_id % 9 = 0""",
     "evd5_violations": "SELECT doc_id AS item_id, CASE WHEN doc_id % 5 IN (3, 4) THEN 'trust_level' ELSE 'limitations' END AS violation FROM documents WHERE doc_id % 5 IN (3, 4) OR (doc_id % 5 = 1 AND n_chars % 2 = 1)",
+    "win10_pulse": oracle(f"WITH {_PULSE} SELECT video_id, round(p.f * 60, 3) AS bpm, round(snr, 4) AS snr, round(p.f * 60, 9) BETWEEN 45 AND 200 AND snr >= 8 AS ok FROM peaks"),
+    "win11_phase": oracle(f"WITH {_PULSE}, c AS (SELECT video_id % 30 AS subject, count(*) AS regions, sqrt(pow(avg(cos(atan2(p.im, p.re))), 2) + pow(avg(sin(atan2(p.im, p.re))), 2)) AS c FROM peaks GROUP BY 1) SELECT subject, regions, round(c, 5) AS coherence, CASE WHEN regions > 1 AND c < 0.5 THEN 20 ELSE 0 END AS weight FROM c"),
+    "prv4_strings": "SELECT page_id, least(80, len(list_filter(regexp_extract_all(html, '[ -~]{4,}'), lambda x: regexp_matches(lower(x), 'script|title')))) AS n FROM pages",
+    "img4_copy_move": f"""WITH b AS ({BLOCKS}), total AS (SELECT image_id, count(*) AS blocks FROM b GROUP BY image_id),
+        k AS (SELECT *, concat_ws(',', floor(mean / 4)::BIGINT, floor(std / 4)::BIGINT, floor(c01 / 4)::BIGINT, floor(c10 / 4)::BIGINT, floor(c11 / 4)::BIGINT) AS key FROM b WHERE std >= 6), kept AS (SELECT * FROM k QUALIFY count(*) OVER (PARTITION BY image_id, key) <= 32),
+        p AS (SELECT a.image_id, c.y - a.y AS dy, c.x - a.x AS dx FROM kept a JOIN kept c ON a.image_id = c.image_id AND a.key = c.key WHERE (c.y > a.y OR (c.y = a.y AND c.x > a.x)) AND sqrt((c.y - a.y) * (c.y - a.y) + (c.x - a.x) * (c.x - a.x)) >= 20
+          AND abs(a.mean - c.mean) <= 2 AND abs(a.std - c.std) <= 2 AND abs(a.c01 - c.c01) <= 2 AND abs(a.c10 - c.c10) <= 2 AND abs(a.c11 - c.c11) <= 2)
+        SELECT image_id, dy, dx, count(*) AS pairs, round(2 * count(*) / max(blocks), 6) AS coverage FROM p JOIN total USING (image_id) GROUP BY image_id, dy, dx HAVING count(*) >= 2 AND 2 * count(*) / max(blocks) < 0.6""",
+    "fus9_explanation": oracle(f"WITH {_EXPLAINED} SELECT item_id, array_to_string(list_transform(sorted[1:3], lambda s: s.t), ',') AS features, CASE WHEN score >= 67 AND len(sorted) >= 3 THEN 'high' WHEN score >= 35 AND len(sorted) >= 1 THEN 'medium' ELSE 'low' END AS confidence FROM x"),
+    "fus9_forms": oracle(f"""WITH {_EXPLAINED}, y AS (SELECT *, CASE WHEN score >= 67 THEN '{FU.SUMMARIES["high"][0]}' || score || '{FU.SUMMARIES["high"][1]}' || CASE WHEN len(sorted) > 0 THEN '주요 요인: ' || array_to_string(list_transform(sorted[1:3], lambda s: s.t), ', ') || '.' ELSE '' END
+          WHEN score >= 35 THEN '{FU.SUMMARIES["medium"][0]}' || score || '{FU.SUMMARIES["medium"][1]}' ELSE '{FU.SUMMARIES["low"][0]}' || score || '{FU.SUMMARIES["low"][1]}' END AS said,
+          CASE WHEN score >= 67 THEN '{"|".join(FU.PATHS["high"])}' WHEN score >= 35 THEN '{"|".join(FU.PATHS["medium"])}' ELSE '{"|".join(FU.PATHS["low"])}' END AS path, CASE WHEN item_id % 2 = 0 THEN 2 ELSE 3 END AS limits FROM x)
+        SELECT item_id, 'audio' AS form, said AS summary, path, limits FROM y
+        UNION ALL SELECT item_id, 'face', said || CASE WHEN item_id % 4 > 0 THEN ' ' || item_id % 4 || '개의 얼굴이 감지되었습니다.' ELSE '' END, path || CASE WHEN item_id % 4 > 0 THEN '|얼굴 조작 유형: ' || CASE WHEN item_id % 3 = 0 THEN 'swap' ELSE 'unknown' END ELSE '' END, limits FROM y
+        UNION ALL SELECT item_id, 'video', said || CASE WHEN item_id % 5 > 0 THEN ' ' || item_id % 5 * 30 || '개 프레임 분석 (재생시간: ' || printf('%.1f', duration) || '초).' ELSE '' END, path, limits FROM y"""),
+    "prv5_records": f"""WITH d AS ({MARKED}), m AS (SELECT page_id, html, {_first('html', C.MANIFEST)} AS manifest, {_first('html', C.VENDORS.values())} AS v, {_near_tool()} AS tool FROM d),
+        r AS (SELECT *, CASE WHEN manifest IS NOT NULL THEN substring(html, greatest(position(manifest IN html) - 200, 1), position(manifest IN html) + 500 - greatest(position(manifest IN html) - 200, 1)) END AS region FROM m),
+        s AS (SELECT *, CASE WHEN region IS NOT NULL THEN contains(lower(region), 'signature') OR contains(lower(region), 'signed') END AS signed FROM r)
+        SELECT page_id, manifest, signed, nullif(regexp_extract(region, 'http[^\\x00 "''><]{{0,196}}'), '') AS claim_url, tool, CASE {" ".join(f"WHEN v = '{m}' THEN '{n}'" for n, m in C.VENDORS.items())} END AS vendor, CAST(CASE WHEN signed THEN 0.5 WHEN manifest IS NOT NULL THEN 0.3 WHEN tool IS NOT NULL OR v IS NOT NULL THEN 0.4 END AS DOUBLE) AS confidence FROM s""",
 }

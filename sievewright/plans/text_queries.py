@@ -319,4 +319,8 @@ SQL = {name: s for name, (_, s) in PAIRS.items()} | {
           FROM (SELECT p.doc_id, p.i, s, f, kinds + CAST(p.last < s AS BIGINT) AS k, (kinds + CAST(p.last < s AS BIGINT)) / (p.i - s + 1) <= 0.72 AS ended FROM walk JOIN p ON p.doc_id = walk.doc_id AND p.i = walk.i + 1) p),
         ends AS (SELECT doc_id, i AS n, f + CASE WHEN s <= i THEN (1 - kinds / (i - s + 1)) / (1 - 0.72) ELSE 0 END AS f FROM walk JOIN (SELECT DISTINCT doc_id, n FROM p) USING (doc_id) WHERE i = n)
         SELECT a3.doc_id, n_words, round(CASE WHEN coalesce(f, 0) > 0 THEN n_words / f ELSE CAST(n_words AS DOUBLE) END, 6) AS mtld FROM a3 LEFT JOIN ends USING (doc_id)"""),
+    "txt29_prose": oracle(rf"""WITH a AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)```.*?```', ' ', 'g'), '`[^`\n]*`', ' ', 'g'), '!?\[([^\]]*)\]\([^)]*\)', '\1', 'g'), 'https?://\S+', ' ', 'g'), '<[^>]+>', ' ', 'g') AS x FROM notes_base),
+        b AS (SELECT doc_id, text, {_TRIM.format("regexp_replace(array_to_string(list_transform(list_filter(string_split(x, chr(10)), lambda s: NOT regexp_matches(" + _TRIM.format("s") + r", '^\|')), lambda s: regexp_replace(s, '^\s*(#{1,6}\s+|[-*•]\s+|\d+[.)]\s+|>\s*)', '')), chr(10)), '\*\*|__', '', 'g')")} AS o FROM a)
+        SELECT doc_id, CASE WHEN length(o) < 200 THEN text ELSE o END AS prose FROM b"""),
 }
+SIGNALS = f"{SCAN}, signals AS (SELECT doc_id, unnest([" + ", ".join(f"{{'title': '{T.RULE_TITLES[n]}', 'weight': CASE WHEN ({WEIGHTS[n]}) IS NOT NULL THEN {_gated(n)} END}}" for n in WEIGHTS) + "], recursive := true) FROM banded)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievewright.operators.feedback import NEGATIVE, POSITIVE
@@ -18,7 +18,8 @@ def files(spark: SparkSession, root: str, recursive: bool = True, max_bytes: int
 
     Sidecars are left out.  Files over ``max_bytes`` have status skipped and no
     content; their bytes are not read.  ``max_files`` is the tool's own cap, off
-    by default.
+    by default; with it a column ``capped`` says whether files were left out (see
+    :func:`capped`).
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("ignoreMissingFiles", "true")
     all_ = reader.load(root).where(~F.col("path").rlike(SIDECARS))
@@ -27,7 +28,14 @@ def files(spark: SparkSession, root: str, recursive: bool = True, max_bytes: int
     out = row(small, "pending", F.col("content"))
     if max_bytes is not None:
         out = out.unionByName(row(all_.where(F.col("length") > max_bytes), "skipped", F.lit(None).cast("binary")))
-    return out if max_files is None else out.orderBy("path").limit(max_files)
+    return out if max_files is None else capped(out, "path", max_files)
+
+
+def capped(rows: DataFrame, order: str, most: int) -> DataFrame:
+    """The first ``most`` rows in order, and ``capped``: whether there are more; one row more is looked for, not all counted."""
+    first = rows.orderBy(order).limit(most + 1).withColumn("_place", F.row_number().over(Window.orderBy(order)))  # ``most`` rows, a parameter
+    more = first.agg((F.count("*") > most).alias("capped"))
+    return first.where(F.col("_place") <= most).drop("_place").crossJoin(more)  # one row
 
 
 def text_prefix(content: Column, n: int = 65536) -> Column:
