@@ -14,7 +14,7 @@ from sievewright.sources import readers
 _ROWS = ", ".join("('{}', '{}')".format(name.replace("'", "''"), marker.replace("'", "''")) for name, _, markers, _ in TOOLS for marker in markers)
 LEXICON = "SELECT * FROM (VALUES ('alpha', 'the'), ('alpha', 'ation'), ('beta', 'and of'), ('beta', 'ing'), ('gamma', 'ción'), ('gamma', 'de la'), ('delta', 'över'), ('delta', 'der'), ('epsilon', 'mit license'), ('epsilon', 'gpl'), " + _ROWS + ") AS l(tool, marker)"
 CORPUS = """SELECT doc_id AS item_id, CASE doc_id % 4 WHEN 0 THEN 'train/1_fake/' WHEN 1 THEN 'valid/0_real/' WHEN 2 THEN 'test/ai/edited/' ELSE 'misc/' END || source || '/' || CAST(doc_id AS VARCHAR(20)) || CASE WHEN doc_id % 6 = 0 THEN '_mask.png' ELSE '.png' END AS path, text, source FROM documents"""
-EDGES = "SELECT doc_id AS src, CAST(floor(doc_id / 3) AS BIGINT) AS dst FROM documents WHERE doc_id > 0 AND doc_id % 2 = 0"
+EDGES = "SELECT doc_id AS src, CAST(floor(doc_id / 3) AS BIGINT) AS dst FROM documents WHERE doc_id > 0"
 REVIEWS = """SELECT event_id, user_id AS artifact_id, ts, CASE WHEN event_type = 'click' THEN TRUE WHEN event_type = 'error' THEN FALSE END AS star, CASE WHEN event_id % 3 = 0 THEN 'n' || CAST(event_id AS VARCHAR(20)) END AS note,
   CASE WHEN event_id % 5 = 0 THEN 'a' || CAST(event_id % 7 AS VARCHAR(20)) END AS analyst_id, CASE WHEN event_id % 4 = 0 THEN event_type END AS verdict, user_id % 6 = 0 AND event_id % 2 = 0 AS deleted FROM events"""
 

@@ -435,7 +435,7 @@ def evd5_violations(spark, sf):
 
 def evd6_cases(spark, sf):
     items = sql(spark, sf, "SELECT source AS case_id, doc_id AS item_id, CASE WHEN doc_id % 2 = 0 THEN 'observed' ELSE 'derived' END AS trust_level FROM documents")
-    edges = sql(spark, sf, "SELECT source AS case_id, doc_id AS src, CAST(floor(doc_id / 2) AS BIGINT) AS dst, 'derived_from' AS relation FROM documents WHERE doc_id % 9 = 0")
+    edges = sql(spark, sf, "SELECT source AS case_id, doc_id AS src, CAST(floor(doc_id / 2) AS BIGINT) AS dst, 'derived_from' AS relation FROM documents WHERE doc_id > 0")
     return E.case_lines(items, edges)
 
 
@@ -554,7 +554,7 @@ SQL = {k: s for k, (_, s) in _RULES.items()} | {
     "evd3_signatures": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'unsigned' WHEN doc_id % 5 = 0 THEN 'tampered' ELSE 'verified' END AS state FROM documents",
     "evd4_exhibits": oracle("SELECT item_id, row_number() OVER (PARTITION BY source ORDER BY path) AS exhibit, CASE band WHEN 'high' THEN 'priority review' WHEN 'medium' THEN 'further check' WHEN 'unknown' THEN 'more material' ELSE 'record' END AS purpose, band IN ('high', 'medium') AS references_due FROM items_base"),
     "evd6_cases": """SELECT source AS case_id, 'item' AS part, '{"schema":"evidence-case-v1","case_id":"' || source || '","item_id":' || doc_id || ',"trust_level":"' || CASE WHEN doc_id % 2 = 0 THEN 'observed' ELSE 'derived' END || '"}' AS line FROM documents
-        UNION ALL SELECT source, 'lineage', '{"schema":"evidence-case-v1","case_id":"' || source || '","src":' || doc_id || ',"dst":' || CAST(floor(doc_id / 2) AS BIGINT) || ',"relation":"derived_from"}' FROM documents WHERE doc_id % 9 = 0""",
+        UNION ALL SELECT source, 'lineage', '{"schema":"evidence-case-v1","case_id":"' || source || '","src":' || doc_id || ',"dst":' || CAST(floor(doc_id / 2) AS BIGINT) || ',"relation":"derived_from"}' FROM documents WHERE doc_id > 0""",
     "evd5_violations": "SELECT doc_id AS item_id, CASE WHEN doc_id % 5 IN (3, 4) THEN 'trust_level' ELSE 'limitations' END AS violation FROM documents WHERE doc_id % 5 IN (3, 4) OR (doc_id % 5 = 1 AND n_chars % 2 = 1)",
     "win10_pulse": oracle(f"WITH {_PULSE} SELECT video_id, round(p.f * 60, 3) AS bpm, round(snr, 4) AS snr, round(p.f * 60, 9) BETWEEN 45 AND 200 AND snr >= 8 AS ok FROM peaks"),
     "win11_phase": oracle(f"WITH {_PULSE}, c AS (SELECT video_id % 30 AS subject, count(*) AS regions, sqrt(pow(avg(cos(atan2(p.im, p.re))), 2) + pow(avg(sin(atan2(p.im, p.re))), 2)) AS c FROM peaks GROUP BY 1) SELECT subject, regions, round(c, 5) AS coherence, CASE WHEN regions > 1 AND c < 0.5 THEN 20 ELSE 0 END AS weight FROM c"),
