@@ -45,6 +45,59 @@ def test_planted_notices(spark):
     assert all(not r.notices for r in licenses.scan(df, templates={}).collect())
 
 
+def longest_common(a, b):
+    """Length of the longest common subsequence, row by row."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for k, y in enumerate(b, 1):
+            before, row[k] = row[k], before + 1 if x == y else max(row[k], row[k - 1])
+    return row[-1]
+
+
+def test_every_gap_with_a_common_word_is_aligned():
+    assert len(licenses.align("a b a b".split(), "b a b a".split())) == 3
+    assert licenses.align("x a a y".split(), "q a a a r".split()) == [(1, 1), (2, 2)]
+    rng = random.Random(3)
+    got = best = 0
+    for _ in range(300):
+        a, b = ([rng.choice("abcdef") for _ in range(rng.randint(0, 30))] for _ in range(2))
+        pairs, most = licenses.align(a, b), longest_common(a, b)
+        assert len(pairs) <= most and (len(pairs) > 0) == (most > 0)
+        got, best = got + len(pairs), best + most
+    assert got > 0.8 * best
+
+
+def test_scan_against_every_window(spark):
+    """Damaged bodies in prose: notices are where a window at any word has them, by longest common subsequence."""
+    rng = random.Random(5)
+    usual = [w for t in licenses.TEMPLATES.values() for w in licenses.words(t)]
+    found = there = 0
+    for name in ("MIT-body", "BSD-3-Clause", "Zlib", "GPL-3.0-notice", "ISC-body"):
+        template = licenses.words(licenses.TEMPLATES[name])
+        for damage in (0.0, 0.05, 0.1, 0.15, 0.19, 0.35):
+            body = []
+            for w in template:
+                r = rng.random()
+                body += [] if r < damage / 2 else [rng.choice(usual)] if r < damage else [w]
+                body += rng.choices(usual, k=rng.randint(1, 4)) if rng.random() < 0.15 else []
+            doc = rng.choices(usual, k=rng.randint(0, 300)) + body + rng.choices(usual, k=rng.randint(0, 300))
+            most = max(longest_common(doc[i : i + 2 * len(template)], template) for i in range(0, len(doc), 25)) / len(template)
+            got = [c for c, _, _ in licenses.scan_words(doc, template, 0.8)]
+            assert all(c <= most + 0.1 for c in got)  # every 25th window
+            if most >= 0.83:
+                there, found = there + 1, found + bool(got)
+            if most < 0.7:
+                assert not got
+    assert there >= 15 and found >= 0.9 * there, (found, there)
+
+
+def test_bodies_stand_apart(spark):
+    rows = [(name, "/* Copyright (c) 2020 Someone. All rights reserved.\n * " + text.replace(". ", ".\n * ") + " */\nint main() { return 0; }\n" * 9) for name, text in licenses.BODIES.items()]
+    got = {r.doc_id: [n.license for n in r.notices] for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {name: [name] for name in licenses.BODIES}
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
 def test_lines_of_the_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
