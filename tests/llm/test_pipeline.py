@@ -112,3 +112,44 @@ def test_repeated_passages_against_brute_force(spark):
         # Ids rise with the rows, so the first by id is the first here.
         out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep=keep, min_words=n).collect()
         assert {r.doc_id: r.kept.decode() for r in out} == {i: "".join(ch for k, ch in enumerate(t or "") if k not in gone[i]) for i, t in rows}
+
+
+def test_run_against_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(21)
+    make = lambda letters: ["".join(rng.choice(list(letters), 6)) for _ in range(2000)]
+    vocab = {"en": make("abcdefgh"), "de": make("pqrstuvw")}
+    prose = lambda lang, n: " ".join(rng.choice(vocab[lang], n))
+    lang = {i: "en" if i % 2 else "de" for i in range(60)}
+    texts = {i: prose(lang[i], 120) for i in lang}
+    item, shared = prose("en", 30), prose("de", 70)
+    texts[50] = texts[7]
+    texts[51] = prose("en", 40) + " " + item + " " + prose("en", 40)
+    texts[52], texts[53] = prose("de", 50) + " " + shared, shared + " " + prose("de", 50)
+    texts[54], texts[55], texts[56] = "12 34 56", None, ""
+    rows = [(i, t, lang[i] if i < 50 else None, "s", len(t or "")) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect()}
+    left = {i: t for i, t in texts.items() if t and i != 54}
+    ids = sorted(left)
+    roots = brute_components(ids, [brute_fingerprint(left[i]) for i in ids])
+    left = {i: left[i] for i in ids if i in set(roots)}
+    left[53] = left[53].replace(shared, "")
+    del left[51]
+    assert sorted(got) == sorted(left) and 50 not in got
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for i, t in left.items():
+        assert got[i].ids == library.encode(t, add_special_tokens=False).ids
+
+
+def test_last_stages_of_odd_rows(spark, tmp_path):
+    item = " ".join(f"w{i}" for i in range(13))
+    spark.createDataFrame([(1, item), (2, None), (None, "")], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    rows = [(None, item), (1, item + " x" * 400), (1, item + " x" * 400), (2, None), (None, ""), (3, "plain words")]
+    docs = spark.createDataFrame([(*r, None, "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.decontaminated(spark, docs, f"file://{tmp_path}")
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([r for r in rows if r[1] != item], key=repr) and out.columns == docs.columns
+    assert corpus_pipeline.decontaminated(spark, docs.limit(0), f"file://{tmp_path}").collect() == []
+    ids = sorted(((r.doc_id, r.n_tokens) for r in corpus_pipeline.tokens(spark, docs, "").collect()), key=repr)
+    assert [i for i, _ in ids] == sorted((i for i, _ in rows), key=repr) and (2, 0) in ids
+    assert corpus_pipeline.tokens(spark, docs.limit(0), "").collect() == []
