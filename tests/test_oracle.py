@@ -15,6 +15,8 @@ NAMES = [
     "jn1_duplicates", "jn2_known", "jn5_markers", "jn11_ancestors", "agg15_audit", "snk4_reviews", "smp1_split", "srt1_review_order",
     "med1_audio", "img2_experts", "fus2_fused", "fus4_ensemble", "win1_frames", "win8_av_sync", "win13_pauses", "str1_rolling", "prv2_image_source", "evd3_signatures",
     "str2_alerts", "evd6_cases", "agg16_fingerprint", "agg16_bucketed", "med3_speakers", "prv8_families", "fus7_expert_fusion",
+    "txt17_mtld", "txt29_prose", "txt25_advanced", "agg16_tree", "srt1_review_list", "agg4_real_roc", "agg5_real_summary", "agg11_real_fpr", "agg10_real_knots", "jn9_calibrated", "agg24_signals", "win10_pulse", "win11_phase",
+    "img4_copy_move", "fus9_explanation", "fus9_forms", "prv4_strings", "prv5_records", "src4_prefix", "src3_capped",
     *io_queries.QUERIES,
 ]
 
