@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words that one step works on; a longer text comes alone.
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Words that a factor's search looks at first; it doubles where no end is found.
 LOOK = 64
 #: Texts from which on their factors are searched side by side.
@@ -19,28 +19,26 @@ RATIO = 0.72
 FIELDS = ("bigram_entropy", "n_trigrams", "trigrams", "trigrams_repeated", "distinct_words", "hapax", "mtld")
 
 
-def _kinds(text: np.ndarray, gram: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(different grams, grams met once, sum of c * log2(c) over counts c) of each text."""
-    order = np.lexsort((gram, text))
-    t, g = text[order], gram[order]
-    head = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (g[1:] != g[:-1])]) if len(t) else np.zeros(0, np.int64)
-    counts, owner = np.diff(np.r_[head, len(t)]), t[head]
+def _kinds(keys: np.ndarray, bits: int, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(different grams, grams met once, sum of c * log2(c) over counts c) of each text, of sorted keys: text << bits | gram."""
+    head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    counts, owner = np.diff(np.r_[head, len(keys)]), keys[head] >> bits
     weighted = np.bincount(owner, weights=counts * np.log2(counts), minlength=n_texts)
     return np.bincount(owner, minlength=n_texts), np.bincount(owner[counts == 1], minlength=n_texts), weighted
 
 
-def factors(codes: np.ndarray, starts: np.ndarray, ratio: float = RATIO) -> np.ndarray:
+def factors(order: np.ndarray, keys: np.ndarray, starts: np.ndarray, ratio: float = RATIO) -> np.ndarray:
     """Factors of each text, with the unfinished one's part: a factor ends where its different words are ``ratio`` of its words or fewer.
 
     A word is a first sight of the factor that began at s if its last occurrence
     lies before s; so one array of last occurrences serves all factors.  All
     texts' factors are searched side by side, a window of words at a time.
+    ``order`` has the words' places by text, word and place, ``keys`` the sorted
+    text and word.
     """
-    n, n_texts = len(codes), len(starts) - 1
-    text = np.repeat(np.arange(n_texts), np.diff(starts))
-    order = np.lexsort((np.arange(n), codes, text))
+    n, n_texts = len(order), len(starts) - 1
     last = np.full(n + 1, -1)
-    same = (text[order][1:] == text[order][:-1]) & (codes[order][1:] == codes[order][:-1])
+    same = keys[1:] == keys[:-1]
     last[order[1:][same]] = order[:-1][same]
     out = np.zeros(n_texts)
     live = np.flatnonzero(np.diff(starts))
@@ -76,23 +74,31 @@ def statistics(codes: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
     """The measures of FIELDS of texts of word codes."""
     n_texts = len(starts) - 1
     text = np.repeat(np.arange(n_texts), np.diff(starts))
-    size = int(codes.max(initial=0)) + 1
+    bits = int(codes.max(initial=0)).bit_length()
     out: dict[str, np.ndarray] = {}
-    out["distinct_words"], out["hapax"], _ = _kinds(text, codes, n_texts)
-    pair = (text[1:] == text[:-1]) if len(text) else np.zeros(0, bool)
-    pairs = codes[:-1] * size + codes[1:]
-    names, number = np.unique(pairs, return_inverse=True)
+    keys = (text << bits) | codes
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    out["distinct_words"], out["hapax"], _ = _kinds(keys, bits, n_texts)
+    f, n = factors(order, keys, starts), np.diff(starts)
+    out["mtld"] = np.where(f > 0, n / np.where(f > 0, f, 1.0), n.astype(float))
+    pair = text[1:] == text[:-1] if len(text) else np.zeros(0, bool)
     at = np.flatnonzero(pair)
+    pairs = (codes[at] << bits) | codes[at + 1]
     n_pairs = np.bincount(text[at], minlength=n_texts)
-    _, _, weighted = _kinds(text[at], number[at], n_texts)
+    if n_texts.bit_length() + 3 * bits > 62:  # as many words as grams may be: pairs get numbers
+        _, pairs = np.unique(pairs, return_inverse=True)
+        gram = int(pairs.max(initial=0)).bit_length()
+    else:
+        gram = 2 * bits
+    _, _, weighted = _kinds(np.sort((text[at] << gram) | pairs), gram, n_texts)
     some = np.maximum(n_pairs, 1)
     out["bigram_entropy"] = np.where(n_pairs > 0, np.log2(some) - weighted / some, 0.0)
-    at = np.flatnonzero(pair[1:] & pair[:-1]) if len(pair) > 1 else np.zeros(0, np.int64)
-    triples = number[at] * size + codes[at + 2]
-    kinds, once, _ = _kinds(text[at], triples, n_texts)
-    out["n_trigrams"], out["trigrams"], out["trigrams_repeated"] = np.bincount(text[at], minlength=n_texts), kinds, kinds - once
-    f, n = factors(codes, starts), np.diff(starts)
-    out["mtld"] = np.where(f > 0, n / np.where(f > 0, f, 1.0), n.astype(float))
+    next_ = np.flatnonzero(np.r_[pair, False][at + 1])
+    triples = (pairs[next_] << bits) | codes[at[next_] + 2]
+    owner = text[at[next_]]
+    kinds, once, _ = _kinds(np.sort((owner << gram + bits) | triples), gram + bits, n_texts)
+    out["n_trigrams"], out["trigrams"], out["trigrams_repeated"] = np.bincount(owner, minlength=n_texts), kinds, kinds - once
     return out
 
 

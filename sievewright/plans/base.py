@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sievewright.session import tuned
+
 #: Whole documents with phrases the rules look for beside most of them, by id; short rows of
 #: conversations, in which such phrases weigh more; nation names, blank and empty for some.
 NOTES = """
@@ -79,7 +81,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def sql(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
-    """Runs Spark SQL over the given tables and the bases it names, without views."""
+    """Runs Spark SQL over the given tables and the bases it names, without views; the session gets the library's settings."""
+    spark = tuned(spark)
     for name, text in BASES.items():
         if re.search(rf"\b{name}_base\b", query):
             query = re.sub(rf"\b{name}_base\b", f"({text})", query)

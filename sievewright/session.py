@@ -1,5 +1,9 @@
 """Session settings that the library's queries run best with."""
 
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
 #: For SparkSession.builder.config(map=SETTINGS).  Rule sets are projections of many
 #: conditions; the JVM never compiles a generated method of over 8000 bytes, so Spark
 #: is told to split such projections instead of fusing them into one method.
@@ -8,3 +12,12 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """The session, with SETTINGS where its builder has not set them otherwise; a session of any origin then runs rule sets compiled."""
+    own = spark.sparkContext.getConf()
+    for name, value in SETTINGS.items():
+        if not own.contains(name) and spark.conf.get(name) != value:
+            spark.conf.set(name, value)
+    return spark
