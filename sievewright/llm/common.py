@@ -87,6 +87,21 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+#: Bytes of an Arrow batch that a task sends to Python at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of the session to BATCH_BYTES where it has Spark's default of 64 MiB.
+
+    A batch is held by the executor and by its Python worker, some parts of it
+    more than once, beside all other tasks of the executor.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "64MB", "64m"):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column, without a copy; null counts as empty."""
     if column.null_count:
