@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on every row that its predecessor
 kept, and returns a DataFrame; all but the last return the columns of
-``documents``.
+``documents``.  Stages follow each other in the same executors, whose memory
+Python workers share, so each bounds the Arrow batches that they hold.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.llm import bpe, decontam, langid, simhash, suffix_dedup
-from sievewright.llm.common import scratch_uri
+from sievewright.llm.common import scratch_uri, small_batches
 
 #: A document whose best language is less likely than this is rejected.
 MIN_LANGUAGE_SCORE = 0.5
@@ -21,6 +22,7 @@ MIN_REPEAT_WORDS = 51
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of no language that the network is sure of, go."""
+    small_batches(spark)
     net = langid.fit(docs, "text", "lang")
     keep = tuple(c for c in docs.columns if c != "doc_id")
     out = langid.predict(docs, net, keep=keep)
@@ -34,6 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     other content are documents of their own, equal rows count once, and rows
     without an id come after those with one.
     """
+    small_batches(spark)
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*docs.columns).alias("row"))
     keyed = docs.withColumn("_key_", key)
     first = simhash.near_duplicates(keyed, "_key_").where("_key_ = component").select("_key_").distinct()
@@ -42,6 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of long passages are cut out; a document that was nothing else goes."""
+    small_batches(spark)
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     cut = suffix_dedup.remove_repeats(docs, min_words=MIN_REPEAT_WORDS, keep="first", whole_letters=True, columns=others)
     text = F.decode("kept", "UTF-8")
@@ -51,6 +55,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more is benchmark text go."""
+    small_batches(spark)
     keep = tuple(c for c in docs.columns if c != "doc_id")
     out = decontam.contaminated_words(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=keep)
     return out.where(~decontam.is_contaminated()).select(*docs.columns)
@@ -58,6 +63,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the digests of ids and decoded text."""
+    small_batches(spark)
     import public_tokenizers
 
     out = bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
