@@ -62,7 +62,7 @@ def ensemble(members: DataFrame, profiles: DataFrame, id_col: str = "item_id") -
     default = F.when(F.col("runtime").isin("torchvision", "aide"), clamp(weight * 0.35, 0.05, 4.0))
     low = F.when(F.col("degraded_weight").isNotNull(), clamp(F.col("degraded_weight"), 0.05, 4.0)).otherwise(default)
     p = profiles.select("member", weight.alias("w"), low.alias("w_low"), "languages")
-    d = members.where("available").join(F.broadcast(p), "member", "left")
+    d = members.where("available").join(p, "member", "left")
     foreign = (F.col("hangul") > 0.3) & (F.size("languages") > 0) & ~F.array_contains("languages", "ko")
     d = d.where(~F.coalesce(foreign, F.lit(False)))
     w = F.coalesce("w", F.lit(1.0))

@@ -275,15 +275,23 @@ def tree_verify(proof: list[tuple[int, list[str]]], leaf: str, root: str) -> boo
     return bool(proof) and leaf == root
 
 
-def search(rows: DataFrame, queries: DataFrame, id_col: str, value: str, block: list[str], score, match, salts: int = 16) -> DataFrame:
+#: Rows of one block that a task of a search holds queries against.
+SEARCH_ROWS = 20_000
+
+
+def search(rows: DataFrame, queries: DataFrame, id_col: str, value: str, block: list[str], score, match, salts: int | None = None) -> DataFrame:
     """Rows (id, compared, matched, best_id, best_score): each query against all other rows of its block.
 
     ``score`` is a column of two values, ``match`` says of a score whether it
     counts.  Rows are dealt by block and one of ``salts`` numbers, and queries
-    to all of them, so a common block is many tasks; only counts and the best go
-    on.  Nulls in the block match nothing; ties go to the least id; queries
+    to all of them, so a common block is many tasks: as many as leave a task
+    SEARCH_ROWS rows of the most common block, if not given.  Only counts and
+    the best go on.  Nulls in the block match nothing; ties go to the least id; queries
     without another row have no row.
     """
+    if salts is None:
+        most = rows.groupBy(*block).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        salts = max(1, -(-most // SEARCH_ROWS))
     salt = F.pmod(F.xxhash64(id_col), F.lit(salts))
     q = queries.select(*block, F.col(id_col).alias("_q"), F.col(value).alias("_v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_s"))
     pairs = rows.select(*block, id_col, value, salt.cast("long").alias("_s")).join(q, [*block, "_s"]).where(F.col(id_col) != F.col("_q"))
