@@ -54,3 +54,32 @@ def test_counts_of_lists(spark):
     for i, t in enumerate(texts):
         for name, own in lists.items():
             assert (got[i][f"{name}_kinds"], got[i][f"{name}_times"]) == (sum(m in (t or "") for m in own), sum((t or "").count(m) for m in own))
+
+
+def test_overlaps_of_a_marker_need_no_loop():
+    """Every marker's places from the left without overlap, in a few lines run however many there are."""
+    import sys
+
+    rng = np.random.default_rng(2)
+    lengths = np.array([1, 2, 3, 7])
+    row, marker, start = rng.integers(0, 40, 30_000), rng.integers(0, 4, 30_000), rng.integers(0, 900, 30_000)
+    row, marker, start = np.unique(np.stack([row, marker, start]), axis=1)
+    want, last = [], {}
+    for r, m, s in zip(row.tolist(), marker.tolist(), start.tolist(), strict=True):
+        if s >= last.get((r, m), 0):
+            want.append((r, m))
+            last[r, m] = s + int(lengths[m])
+    mixed = rng.permutation(len(row))
+    assert list(zip(*map(np.ndarray.tolist, matching._apart(row[mixed], marker[mixed], start[mixed], lengths)), strict=True)) == want
+    n, lines = 1 << 12, []
+
+    def traced(frame, event, arg):
+        lines.append(event)
+        return traced
+
+    sys.settrace(traced)
+    try:
+        kept, _ = matching._apart(np.zeros(n, int), np.ones(n, int), np.arange(n), np.array([1, 2]))
+    finally:
+        sys.settrace(None)
+    assert len(kept) == n // 2 and len(lines) < n // 4
