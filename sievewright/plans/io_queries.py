@@ -128,7 +128,7 @@ def _ratio(row: dict) -> str:
 def udf1_process(spark, sf):
     """A user function of each document; where it fails the row says why."""
     d = sql(spark, sf, "SELECT doc_id, CAST(doc_id % 5 AS INT) AS part, coalesce(text, '') AS text FROM documents")
-    return udfs.process(d, _ratio).select("doc_id", "status", "result", "error")
+    return udfs.process(d, _ratio, keep=("doc_id",)).select("doc_id", "status", "result", "error")
 
 
 def udf2_members(spark, sf):

@@ -109,3 +109,20 @@ def test_lineage_deeper_than_32_steps_and_of_many_ways(spark):
             last = {d for x, d in set(rows) if x in last and (x is not None or depth == 1)} - {a for q, a in want if q == s}
             want.update({(s, a): depth for a in last})
     assert len(got) == len(want) and {(s, a): d for s, a, d in got} == want and want[(40, 0)] == 40
+
+
+def test_a_worker_holds_few_texts_at_once(spark):
+    """64 MB of texts in one task reach the user function some MB at a time, and stay there."""
+    import sys
+
+    def held(row):  # bytes of the batch that the caller holds
+        return str(int(sys._getframe(1).f_locals["batch"]["text"].str.len().sum()))
+
+    from sievewright.functions import udfs
+
+    df = spark.range(64, numPartitions=1).selectExpr("id", "repeat('a', 1000000) AS text")
+    got = udfs.process(df, held, keep=("id",))
+    assert got.columns == ["id", "status", "result", "error", "processing_time"]
+    rows = got.collect()
+    assert len(rows) == 64 and max(int(r.result) for r in rows) <= 8_000_000
+    assert udfs.process(df.limit(2), held).columns == ["id", "text", "status", "result", "error", "processing_time"]
