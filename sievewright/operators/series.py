@@ -80,8 +80,8 @@ def resampled(series: DataFrame, stream: str, step: str, value: str, from_rate:
 def lag_correlation(pairs: DataFrame, stream: str, step: str, a: str, b: str, rate: float, max_lag_seconds: float, least: int = 16, least_seconds: float = 3.0, normalised: bool = True) -> DataFrame:
     """Rows (stream, n, offset_seconds, correlation): the lag of best correlation of two series on one grid.
 
-    A positive lag means that ``a`` is late.  Each row meets 2·lags+1 shifted
-    rows by an equality join on (stream, step): a bounded factor, no cross join.
+    A positive lag means that ``a`` is late.  Each row meets the rows of 2·lags+1
+    steps in a window of its stream, which is shuffled once; pairs are summed by lag where they are made and are never written.
     With ``normalised`` the overlap's own norms divide and only positive peaks
     count (offset 0, correlation 0 if there is none); else both series are z-scored over the whole and the product sum is
     divided by the overlap's length.  Short or constant streams have no row.
@@ -92,9 +92,11 @@ def lag_correlation(pairs: DataFrame, stream: str, step: str, a: str, b: str, ra
     d = d.where((F.col("n") >= least) & (F.col("n") / rate >= least_seconds) & (F.col("sx") > 1e-9) & (F.col("sy") > 1e-9))
     if not normalised:
         d = d.withColumns({"x": F.col("x") / F.col("sx"), "y": F.col("y") / F.col("sy")})
-    left = d.select(stream, F.col(step).alias("t"), "n", "x")
-    right = d.select(stream, F.explode(F.sequence(F.lit(-m), F.lit(m))).alias("lag"), F.col(step).alias("t0"), "y").withColumn("t", F.col("t0") + F.col("lag"))
-    by_lag = left.join(right, [stream, "t"]).groupBy(stream, "lag").agg(F.count("*").alias("k"), F.max("n").alias("n"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"))
+    near = Window.partitionBy(stream).orderBy("t").rangeBetween(-m, m)
+    d = d.where(F.col(step).isNotNull()).select(stream, F.col(step).cast("long").alias("t"), "n", "x", "y")
+    met = d.select(stream, "n", "x", F.col("t").alias("_t"), F.collect_list(F.struct("t", "y")).over(near).alias("near"))
+    met = met.select(stream, "n", "x", "_t", F.inline("near")).withColumn("lag", (F.col("_t") - F.col("t")).cast("int"))
+    by_lag = met.groupBy(stream, "lag").agg(F.count("*").alias("k"), F.max("n").alias("n"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"))
     size = F.sqrt(F.col("xx")) * F.sqrt(F.col("yy"))
     value = F.when(size > 1e-9, F.col("xy") / size) if normalised else F.col("xy") / F.col("k")
     by_lag = by_lag.withColumn("r", F.when(F.col("k") >= least, F.round(value, 12)))

@@ -136,3 +136,26 @@ def test_chains_with_rejects(spark):
     lines = ['{"file_hash": "x", "path": "p", "file_size": 3, "parameters": {"a": "1"}}', "not json", '{"file_hash": "x"}', '{"path": "q"}']
     good, bad = evidence.load_chains(spark.createDataFrame([(x,) for x in lines], "value string"))
     assert [r.path for r in good.collect()] == ["p"] and sorted(r.why for r in bad.collect()) == ["no file_hash", "no path", "not JSON"]
+
+
+def test_lags_by_a_window_equal_brute_force(spark):
+    """Gaps, repeated and unknown steps; pairs come from a window, no join writes them."""
+    from sievewright.operators.series import lag_correlation
+
+    rng = random.Random(8)
+    rows = []
+    for s in range(4):
+        steps = sorted(rng.sample(range(90), 60)) + [17, 17, None]
+        rows += [(s, t, rng.random(), rng.random()) for t in steps]
+    d = lag_correlation(spark.createDataFrame(rows, "s int, t long, a double, b double"), "s", "t", "a", "b", 8.0, 1.0)
+    assert "Join" not in d._jdf.queryExecution().toString()
+    got = {r.s: (r.n, r.offset_seconds, round(r.correlation, 9)) for r in d.collect()}
+    for s in range(4):
+        own = [r for r in rows if r[0] == s]
+        ma, mb = (sum(r[i] for r in own) / len(own) for i in (2, 3))
+        best = (0.0, 0)
+        for lag in range(-8, 9):
+            pairs = [(x[2] - ma, y[3] - mb) for x in own for y in own if None not in (x[1], y[1]) and x[1] == y[1] + lag]
+            r = sum(x * y for x, y in pairs) / (sum(x * x for x, _ in pairs) ** 0.5 * sum(y * y for _, y in pairs) ** 0.5)
+            best = max(best, (round(r, 12), -lag)) if len(pairs) >= 16 and r > 0 else best
+        assert got[s] == (len(own), -best[1] / 8.0, round(best[0], 9))
