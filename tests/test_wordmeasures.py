@@ -55,3 +55,11 @@ def test_a_scan_makes_no_array_of_words(spark):
     df = spark.createDataFrame([(1, "a text")], "i int, text string")
     plan = T.scan(df).select("i", "score", "signals")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan.lower()
+
+
+def test_korean_rules_count_no_grams(spark):
+    df = spark.createDataFrame([(1, "a text")], "i int, text string")
+    measures = ("translationese", "endings", "stock", "n_words", "n_sentences", "hangul")
+    plan = T.advanced_features(df).select("i", *measures)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_count" in plan.lower() or "regexp_extract_all" in plan.lower()  # one pattern is left
+    assert "bigram_entropy" not in plan and plan.count("measure(") <= 2 and "split(" not in plan
