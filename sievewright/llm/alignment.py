@@ -399,7 +399,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([columns[f.name] for f in schema], names=schema.fieldNames())
                 chunk += 1
 
-    table = written(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(link, schema), "links")
+    table = written(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(link, schema), "links", wide=True)
     held = table.select(F.explode(F.arrays_zip("pairs", "held")).alias("x")).groupBy(F.col("x.pairs").alias("pair")).agg(F.sum("x.held").alias("n"))
     highest = F.max("n").over(Window.partitionBy(F.shiftright("pair", _B_BITS)))  # as many rows as B has ids, at most
     counts = held.select("pair", "n", (F.col("n") == highest).alias("best"))

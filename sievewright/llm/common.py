@@ -71,10 +71,21 @@ def delete_uri(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df from a table in the shared folder, so that what uses it twice computes it once."""
+#: Bytes of a Parquet row group where one row may have some MiB.
+WIDE_GROUP_BYTES = 4 << 20
+
+
+def written(df: DataFrame, name: str, wide: bool = False) -> DataFrame:
+    """df from a table in the shared folder, so that what uses it twice computes it once.
+
+    wide: rows may have some MiB.  Spark's reader decodes up to 4096 rows of a row
+    group at once, and Parquet looks at a group's size only every 100 rows, so a
+    task would hold a whole file; row groups of WIDE_GROUP_BYTES, looked at after
+    each row, bound what its writer and its reader hold.
+    """
     path = scratch_uri(df.sparkSession, name)
-    df.write.parquet(path)
+    groups = {"parquet.block.size": str(WIDE_GROUP_BYTES), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+    df.write.options(**groups if wide else {}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -6,11 +6,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from sievewright.llm import alignment
+from sievewright.llm import alignment, common
 from sievewright.llm.bpe import byte_letters
 
 A_PATH, B_PATH = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -100,6 +101,23 @@ def test_small_chunks_and_forgetting(spark, libraries, monkeypatch):
     assert alignment._chunk(tokenizers, texts, True)["groups"] == whole["groups"]
 
 
+def test_links_stay_in_small_row_groups(spark, monkeypatch):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(6000)]
+    texts = ["a"] * 40 + [" ".join(rng.choices(words, k=12_000)) for _ in range(50)]  # small rows first, so that no guess from them serves
+    tables = []
+    monkeypatch.setattr(alignment, "written", lambda *a, **b: tables.append(common.written(*a, **b)) or tables[-1])
+    monkeypatch.setattr(common, "WIDE_GROUP_BYTES", 1 << 17, raising=False)
+    monkeypatch.setattr(alignment, "LINK_CHUNK_BYTES", 1)  # each text is a row
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert alignment.aligned(df, A_PATH, B_PATH).where("n_links > 0").count() == len(texts)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in tables[0].inputFiles()]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == len(texts)
+    assert sum(g.total_byte_size for g in groups) > 4 << 17
+    assert all(g.total_byte_size <= 2 << 17 for g in groups)
+
+
 def test_empty(spark):
     assert alignment.aligned(spark.createDataFrame([], "doc_id long, text string"), A_PATH, B_PATH).collect() == []
 
